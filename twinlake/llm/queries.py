@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from twinlake.llm import bpe, chat, fingerprint, packing, webp
+from twinlake.llm import bpe, chat, fingerprint, html, langid, neardup, packing, quality, secrets, webp
 from twinlake.llm.common import table
 
 
@@ -14,6 +14,29 @@ def op1_media_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return webp.describe(webp.store(table(spark, sf_dir, "documents")))
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
+def op3_quality_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
+
+
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_text(table(spark, sf_dir, "pages"))
+
+
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = langid.predict(docs, langid.fit(docs.where(~langid.held_out())))
+    return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op7_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     says = r"\### Assistant: </turn> ok"
@@ -34,7 +57,10 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_media_webp, op7_chat_windows, op8_fingerprints, op9_packing, op10_byte_bpe)
+    named = (
+        op1_media_webp, op2_secret_scan, op3_quality_grades, op4_near_duplicates, op5_main_text,
+        op6_language, op7_chat_windows, op8_fingerprints, op9_packing, op10_byte_bpe,
+    )
     return {f.__name__: f for f in named}
 
 
