@@ -1,15 +1,591 @@
-"""All registered queries for the reference behaviour, with their SQL."""
+"""All registered queries for duplicate and similarity analytics, each with its DuckDB SQL where SQL can say it."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
+from twinlake.functions import scalar
+from twinlake.operators import archives, caches, exact, export, filters, pairs, select, session
+from twinlake.params import ImageConfig, ScanParams
+from twinlake.sources import records
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+# --- the entities as SQL, for comparison
+
+FILES = """files as (
+  select '/' || source || '/' || doc_id || '.' || lang as path, doc_id || '.' || lang as name, source as folder, lang as ext,
+    strlen(text)::bigint as size, 1700000000 + doc_id % 7 * 3600 as modified, text, md5(text) as digest,
+    case when try_cast(regexp_extract(source, '(\\d+)', 1) as int) < 10 then 'primary' else 'secondary' end as side, doc_id
+  from documents)"""
+MEMBERS = FILES + """,
+members as (
+  select *, min(path) over (partition by digest) as group_key,
+    row_number() over (partition by digest order by modified, name, path) - 1 as pos, count(*) over (partition by digest) as n
+  from files qualify n >= 2)"""
+GROUPS = MEMBERS + """,
+groups as (
+  select group_key, substr(min(digest), 1, 16) as hash, count(*) as n, arg_min(size, pos) as size, arg_min(size, pos) * (count(*) - 1) as waste,
+    case when min(folder) = max(folder) then min(folder) else '' end as folder_key, string_agg(path, '|' order by path) as ignore_key
+  from members group by group_key),
+ignored as (select ignore_key from groups where group_key in (
+  select group_key from members group by group_key having min(doc_id) % 2 = 0))"""
+FOLDER_GROUPS = FILES + """,
+members as (
+  select *, min(path) over w as group_key, row_number() over (partition by folder, digest order by modified, name, path) - 1 as pos, count(*) over w as n
+  from files window w as (partition by folder, digest) qualify n >= 2)"""
+IMAGES = """images as (
+  select vec_id as id, list_sum([case when embedding[i + 1] >= 0 then 1::ubigint << i else 0::ubigint end for i in range(64)])::ubigint as fine,
+    case when vec_id % 11 <> 0 then 0.5::double + label * 0.15::double end as aspect, 5000 + vec_id * 40 as size, label as folder
+  from embeddings),
+pics as (select *, fine & 65535::ubigint as coarse from images)"""
+VIDEOS = """videos as (
+  select user_id as id, list(code order by n) filter (n <= 8) as hashes, count(*)::double as duration
+  from (select user_id, row_number() over (partition by user_id order by ts, event_id) as n, (1::bigint << floor(value / 10)::int) - 1 as code from events)
+  group by user_id)"""
+AUDIO = """audio as (
+  select * from (
+    select o_custkey as id, list(word order by n) filter (n <= 6) as fp, count(*)::double as duration
+    from (select o_custkey, row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) as n,
+            case when o_orderstatus = 'P' then 4294967296 - (1::bigint << floor(o_totalprice / 20000)::int) else (1::bigint << floor(o_totalprice / 20000)::int) - 1 end as word
+          from orders)
+    group by o_custkey) where duration >= 10)"""
+ENTRIES = """entries as (
+  select source || '-' || lang as archive, doc_id::varchar as internal_path, md5(text) as hash, strlen(text)::bigint as size, doc_id as pos from documents)"""
+LINKS = ENTRIES + """,
+held as (select distinct archive, hash from entries),
+leads as (select hash, min(archive) as lead from held group by hash having count(*) >= 2),
+links as (select lead as a, archive as b, count(*) as shared from held join leads using (hash) where archive <> lead group by all)"""
+
+
+def reach(edges: str, a: str = "a", b: str = "b") -> str:
+    """CTE `parts(id, component)` of an edge list."""
+    return f"""
+steps as (select {a} as u, {b} as v from {edges} union select {b}, {a} from {edges}),
+reached(id, r) as (select u, u from steps union select reached.id, steps.v from reached join steps on steps.u = reached.r),
+parts as (select id, min(r) as component from reached group by id)"""
+
+
+def distance(a: str, b: str) -> str:
+    return f"bit_count(xor({a}, {b}))"
+
+
+SEQUENCE = "list_sum([bit_count(xor(a.hashes[i], b.hashes[i])) for i in range(1, least(len(a.hashes), len(b.hashes)) + 1)])::double / least(len(a.hashes), len(b.hashes))"
+PRINT = "list_sum([bit_count(xor(a.fp[i], b.fp[i])) for i in range(1, least(len(a.fp), len(b.fp)) + 1)])::double / (32.0::double * least(len(a.fp), len(b.fp)))"
+DURATION = "abs(a.duration - b.duration) / greatest(a.duration, b.duration) <= 0.2::double"
+ASPECT = "coalesce(greatest(a.aspect, b.aspect) <= 0 or abs(a.aspect - b.aspect) / greatest(a.aspect, b.aspect) <= 0.2::double, true)"
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name."""
+
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+PARAMS = ScanParams(min_file_size_kb=1, max_file_size_kb=8, min_modified_timestamp=1700003600, exclude_extensions=("FR",), include_extensions=("en", "de", "fr"))
+
+
+def _members(spark: SparkSession, sf: str, *partition: str) -> DataFrame:
+    return exact.exact_members(records.files(spark, sf), *partition)
+
+
+def _groups(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    m = _members(spark, sf)
+    return exact.group_rows(m), m
+
+
+def _ignored(groups: DataFrame, members: DataFrame) -> DataFrame:
+    even = members.groupBy("group_key").agg(F.min("doc_id").alias("d")).where("d % 2 = 0").select("group_key")
+    return groups.join(even, "group_key", "left_semi").select("ignore_key")
+
+
+GROUP_COLUMNS = ("group_key", "hash", "n", "size", "waste", "folder_key", "ignore_key")
+
+# --- exact core
+
+
+@query(f"with {FILES} select path, name, size, modified from files where size >= 1024 and size <= 8192 and modified >= 1700003600 and ext not in ('fr') and ext in ('en', 'de', 'fr')")
+def inventory_filter(spark, sf):
+    return records.files(spark, sf, content=False).where(filters.inventory_predicate(PARAMS)).select("path", "name", "size", "modified")
+
+
+@query("""select e as ext, case when e in ('jpg','jpeg','png','webp','bmp','gif','tiff','tif','avif') then 'image'
+  when e in ('mp4','avi','mkv','mov','wmv','webm','flv','m4v','mpg','mpeg','3gp','ts','mts','m2ts') then 'video'
+  when e in ('mp3','flac','ogg','m4a','aac','wav','wma','opus','aiff','aif','ape') then 'audio' else 'other' end as kind, count(*) as n
+  from (select ['jpg','mp4','mp3','txt'][doc_id % 4 + 1] as e from documents) group by all""")
+def media_class(spark, sf):
+    name = F.concat(F.lit("a."), F.upper(F.element_at(F.array(*map(F.lit, ("jpg", "mp4", "mp3", "txt"))), (F.col("doc_id") % 4 + 1).cast("int"))))
+    named = records.table(spark, sf, "documents").select(name.alias("name"))
+    return named.groupBy(scalar.extension("name").alias("ext"), scalar.media_class("name").alias("kind")).agg(F.count("*").alias("n"))
+
+
+@query(f"with {FILES} select folder as folder_key, count(*) as n from files group by all")
+def folder_key(spark, sf):
+    f = records.files(spark, sf, content=False)
+    return f.groupBy(scalar.first_level_folder("path", "/").alias("folder_key")).agg(F.count("*").alias("n"))
+
+
+@query(f"with {FILES} select path, folder from files where not list_has_any(string_split(folder, '/'), ['src1', 'src2'])")
+def excluded_folders(spark, sf):
+    return records.files(spark, sf, content=False).where(filters.outside_excluded(F.col("folder"), ("src1", "src2"))).select("path", "folder")
+
+
+@query(f"with {FILES} select path, size from files qualify count(*) over (partition by size) >= 2")
+def size_candidates(spark, sf):
+    return exact.size_candidates(records.files(spark, sf, content=False)).select("path", "size")
+
+
+@query(f"""with {FILES}, p as (select *, md5(encode(text)[1:4096]) as partial from files qualify count(*) over (partition by size) >= 2)
+  select partial, count(*) as n from p group by partial having n >= 2""")
+def partial_hash_groups(spark, sf):
+    c = exact.partial_candidates(exact.size_candidates(records.files(spark, sf)))
+    return c.groupBy("partial").agg(F.count("*").alias("n"))
+
+
+@query(f"with {GROUPS} select group_key, hash, n, size, waste, folder_key, ignore_key from groups")
+def exact_groups(spark, sf):
+    return _groups(spark, sf)[0].select(*GROUP_COLUMNS)
+
+
+@query(f"with {MEMBERS} select group_key, pos, path, modified, size, case when pos = 0 then 'kept' else 'duplicate' end as status from members")
+def exact_members_origin_order(spark, sf):
+    return _members(spark, sf).select("group_key", "pos", "path", "modified", "size", export.status().alias("status"))
+
+
+@query(f"with {FOLDER_GROUPS} select group_key, min(folder) as folder_key, count(*) as n, arg_min(size, pos) * (count(*) - 1) as waste from members group by group_key")
+def exact_groups_by_folder(spark, sf):
+    return exact.group_rows(_members(spark, sf, "folder")).select("group_key", "folder_key", "n", "waste")
+
+
+@query(f"with {GROUPS} select row_number() over (order by waste desc, group_key) as rank, group_key, waste from groups")
+def waste_ranking(spark, sf):
+    top = exact.ranked(_groups(spark, sf)[0]).limit(1_000_000)  # a report's list
+    return top.select(F.row_number().over(W.orderBy(F.desc("waste"), "group_key")).alias("rank"), "group_key", "waste")
+
+
+@query(f"with {GROUPS} select coalesce(sum(waste), 0)::bigint as total_waste, count(*) as n_groups from groups")
+def waste_total(spark, sf):
+    return exact.total_waste(_groups(spark, sf)[0])
+
+
+# --- modes and ignores
+
+
+@query(f"""with {MEMBERS} select group_key, pos, path, side from members where group_key in (
+  select group_key from members group by group_key having max(side = 'primary') and max(side = 'secondary'))""")
+def exact_cross_source(spark, sf):
+    f = records.files(spark, sf)
+    m = exact.exact_members(f.where("side = 'primary'").unionByName(f.where("side = 'secondary'")))
+    return m.join(filters.cross_source(m), "group_key", "left_semi").select("group_key", "pos", "path", "side")
+
+
+@query(f"with {GROUPS} select group_key, ignore_key from groups")
+def ignore_keys(spark, sf):
+    return _groups(spark, sf)[0].select("group_key", "ignore_key")
+
+
+@query(f"with {GROUPS} select group_key, n, waste from groups where ignore_key not in (select ignore_key from ignored)")
+def groups_minus_ignored(spark, sf):
+    g, m = _groups(spark, sf)
+    return filters.minus_ignored(g, _ignored(g, m)).select("group_key", "n", "waste")
+
+
+@query(f"with {GROUPS} select group_key, folder_key from groups")
+def group_folder_key(spark, sf):
+    return _groups(spark, sf)[0].select("group_key", "folder_key")
+
+
+# --- session reads
+
+
+@query(f"with {GROUPS} select group_key, waste, (select count(*) from groups) as total, (select count(*) from groups) > 15 as has_more from groups order by waste desc, group_key limit 10 offset 5")
+def groups_page(spark, sf):
+    return session.groups_page(_groups(spark, sf)[0], 5, 10).select("group_key", "waste", "total", "has_more")
+
+
+@query(f"with {GROUPS}, f as (select * from groups where folder_key = '') select group_key, waste, (select count(*) from f) as total, (select count(*) from f) > 5 as has_more from f order by waste desc, group_key limit 5")
+def folder_groups_page(spark, sf):
+    return session.folder_page(_groups(spark, sf)[0], "", 0, 5).select("group_key", "waste", "total", "has_more")
+
+
+@query(f"with {GROUPS} select folder_key, count(*) as group_count, sum(waste)::bigint as total_wasted_bytes from groups group by folder_key")
+def folder_summary(spark, sf):
+    return exact.folder_summary(_groups(spark, sf)[0])
+
+
+@query(f"""with {GROUPS} select group_key, waste from groups g where contains(lower(folder_key), 'src1/') or exists (
+  select 1 from members m where m.group_key = g.group_key and (contains(lower(m.name), 'src1/') or contains(lower(m.path), 'src1/')))""")
+def text_filter_groups(spark, sf):
+    g, m = _groups(spark, sf)
+    return filters.text_filter(g, m, "  SRC1/ ").select("group_key", "waste")
+
+
+@query(f"""with {GROUPS}, named as (select group_key, ['jpg','mp4','mp3','txt'][doc_id % 4 + 1] as e, pos from members)
+  select group_key from named where pos = 0 and e = 'jpg'""")
+def kind_view(spark, sf):
+    g, m = _groups(spark, sf)
+    ext = F.element_at(F.array(*map(F.lit, ("jpg", "mp4", "mp3", "txt"))), (F.col("doc_id") % 4 + 1).cast("int"))
+    return filters.kind_view(g, m.withColumn("name", F.concat(F.lit("x."), ext)), "image").select("group_key")
+
+
+@query(f"""with {MEMBERS}, left_ as (select group_key, path, doc_id from members where doc_id % 10 <> 0)
+  select group_key, path from left_ qualify count(*) over (partition by group_key) >= 2""")
+def purge_missing(spark, sf):
+    return filters.purge(_members(spark, sf), records.missing_paths(spark, sf)).select("group_key", "path")
+
+
+@query(f"""with {MEMBERS}, left_ as (select group_key, path from members where pos <> 1)
+  select group_key, path from left_ qualify count(*) over (partition by group_key) >= 2""")
+def purge_deleted(spark, sf):
+    m = _members(spark, sf)
+    return filters.purge(m, m.where("pos = 1").select("path")).select("group_key", "path")
+
+
+@query(f"""with recursive {GROUPS}, {LINKS}, {reach("links")},
+  e as (select p.component as group_id, p.id as archive, x.internal_path, min(x.size) as size from parts p join entries x on x.archive = p.id join leads l on l.hash = x.hash group by all),
+  a as (select group_id, sum(size) as waste from e group by group_id)
+  select row_number() over (order by waste desc, kind, key) as rank, kind, key, waste::bigint as waste from (
+    select 'files' as kind, group_key as key, waste from groups union all select 'archives', group_id, waste from a)""")
+def merged_ranking(spark, sf):
+    e = records.archive_entries(spark, sf)
+    a = archives.archive_stats(e, archives.exact_links(e)).groupBy("group_id").agg(F.sum("wasted_bytes").alias("waste"))
+    both = session.merged_ranking(_groups(spark, sf)[0], a)
+    return both.select(F.row_number().over(W.orderBy(F.desc("waste"), "kind", "key")).alias("rank"), "kind", "key", "waste")
+
+
+@query(f"with {GROUPS} select count(distinct folder_key) as n_folders from groups")
+def total_folders(spark, sf):
+    return exact.total_folders(_groups(spark, sf)[0])
+
+
+# --- selection
+
+_RANKED = "qualify row_number() over (partition by group_key order by {order}) > 1"
+
+
+@query(f"with {MEMBERS} select group_key, path from members where pos > 0")
+def select_all_duplicates(spark, sf):
+    return select.all_duplicates(_members(spark, sf)).select("group_key", "path")
+
+
+@query(f"with {MEMBERS} select group_key, path from members {_RANKED.format(order='modified desc, pos desc')}")
+def select_newest(spark, sf):
+    return select.selected(_members(spark, sf), "newest").select("group_key", "path")
+
+
+@query(f"with {MEMBERS} select group_key, path from members {_RANKED.format(order='modified, pos')}")
+def select_oldest(spark, sf):
+    return select.selected(_members(spark, sf), "oldest").select("group_key", "path")
+
+
+@query(f"with {MEMBERS} select group_key, path from members {_RANKED.format(order='size desc, modified desc, pos desc')}")
+def select_largest(spark, sf):
+    return select.selected(_members(spark, sf), "largest_size").select("group_key", "path")
+
+
+@query(f"""with {MEMBERS}, px as (select *, case when doc_id % 3 = 0 then null else doc_id % 5 * 1000 end as pixels from members),
+  known as (select * from px qualify max(pixels) over (partition by group_key) is not null)
+  select group_key, path from known {_RANKED.format(order='coalesce(pixels, 0) desc, size desc, modified desc, pos desc')}""")
+def select_highest_resolution(spark, sf):
+    px = F.when(F.col("doc_id") % 3 != 0, F.col("doc_id") % 5 * 1000)
+    return select.selected(_members(spark, sf).withColumn("pixels", px), "highest_resolution").select("group_key", "path")
+
+
+@query(f"""with {MEMBERS}, keep as (select group_key, path as kept from members where starts_with(path, '/src1')
+    qualify row_number() over (partition by group_key order by modified desc, pos desc) = 1)
+  select group_key, path from members join keep using (group_key) where path <> kept""")
+def select_priority_folder(spark, sf):
+    return select.selected(_members(spark, sf), "priority_folder", "/src1").select("group_key", "path")
+
+
+@query(f"with {MEMBERS} select coalesce(sum(size), 0)::bigint as selected_bytes from members where pos > 0")
+def selected_size(spark, sf):
+    m = _members(spark, sf)
+    return select.selected_size(m, select.all_duplicates(m))
+
+
+# --- pictures
+
+BITS = 18
+_PAIR = f"select a.id as a, b.id as b, {distance('a.fine', 'b.fine')} as distance from pics a join pics b on a.id < b.id and {distance('a.fine', 'b.fine')} <= {BITS}"
+
+
+@query(f"with {IMAGES} {_PAIR}")
+def image_pairs_nested(spark, sf):
+    return pairs.image_pairs_nested(records.images(spark, sf), BITS)
+
+
+@query(f"with {IMAGES} {_PAIR} and {distance('a.coarse', 'b.coarse')} <= {scalar.coarse_threshold(BITS, 4, 8, 0.5)}")
+def image_pairs_coarse(spark, sf):
+    return pairs.image_pairs_nested(records.images(spark, sf), BITS, coarse_max=scalar.coarse_threshold(BITS, 4, 8, 0.5))
+
+
+@query(f"with {IMAGES}, pics2 as (select * replace (coarse & 15 as coarse) from pics) {_PAIR.replace('pics', 'pics2')} and a.coarse = b.coarse")
+def image_pairs_bucket(spark, sf):
+    return pairs.image_pairs_bucket(records.images(spark, sf).withColumn("coarse", F.col("coarse").bitwiseAND(F.lit(15))), BITS)
+
+
+@query(f"with {IMAGES} {_PAIR} and {ASPECT}")
+def image_pairs_aspect(spark, sf):
+    return pairs.image_pairs_aspect(records.images(spark, sf), BITS, 0.2)
+
+
+@query(f"with {IMAGES} {_PAIR} and a.folder = b.folder")
+def image_pairs_by_folder(spark, sf):
+    return pairs.image_pairs_nested(records.images(spark, sf), BITS, folder="folder")
+
+
+@query(f"with {IMAGES} {_PAIR.replace('<= 18', '<= 2').replace('a.fine', '(a.fine & 65535)').replace('b.fine', '(b.fine & 65535)')}")
+def image_pairs_banded(spark, sf):
+    low = records.images(spark, sf).withColumn("fine", F.col("fine").bitwiseAND(F.lit(0xFFFF)))
+    return pairs.hamming_banded(low, 2, bits=16)
+
+
+@query(f"with {IMAGES} select id from pics where size >= 10240 or (select count(*) from pics) < 50")
+def image_size_filter(spark, sf):
+    c = ImageConfig()
+    return filters.large_enough(records.images(spark, sf), c.min_file_size_bytes, c.min_images_size_filter).select("id")
+
+
+@query(f"with {MEMBERS} select path from files where path not in (select path from members)")
+def anti_exact(spark, sf):
+    return exact.minus_exact(records.files(spark, sf, content=False), _members(spark, sf)).select("path")
+
+
+@query(f"with recursive {IMAGES}, edges as ({_PAIR}), {reach('edges')} select id, component as group_id, count(*) over (partition by component) as n from parts")
+def similar_groups_image(spark, sf):
+    return pairs.groups_of(pairs.image_pairs_nested(records.images(spark, sf), BITS))
+
+
+# --- videos and sounds
+
+_VIDEO = "select a.id as a, b.id as b, {d} as distance from videos a join videos b on a.id < b.id and {t} and {d} <= {m}"
+
+
+@query(f"with {VIDEOS} {_VIDEO.format(d=SEQUENCE, t=DURATION, m=2)}")
+def video_pairs_sequence(spark, sf):
+    return pairs.video_pairs(records.videos(spark, sf), 2)
+
+
+@query(f"with recursive {VIDEOS}, edges as ({_VIDEO.format(d=SEQUENCE, t=DURATION, m=1)}), {reach('edges')} select id, component as group_id, count(*) over (partition by component) as n from parts")
+def similar_groups_video(spark, sf):
+    return pairs.groups_of(pairs.video_pairs(records.videos(spark, sf), 1))
+
+
+@query()
+def video_pairs_dtw(spark, sf):
+    return pairs.video_pairs(records.videos(spark, sf), 1, use_dtw=True)
+
+
+_AUDIO = _VIDEO.replace("videos", "audio")
+
+
+@query(f"with {AUDIO} {_AUDIO.format(d=PRINT, t=DURATION, m='0.1::double')}")
+def audio_pairs(spark, sf):
+    return pairs.audio_pairs(records.audio(spark, sf), 0.10)
+
+
+@query(f"with recursive {AUDIO}, edges as ({_AUDIO.format(d=PRINT, t=DURATION, m='0.1::double')}), {reach('edges')} select id, component as group_id, count(*) over (partition by component) as n from parts")
+def similar_groups_audio(spark, sf):
+    return pairs.groups_of(pairs.audio_pairs(records.audio(spark, sf), 0.10))
+
+
+# --- archives
+
+
+@query(f"with {LINKS} select a, b, shared from links")
+def archive_exact_links(spark, sf):
+    return archives.exact_links(records.archive_entries(spark, sf))
+
+
+@query(f"with recursive {LINKS}, {reach('links')} select id as archive, component as group_id from parts")
+def archive_groups(spark, sf):
+    return archives.archive_groups(archives.exact_links(records.archive_entries(spark, sf)))
+
+
+@query(f"""with recursive {LINKS}, {reach("links")},
+  total as (select archive, count(*) as total_entries from entries group by archive),
+  m as (select archive, internal_path, arg_min(size, pos) as size from entries where hash in (select hash from leads) group by all),
+  per as (select archive, count(*) as duplicated_entries, sum(size) as wasted_bytes from m group by archive),
+  c as (select component as group_id, greatest(sum(shared), 1) as shared_entry_count from links join parts on parts.id = links.a group by component)
+  select p.id as archive, p.component as group_id, total_entries, coalesce(duplicated_entries, 0) as duplicated_entries, coalesce(wasted_bytes, 0)::bigint as wasted_bytes,
+    total_entries > 0 and coalesce(duplicated_entries, 0) = total_entries as can_delete, shared_entry_count::bigint as shared_entry_count
+  from parts p join total t on t.archive = p.id left join per on per.archive = p.id join c on c.group_id = p.component""")
+def archive_stats(spark, sf):
+    e = records.archive_entries(spark, sf)
+    return archives.archive_stats(e, archives.exact_links(e))
+
+
+@query(f"""with {IMAGES}, e as (select 'arch' || (id % 20) as archive, id as internal_path, fine, coarse from pics)
+  select a.archive as archive_a, b.archive as archive_b, a.internal_path as internal_path_a, b.internal_path as internal_path_b, {distance('a.fine', 'b.fine')} as distance
+  from e a join e b on a.archive < b.archive and {distance('a.coarse', 'b.coarse')} <= {BITS} and {distance('a.fine', 'b.fine')} <= {BITS}""")
+def archive_image_links(spark, sf):
+    return archives.image_links(records.archive_images(spark, sf), BITS)
+
+
+@query(f"""with {AUDIO}, e as (select 'arch' || (id % 20) as archive, id as internal_path, fp, duration from audio)
+  select a.archive as archive_a, b.archive as archive_b, a.internal_path as internal_path_a, b.internal_path as internal_path_b, {PRINT} as distance
+  from e a join e b on a.archive < b.archive and {DURATION} and {PRINT} <= 3::double / 32""")
+def archive_audio_links(spark, sf):
+    e = records.audio(spark, sf).select(F.concat(F.lit("arch"), (F.col("id") % 20).cast("string")).alias("archive"), F.col("id").alias("internal_path"), "fp", "duration")
+    return archives.audio_links(e, 3, 0.20)
+
+
+def _sides(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """The two halves of the documents as two archives."""
+    e = records.archive_entries(spark, sf)
+    return e.where("pos % 2 = 0"), e.where("pos % 2 = 1")
+
+
+_HALVES = ENTRIES + ", ea as (select * from entries where pos % 2 = 0), eb as (select * from entries where pos % 2 = 1)"
+
+
+@query(f"""with {_HALVES}, la as (select hash, arg_max(internal_path, pos) as p from ea group by hash), lb as (select hash, arg_max(internal_path, pos) as p from eb group by hash)
+  select 'a' as side, internal_path, case when p is null then 'unique' else 'duplicate' end as status, p as duplicate_in from ea left join lb using (hash)
+  union all select 'b', internal_path, case when p is null then 'unique' else 'duplicate' end, p from eb left join la using (hash)""")
+def archive_compare_exact(spark, sf):
+    return archives.compare_exact(*_sides(spark, sf)).select("side", "internal_path", "status", "duplicate_in")
+
+
+@query()
+def archive_compare_greedy(spark, sf):
+    e = records.images(spark, sf).select((F.col("id") % 40 / 2).cast("int").alias("pair"), F.col("id").cast("string").alias("internal_path"), "fine", "coarse", F.col("id").alias("pos"))
+    return archives.compare_greedy(e.where("pos % 2 = 0"), e.where("pos % 2 = 1"), 26)
+
+
+@query(f"""with {_HALVES}, l as (select hash, internal_path as "left", row_number() over (partition by hash order by internal_path) as k from ea),
+  r as (select hash, internal_path as "right", row_number() over (partition by hash order by internal_path) as k from eb)
+  select "left", "right", case when hash in (select hash from ea) and hash in (select hash from eb) then 'duplicate' else 'unique' end as match_type
+  from l full join r using (hash, k)""")
+def archive_align(spark, sf):
+    return archives.align(*_sides(spark, sf))
+
+
+@query(f"""with {_HALVES}, l as (select hash, internal_path as "left", row_number() over (partition by hash order by internal_path) as k from ea),
+  r as (select hash, internal_path as "right", row_number() over (partition by hash order by internal_path) as k from eb)
+  select "left", "right" from l full join r using (hash, k) where hash in (select hash from ea) and hash in (select hash from eb)""")
+def archive_align_duplicates(spark, sf):
+    return filters.duplicates_only(archives.align(*_sides(spark, sf))).select("left", "right")
+
+
+@query(f"""with recursive {LINKS}, {reach("links")}, e as (select entries.*, component as group_id from entries join parts on parts.id = entries.archive),
+  ok as (select group_id, hash from e group by all having count(distinct archive) >= 2)
+  select archive, group_id, count(*) as total_entries, count(ok.hash) as duplicated_entries, count(*) = count(ok.hash) as can_delete
+  from e left join ok using (group_id, hash) group by archive, group_id""")
+def archive_recompute(spark, sf):
+    e = records.archive_entries(spark, sf)
+    return archives.recompute(e, archives.archive_groups(archives.exact_links(e)))
+
+
+@query(f"with recursive {LINKS}, {reach('links')} select id as archive from parts where id not in (select archive from entries where pos % 3 = 0)")
+def archive_cache_repair(spark, sf):
+    e = records.archive_entries(spark, sf)
+    return archives.missing_from_cache(archives.archive_groups(archives.exact_links(e)), e.where("pos % 3 = 0"))
+
+
+# --- caches and upkeep
+
+_CACHE = FILES + """, cache as (select path, modified + case when doc_id % 5 = 0 then 1 else 0 end as mtime, size, md5(encode(text)[1:4096]) as partial_hash, digest as full_hash from files where doc_id % 3 <> 0)"""
+
+
+@query(f"with {_CACHE} select f.path, c.full_hash, c.path is not null as hit from files f left join cache c on c.path = f.path and c.mtime = f.modified and c.size = f.size")
+def cache_lookup(spark, sf):
+    f = records.files(spark, sf, content=False).withColumnRenamed("modified", "mtime")
+    return caches.lookup(f, records.exact_cache(spark, sf)).select("path", "full_hash", "hit")
+
+
+@query(f"""with {_CACHE}, fresh as (select path, modified as mtime, size, null::varchar as partial_hash, case when doc_id % 2 = 0 then digest end as full_hash from files where doc_id % 4 < 2)
+  select coalesce(n.path, c.path) as path, case when n.path is null then c.mtime else n.mtime end as mtime,
+    case when n.path is null then c.partial_hash when c.mtime = n.mtime and c.size = n.size then c.partial_hash end as partial_hash,
+    case when n.path is null then c.full_hash else n.full_hash end as full_hash
+  from cache c full join fresh n using (path)""")
+def cache_upsert(spark, sf):
+    fresh = records.files(spark, sf).where("doc_id % 4 < 2").select(
+        "path", F.col("modified").alias("mtime"), "size", F.lit(None).cast("string").alias("partial_hash"), F.when(F.col("doc_id") % 2 == 0, F.md5("content")).alias("full_hash")
+    )
+    return caches.upsert(records.exact_cache(spark, sf), fresh).select("path", "mtime", "partial_hash", "full_hash")
+
+
+@query(f"""with {_CACHE}, f as (select * from files where doc_id % 10 <> 0)
+  select count(*) as total, count(*) filter (f.path is not null and f.modified = c.mtime and f.size = c.size) as fresh,
+    count(*) filter (f.path is not null and not (f.modified = c.mtime and f.size = c.size)) as stale, count(*) filter (f.path is null) as orphaned
+  from cache c left join f using (path)""")
+def cache_stats(spark, sf):
+    return caches.stats(records.exact_cache(spark, sf), records.files(spark, sf, content=False).where("doc_id % 10 <> 0"))
+
+
+@query(f"with {_CACHE} select path, mtime from cache where path not in (select path from files where doc_id % 10 = 0)")
+def cache_prune(spark, sf):
+    there = records.files(spark, sf, content=False).where("doc_id % 10 <> 0")
+    return caches.prune(records.exact_cache(spark, sf), there).select("path", "mtime")
+
+
+@query(f"""with {GROUPS}, dead as (select distinct group_key from members where doc_id % 10 = 0)
+  select count(*) as total, count(dead.group_key) as stale from groups left join dead using (group_key)""")
+def ignore_stats(spark, sf):
+    g, _ = _groups(spark, sf)
+    stale = caches.stale_keys(g.select("ignore_key"), records.files(spark, sf, content=False).where("doc_id % 10 <> 0"))
+    return g.join(stale.withColumn("s", F.lit(1)), "ignore_key", "left").agg(F.count("*").alias("total"), F.count("s").alias("stale"))
+
+
+# --- export and formatting
+
+
+@query(f"""with {MEMBERS} select group_key, pos, group_key || ',' || path || ',' || name || ',' || size || ',' || modified || ',' || case when pos = 0 then 'kept' else 'duplicate' end as line from members""")
+def export_csv_rows(spark, sf):
+    return export.csv_rows(_members(spark, sf))
+
+
+@query("""select doc_id, case when s >= 1073741824 then printf('%.2f Go', s / 1073741824.0) when s >= 1048576 then printf('%.1f Mo', s / 1048576.0)
+  when s >= 1024 then printf('%.1f Ko', s / 1024.0) else s || ' o' end as shown from (select doc_id, n_chars * (doc_id % 3 + 1) * case when doc_id % 5 = 0 then 1000 else 1 end as s from documents)""")
+def format_size(spark, sf):
+    size = F.col("n_chars") * (F.col("doc_id") % 3 + 1) * F.when(F.col("doc_id") % 5 == 0, 1000).otherwise(1)
+    return records.table(spark, sf, "documents").select("doc_id", scalar.format_size(size).alias("shown"))
+
+
+@query(f"""with {MEMBERS} select group_key, pos, '<td><a href="file://' || path || '">' || name || '</a></td><td>' || case when size >= 1048576 then printf('%.1f Mo', size / 1048576.0)
+  when size >= 1024 then printf('%.1f Ko', size / 1024.0) else size || ' o' end || '</td><td class="' || case when pos = 0 then 'kept">kept' else 'dup">duplicate' end || '</td>' as cells from members""")
+def html_rows(spark, sf):
+    return export.html_rows(_members(spark, sf))
+
+
+@query("select doc_id, case when n_chars >= 3600 then printf('%d:%02d:%02d', n_chars // 3600, n_chars // 60 % 60, n_chars % 60) else printf('%d:%02d', n_chars // 60, n_chars % 60) end as shown from documents")
+def format_duration(spark, sf):
+    return records.table(spark, sf, "documents").select("doc_id", scalar.format_duration("n_chars").alias("shown"))
+
+
+@query("select doc_id, [coalesce(try_cast(trim(x) as int), 0) for x in string_split('1,x,' || doc_id, ',') if try_cast(trim(x) as int) is not null]::varchar as words from documents")
+def fingerprint_parse(spark, sf):
+    text = F.concat(F.lit("DURATION=183\nFINGERPRINT=1,x,"), F.col("doc_id").cast("string"))
+    words = scalar.parse_fingerprint(text)["words"].cast("array<string>")
+    return records.table(spark, sf, "documents").select("doc_id", F.concat(F.lit("["), F.array_join(words, ", "), F.lit("]")).alias("words"))
+
+
+@query("select doc_id, doc_id::double as duration, (doc_id % 4000)::int as width, 'h264' as codec, 2 as n_tracks, 'aac' as audio_codec from documents")
+def probe_parse(spark, sf):
+    json = F.concat(
+        F.lit('{"format":{"duration":"'), F.col("doc_id").cast("string"), F.lit('"},"streams":[{"codec_type":"video","codec_name":"h264","height":5,"width":'),
+        (F.col("doc_id") % 4000).cast("string"), F.lit('},{"codec_type":"audio","codec_name":"mp3","disposition":{"default":0}},{"codec_type":"audio","codec_name":"aac","disposition":{"default":1}}]}'),
+    )
+    p = scalar.parse_probe(json)
+    return records.table(spark, sf, "documents").select("doc_id", *[p[c].alias(c) for c in ("duration", "width", "codec", "n_tracks", "audio_codec")])
