@@ -39,7 +39,7 @@ class Units:
         cut, tails, heads = [], set(), set()
         for t in texts:
             if _ODD.search(t):
-                head, tail = _CUT.split(t), ()
+                head, tail = [u for u in _CUT.split(t) if u], ()
             else:
                 first, *tail = t.split(" ")
                 head = [first] if first else []
