@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from twinlake.functions import scalar
@@ -177,10 +176,14 @@ def exact_groups_by_folder(spark, sf):
     return exact.group_rows(_members(spark, sf, "folder")).select("group_key", "folder_key", "n", "waste")
 
 
-@query(f"with {GROUPS} select row_number() over (order by waste desc, group_key) as rank, group_key, waste from groups")
+@query(f"with {GROUPS} select group_key, waste, folder_key from groups order by waste desc, group_key")
 def waste_ranking(spark, sf):
-    top = exact.ranked(_groups(spark, sf)[0]).limit(1_000_000)  # a report's list
-    return top.select(F.row_number().over(W.orderBy(F.desc("waste"), "group_key")).alias("rank"), "group_key", "waste")
+    return exact.ranked(_groups(spark, sf)[0]).select("group_key", "waste", "folder_key")
+
+
+@query(f"with {FOLDER_GROUPS} select min(folder) as folder_key, group_key, arg_min(size, pos) * (count(*) - 1) as waste from members group by group_key order by 1, 3 desc, 2")
+def waste_ranking_by_folder(spark, sf):
+    return exact.ranked(exact.group_rows(_members(spark, sf, "folder")), by_folder=True).select("folder_key", "group_key", "waste")
 
 
 @query(f"with {GROUPS} select coalesce(sum(waste), 0)::bigint as total_waste, count(*) as n_groups from groups")
@@ -264,13 +267,12 @@ def purge_deleted(spark, sf):
 @query(f"""with recursive {GROUPS}, {LINKS}, {reach("links")},
   e as (select p.component as group_id, p.id as archive, x.internal_path, min(x.size) as size from parts p join entries x on x.archive = p.id join leads l on l.hash = x.hash group by all),
   a as (select group_id, sum(size) as waste from e group by group_id)
-  select row_number() over (order by waste desc, kind, key) as rank, kind, key, waste::bigint as waste from (
-    select 'files' as kind, group_key as key, waste from groups union all select 'archives', group_id, waste from a)""")
+  select kind, key, waste::bigint as waste from (
+    select 'files' as kind, group_key as key, waste from groups union all select 'archives', group_id, waste from a) order by waste desc, kind, key""")
 def merged_ranking(spark, sf):
     e = records.archive_entries(spark, sf)
     a = archives.archive_stats(e, archives.exact_links(e)).groupBy("group_id").agg(F.sum("wasted_bytes").alias("waste"))
-    both = session.merged_ranking(_groups(spark, sf)[0], a)
-    return both.select(F.row_number().over(W.orderBy(F.desc("waste"), "kind", "key")).alias("rank"), "kind", "key", "waste")
+    return session.merged_ranking(_groups(spark, sf)[0], a)
 
 
 @query(f"with {GROUPS} select count(distinct folder_key) as n_folders from groups")
