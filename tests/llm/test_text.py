@@ -48,9 +48,10 @@ def test_bpe_words(multi):
     b = bpe.Bpe(P.path("byte_bpe_multi_50k.tiktoken"))
     rng = random.Random(4)
     words = ["".join(rng.choice("abehilnorstué") for _ in range(rng.choice([1, 5, 12, 40]))) for _ in range(400)] + ["a" * 1025, "the" * 400, "ab" * 600, "é" * 601]
-    ids = b.encode([w.encode() for w in words])
-    assert ids == [multi.encode_ordinary(w) for w in words]
-    assert b.decode(ids) == [w.encode() for w in words]
+    for w, (n, ids, data) in zip(words, b.encode([w.encode() for w in words]), strict=True):
+        want = multi.encode_ordinary(w)
+        assert (n, ids, data) == (len(want), ",".join(map(str, want)), w.encode())
+    assert b.encode([b""]) == [(0, "", b"")]
 
 
 def test_lengths():
