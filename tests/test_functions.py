@@ -102,3 +102,12 @@ def test_driver_rules():
     assert scalar.notification_body(0, 0) == "No duplicates found."
     assert scalar.notification_body(2, 1 << 20) == "2 groups found - 1.0 MB recoverable"
     assert scalar.disk_warning(10, 5) == (1 << 30) + 5 and scalar.disk_warning(0, 2 << 30) is None
+
+
+def test_dates_and_elapsed(spark):
+    assert scalar.date_bounds("2024-01-02", "2024-01-02") == (1704153600, 1704153600 + 86399)
+    assert scalar.date_bounds(None, "") == (0, 0)
+    got = rows(spark, [(0, "/a"), (999, "a"), (1500, "/a/b"), (61000, "x/y"), (3660000, "/")], "ms bigint, p string", e=scalar.format_elapsed("ms"), d=scalar.dirname("p"), t=scalar.format_date("ms"))
+    assert [r.e for r in got] == ["0 ms", "999 ms", "2 s", "1 min 1 s", "1 h 1 min"]
+    assert [r.d for r in got] == ["/", "", "/a", "x", "/"] and got[0].t == "-" and got[4].t == "12 Feb 1970"
+    assert rows(spark, [("A.PNG",), ("a.tiff",)], "n string", b=scalar.browser_native("n"))[0].b

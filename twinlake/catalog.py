@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from twinlake.functions import scalar
 from twinlake.operators import archives, caches, exact, export, filters, pairs, select, session
 from twinlake.params import ImageConfig, ScanParams
+from twinlake.sources import archives as archive_source
 from twinlake.sources import records
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -591,3 +592,104 @@ def probe_parse(spark, sf):
     )
     p = scalar.parse_probe(json)
     return records.table(spark, sf, "documents").select("doc_id", *[p[c].alias(c) for c in ("duration", "width", "codec", "n_tracks", "audio_codec")])
+
+
+@query("""select doc_id, case when ms < 1000 then ms || ' ms' when s < 60 then s || ' s' when s < 3600 then s // 60 || ' min' || case when s % 60 > 0 then ' ' || s % 60 || ' s' else '' end
+  else s // 3600 || ' h' || case when s // 60 % 60 > 0 then ' ' || s // 60 % 60 || ' min' else '' end end as shown
+  from (select doc_id, ms, (ms + 500) // 1000 as s from (select doc_id, n_chars * (doc_id % 4000 + 1) as ms from documents))""")
+def format_elapsed(spark, sf):
+    ms = F.col("n_chars") * (F.col("doc_id") % 4000 + 1)
+    return records.table(spark, sf, "documents").select("doc_id", scalar.format_elapsed(ms).alias("shown"))
+
+
+@query(f"with {FILES} select path, regexp_replace(path, '/[^/]*$', '') as dir, regexp_extract(path, '([^/]*)$', 1) as base, ext, strftime(to_timestamp(modified)::timestamp, '%d %b %Y') as day from files")
+def path_parts(spark, sf):
+    f = records.files(spark, sf, content=False)
+    return f.select("path", scalar.dirname("path").alias("dir"), scalar.basename("path").alias("base"), scalar.extension("path").alias("ext"), scalar.format_date("modified").alias("day"))
+
+
+_MOUNT = "['/mnt/', '/media/u/', '/home/', '/Volumes/', '/run/media/u/'][doc_id % 5 + 1] || source || '/' || doc_id"
+
+
+@query(f"""select doc_id, case when path like '/mnt/%' or path like '/Volumes/%' then regexp_extract(path, '^(/[^/]+/[^/]+)', 1)
+  when path like '/media/%' then regexp_extract(path, '^(/[^/]+/[^/]+/[^/]+)', 1) when path like '/run/media/%' then regexp_extract(path, '^(/[^/]+/[^/]+/[^/]+/[^/]+)', 1) end as root
+  from (select doc_id, {_MOUNT} as path from documents)""")
+def volume_roots(spark, sf):
+    mount = F.element_at(F.array(*map(F.lit, ("/mnt/", "/media/u/", "/home/", "/Volumes/", "/run/media/u/"))), (F.col("doc_id") % 5 + 1).cast("int"))
+    path = F.concat(mount, "source", F.lit("/"), F.col("doc_id").cast("string"))
+    return records.table(spark, sf, "documents").select("doc_id", caches.volume_root(path).alias("root"))
+
+
+@query("""select doc_id, case when e in ('mp4', 'm4v', 'webm', 'ogg', 'ogv', 'oga') then 'direct'
+  when e in ('flv','mkv','ts','m2ts','mts','mov','3gp','3g2','avi','wmv','asf','f4v') and c in ('h264','hevc','h265','vp8','vp9','av1') then 'remux' else 'unsupported' end as kind
+  from (select doc_id, ['mp4', 'mkv', 'avi', 'txt'][doc_id % 4 + 1] as e, ['h264', 'xvid', null][doc_id % 3 + 1] as c from documents)""")
+def playback_class(spark, sf):
+    pick = lambda names, n: F.element_at(F.array(*[F.lit(x) for x in names]), (F.col("doc_id") % n + 1).cast("int"))
+    kind = scalar.playback(pick(("MP4", "mkv", "avi", "txt"), 4), pick(("h264", "xvid", None), 3))
+    return records.table(spark, sf, "documents").select("doc_id", kind.alias("kind"))
+
+
+@query("""select doc_id, ['TarGz', 'Zip', null, 'TarZst', 'SevenZip', 'TarXz', 'Tar', 'TarBz2'][doc_id % 8 + 1] as format from documents""")
+def archive_formats(spark, sf):
+    ends = ("tar.GZ", "cbz", "rar", "tar.zst", "7z", "txz", "tar", "tbz2")
+    name = F.concat(F.col("doc_id").cast("string"), F.lit("."), F.element_at(F.array(*map(F.lit, ends)), (F.col("doc_id") % 8 + 1).cast("int")))
+    return records.table(spark, sf, "documents").select("doc_id", archive_source.detected(name).alias("format"))
+
+
+@query("""select doc_id::varchar as archive, 'p' || (i - 1) as internal_path, md5(lines[i]) as hash, strlen(lines[i])::bigint as size
+  from (select doc_id, lines, unnest(range(1, len(lines) + 1)) as i from (select doc_id, string_split(text, chr(10)) as lines from documents))""")
+def archive_scan(spark, sf):
+    """Every document zipped, a line an entry, and read back."""
+    import io
+    import zipfile
+
+    from twinlake.session import ship
+
+    ship(spark)
+
+    def pack(frames):
+        import pandas as pd
+
+        for f in frames:
+            out = []
+            for i, t in zip(f["doc_id"], f["text"], strict=True):
+                b = io.BytesIO()
+                with zipfile.ZipFile(b, "w") as z:
+                    for k, line in enumerate((t or "").split("\n")):
+                        z.writestr(f"p{k}", line)
+                out.append((str(i), "Zip", b.getvalue()))
+            yield pd.DataFrame(out, columns=["path", "format", "content"])
+
+    zips = records.table(spark, sf, "documents").select("doc_id", "text").mapInPandas(pack, "path string, format string, content binary")
+    return archive_source.entries(zips.where(archive_source.verified("format", "content"))).drop("pos")
+
+
+@query("select vec_id, true as same from embeddings")
+def image_hash_stability(spark, sf):
+    """Whether a picture and its double in size have gradient hashes within the usual threshold."""
+    from pyspark.sql import types as T
+
+    @F.pandas_udf(T.BooleanType())
+    def near(v):
+        import numpy as np
+        import pandas as pd
+
+        from twinlake.functions.media import gradient_hash
+
+        def one(x):
+            g = np.asarray(x, float).reshape(8, 8)
+            small, large = np.kron(g, np.ones((9, 9))), np.kron(g, np.ones((18, 18)))
+            a, b = gradient_hash(small, 8), gradient_hash(large, 8)
+            return sum((p ^ q).bit_count() for p, q in zip(a, b, strict=True)) <= 10
+
+        return pd.Series([one(x) for x in v])
+
+    return records.table(spark, sf, "embeddings").select("vec_id", near("embedding").alias("same"))
+
+
+@query()
+def scan_binary_inventory(spark, sf):
+    """Files of the tables' own folder by the built-in reader: names and sizes, no contents read."""
+    from twinlake.sources.files import inventory_builtin
+
+    return inventory_builtin(spark, sf, pathGlobFilter="*.parquet").select("name", "size")

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from twinlake.params import AUDIO_EXTENSIONS, IMAGE_EXTENSIONS, VIDEO_EXTENSIONS
+from twinlake.params import AUDIO_EXTENSIONS, BROWSER_IMAGE_EXTENSIONS, IMAGE_EXTENSIONS, VIDEO_EXTENSIONS
 
 MASK32 = 0xFFFFFFFF
 
@@ -125,7 +125,9 @@ def basename(path: Column | str) -> Column:
 
 
 def dirname(path: Column | str) -> Column:
-    return F.regexp_replace(col(path), r"/[^/]*$", "")
+    """What stands before the last slash; '/' at the root, '' without a slash."""
+    p = col(path)
+    return F.when(~F.contains(p, F.lit("/")), "").otherwise(F.coalesce(F.nullif(F.regexp_replace(p, r"/[^/]*$", ""), F.lit("")), F.lit("/")))
 
 
 def media_class(name: Column | str) -> Column:
@@ -177,14 +179,34 @@ def html_field(c: Column | str) -> Column:
 
 
 def format_duration(seconds: Column | str) -> Column:
-    """h:mm:ss, or m:ss below an hour."""
-    s = F.floor(col(seconds)).cast("bigint")
+    """h:mm:ss, or m:ss below an hour, of rounded seconds."""
+    s = F.floor(col(seconds) + 0.5).cast("bigint")
     h, m, r = F.floor(s / 3600).cast("bigint"), F.floor(s / 60).cast("bigint") % 60, s % 60
     return F.when(h > 0, F.format_string("%d:%02d:%02d", h, m, r)).otherwise(F.format_string("%d:%02d", m, r))
 
 
+def format_elapsed(ms: Column | str, names: tuple[str, str, str, str] = ("ms", "s", "min", "h")) -> Column:
+    """Milliseconds in one or two units: ms, s, min s, h min."""
+    v = col(ms)
+    s = F.floor(v / 1000 + 0.5).cast("bigint")
+    m = F.floor(s / 60).cast("bigint")
+    h = F.floor(m / 60).cast("bigint")
+
+    def two(large: Column, name: str, rest: Column, small: str) -> Column:
+        return F.when(rest > 0, F.format_string(f"%d {name} %d {small}", large, rest)).otherwise(F.format_string(f"%d {name}", large))
+
+    return (
+        F.when(v < 1000, F.format_string(f"%d {names[0]}", v))
+        .when(s < 60, F.format_string(f"%d {names[1]}", s))
+        .when(m < 60, two(m, names[2], s % 60, names[1]))
+        .otherwise(two(h, names[3], m % 60, names[2]))
+    )
+
+
 def format_date(unix: Column | str) -> Column:
-    return F.date_format(F.timestamp_seconds(col(unix)), "yyyy-MM-dd HH:mm")
+    """Day, month, year; '-' without a date."""
+    u = col(unix)
+    return F.when(u.isNull() | (u == 0), "-").otherwise(F.date_format(F.timestamp_seconds(u), "dd MMM yyyy"))
 
 
 def ignore_key(paths: Column | str) -> Column:
@@ -227,14 +249,34 @@ def parse_fingerprint(text: Column | str) -> Column:
     return F.when(F.size(words) > 0, F.struct(duration.alias("duration"), words.alias("words")))
 
 
-def playback(name_extension: Column | str, codec: Column | str) -> Column:
+# Containers that a browser plays, those that can be rewrapped for it, and the codecs that it knows.
+DIRECT_EXTENSIONS = ("mp4", "m4v", "webm", "ogg", "ogv", "oga")
+REMUX_EXTENSIONS = ("flv", "mkv", "ts", "m2ts", "mts", "mov", "3gp", "3g2", "avi", "wmv", "asf", "f4v")
+REMUX_CODECS = ("h264", "hevc", "h265", "vp8", "vp9", "av1")
+
+
+def playback(ext: Column | str, codec: Column | str) -> Column:
     """direct, remux or unsupported."""
-    e, c = F.lower(col(name_extension)), F.lower(col(codec))
-    direct = e.isin("mp4", "webm", "m4v", "mov")
-    remux = e.isin("mkv", "avi", "ts", "mts", "m2ts", "flv") & c.isin("h264", "hevc", "vp8", "vp9", "av1")
+    e, c = F.lower(col(ext)), col(codec)
+    direct, remux = e.isin(*DIRECT_EXTENSIONS), e.isin(*REMUX_EXTENSIONS) & c.isin(*REMUX_CODECS)
     return F.when(F.coalesce(direct, F.lit(False)), "direct").when(F.coalesce(remux, F.lit(False)), "remux").otherwise("unsupported")
 
 
+def browser_native(name: Column | str) -> Column:
+    """Pictures that a browser shows as they are; GIFs are decided by their content."""
+    return extension(name).isin(*BROWSER_IMAGE_EXTENSIONS)
+
+
+def date_bounds(first: str | None, last: str | None, offset_minutes: int = 0) -> tuple[int, int]:
+    """Least and greatest modification time of dates: midnight UTC of the first, the local end of the last; 0 is none."""
+    from datetime import UTC, datetime, timedelta, timezone
+
+    low = int(datetime.fromisoformat(first).replace(tzinfo=UTC).timestamp()) if first else 0
+    zone = timezone(timedelta(minutes=offset_minutes))
+    high = int(datetime.fromisoformat(last).replace(hour=23, minute=59, second=59, tzinfo=zone).timestamp()) if last else 0
+    return low, high
+
+
 def is_animated_gif(content: Column | str) -> Column:
     """GIF by its first bytes."""
     return F.hex(F.substring(col(content), 1, 6)).isin(b"GIF87a".hex().upper(), b"GIF89a".hex().upper())
