@@ -268,3 +268,18 @@ def test_pipeline(spark):
 def test_all_ten_are_registered():
     names = sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.queries())
     assert names == list(range(1, 11))
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_against_sql(spark, name):
+    import duckdb
+
+    db = duckdb.connect()
+    for t in ("documents", "conversations"):
+        db.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    df = queries.queries()[name](spark, SF)
+    cols = sorted(df.columns)
+    rel = db.execute(queries.oracle_sql()[name])
+    names = [d[0] for d in rel.description]
+    assert sorted(names) == cols
+    assert sorted(tuple(r[c] for c in cols) for r in df.collect()) == sorted(tuple(dict(zip(names, r, strict=True))[c] for c in cols) for r in rel.fetchall())
