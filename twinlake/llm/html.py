@@ -42,9 +42,9 @@ ASIDE_TAGS = frozenset("head nav footer aside form button select textarea input
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form toolbar".split())
 #: Words of class and id names of parts that are not the article.
 ASIDE_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright"
+    "ad ads adsbygoogle adslot advert adverts advertisement advertising alert alerts banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright"
     " disclaimer discussion disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices notification pager"
-    " pagination popup promo promoted promotion recommended recommendations related replies reply respond share sharing sidebar signup"
+    " pagination popup promo promoted promotion recommended recommendations related replies reply respond share sharing side sidebar signup"
     " skip social sponsor sponsored subscribe subscription teaser teasers toolbar topbar widget widgets".split()
 )
 CONTAINERS = frozenset("html body main article section div td center".split())
