@@ -7,9 +7,9 @@ for them below. Two collections of m sketches, each of k minhashes, are computed
 m is the least for which a pair at the threshold is missed with a chance of at most `miss`.
 
 Only sketches that two classes share can make a shared key, so only their pairs are spread. Within a key's group the
-least id is compared with each other; groups whose members are then not yet connected choose further leaders, round
-by round, until every pair of members is either connected or has been compared. No group is enumerated in pairs or
-gathered in one task, and no link between members of a group is lost.
+least id is compared with each other. Members of groups that are then not all connected go through an exact join on
+prefixes of their sets, across what is not connected. No group is enumerated in pairs or gathered in one task, and no
+link between members of a group is lost.
 
 Null text counts as empty. Rows with one id are one document. Columns beyond id and text take no part. An empty table
 gives no rows.
@@ -111,7 +111,37 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.where(100 * F.col("both") >= percent * (F.size("ha") + F.size("hb") - F.col("both"))).select("a", "b").distinct()
 
 
-def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, k: int = 3, miss: float = 1e-4, leaders: int = 16) -> DataFrame:
+def across_parts(rows: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Every pair (a, b) of different parts that can reach the threshold, by prefixes of the sets; rows: (id, part).
+
+    Hashes are put in one order, rare ones first. Sets that reach the threshold share one of their first
+    n - ceil(threshold * n) + 1 hashes, and at the first one that they share, what is left of both still allows the
+    overlap needed. In a hash's list only those outside its largest part look for partners, and a document with many
+    hashes of its own finds none at all: near copies of one text don't meet in all pairs.
+    """
+    each = rows.join(sets, "id").select("id", "part", F.size("hashes").alias("n"), F.explode("hashes").alias("h"))
+    often = each.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
+    common = each.join(often, "h")
+    per = common.groupBy("id").agg(F.count("*").alias("c"))
+    order = W.partitionBy("id").orderBy("df", "h")
+    placed = common.withColumn("r", F.row_number().over(order)).join(per, "id").withColumn("at", F.col("n") - F.col("c") + F.col("r"))
+    first = placed.where(f"at <= n - ({percent} * n + 99) div 100 + 1").select("h", "id", "part", "n", "at")
+    first = scratch.keep(first, "prefixes")
+    lists = first.groupBy("h", "part").agg(F.count("*").alias("m")).groupBy("h").agg(F.max(F.struct("m", "part")).alias("top"), F.count("*").alias("k")).where("k > 1")
+    lists = lists.select("h", F.col("top.part").alias("largest"))
+    here = first.join(lists, "h")
+    a = here.where("part <> largest").select("h", *[F.col(c).alias(f"{c}_a") for c in ("id", "part", "n", "at")])
+    b = here.select("h", *[F.col(c).alias(f"{c}_b") for c in ("id", "part", "n", "at")])
+    needed = F.expr(f"({percent} * (n_a + n_b) + {99 + percent}) div {100 + percent}")
+    fits = (
+        (F.col("part_a") != F.col("part_b"))
+        & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+        & (1 + F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) >= needed)
+    )
+    return a.join(b, (a["h"] == b["h"]) & fits).select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
+
+
+def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, k: int = 3, miss: float = 1e-4) -> DataFrame:
     """One row per row of df: doc_id, n_shingles, component_id (least id reachable by links), kept."""
     spark = df.sparkSession
     scratch = Scratch(spark, "neardup")
@@ -141,23 +171,14 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, k: int = 3
     rep_of = rows.where("n > 0").select("doc_id", "set_key").join(classes, "set_key")
     same = rep_of.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b").select("a", "b")
     links = links.unionByName(scratch.keep(same, "same"))
-    left = members.where("n > 2").select("key", "rep")
-    spent = members.where("n > 2").select("key", F.col("lead").alias("rep")).distinct()
-    while True:
-        parts = connected_components(links, scratch=scratch)
-        open_ = left.join(spent, ["key", "rep"], "left_anti").join(parts, F.col("rep") == F.col("id"), "left")
-        open_ = open_.select("key", "rep", F.coalesce("component", "rep").alias("part"))
-        per_part = open_.groupBy("key", "part").agg(F.min("rep").alias("lead"), F.count("*").alias("n"))
-        largest = W.partitionBy("key").orderBy(F.desc("n"), "part")
-        # all but a group's largest part put up a leader, `leaders` of them in a round
-        chosen = per_part.withColumn("r", F.row_number().over(largest)).where(f"r > 1 and r <= {leaders + 1}")
-        chosen = scratch.keep(chosen.select("key", "part", "lead"), "leaders")
-        if not chosen.limit(1).count():
-            break
-        others = open_.select("key", F.col("rep").alias("b"), F.col("part").alias("other"))
-        pairs = chosen.join(others, "key").where("part <> other").select(F.least("lead", "b").alias("a"), F.greatest("lead", "b").alias("b")).distinct()
-        links = links.unionByName(scratch.keep(confirmed(pairs, sets, percent), "links"))
-        spent = spent.unionByName(chosen.select("key", F.col("lead").alias("rep")))
+    parts = connected_components(links, scratch=scratch)
+    inside = members.where("n > 2").select("key", "rep").join(parts, F.col("rep") == F.col("id"), "left").select("key", "rep", F.coalesce("component", "rep").alias("part"))
+    inside = scratch.keep(inside, "parts")
+    unsettled = inside.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("key")
+    still = inside.join(unsettled, "key", "left_semi").select(F.col("rep").alias("id"), "part").distinct()
+    more = scratch.keep(confirmed(across_parts(still, sets, percent, scratch), sets, percent), "links")
+    if more.limit(1).count():
+        parts = connected_components(links.unionByName(more), scratch=scratch)
     scratch.drop(sets, members)
     found = classes.join(parts, F.col("rep") == F.col("id"), "left").select("set_key", F.coalesce("component", "rep").alias("component"))
     out = rows.select("doc_id", "n", "set_key").join(found, "set_key", "left")
