@@ -15,6 +15,7 @@ import base64
 import hashlib
 from functools import lru_cache
 
+import numpy as np
 from pyspark.sql import DataFrame
 
 from twinlake.llm.common import need
@@ -22,24 +23,22 @@ from twinlake.llm.packing import vocabulary
 from twinlake.llm.pretokens import Units, batches
 from twinlake.session import ship
 
-#: One step for every live word: its least (rank, position), and its rows without the token that was merged away.
-_STEPS = """
-with recursive step(k, w, p, t) as (
-  select 0::int, w, p, t from seed
+#: One step for every live word: its least (rank, position), and its rows without the token that was merged away. A row's
+#: place is its word's number and its position in it, in one number.
+_FIXPOINT = """
+create or replace table tokens as
+with recursive step(k, q, t) as (
+  select 0::int, q, t from seed
   union all
   (with x as materialized (
-     select k, w, p, t, lead(t) over win as next_t, lag(p) over win as prev_p
-     from step window win as (partition by w order by p)),
+     select k, q, t, lead(t) over win as next_t, lead(q) over win as next_q, lag(q) over win as prev_q from step window win as (order by q)),
    best as (
-     select w, min((g.r::bigint << 32) | x.p) as b
-     from x join merges g on g.a = x.t and g.b = x.next_t group by w)
-   select x.k + 1, x.w, x.p, case when x.p = (best.b & 4294967295) then (best.b >> 32)::int else x.t end
-   from x join best on best.w = x.w
-   where x.prev_p is null or x.prev_p <> (best.b & 4294967295)))
-"""
-_FIXPOINT = _STEPS + """
-, last as (select s.w, s.p, s.t from step s join (select w, max(k) as k from step group by w) m on m.w = s.w and m.k = s.k)
-select w, list(t order by p) as ids from last group by w order by w
+     select q >> 12 as w, min((g.r::bigint << 12) | (q & 4095)) as b
+     from x join merges g on g.a = x.t and g.b = x.next_t where q >> 12 = next_q >> 12 group by q >> 12)
+   select x.k + 1, x.q, case when x.q & 4095 = best.b & 4095 then (best.b >> 12)::int else x.t end
+   from x join best on best.w = x.q >> 12
+   where x.prev_q is null or x.prev_q <> (best.w << 12 | (best.b & 4095))))
+select s.q >> 12 as w, s.q & 4095 as p, s.t from step s join (select q >> 12 as w, max(k) as k from step group by q >> 12) m on m.w = s.q >> 12 and m.k = s.k
 """
 #: As above for one long word: every pair of the least rank, of a run of equal tokens every other one, from its left end.
 _LONG = """
@@ -60,9 +59,8 @@ with recursive step(k, p, t) as (
    where gone.n is null and x.k < {depth} and exists (select 1 from taken)))
 select k, p, t from step where k = (select max(k) from step) order by p
 """
-_DECODE = """
-select w, string_agg(hex(v.tok), '' order by p) as bytes from tokens s join vocab v on v.t = s.t group by w order by w
-"""
+_IDS = "select w, count(*) as n, string_agg(t::varchar, ',' order by p) as ids from tokens group by w order by w"
+_DECODE = "select w, string_agg(hex(v.tok), '' order by p) as bytes from tokens s join vocab v on v.t = s.t group by w order by w"
 _LONG_BYTES = 1024
 
 
@@ -76,74 +74,77 @@ class Bpe:
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(r) for a, r in map(bytes.split, f)}
         self.pa, self.ranks = pa, ranks
-        self.bytes = [ranks[bytes([b])] for b in range(256)]
+        self.bytes = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         pairs = [(ranks[a], ranks[b], r) for tok, r in ranks.items() for i in range(1, len(tok)) if (a := tok[:i]) in ranks and (b := tok[i:]) in ranks]
         # tokens that a pair of lower rank takes up: after their merge, a pair may come before others of the same rank
         unsafe = {x for a, b, r in pairs for x in (a, b) if r < x}
         self.db = duckdb.connect()
         self.db.execute("set threads = 1; set memory_limit = '400MB'")
-        self._fill("merges", a=[p[0] for p in pairs], b=[p[1] for p in pairs], r=[p[2] for p in pairs])
-        self._fill("unsafe", t=sorted(unsafe))
+        a, b, r = np.array(pairs, np.int32).T
+        self._fill("merges", a=a.copy(), b=b.copy(), r=r.copy())
+        self._fill("unsafe", t=np.array(sorted(unsafe), np.int32))
         self.db.register("v", pa.table({"tok": pa.array([*ranks], pa.binary()), "t": pa.array([*ranks.values()], pa.int32())}))
         self.db.execute("create table vocab as select * from v; ")
         self.db.unregister("v")
 
-    def _fill(self, name: str, **cols: list[int]) -> None:
-        self.db.register("incoming", self.pa.table({k: self.pa.array(v, self.pa.int32()) for k, v in cols.items()}))
+    def _fill(self, name: str, **cols: np.ndarray) -> None:
+        self.db.register("incoming", self.pa.table({k: self.pa.array(v) for k, v in cols.items()}))
         self.db.execute(f"create or replace table {name} as select * from incoming")
         self.db.unregister("incoming")
 
-    def _seed(self, name: str, words: list[list[int]]) -> None:
-        self._fill(name, w=[i for i, w in enumerate(words) for _ in w], p=[p for w in words for p in range(len(w))], t=[t for w in words for t in w])
-
-    def encode(self, words: list[bytes], at_once: int = 4_000_000) -> list[list[int]]:
-        """Ids of each word."""
-        out: list[list[int] | None] = [[self.ranks[w]] if w in self.ranks else [] if not w else None for w in words]
-        part, size = [], 0
+    def encode(self, words: list[bytes], at_once: int = 4_000_000) -> list[tuple[int, str, bytes]]:
+        """(tokens, ids as comma-joined decimals, the bytes that the ids stand for) of each word."""
+        out: list = [None] * len(words)
+        whole, long, part, size = [], [], [], 0
         for i, w in enumerate(words):
-            if out[i] is None and len(w) > _LONG_BYTES:
-                out[i] = self._encode_long(w)
-            elif out[i] is None:
+            if w in self.ranks:
+                whole.append(i)
+            elif len(w) > _LONG_BYTES:
+                long.append(i)
+            elif w:
                 part.append(i)
                 size += len(w) * (len(w) + 1) // 2  # rows of all steps at most
                 if size > at_once:
                     self._encode_part(words, part, out)
                     part, size = [], 0
+            else:
+                out[i] = (0, "", b"")
         if part:
             self._encode_part(words, part, out)
+        if whole:
+            self._fill("tokens", w=np.arange(len(whole)), p=np.zeros(len(whole), np.int64), t=np.array([self.ranks[words[i]] for i in whole], np.int32))
+            self._collect(whole, out)
+        for i in long:
+            ids = self._encode_long(words[i])
+            self._fill("tokens", w=np.zeros(len(ids), np.int64), p=np.arange(len(ids)), t=np.array(ids, np.int32))
+            self._collect([i], out)
         return out
 
     def _encode_part(self, words: list[bytes], part: list[int], out: list) -> None:
-        self._seed("seed", [[*map(self.bytes.__getitem__, words[i])] for i in part])
-        ids = self.db.sql(_FIXPOINT).to_arrow_table().column("ids").to_pylist()
-        for i, x in zip(part, ids, strict=True):
-            out[i] = x
+        sizes = np.array([len(words[i]) for i in part])
+        place = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        single = self.bytes[np.frombuffer(b"".join([words[i] for i in part]), np.uint8)]
+        self._fill("seed", q=np.repeat(np.arange(len(part)), sizes) << 12 | place, t=single)
+        self.db.execute(_FIXPOINT)
+        self._collect(part, out)
+
+    def _collect(self, part: list[int], out: list) -> None:
+        """Ids and decoded bytes of the words in `tokens`."""
+        got = self.db.sql(_IDS).to_arrow_table()
+        data = self.db.sql(_DECODE).to_arrow_table().column("bytes").to_pylist()
+        for i, n, ids, x in zip(part, got.column("n").to_pylist(), got.column("ids").to_pylist(), data, strict=True):
+            out[i] = (n, ids, bytes.fromhex(x))
 
     def _encode_long(self, word: bytes) -> list[int]:
-        ids = [*map(self.bytes.__getitem__, word)]
+        ids = self.bytes[np.frombuffer(word, np.uint8)].tolist()
         while True:
             depth = max(4, min(64, 4_000_000 // len(ids)))
-            self._fill("seed", p=[*range(len(ids))], t=ids)
+            self._fill("seed", p=np.arange(len(ids)), t=np.array(ids, np.int32))
             rows = self.db.sql(_LONG.format(depth=depth)).fetchall()
             ids = [t for _, _, t in rows]
             if rows[0][0] < depth:
                 return ids
 
-    def decode(self, words: list[list[int]], at_once: int = 400_000) -> list[bytes]:
-        """The bytes of each list of ids."""
-        out = [b""] * len(words)
-        part, size = [], 0
-        for i, w in enumerate(words):
-            if w:
-                part.append(i)
-                size += len(w)
-            if part and (size > at_once or i == len(words) - 1):
-                self._seed("tokens", [words[j] for j in part])
-                for j, x in zip(part, self.db.sql(_DECODE).to_arrow_table().column("bytes").to_pylist(), strict=True):
-                    out[j] = bytes.fromhex(x)
-                part, size = [], 0
-        return out
-
 
 @lru_cache(maxsize=2)
 def tokenizer(path: str) -> Units:
@@ -153,13 +154,12 @@ def tokenizer(path: str) -> Units:
     bpe = Bpe(path)
 
     def encode(words: list[str]) -> list[tuple[int, str, bytes]]:
-        ids = bpe.encode([w.encode() for w in words])
-        return [(len(i), ",".join(map(str, i)), d) for i, d in zip(ids, bpe.decode(ids), strict=True)]
+        return bpe.encode([w.encode() for w in words])
 
     def join(values: list[tuple[int, str, bytes]]) -> tuple[int, str, bytes]:
         return sum(v[0] for v in values), ",".join([v[1] for v in values]), b"".join([v[2] for v in values])
 
-    return Units(public_tokenizers.PATTERN, encode, join, 300_000)
+    return Units(public_tokenizers.PATTERN, encode, join, 600_000)
 
 
 def encode(df: DataFrame, name: str = "byte_bpe_multi_50k.tiktoken") -> DataFrame:
