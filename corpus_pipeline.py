@@ -5,9 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from twinlake.llm import langid, neardup, packing, quality, secrets
+from twinlake.llm import bitmap, langid, neardup, packing, quality, secrets
 from twinlake.llm.common import table
 from twinlake.session import Scratch
 
@@ -24,8 +23,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group: that with the least id."""
-    kept = neardup.near_duplicates(docs, words=5, percent=80).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"] == kept["kept_id"], "left_semi")
+    found = neardup.near_duplicates(docs, words=5, percent=80)
+    gone = Scratch(spark, "near_dedup").keep(found.where("not kept").select("doc_id").distinct(), "gone")
+    return bitmap.without(docs, gone, "doc_id")
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

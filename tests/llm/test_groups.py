@@ -7,7 +7,7 @@ import re
 
 import pytest
 
-from twinlake.llm import chat, fingerprint, html, neardup, queries
+from twinlake.llm import bitmap, chat, fingerprint, html, neardup, queries
 from twinlake.llm.common import table
 
 from .conftest import ODD, SF
@@ -283,3 +283,17 @@ def test_against_sql(spark, name):
     names = [d[0] for d in rel.description]
     assert sorted(names) == cols
     assert sorted(tuple(r[c] for c in cols) for r in df.collect()) == sorted(tuple(dict(zip(names, r, strict=True))[c] for c in cols) for r in rel.fetchall())
+
+
+def test_bitmap_lets_all_wanted_pass(spark):
+    rng = random.Random(4)
+    ids = [rng.randrange(-(2**62), 2**62) for _ in range(3000)] + list(range(3000))
+    wanted = spark.createDataFrame([(i,) for i in ids[::2]], "doc_id long")
+    rows = spark.createDataFrame([(i,) for i in ids], "doc_id long")
+    passed = {r.doc_id for r in bitmap.may_hold(rows, wanted, "doc_id").collect()}
+    assert set(ids[::2]) <= passed and len(passed) < len(ids[::2]) + 30
+    assert len({r.doc_id for r in bitmap.may_hold(rows, wanted, "doc_id", 15).collect()}) > len(passed)
+    assert bitmap.may_hold(rows, wanted.limit(0), "doc_id").count() == 0
+    for bits in (15, 22):
+        assert sorted(r.doc_id for r in bitmap.without(rows, wanted, "doc_id", bits).collect()) == sorted(set(ids) - set(ids[::2]))
+    assert bitmap.without(rows, wanted.limit(0), "doc_id").count() == len(ids)
