@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from twinlake.llm.bitmap import may_hold
 from twinlake.llm.common import map_arrow, need
 from twinlake.operators.components import connected_components
 from twinlake.session import Scratch
@@ -85,6 +86,8 @@ def sketch(df: DataFrame, words: int, m: int, k: int) -> DataFrame:
             half = np.arange(2 * m, dtype=np.uint64)
             for j in range(k):
                 half = _scramble(half * _MIX[1] + least[:, j])
+            # the low bit tells the collection
+            half = half & ~np.uint64(1) | (np.arange(2 * m) >= m).astype(np.uint64)
             out["halves"].append(half.view(np.int64))
         return out
 
@@ -150,11 +153,11 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, k: int = 3
     classes = rows.where("n > 0").groupBy("set_key").agg(F.min("doc_id").alias("rep"))
     # a class's row: every row with its least id has the same set, so any of them
     chosen = rows.where("n > 0").join(classes, "set_key").where(F.col("doc_id") == F.col("rep"))
-    halves = chosen.groupBy("set_key", "rep").agg(F.first("halves").alias("halves")).select("rep", F.posexplode("halves").alias("h", "v"))
+    halves = chosen.groupBy("set_key", "rep").agg(F.first("halves").alias("halves")).select("rep", F.explode("halves").alias("v"))
     halves = scratch.keep(halves, "halves")
-    shared = halves.groupBy("h", "v").agg(F.count("*").alias("n")).where("n > 1").select("h", "v")
-    useful = halves.join(shared, ["h", "v"]).groupBy("rep").agg(F.collect_list(F.struct("h", "v")).alias("s"))  # 2 * m at most to a class
-    sides = useful.select("rep", F.filter("s", lambda x: x["h"] < m).alias("s1"), F.filter("s", lambda x: x["h"] >= m).alias("s2"))
+    shared = halves.groupBy("v").agg(F.count("*").alias("n")).where("n > 1").select("v")
+    useful = halves.join(shared, "v").groupBy("rep").agg(F.collect_list("v").alias("s"))  # 2 * m at most to a class
+    sides = useful.select("rep", F.filter("s", lambda x: x % 2 == 0).alias("s1"), F.filter("s", lambda x: x % 2 != 0).alias("s2"))
     keys = sides.select("rep", F.explode("s1").alias("x"), "s2").select("rep", "x", F.explode("s2").alias("y"))
     keys = scratch.keep(keys.select(F.xxhash64("x", "y").alias("key"), "rep"), "keys")
     scratch.drop(halves)
@@ -164,7 +167,9 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, k: int = 3
     members = scratch.keep(keys.join(groups, "key"), "members")
     scratch.drop(keys)
     wanted = members.select(F.col("rep").alias("doc_id")).distinct()
-    sets = scratch.keep(shingle_sets(df.select("doc_id", "text").join(wanted, "doc_id", "left_semi"), words).distinct(), "sets")
+    # an inner join with distinct ids: a semi-join would be moved before the bitmap
+    texts = may_hold(need(df, "doc_id", "text"), wanted, "doc_id").join(wanted, "doc_id")
+    sets = scratch.keep(shingle_sets(texts, words).distinct(), "sets")
     pairs = members.where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
     links = scratch.keep(confirmed(pairs, sets, percent), "links")
     # rows with one id but different sets are one document
