@@ -159,7 +159,7 @@ def tokenizer(path: str) -> Units:
     def join(values: list[tuple[int, str, bytes]]) -> tuple[int, str, bytes]:
         return sum(v[0] for v in values), ",".join([v[1] for v in values]), b"".join([v[2] for v in values])
 
-    return Units(public_tokenizers.PATTERN, encode, join, 600_000)
+    return Units(public_tokenizers.PATTERN, encode, join, 450_000)
 
 
 def encode(df: DataFrame, name: str = "byte_bpe_multi_50k.tiktoken") -> DataFrame:
