@@ -34,6 +34,7 @@ def map_arrow(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]], s
                 got = fn({name: part.column(name).to_pylist() for name in names})
                 if got and len(next(iter(got.values()))):
                     yield pa.RecordBatch.from_arrays([pa.array(got[f.name], f.type) for f in arrow], schema=arrow)
+        tidy()
 
     return df.mapInArrow(run, out)
 
@@ -55,6 +56,19 @@ def _cuts(b: pa.RecordBatch, rows: int, size: int) -> Iterator[tuple[int, int]]:
         yield begin, b.num_rows - begin
 
 
+def tidy() -> None:
+    """Give what a finished task has freed back to the system: its Python worker lives on beside the next stage's."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
 def _arrow_schema(schema) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 

@@ -108,7 +108,7 @@ def fit(train: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -> M
     total = {r["lang"]: r["count"] for r in train.groupBy("lang").count().collect()}
     if not total:
         return None
-    found = map_arrow(train.select("text"), presence, "col int, n long", 4096).groupBy("col").agg(F.sum("n").alias("n")).collect()
+    found = map_arrow(train.select("text"), presence, "col int, n long", 4096, 4_000_000).groupBy("col").agg(F.sum("n").alias("n")).collect()
     weights = np.full(COLUMNS, np.log(1 + sum(total.values())) + 1, np.float32)
     for r in found:
         weights[r["col"]] = np.log((1 + sum(total.values())) / (1 + r["n"])) + 1
@@ -127,7 +127,7 @@ def fit(train: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -> M
                     out["n"].append(row[at].astype("<f4").tobytes())
         return out
 
-    rows = map_arrow(part.select("lang", "text"), sparse, "lang string, at binary, n binary").collect()
+    rows = map_arrow(part.select("lang", "text"), sparse, "lang string, at binary, n binary", 256, 4_000_000).collect()
     rows.sort(key=lambda r: (r["lang"], bytes(r["at"]), bytes(r["n"])))
     languages, centres, floors = [], [], {}
     for lang in sorted({r["lang"] for r in rows}):
@@ -164,7 +164,7 @@ def predict(df: DataFrame, model: Model | None) -> DataFrame:
                 out["rejected"].append(lang == "und" or score < model.floors[lang])
         return out
 
-    return map_arrow(need(df, "doc_id", "text"), run, "doc_id long, lang_pred string, score double, rejected boolean", 1024)
+    return map_arrow(need(df, "doc_id", "text"), run, "doc_id long, lang_pred string, score double, rejected boolean", 1024, 4_000_000)
 
 
 def held_out(doc_id: str = "doc_id") -> F.Column:

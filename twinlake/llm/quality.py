@@ -32,6 +32,11 @@ class Model:
     cut: float  # least kept probability of the best grade
 
 
+def forget() -> None:
+    """Empty the words kept between texts."""
+    _CACHE.clear()
+
+
 def _column(feature: str) -> int:
     import xxhash
 
@@ -54,7 +59,7 @@ def features(text: str | None) -> np.ndarray:
     """Sorted distinct columns of a text."""
     words = (text or "").split()
     distinct = set(words)
-    if len(_CACHE) > 300_000:
+    if len(_CACHE) > 100_000:
         _CACHE.clear()
     got: set[int] = set()
     for w in distinct:
@@ -174,7 +179,7 @@ def select(df: DataFrame, model: Model | None) -> DataFrame:
 
 def keep_rows(df: DataFrame, kept) -> DataFrame:
     """The rows of df for whose texts `kept` says so; no join, whole rows pass through the worker."""
-    from twinlake.llm.common import _cuts
+    from twinlake.llm.common import _cuts, tidy
     from twinlake.session import ship
 
     ship(df.sparkSession)
@@ -183,8 +188,10 @@ def keep_rows(df: DataFrame, kept) -> DataFrame:
         import pyarrow as pa
 
         for b in batches:
-            for begin, n in _cuts(b, 1024, 16_000_000):
+            for begin, n in _cuts(b, 1024, 4_000_000):
                 part = b.slice(begin, n)
                 yield part.filter(pa.array(kept(part.column("text").to_pylist()), pa.bool_()))
+        forget()
+        tidy()
 
     return df.mapInArrow(run, df.schema)

@@ -284,7 +284,7 @@ def redacted(text: str, spans: list[tuple[int, int, str]]) -> str:
 
 def redact(df: DataFrame, net: Network | None = None) -> DataFrame:
     """df, all rows and columns, with secrets in text replaced; n_chars follows where there is such a column."""
-    from twinlake.llm.common import _cuts
+    from twinlake.llm.common import _cuts, tidy
     from twinlake.session import ship
 
     net = net or model()
@@ -295,7 +295,7 @@ def redact(df: DataFrame, net: Network | None = None) -> DataFrame:
         import pyarrow as pa
 
         for b in batches:
-            for begin, n in _cuts(b, 1024, 16_000_000):
+            for begin, n in _cuts(b, 1024, 4_000_000):
                 part = b.slice(begin, n)
                 texts = part.column("text").to_pylist()
                 new = [t if not s else redacted(t, s) for t, s in zip(texts, spans_of(texts, net), strict=True)]
@@ -305,5 +305,6 @@ def redact(df: DataFrame, net: Network | None = None) -> DataFrame:
                     old = cols["n_chars"].to_pylist()
                     cols["n_chars"] = pa.array([o if x is t else len(x) for o, x, t in zip(old, new, texts, strict=True)], part.schema.field("n_chars").type)
                 yield pa.RecordBatch.from_arrays([*cols.values()], names=[*cols])
+        tidy()
 
     return df.mapInArrow(run, schema)
