@@ -177,6 +177,13 @@ def test_quality(spark, docs_of):
     assert len(odd) == len(ODD) and odd[11][1:] == odd[12][1:]
 
 
+def test_quality_finds_toxic_rows_of_every_language(spark):
+    at = "/root/testdata/sf0.1"
+    m = quality.fit(table(spark, at, "documents"), table(spark, at, "labels"))
+    assert set(m.toxic) == {"de", "en", "es", "fr"} and sum(n for _, n in m.toxic.values()) > 80
+    assert all(found >= 0.8 * n for found, n in m.toxic.values()), m.toxic
+
+
 def test_quality_without_labels(spark, docs_of):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     df = docs_of(["a", None])

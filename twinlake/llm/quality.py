@@ -1,10 +1,12 @@
 """Quality by ordinal cumulative-link regression on graded ratings.
 
-Grades: 0 for toxic, 1 for low quality, 2 for good. A text's distinct words, their closing marks, and buckets of its
-length, repetition, capitals and marks are hashed to 65,536 columns; one weight vector gives the score f, and ordered
+Grades: 0 for toxic, 1 for low quality, 2 for good. A text's distinct words, their closing marks, the beginnings that
+two or more of its words share (families of ever new forms), and buckets of its length, repetition, capitals and marks
+are hashed to 65,536 columns; one weight vector gives the score f, and ordered
 thresholds give P(grade >= g) = sigmoid(f - threshold g). The expected grade is their sum, the tail probability that
 of the best grade. It is fitted on a bounded sample of labelled rows (`sample` rows to be expected, by a hash of id
-and text), four fifths for the weights, the rest for the cut that keeps all but `lose` of the good ones.
+and text), four fifths for the weights, the rest for the cut that keeps all but `lose` of the good ones: the greatest
+such cut, hence that with the greatest toxic recall. The model reports the toxic recall of the rest by language.
 
 Null text counts as empty. Without labels every text is kept, with expected grade and tail of null. Of several labels
 of an id the least quality and the greatest toxicity hold. Repeated rows are scored each; other columns take no part.
@@ -12,7 +14,7 @@ of an id the least quality and the greatest toxicity hold. Repeated rows are sco
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -21,7 +23,8 @@ from pyspark.sql import functions as F
 from twinlake.llm.common import map_arrow, need
 
 COLUMNS, SAMPLE, LOSE, GRADES = 1 << 16, 8000, 0.005, 3
-_CACHE: dict[str, tuple[int, ...]] = {}
+BEGINNINGS = (4, 5, 6, 7)
+_CACHE: dict[str, tuple[str, tuple[int, ...], tuple[int, ...]]] = {}
 _MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
 
 
@@ -30,6 +33,7 @@ class Model:
     weights: np.ndarray
     thresholds: np.ndarray
     cut: float  # least kept probability of the best grade
+    toxic: dict[str, tuple[int, int]] = field(default_factory=dict)  # by language, the held-out toxic rows below the cut, and all
 
 
 def forget() -> None:
@@ -43,30 +47,38 @@ def _column(feature: str) -> int:
     return xxhash.xxh32_intdigest(feature.encode()) & (COLUMNS - 1)
 
 
-def _word(raw: str) -> tuple[int, ...]:
-    """Columns of a word: its lower-cased stem, and its closing marks."""
+def _word(raw: str) -> tuple[str, tuple[int, ...], tuple[int, ...]]:
+    """A word's lower-cased stem, the columns of it and its closing marks, and those of its beginnings."""
     stem = raw.rstrip(_MARKS)
     marks = raw[len(stem) :]
+    stem = stem.lower()
     out = []
     if stem:
-        out.append(_column(f"w {stem.lower()}"))
+        out.append(_column(f"w {stem}"))
     if marks:
         out.append(_column(f"m {marks[:8]}"))
-    return tuple(out)
+    return stem, tuple(out), tuple(_column(f"b {stem[:n]}") for n in BEGINNINGS if len(stem) >= n)
 
 
 def features(text: str | None) -> np.ndarray:
     """Sorted distinct columns of a text."""
     words = (text or "").split()
     distinct = set(words)
-    if len(_CACHE) > 100_000:
+    if len(_CACHE) > 50_000:
         _CACHE.clear()
     got: set[int] = set()
+    stems: set[str] = set()
+    once: set[int] = set()
     for w in distinct:
         f = _CACHE.get(w)
         if f is None:
             f = _CACHE[w] = _word(w)
-        got.update(f)
+        stem, own, begun = f
+        got.update(own)
+        if begun and stem not in stems:
+            stems.add(stem)
+            got.update(once.intersection(begun))
+            once.update(begun)
     n, d = max(len(words), 1), max(len(distinct), 1)
     share = lambda x: int(8 * x)
     got.update(
@@ -136,12 +148,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, lose: float =
     if not n:
         return None
     chosen = graded.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < sample / n * (1 << 30))
-    rows = need(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id")  # bounded by sample
+    docs = docs if "lang" in docs.columns else docs.withColumn("lang", F.lit(None).cast("string"))
+    rows = need(docs, "doc_id", "text", "lang").join(F.broadcast(chosen), "doc_id")  # bounded by sample
 
     def run(cols: dict[str, list]) -> dict[str, list]:
-        return {"doc_id": cols["doc_id"], "grade": cols["grade"], "at": [features(t).astype("<i4").tobytes() for t in cols["text"]]}
+        return {"doc_id": cols["doc_id"], "lang": cols["lang"], "grade": cols["grade"], "at": [features(t).astype("<i4").tobytes() for t in cols["text"]]}
 
-    got = map_arrow(rows.select("doc_id", "text", "grade"), run, "doc_id long, grade int, at binary").collect()
+    got = map_arrow(rows.select("doc_id", "text", "lang", "grade"), run, "doc_id long, lang string, grade int, at binary").collect()
     if not got:
         return None
     got.sort(key=lambda r: (r["doc_id"], bytes(r["at"])))
@@ -153,7 +166,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, lose: float =
     weights, thresholds = train([r for r, k in zip(x, tune, strict=True) if not k] or x, y[~tune] if (~tune).any() else y)
     good = tails([r for r, k, g in zip(x, tune, y, strict=True) if k and g == GRADES - 1], weights, thresholds)
     cut = float(np.quantile(good[:, -1], lose)) if len(good) else 0.0
-    return Model(weights, thresholds, cut)
+    held = [(r["lang"] or "", a) for r, a, k, g in zip(got, x, tune, y, strict=True) if k and g == 0]
+    below = tails([a for _, a in held], weights, thresholds)[:, -1] < cut if held else []
+    toxic = {of: (sum(bool(b) for (lang, _), b in zip(held, below, strict=True) if lang == of), sum(lang == of for lang, _ in held)) for of in sorted({lang for lang, _ in held})}
+    return Model(weights, thresholds, cut, toxic)
 
 
 def score(df: DataFrame, model: Model | None) -> DataFrame:
