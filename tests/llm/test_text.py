@@ -126,6 +126,23 @@ def test_network_finds_what_patterns_miss():
     assert [k for *_, k in secrets.spans_of([text], net)[0]] == ["net"]
 
 
+def test_network_reads_whole_candidates():
+    net, rng = secrets.model(), random.Random(5)
+    key = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(n))
+    url = "see https://hooks.example.com/services/T0A1B2C3D4/B0Z9Y8X7W6/{}/incoming/messages/latest.json now"
+    for shape in (url, "export AWS_SECRET_ACCESS_KEY={}\n", "run DEPLOY_ENVIRONMENT_NAME={}/production/latest now"):
+        found = secrets.spans_of([shape.format(key(n)) for n in (24, 40) for _ in range(50)], net)
+        assert sum(any(k == "net" for *_, k in f) for f in found) >= 95, shape
+    words = ["report", "morning", "garden", "station_v2", "library", "system-3", "release", "2019"]
+    paths = ["https://www.example.com/" + "/".join(rng.choice(words) for _ in range(rng.randint(3, 12))) + "/index1.html" for _ in range(200)]
+    assert sum(bool(f) for f in secrets.spans_of([f"see {p} now" for p in paths], net)) <= 2
+    # sliding and single windows answer alike
+    text = "a " + "/".join(paths).replace(":", "")[:900] + " b"
+    (a, b), *_ = [c for c in secrets.candidates(text) if c[1] - c[0] > 200]
+    one = net.logits(secrets.encode([secrets.window(text, p, p + 32) for p in range(a, b - 31)])).max()
+    assert abs(net.slide(text, a, b) - one) < 1e-3 and abs(net.slide(text, a, b, most=7) - one) < 1e-3
+
+
 def test_redaction_keeps_all_else(spark, docs_of):
     texts = [None, "clean text", 'a token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" b', 'a token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" b']
     df = docs_of(texts)

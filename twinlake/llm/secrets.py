@@ -1,9 +1,10 @@
 """Secret scans: fixed patterns, and a character convolutional network over every candidate and its context.
 
 Three kinds of pattern give the base spans, leftmost and non-overlapping per kind; they always stay. Candidates are
-the base spans and every run of 16 or more key characters with a digit or mixed case. The network reads a candidate's
-first and last characters between those before and behind it, convolves their embeddings with filters five characters
-wide, takes each filter's maximum and a logistic output. It is trained in numpy on labelled findings made by rule:
+the base spans and every run of 16 or more key characters with a digit or mixed case. The network reads a window of a
+candidate between the characters before and behind it, convolves their embeddings with filters five characters wide,
+takes each filter's maximum and a logistic output. On a longer candidate the window slides over every position; parts
+of 16 or more characters between its / = . are read each too, and the greatest answer holds. It is trained in numpy on labelled findings made by rule:
 keys of many makes in assignments, headers and prose against words, numbers, addresses, paths, dates and checksums of
 files. A held-out part calibrates its output (Platt scaling) and sets the threshold that finds the stated share of
 true secrets. A candidate that passes and touches no base span is added, as kind `net`.
@@ -30,6 +31,7 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "net")
 
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.~-]{16,}")
+PART = re.compile(r"[^/=.]{16,}")
 _HINTS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 ASIDE, HEAD, TAIL, FILTERS, WIDE, CLASSES, RECALL = 20, 20, 12, 24, 5, 48, 0.99
 LENGTH = 2 * ASIDE + HEAD + TAIL
@@ -50,10 +52,18 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 def candidates(text: str) -> list[tuple[int, int]]:
     """Runs of key characters with a digit, or capitals beyond the first letter and small letters."""
-    out = []
-    for m in CANDIDATE.finditer(text):
-        s = m[0]
-        if any(map(str.isdigit, s)) or (s[1:] != s[1:].lower() and s != s.upper()):
+    return [m.span() for m in CANDIDATE.finditer(text) if _mixed(m[0])]
+
+
+def _mixed(s: str) -> bool:
+    return any(map(str.isdigit, s)) or (s[1:] != s[1:].lower() and s != s.upper())
+
+
+def pieces(text: str, start: int, end: int) -> list[tuple[int, int]]:
+    """Spans of a candidate that fit one window each: itself, or its parts where it is longer or has several."""
+    out = [(start, end)] if end - start <= HEAD + TAIL else []
+    for m in PART.finditer(text, start, end):
+        if m.end() - m.start() <= HEAD + TAIL and m.span() != (start, end) and _mixed(m[0]):
             out.append(m.span())
     return out
 
@@ -81,14 +91,28 @@ def window(text: str, start: int, end: int) -> str:
     return before + text[start : start + half].ljust(HEAD, "\0") + text[start + half : end].rjust(TAIL, "\0") + behind
 
 
-def encode(windows: list[str]) -> np.ndarray:
-    c = np.frombuffer("".join(windows).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(windows), LENGTH)
+def _codes(text: str) -> np.ndarray:
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     x = _classes()[np.minimum(c, 255)]
     x[c == 0] = 0
     x[c > 255] = CLASSES - 1
     return x
 
 
+def encode(windows: list[str]) -> np.ndarray:
+    return _codes("".join(windows)).reshape(len(windows), LENGTH)
+
+
+def _greatest(a: np.ndarray, n: int) -> np.ndarray:
+    """Greatest of each n rows in succession, by column."""
+    m, w = a, 1
+    while 2 * w <= n:
+        m = np.maximum(m[:-w], m[w:])
+        w *= 2
+    k = len(a) - n + 1
+    return np.maximum(m[:k], m[n - w : n - w + k])
+
+
 class Network:
     """Embedding folded into the filters: a filter's answer at t is the sum of its weights for the classes around t."""
 
@@ -118,6 +142,37 @@ class Network:
         h = np.concatenate(peaks, axis=1)
         return np.maximum(h, 0) @ self.out + self.bias[0], h, tops
 
+    def slide(self, text: str, start: int, end: int, enough: float = np.inf, most: int = 4096) -> float:
+        """Greatest answer over all windows of a candidate longer than one; the rest is left when one is enough."""
+        x = _codes(text[max(0, start - ASIDE) : start].rjust(ASIDE, "\0") + text[start:end] + text[end : end + ASIDE].ljust(ASIDE, "\0"))
+        best, n = -np.inf, len(x) - LENGTH + 1
+        for i in range(0, n, most):
+            part = x[i : i + most + LENGTH - 1]
+            steps, k = len(part) - WIDE + 1, len(part) - LENGTH + 1
+            a = np.broadcast_to(self.offset, (steps, FILTERS)).copy()
+            for o in range(WIDE):
+                a += self.filters[o][part[o : o + steps]]
+            h = np.concatenate([_greatest(a[z.start : z.stop + k - 1], z.stop - z.start) for z in self._zones()], axis=1)
+            best = max(best, float((np.maximum(h, 0) @ self.out).max() + self.bias[0]))
+            if best >= enough:
+                break
+        return best
+
+    def answers(self, texts: list[str], spans: list[tuple[int, int, int]], enough: float = np.inf) -> np.ndarray:
+        """Greatest answer for each candidate (text, start, end)."""
+        best = np.full(len(spans), -np.inf)
+        owners, windows = [], []
+        for j, (i, a, b) in enumerate(spans):
+            for c, d in pieces(texts[i], a, b):
+                owners.append(j)
+                windows.append(window(texts[i], c, d))
+        if windows:
+            np.maximum.at(best, owners, self.logits(encode(windows)))
+        for j, (i, a, b) in enumerate(spans):
+            if b - a > HEAD + TAIL and best[j] < enough:
+                best[j] = max(best[j], self.slide(texts[i], a, b, enough))
+        return best
+
     def logits(self, x: np.ndarray) -> np.ndarray:
         return np.concatenate([self.forward(x[i : i + 2048])[0] for i in range(0, len(x), 2048)]) if len(x) else np.zeros(0)
 
@@ -147,9 +202,12 @@ class Network:
                     b += 0.001 * (gp * gp - b)
                     p -= rate * (a / (1 - 0.9**k)) / (np.sqrt(b / (1 - 0.999**k)) + 1e-7)
 
-    def calibrate(self, x: np.ndarray, y: np.ndarray, recall: float) -> None:
-        """Platt scaling by Newton steps, then the greatest threshold with the recall asked for."""
-        z = self.logits(x).astype(np.float64)
+    def enough(self) -> float:
+        """The least answer whose probability reaches the threshold."""
+        return (np.log(self.threshold / (1 - self.threshold)) - self.shift) / self.scale
+
+    def calibrate(self, z: np.ndarray, y: np.ndarray, recall: float) -> None:
+        """Platt scaling of answers by Newton steps, then the greatest threshold with the recall asked for."""
         a, b = 1.0, 0.0
         for _ in range(50):
             p = 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30)))
@@ -159,12 +217,12 @@ class Network:
             step = np.linalg.solve(hess, g)
             a, b = a - step[0], b - step[1]
         self.scale, self.shift = float(a), float(b)
-        p = self.probability(x)
+        p = 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30)))
         self.threshold = float(np.quantile(p[y == 1], 1 - recall, method="lower"))
 
 
-def findings(n: int, seed: int = 11) -> tuple[list[str], np.ndarray]:
-    """Labelled windows made by rule: half secrets, half of what looks like them."""
+def made(n: int, seed: int = 11) -> tuple[list[str], list[tuple[int, int]], np.ndarray]:
+    """Labelled texts made by rule, with the place of the secret or of what looks like one, half of each."""
     rng = np.random.default_rng(seed)
     pick = lambda s: s[rng.integers(len(s))]
     draw = lambda alphabet, k: "".join(alphabet[i] for i in rng.integers(0, len(alphabet), k))
@@ -188,7 +246,8 @@ def findings(n: int, seed: int = 11) -> tuple[list[str], np.ndarray]:
         before, behind = pick([
             (lambda: (f"{pick(names)} = \"", '"')), (lambda: (f"{pick(names)}: ", "")), (lambda: (f"{prose()} ", f" {prose()}")),
             (lambda: ("Authorization: Bearer ", "\n")), (lambda: (f"export {pick(names).upper()}=", "\n")), (lambda: (f"{pick(names)}='", "'")),
-            (lambda: (f"?{pick(names)}=", "&x=1")),
+            (lambda: (f"?{pick(names)}=", "&x=1")), (lambda: (f"https://{word()}.example.com/{word()}/{word()}/", f"/{word()}/{word()}.json ")),
+            (lambda: (f"{word()}_{pick(names)}_{word()}=".upper(), " ")), (lambda: (f"{word()}/{word()}{rng.integers(1, 99)}/", f"/{word()} ")),
         ])()
         return f"{prose()} {before}", s, f"{behind} {prose()}"
 
@@ -205,26 +264,53 @@ def findings(n: int, seed: int = 11) -> tuple[list[str], np.ndarray]:
             lambda: f"{pick(['camel', 'get', 'set', 'make'])}{word().title()}{word().title()}{word().title()}".ljust(16, "x"),
             lambda: "=" * rng.integers(16, 40) + str(rng.integers(9)),
             lambda: f"{draw(digits, 4)}-{draw(digits, 4)}-{draw(digits, 4)}-{draw(digits, 4)}",
+            lambda: "/".join(word() + pick(["", "", str(rng.integers(1, 2030)), "_v2", "-" + word()]) for _ in range(rng.integers(4, 14))) + pick([".html", ".json", ".tar.gz", ""]),
+            lambda: f"{word()}.example.com/{'/'.join(word() for _ in range(rng.integers(3, 9)))}/{rng.integers(1990, 2030)}/{rng.integers(1, 13)}/{'-'.join(word() for _ in range(rng.integers(2, 8)))}",
+            lambda: f"{'_'.join(word() for _ in range(4))}={'-'.join(word() for _ in range(5))}.{rng.integers(1, 999)}".upper() if rng.random() < 0.3 else f"{word()}_{word()}={'.'.join(word() for _ in range(6))}{rng.integers(1, 99)}",
+            lambda: "".join(word().title() for _ in range(rng.integers(4, 12))).ljust(16, "x"),
             lambda: f"{rng.integers(1, 9)}.{rng.integers(10, 99)}.{rng.integers(100, 999)}-{word()}{rng.integers(1, 9)}-{word()}",
         ])()
         before, behind = pick([(lambda: (" ", " ")), (lambda: ("https://", " ")), (lambda: ("(", ")")), (lambda: ("sha of the file: " if rng.random() < 0.1 else " ", ".")), (lambda: ("@", ", ")), (lambda: ('"', '"'))])()
         return f"{prose()}{before}", s, f"{behind}{prose()}"
 
-    windows, y = [], np.arange(n) % 2 == 0
+    texts, places, y = [], [], np.arange(n) % 2 == 0
     for positive in y:
         a, s, b = secret() if positive else harmless()
-        windows.append(window(a + s + b, len(a), len(a) + len(s)))
-    return windows, y.astype(np.float32)
+        texts.append(a + s + b)
+        places.append((len(a), len(a) + len(s)))
+    return texts, places, y.astype(np.float32)
+
+
+def reach(texts: list[str], places: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+    """The candidates (text, start, end) that touch the places."""
+    return [(i, a, b) for i, (t, (c, d)) in enumerate(zip(texts, places, strict=True)) for a, b in candidates(t) if a < d and c < b]
+
+
+def findings(n: int, seed: int = 11, each: int = 2) -> tuple[list[str], np.ndarray]:
+    """Labelled windows of the candidates in made texts: some of those that lie in the secret, or of all."""
+    texts, places, y = made(n, seed)
+    rng = np.random.default_rng(seed + 1)
+    full, windows, labels = HEAD + TAIL, [], []
+    for i, a, b in reach(texts, places):
+        seen = pieces(texts[i], a, b) + [(p, p + full) for p in range(a, b - full + 1)]
+        if y[i]:
+            c, d = places[i]
+            seen = [s for s in seen if min(s[1], d) - max(s[0], c) >= min(s[1] - s[0], d - c)]
+        for j in rng.permutation(len(seen))[:each]:
+            windows.append(window(texts[i], *seen[j]))
+            labels.append(y[i])
+    return windows, np.array(labels, np.float32)
 
 
 @lru_cache(maxsize=2)
 def model(n: int = 5000, recall: float = RECALL) -> Network:
     """The trained, calibrated network: the same on every machine of a kind, made once by the driver."""
-    w, y = findings(n)
-    x, cut = encode(w), n * 4 // 5
+    w, y = findings(n * 4 // 5)
     net = Network()
-    net.train(x[:cut], y[:cut], 6)
-    net.calibrate(x[cut:], y[cut:], recall)
+    net.train(encode(w), y, 6)
+    texts, places, labels = made(n - n * 4 // 5, 12)
+    spans = reach(texts, places)
+    net.calibrate(net.answers(texts, spans), labels[[i for i, _, _ in spans]], recall)
     return net
 
 
@@ -232,14 +318,10 @@ def spans_of(texts: list[str | None], net: Network) -> list[list[tuple[int, int,
     """All spans of each text, by start, then kind."""
     texts = [t or "" for t in texts]
     out = [base_spans(t) for t in texts]
-    where, windows = [], []
-    for i, t in enumerate(texts):
-        for a, b in candidates(t):
-            where.append((i, a, b))
-            windows.append(window(t, a, b))
-    if windows:
-        passed = net.probability(encode(windows)) >= net.threshold
-        for (i, a, b), ok in zip(where, passed.tolist(), strict=True):
+    where = [(i, a, b) for i, t in enumerate(texts) for a, b in candidates(t)]
+    if where:
+        enough = net.enough()
+        for (i, a, b), ok in zip(where, (net.answers(texts, where, enough) >= enough).tolist(), strict=True):
             if ok and not any(s < b and a < e for s, e, k in out[i] if k != "net"):
                 out[i].append((a, b, "net"))
         for s in out:
