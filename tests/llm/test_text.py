@@ -152,6 +152,16 @@ def test_redaction_keeps_all_else(spark, docs_of):
     assert [r.n_chars for r in got] == [0, 10, 13, 13]
 
 
+def test_no_rest_of_a_key_beside_a_base_span():
+    net = secrets.model()
+    for key in ("token=abcdef~Kd81mQz7TtY5LpWq0ZrE4NvB2x9Gh6Rs", "Xk9Qz7TtY5LpWq" + "0123456789abcdef01234567" + "ZrE4NvB2x9Gh6Rs"):
+        text = f"the key is {key} and so on"
+        spans = secrets.spans_of([text], net)[0]
+        assert len(spans) == 2 and "net" in [k for *_, k in spans]
+        out = secrets.redacted(text, spans)
+        assert out.startswith("the key is [") and out.endswith("] and so on")
+
+
 def test_language(spark, docs_of):
     docs = table(spark, "/root/testdata/sf0.01", "documents")
     m = langid.fit(docs.where(~langid.held_out()))

@@ -7,7 +7,7 @@ takes each filter's maximum and a logistic output. On a longer candidate the win
 of 16 or more characters between its / = . are read each too, and the greatest answer holds. It is trained in numpy on labelled findings made by rule:
 keys of many makes in assignments, headers and prose against words, numbers, addresses, paths, dates and checksums of
 files. A held-out part calibrates its output (Platt scaling) and sets the threshold that finds the stated share of
-true secrets. A candidate that passes and touches no base span is added, as kind `net`.
+true secrets. A candidate that passes and lies in no base span is added, as kind `net`.
 
 Spans are code points, end exclusive. Null text counts as empty. Equal texts have equal spans; repeated rows are
 scanned each. Other columns take no part in `scan`; `redact` keeps all columns.
@@ -322,7 +322,7 @@ def spans_of(texts: list[str | None], net: Network) -> list[list[tuple[int, int,
     if where:
         enough = net.enough()
         for (i, a, b), ok in zip(where, (net.answers(texts, where, enough) >= enough).tolist(), strict=True):
-            if ok and not any(s < b and a < e for s, e, k in out[i] if k != "net"):
+            if ok and not any(s <= a and b <= e for s, e, k in out[i] if k != "net"):
                 out[i].append((a, b, "net"))
         for s in out:
             s.sort(key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
