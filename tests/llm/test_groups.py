@@ -224,6 +224,25 @@ def test_pages():
         assert html.extract(page(f"<article>{article}{asides[4]}{asides[5]}</article>")) == text
 
 
+def test_names_alone_drop_no_article():
+    story = "<h1>Head</h1>" + "".join(f"<p>{PROSE * k}" for k in (3, 1, 4))
+    text = "\n".join(["Head", *[(PROSE * k).strip() for k in (3, 1, 4)]])
+    side = '<div class="sidebar"><p>Another story, which is short.</p></div>'
+    for name in ("site has-sidebar", "layout-no-sidebar", "share-enabled", "side-by-side", "theme-modal-open", "header-fixed", "comments-open"):
+        for body in (f"<article>{story}</article>", f"<main>{story}</main>", f'<div class="story">{story}</div>'):
+            assert html.extract(page(f'<div class="{name}">{body}{side}</div>')) == text, (name, body[:20])
+            assert html.extract(page(f'<x-app class="{name}">{body}{side}</x-app>')) == text, (name, body[:20])
+    assert html.extract(page(f'<article class="social-post">{story}</article>{side}')) == text
+    assert html.extract(page(f'<article><div class="post widget">{story}</div></article>')) == text
+    more = f'<section class="{{}}"><h2>More</h2><p>{PROSE * 2}</p></section>'
+    for name in ("discussion", "related"):
+        assert html.extract(page(f"<article>{story}{more.format(name)}</article>")) == f"{text}\nMore\n{(PROSE * 2).strip()}"
+        assert html.extract(page(f"<article>{story}</article>{more.format(name)}")) == text
+    long = f'<section id="comments"><div class="comment"><p>{PROSE * 20}</p></div></section>'
+    assert html.extract(page(f"<article>{story}</article>{long}")) == text
+    assert html.extract(page(f'<span class="share">{PROSE}</span>')) == PROSE.strip()
+
+
 def test_pages_of_a_table(spark):
     def plain(h):
         import html as H

@@ -5,7 +5,8 @@ classes. Per path, the text length and the punctuation outside links are aggrega
 punctuation ratio). Along the page both are smoothed, fused as a geometric mean and held against a threshold from
 their mean and spread; the paths that pass are content. The container is the article element, or else the smallest
 element, that holds nearly all content; its blocks are the result, without parts that their tag, role or class names
-as menus, notices, adverts, forms, comments and the like, and without mere lists of links.
+as menus, notices, adverts, forms, comments and the like, and without mere lists of links. A name alone never drops an
+element that is or holds the article or most of the content, nor prose of the article under a name of two meanings.
 
 Null html, empty pages and pages without content give the empty text. Unclosed and stray tags do no harm. Repeated
 rows give repeated results; other columns take no part.
@@ -47,6 +48,8 @@ ASIDE_WORDS = frozenset(
     " pagination popup promo promoted promotion recommended recommendations related replies reply respond share sharing side sidebar signup"
     " skip social sponsor sponsored subscribe subscription teaser teasers toolbar topbar widget widgets".split()
 )
+#: Those of them that also name parts of an article.
+EITHER_WORDS = frozenset("alert alerts copyright disclaimer discussion notice notices recommended recommendations related replies reply respond share sharing side skip social teaser".split())
 CONTAINERS = frozenset("html body main article section div td center".split())
 PARAGRAPHS = re.compile(r"p|h[1-6]|blockquote|pre|dd|dt|figcaption|td|th")
 
@@ -57,7 +60,7 @@ _PUNCTUATION = re.compile(r"[.,;:!?…。，、！？؟،]")
 
 
 class Element:
-    __slots__ = ("tag", "path", "parent", "aside", "size", "in_article", "named")
+    __slots__ = ("tag", "path", "parent", "aside", "in_article", "named")
 
     def __init__(self, tag: str, parent: Element | None, attributes: str):
         self.tag, self.parent = tag, parent
@@ -70,17 +73,18 @@ class Element:
         self.path = f"{parent.path}/{step}" if parent else step
         self.in_article = parent is not None and (parent.in_article or parent.tag in ("article", "main"))
         words = {w.lower() for n in ("class", "id") if n in found for w in _NAME_WORD.findall(found[n])}
-        self.named = bool(words & ASIDE_WORDS) and tag not in ("html", "body", "main")
+        aside = words & ASIDE_WORDS | ({"header"} if "header" in words and tag == "div" and not self.in_article else set())
+        self.named = 0 if not aside or tag in ("html", "body", "main") else 1 if aside <= EITHER_WORDS else 2
+        if self.named == 2 and not (aside - EITHER_WORDS).isdisjoint([*classes, found.get("id", "").lower()]):
+            self.named = 3  # the whole of a class or id, not a word of one
         self.aside = (
             (parent is not None and parent.aside)
             or tag in ASIDE_TAGS
-            or (tag == "header" or "header" in words and tag == "div") and not self.in_article
+            or tag == "header" and not self.in_article
             or found.get("role", "").lower() in ASIDE_ROLES
             or "hidden" in found
             or found.get("aria-hidden", "").lower() == "true"
-            or self.named
         )
-        self.size = 0.0
 
 
 class Block:
@@ -92,8 +96,8 @@ class Block:
         self.score = 0.0
 
 
-def blocks(html: str) -> list[Block]:
-    """The page's blocks of text in order, asides included."""
+def blocks(html: str, names: bool = True) -> list[Block]:
+    """The page's blocks of text in order, asides included; those of inline parts named as asides only without `names`."""
     root = Element("html", None, "")
     stack, out = [root], []
     buffer: list[str] = []
@@ -121,9 +125,9 @@ def blocks(html: str) -> list[Block]:
         if s:
             s = entities.unescape(s) if "&" in s else s
             # inline parts such as hidden spans and buttons are no text of the block around them
-            if stack[-1].aside and stack[-1].tag not in BLOCK and any(not e.aside for e in stack if e.tag in BLOCK):
-                block = next(e for e in reversed(stack) if e.tag in BLOCK)
-                if not block.aside:
+            if stack[-1].tag not in BLOCK:
+                i = next(i for i in range(len(stack) - 1, -1, -1) if stack[i].tag in BLOCK)
+                if not stack[i].aside and any(e.aside or names and e.named for e in stack[i + 1 :]):
                     return
             buffer.append(s)
             if any(e.tag == "a" for e in stack):
@@ -211,29 +215,61 @@ def scores(found: list[Block], spread: float = 0.5) -> float:
     return max(0.0, min(mean, mean - spread * deviation))
 
 
+def _held(found: list[Block], content: set[str]) -> tuple[dict[Element, float], float]:
+    """What content each element above a block holds, and all of it."""
+    held: dict[Element, float] = {}
+    total = 0.0
+    for b in found:
+        weight = (b.length - b.linked) + 1e-6 if b.element.path in content else 0.0
+        total += weight
+        for e in (b.element, *_above(b.element)):
+            held[e] = held.get(e, 0.0) + weight
+    return held, total
+
+
+def _content(found: list[Block]) -> set[str]:
+    threshold = scores(found)
+    return {b.element.path for b in found if b.score >= threshold}
+
+
+def without_named(found: list[Block]) -> list[Block]:
+    """Blocks without the parts that their names make asides, by what content these hold."""
+    held, total = _held(found, _content(found))
+    if not any(e.named for e in held):
+        return found
+    article = None
+    for tag in ("article", "main"):
+        best = max((e for e in held if e.tag == tag and not any(a.tag == tag for a in _above(e))), key=held.__getitem__, default=None)
+        if article is None and best is not None and held[best] >= 0.3 * total:
+            article = best
+    # an article of any size, below no such name, is enough against a part that is wholly named an aside
+    lone = any(e.tag == "article" and not any(a.named for a in (e, *_above(e))) for e in held)
+    holders = {article, *_above(article)} if article else set()
+    gone = set()
+    for e in held:
+        if e.named and e not in holders:
+            inside = article is not None and article in _above(e)
+            of = held[article] if inside else total
+            most = (inside or article is None and not (lone and e.named == 3)) and held[e] >= 0.5 * of
+            if not most and not (e.named == 1 and inside and held[e] >= 0.1 * of):
+                gone.add(e)
+    return [b for b in found if b.element not in gone and gone.isdisjoint(_above(b.element))]
+
+
 def extract(html: str | None) -> str:
     """The main text: content blocks joined by line ends."""
     found = [b for b in blocks(html or "") if not b.element.aside]
+    if not found and html:
+        found = [b for b in blocks(html, names=False) if not b.element.aside]
     if not found:
         return ""
-    threshold = scores(found)
-    content = {b.element.path for b in found if b.score >= threshold}
-    # what content each element holds
-    holders: dict[int, Element] = {}
-    total = 0.0
-    for b in found:
-        if b.element.path in content:
-            weight = (b.length - b.linked) + 1e-6
-            total += weight
-            e = b.element
-            while e:
-                e.size += weight
-                holders[id(e)] = e
-                e = e.parent
-    articles = [e for e in holders.values() if e.tag == "article" and not e.aside and not any(a.tag == "article" for a in _above(e))]
-    best = max(articles, key=lambda e: e.size, default=None)
-    if best is None or best.size < 0.3 * total:
-        best = max((e for e in holders.values() if e.tag in CONTAINERS and e.size >= 0.85 * total), key=lambda e: e.path.count("/"), default=None)
+    found = without_named(found) or found
+    content = _content(found)
+    held, total = _held(found, content)
+    articles = [e for e in held if e.tag == "article" and not e.aside and not any(a.tag == "article" for a in _above(e))]
+    best = max(articles, key=held.__getitem__, default=None)
+    if best is None or held[best] < 0.3 * total:
+        best = max((e for e in held if e.tag in CONTAINERS and held[e] >= 0.85 * total), key=lambda e: e.path.count("/"), default=None)
     inside = [b for b in found if best is None or best is b.element or best in _above(b.element)]
     if best is not None and best.tag != "article":
         # a headline may stand beside the element that holds the text
