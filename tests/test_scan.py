@@ -9,7 +9,7 @@ from twinlake.operators import filters
 from twinlake.operators.components import connected_components
 from twinlake.operators.session import Session
 from twinlake.params import ImageConfig, ScanParams
-from twinlake.plans.scan import scan
+from twinlake.plans.scan import image_phase, scan
 from twinlake.sources import archives as archive_source
 from twinlake.sources import state
 from twinlake.sources.files import inventory, inventory_builtin
@@ -74,6 +74,21 @@ def test_second_folder(spark, tmp_path):
     assert [g[0] for g in groups(spark, one, secondary_folder=str(two))[0]] == [2]
 
 
+def test_similar_pictures_across_two_folders(spark, tmp_path):
+    import struct
+
+    def bmp(lift):
+        rows = b"".join(bytes(min(255, (x * 3 + y * 2 + (x // 9) * (y // 7) * 5 + lift) % 200 + lift) for x in range(64) for _ in range(3)) for y in range(64))
+        return b"BM" + struct.pack("<IHHIIiiHHIIiiII", 54 + len(rows), 0, 0, 54, 40, 64, 64, 1, 24, 0, len(rows), 0, 0, 0, 0) + rows
+
+    one, two = tmp_path / "one", tmp_path / "two"
+    put(one, a_dot_bmp=bmp(0))
+    put(two, b_dot_bmp=bmp(1))
+    params = ScanParams(folder=str(one), secondary_folder=str(two), find_similar=True)
+    found = image_phase(spark, inventory(spark, params).localCheckpoint(), params.folder, params)
+    assert sorted(m.name for m in found.collect()) == ["a.bmp", "b.bmp"]
+
+
 def test_origin_order_and_ignores(spark, tmp_path):
     put(tmp_path, z="same", a="same", m="same")
     for n, t in (("z", 200), ("a", 100), ("m", 100)):

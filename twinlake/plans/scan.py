@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 from dataclasses import dataclass, field
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,12 +64,15 @@ def similar_members(rows: DataFrame, links: DataFrame, params: ScanParams) -> Da
 
 
 def image_phase(spark: SparkSession, candidates: DataFrame, folder: str, params: ScanParams) -> DataFrame:
-    """Similar pictures: hashes of all that the image source decodes, pairs, groups."""
+    """Similar pictures: hashes of all that the image source decodes in either folder, pairs, groups."""
     c = params.image
-    px = spark.read.format("image").option("dropInvalid", "true").option("recursiveFileLookup", "true").load(folder).select("image.*")
+    folders = [folder, params.secondary_folder] if params.secondary_folder else [folder]
+    px = spark.read.format("image").option("dropInvalid", "true").option("recursiveFileLookup", "true").load(folders).select("image.*")
     px = px.select(F.regexp_replace("origin", "^file:/*", "/").alias("path"), "width", "height", decoded_hashes("height", "width", "nChannels", "data").alias("h"))
+    if len(folders) > 1:
+        px = px.dropDuplicates(["path"])  # one folder may lie in the other
     word = lambda b: F.conv(F.hex(b), 16, 10).cast("decimal(20,0)")
-    signed = lambda d: F.when(d >= 2**63, d - 2**64).otherwise(d).cast("bigint")
+    signed = lambda d: F.when(d >= F.lit(Decimal(2**63)), d - F.lit(Decimal(2**64))).otherwise(d).cast("bigint")
     rows = candidates.join(px, "path").select(candidates["*"], signed(word(F.col("h.fine"))).alias("fine"), signed(word(F.col("h.coarse"))).alias("coarse"), aspect("width", "height").cast("double").alias("aspect"))
     rows = filters.large_enough(rows, c.min_file_size_bytes, c.min_images_size_filter).withColumn("id", F.col("path"))
     links = pairs.image_pairs(rows, params.sim_threshold, rows.count(), c, "folder" if params.by_folder else None)
