@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 
 import pytest
 
@@ -243,6 +244,54 @@ def test_names_alone_drop_no_article():
     assert html.extract(page(f'<span class="share">{PROSE}</span>')) == PROSE.strip()
 
 
+def test_path_ratios_select():
+    """Without article, main or names, the ratios alone tell content from the rest; the threshold decides."""
+    story = "<h2>Head</h2>" + "".join(f"<p>{PROSE * k}</p>" for k in (3, 1, 4)) + "<ul><li>Red wine<li>White bread</ul>"
+    text = "\n".join(["Head", *[(PROSE * k).strip() for k in (3, 1, 4)], "Red wine", "White bread"])
+    links = "".join(f'<li><a href="/{i}">Place {i}</a>' for i in range(9))
+    body = f'<div class="a1"><ul>{links}</ul></div><div class="a2">{story}<div>Buy it now, today.</div>{story}</div><div class="a3">All is ours, all of it.</div>'
+    assert html.extract(page(body)) == f"{text}\n{text}"
+    assert html.extract(page(f"<article>{story}<div>Buy it now, today.</div>{story}</article>")) == f"{text}\n{text}"
+    every, none = html.extract(page(body), float("-inf")), html.extract(page(body), float("inf"))
+    assert none == "" and "Buy it now" in every and "Place 3" in every
+    # the score of a path as it is defined, from the blocks alone
+    found, made = html.blocks(page(body))
+    for e in made:
+        e.weight = 0.0 if e.aside else 1.0
+    least = html.scores(found, made)
+    length = [b.length - 0.75 * b.linked for b in found]
+    marks = [sum(c in ".,;:!?" for c in b.text) * (1 - 0.75 * b.linked / b.length) for b in found]
+    for x in (length, marks):
+        x[:] = [(x[max(i - 1, 0)] + 10 * v + x[min(i + 1, len(x) - 1)]) / 12 for i, v in enumerate(x)]
+    mean = lambda x, use: sum(v for v, u in zip(x, use, strict=True) if u) / sum(use)
+    ratio = lambda use: (mean(length, use) * (mean(marks, use) + 0.1)) ** 0.5
+    for b in found:
+        if b.element.tag == "p":
+            own = ratio([o.element.path == b.element.path for o in found])
+            family = ratio([o.element.parent.path == b.element.parent.path for o in found])
+            assert b.score == pytest.approx((4 * own * family) ** 0.5) and b.score >= least
+
+
+def test_no_text_of_the_article_is_lost():
+    story = "".join(f"<p>{PROSE * k}</p>" for k in (3, 2, 4))
+    text = "\n".join((PROSE * k).strip() for k in (3, 2, 4))
+    odd = f"<p class=\"related-work\">{PROSE}</p>"
+    assert html.extract(page(f"<article>{story}{odd}{story}</article>")) == f"{text}\n{PROSE.strip()}\n{text}"
+    odd = f"<section class=\"discussion\"><h2>Discussion</h2><p>{PROSE}</p></section>"
+    assert html.extract(page(f"<article>{story}{odd}</article>")) == f"{text}\nDiscussion\n{PROSE.strip()}"
+    assert html.extract(page(f"<article><p data-x=it's>{PROSE}</p><p>{PROSE}</p><p class='a' data-y=\"it's > that\">{PROSE}</p></article>")) == "\n".join([PROSE.strip()] * 3)
+    assert html.extract(page(f"<article><p data-x='class=ad'>{PROSE}</p><p title='a>b'>{PROSE}</p></article>")) == "\n".join([PROSE.strip()] * 2)
+
+
+def test_deep_pages_take_linear_time():
+    took = []
+    for n in (4000, 16000):
+        began = time.process_time()
+        assert html.extract("<div>" * n + "deep" + "</x>" * n) == "deep"
+        took.append(time.process_time() - began)
+    assert took[1] < 12 * took[0] + 0.5
+
+
 def test_pages_of_a_table(spark):
     def plain(h):
         import html as H
