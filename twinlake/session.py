@@ -10,7 +10,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no shared folder (single-machine tests).
+#: Used only where the session names no shared folder and its master is this machine (tests).
 LOCAL_CHECKPOINTS = "/tmp/checkpoints/twinlake"
 
 
@@ -18,6 +18,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can see, as named by spark.checkpoint.dir."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         where = f"file://{LOCAL_CHECKPOINTS}"
         if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
             spark.sparkContext.setCheckpointDir(where)
@@ -49,9 +51,16 @@ class Scratch:
                 p.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
 
 
+#: Bytes of one Arrow batch on its way to a Python worker, unless the session says otherwise. Spark's own default lets a
+#: task hold many times as much, in memory that an executor's allocator keeps for good.
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+
+
 def ship(spark: SparkSession) -> None:
-    """Make this package importable by Python workers that do not share the driver's folders."""
+    """Make this package importable by Python workers that do not share the driver's folders; bound Arrow batches."""
     sc = spark.sparkContext
+    if ARROW_BYTES[0] not in dict(sc.getConf().getAll()):
+        spark.conf.set(ARROW_BYTES[0], str(ARROW_BYTES[1]))
     if getattr(sc, "_twinlake_shipped", False):
         return
     here = Path(__file__).resolve().parent
