@@ -20,7 +20,7 @@ def need(df: DataFrame, *cols: str) -> DataFrame:
     return df.select(*cols)
 
 
-def map_arrow(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]], schema: str, rows: int = 256, size: int = 16_000_000) -> DataFrame:
+def map_arrow(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]], schema: str, rows: int = 256, size: int = 2_000_000) -> DataFrame:
     """Apply fn to column lists of at most `rows` rows and about `size` bytes at a time; a larger row stands alone."""
     ship(df.sparkSession)
     names = df.columns
@@ -29,8 +29,7 @@ def map_arrow(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]], s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for begin, n in _cuts(b, rows, size):
-                part = b.slice(begin, n)
+            for part in parts(b, rows, size):
                 got = fn({name: part.column(name).to_pylist() for name in names})
                 if got and len(next(iter(got.values()))):
                     yield pa.RecordBatch.from_arrays([pa.array(got[f.name], f.type) for f in arrow], schema=arrow)
@@ -39,6 +38,12 @@ def map_arrow(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]], s
     return df.mapInArrow(run, out)
 
 
+def parts(b: pa.RecordBatch, rows: int = 1024, size: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of at most `rows` rows and about `size` bytes; a larger row stands alone."""
+    for begin, n in _cuts(b, rows, size):
+        yield b.slice(begin, n)
+
+
 def _cuts(b: pa.RecordBatch, rows: int, size: int) -> Iterator[tuple[int, int]]:
     import pyarrow.compute as pc
 

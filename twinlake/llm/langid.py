@@ -39,27 +39,29 @@ def _letters() -> np.ndarray:
     return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
 
 
-def counts(texts: list[str]) -> np.ndarray:
-    """Hashed counts of letter pairs and triples, a row per text."""
+def counts(texts: list[str], most: int = 1 << 18) -> np.ndarray:
+    """Hashed counts of letter pairs and triples, a row per text; `most` letters are looked at at once."""
     if not texts:
         return np.zeros((0, COLUMNS), np.float32)
-    rows, size = [], 0
-    for t in texts:
-        # two spaces before and one behind: no n-gram holds letters of two texts
-        rows.append(f"  {t.lower()} ")
-    c = np.frombuffer("".join(rows).encode("utf-32-le", "surrogatepass"), np.uint32)
-    c = np.where(_letters()[c], c, np.uint32(32))
-    c = np.concatenate([c, np.full(2, 32, np.uint32)])
-    size = len(c) - 2
-    row = np.repeat(np.arange(len(texts)), [len(r) for r in rows])
-    a, b, d = c[:size], c[1 : size + 1], c[2:]
-    pair = a * np.uint32(0x9E3779B1) ^ b * np.uint32(0x85EBCA77)
-    triple = (pair ^ (pair >> np.uint32(15))) * np.uint32(0xC2B2AE3D) ^ d * np.uint32(0x27D4EB2F)
-    out = np.zeros(len(texts) * COLUMNS, np.int64)
-    some = (a != 32) | (b != 32)
-    for h, use in ((pair * np.uint32(0x2C1B3C6D), some), (triple * np.uint32(0x297A2D39), some | (d != 32))):
-        h = (h ^ (h >> np.uint32(16))) & np.uint32(COLUMNS - 1)
-        out += np.bincount(row[use] * COLUMNS + h[use], minlength=len(out))
+    # two spaces before and one behind: no n-gram holds letters of two texts
+    rows = [f"  {t.lower()} " for t in texts]
+    row = np.repeat(np.arange(len(texts), dtype=np.int32), [len(r) for r in rows])
+    every = "".join(rows) + "  "
+    out = np.zeros(len(texts) * COLUMNS, np.int32)
+    for at in range(0, len(row), most):
+        size = min(most, len(row) - at)
+        c = np.frombuffer(every[at : at + size + 2].encode("utf-32-le", "surrogatepass"), np.uint32)
+        c = np.where(_letters()[c], c, np.uint32(32))
+        first = int(row[at])
+        place = (row[at : at + size] - first) * COLUMNS
+        a, b, d = c[:size], c[1 : size + 1], c[2:]
+        pair = a * np.uint32(0x9E3779B1) ^ b * np.uint32(0x85EBCA77)
+        triple = (pair ^ (pair >> np.uint32(15))) * np.uint32(0xC2B2AE3D) ^ d * np.uint32(0x27D4EB2F)
+        some = (a != 32) | (b != 32)
+        for h, use in ((pair * np.uint32(0x2C1B3C6D), some), (triple * np.uint32(0x297A2D39), some | (d != 32))):
+            h = ((h ^ (h >> np.uint32(16))) & np.uint32(COLUMNS - 1)).astype(np.int32)
+            n = np.bincount(place[use] + h[use])
+            out[first * COLUMNS : first * COLUMNS + len(n)] += n.astype(np.int32)
     return out.reshape(len(texts), COLUMNS).astype(np.float32)
 
 
@@ -73,7 +75,7 @@ def has_letters(t: str | None) -> bool:
     return bool(t) and (any(map(str.isalpha, t[:64])) or any(map(str.isalpha, t)))
 
 
-def chunks(n: int, of: int = 256):
+def chunks(n: int, of: int = 128):
     return (slice(i, i + of) for i in range(0, n, of))
 
 
@@ -108,7 +110,7 @@ def fit(train: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -> M
     total = {r["lang"]: r["count"] for r in train.groupBy("lang").count().collect()}
     if not total:
         return None
-    found = map_arrow(train.select("text"), presence, "col int, n long", 4096, 4_000_000).groupBy("col").agg(F.sum("n").alias("n")).collect()
+    found = map_arrow(train.select("text"), presence, "col int, n long", 4096).groupBy("col").agg(F.sum("n").alias("n")).collect()
     weights = np.full(COLUMNS, np.log(1 + sum(total.values())) + 1, np.float32)
     for r in found:
         weights[r["col"]] = np.log((1 + sum(total.values())) / (1 + r["n"])) + 1
@@ -127,7 +129,7 @@ def fit(train: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -> M
                     out["n"].append(row[at].astype("<f4").tobytes())
         return out
 
-    rows = map_arrow(part.select("lang", "text"), sparse, "lang string, at binary, n binary", 256, 4_000_000).collect()
+    rows = map_arrow(part.select("lang", "text"), sparse, "lang string, at binary, n binary", 256).collect()
     rows.sort(key=lambda r: (r["lang"], bytes(r["at"]), bytes(r["n"])))
     languages, centres, floors = [], [], {}
     for lang in sorted({r["lang"] for r in rows}):
@@ -164,7 +166,7 @@ def predict(df: DataFrame, model: Model | None) -> DataFrame:
                 out["rejected"].append(lang == "und" or score < model.floors[lang])
         return out
 
-    return map_arrow(need(df, "doc_id", "text"), run, "doc_id long, lang_pred string, score double, rejected boolean", 1024, 4_000_000)
+    return map_arrow(need(df, "doc_id", "text"), run, "doc_id long, lang_pred string, score double, rejected boolean", 1024)
 
 
 def held_out(doc_id: str = "doc_id") -> F.Column:

@@ -17,9 +17,10 @@ from functools import lru_cache
 
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from twinlake.llm.common import need
-from twinlake.llm.pretokens import Units, batches
+from twinlake.llm.common import need, parts, tidy
+from twinlake.llm.pretokens import Units
 from twinlake.session import ship
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, bucket int"
@@ -39,7 +40,7 @@ def _byte_letters() -> dict[int, str]:
 
 @lru_cache(maxsize=2)
 def tokenizer(path: str) -> Units:
-    """Little-endian 32-bit ids of texts by a byte-level tokenizers file; kept by the Python worker between tasks."""
+    """Little-endian 32-bit ids of texts by a byte-level tokenizers file; words are forgotten at the end of a task."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -72,16 +73,18 @@ def token_ids(df: DataFrame, name: str = "byte_bpe_50k.json") -> DataFrame:
     """(doc_id, ids): little-endian 32-bit ids of each whole text, as tokenizers gives them without special tokens."""
     ship(df.sparkSession)
 
-    def run(frames):
-        import pandas as pd
+    def run(batches):
+        import pyarrow as pa
 
         units = tokenizer(vocabulary(name))
-        for f in frames:
-            texts = [t or "" for t in f["text"]]
-            for s in batches(texts):
-                yield pd.DataFrame({"doc_id": f["doc_id"].iloc[s], "ids": [b"".join(v) for v in units(texts[s])]})
+        for b in batches:
+            for part in parts(b):
+                texts = [t or "" for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([b"".join(v) for v in units(texts)], pa.binary())], names=["doc_id", "ids"])
+        units.forget()
+        tidy()
 
-    return need(df, "doc_id", "text").mapInPandas(run, "doc_id long, ids binary")
+    return df.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids binary")
 
 
 def pack(df: DataFrame, name: str = "byte_bpe_50k.json", longest: int = 1024, end_id: int = 0) -> DataFrame:
@@ -94,18 +97,18 @@ def pack(df: DataFrame, name: str = "byte_bpe_50k.json", longest: int = 1024, en
     assert longest & (longest - 1) == 0
     end = end_id.to_bytes(4, "little")
 
-    def run(batches_in):
+    def run(batches):
         import pyarrow as pa
 
         units, n = tokenizer(vocabulary(name)), TaskContext.get().partitionId() << 33
         kinds = [pa.int64()] * 7 + [pa.int32()]
         names = [c.split()[0] for c in SCHEMA.split(", ")]
-        for b in batches_in:
-            ids, texts = b.column("doc_id").to_pylist(), [t or "" for t in b.column("text").to_pylist()]
-            for s in batches(texts):
+        for b in batches:
+            for part in parts(b):
+                ids, texts = part.column("doc_id").to_pylist(), [t or "" for t in part.column("text").to_pylist()]
                 cols: list[list] = [[] for _ in kinds]
-                for doc, parts in zip(ids[s], units(texts[s]), strict=True):
-                    data, at = memoryview(b"".join([*parts, end])), 0
+                for doc, words in zip(ids, units(texts), strict=True):
+                    data, at = memoryview(b"".join([*words, end])), 0
                     total = len(data) // 4
                     for size in lengths(total, longest):
                         for c, v in zip(cols, (doc, at, size, zlib.crc32(data[4 * at : 4 * (at + size)]), total, n, 0, size.bit_length() - 1), strict=True):
@@ -113,5 +116,7 @@ def pack(df: DataFrame, name: str = "byte_bpe_50k.json", longest: int = 1024, en
                         at += size
                         n += 1
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
+        units.forget()
+        tidy()
 
     return need(df, "doc_id", "text").mapInArrow(run, SCHEMA)

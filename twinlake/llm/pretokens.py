@@ -2,13 +2,14 @@
 
 A match of the byte-level pattern never spans a space that is followed by a non-space character: the space opens the
 next match. So a text may be cut at such spaces into units, a unit into words (the pattern's matches), and every
-distinct word need be encoded once. Units and words are kept in bounded caches; a full cache is emptied, which costs
-time and never changes a result.
+distinct word need be encoded once. Units and words are kept in caches bounded by their bytes; a full cache is emptied,
+which costs time and never changes a result.
 """
 
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Callable, Iterable
 
 #: A space that opens no match of the pattern.
@@ -16,26 +17,30 @@ _ODD = re.compile(r" (?=\s|$)")
 _CUT = re.compile(r"(?= \S)")
 #: Closing marks that form one match of their own when they follow letters.
 _MARKS = "!#$%&*.,;:?|)"
+#: What an entry of a dictionary takes beside its key and value.
+_ENTRY = 100
 
 
 class Units:
-    """Values of the units of texts; `encode` gives the values of distinct words, `join` that of a unit from its words."""
+    """Values of the units of texts; `encode` gives the values of distinct words, `join` that of a unit from its words.
 
-    def __init__(self, pattern: str, encode: Callable[[list[str]], list], join: Callable[[list], object], limit: int = 400_000):
+    `limit` is in bytes, for words and units together; one call may go beyond it by what its own texts need.
+    """
+
+    def __init__(self, pattern: str, encode: Callable[[list[str]], list], join: Callable[[list], object], size: Callable[[object], int] = sys.getsizeof, limit: int = 48 << 20):
         import regex
 
         self.findall = regex.compile(pattern).findall
-        self.encode, self.join, self.limit = encode, join, limit
+        self.encode, self.join, self.size, self.limit = encode, join, size, limit
+        self.kept = 0  # bytes, by estimate
         self.words: dict[str, object] = {}
         self.after: dict[str, object] = {}  # units that follow a space, without it
         self.whole: dict[str, object] = {}  # other units
 
     def __call__(self, texts: Iterable[str]) -> list[list]:
         """For each text the values of its units, in order."""
-        if len(self.after) + len(self.whole) > self.limit:
-            self.after.clear(), self.whole.clear()
-        if len(self.words) > self.limit:
-            self.words.clear()
+        if self.kept > self.limit:
+            self.forget()
         cut, tails, heads = [], set(), set()
         for t in texts:
             if _ODD.search(t):
@@ -52,6 +57,11 @@ class Units:
         after, whole = self.after.__getitem__, self.whole.__getitem__
         return [[*map(whole, h), *map(after, t)] for h, t in cut]
 
+    def forget(self) -> None:
+        for kept in (self.words, self.after, self.whole):
+            kept.clear()
+        self.kept = 0
+
     def _split(self, unit: str) -> list[str]:
         base = unit[1:] if unit[:1] == " " else unit
         if base.isalpha():
@@ -67,18 +77,13 @@ class Units:
         todo = [(self.after, u, self._split(f" {u}")) for u in sorted(tails)] + [(self.whole, u, self._split(u)) for u in sorted(heads)]
         fresh = sorted({w for _, _, ws in todo for w in ws} - self.words.keys())
         self.words.update(zip(fresh, self.encode(fresh), strict=True) if fresh else ())
-        word = self.words.__getitem__
+        word, size = self.words.__getitem__, self.size
+        for w in fresh:
+            self.kept += _ENTRY + sys.getsizeof(w) + size(word(w))
         for into, unit, ws in todo:
-            into[unit] = word(ws[0]) if len(ws) == 1 else self.join([*map(word, ws)])
-
-
-def batches(texts: list[str], most_chars: int = 4_000_000, most: int = 1024) -> Iterable[slice]:
-    """Slices of texts that together stay under a size; a longer text stands alone."""
-    begin = size = 0
-    for i, t in enumerate(texts):
-        if i > begin and (size + len(t) > most_chars or i - begin >= most):
-            yield slice(begin, i)
-            begin, size = i, 0
-        size += len(t)
-    if begin < len(texts):
-        yield slice(begin, len(texts))
+            self.kept += _ENTRY + sys.getsizeof(unit)
+            if len(ws) == 1:
+                into[unit] = word(ws[0])
+            else:
+                into[unit] = value = self.join([*map(word, ws)])
+                self.kept += size(value)

@@ -195,7 +195,7 @@ def select(df: DataFrame, model: Model | None) -> DataFrame:
 
 def keep_rows(df: DataFrame, kept) -> DataFrame:
     """The rows of df for whose texts `kept` says so; no join, whole rows pass through the worker."""
-    from twinlake.llm.common import _cuts, tidy
+    from twinlake.llm.common import parts, tidy
     from twinlake.session import ship
 
     ship(df.sparkSession)
@@ -204,8 +204,7 @@ def keep_rows(df: DataFrame, kept) -> DataFrame:
         import pyarrow as pa
 
         for b in batches:
-            for begin, n in _cuts(b, 1024, 4_000_000):
-                part = b.slice(begin, n)
+            for part in parts(b):
                 yield part.filter(pa.array(kept(part.column("text").to_pylist()), pa.bool_()))
         forget()
         tidy()
