@@ -1,12 +1,16 @@
-"""Byte-level BPE by recursive queries, one embedded DuckDB per Python worker.
+"""Byte-level BPE by recursive queries, in an embedded DuckDB that a partition's task asks.
 
 Encoding: the rows (word, position, token) of distinct words join the merge table on the token and its successor; each
 step contracts a word's leftmost pair of least rank, and a word without such a pair has reached its fixpoint. A word
 that is itself a vocabulary entry is one token. In long words all pairs of the least rank are contracted in one step
 where no later pair could come before them, and the recursion is entered again every few steps, so that the rows kept
-stay bounded. Decoding: the rows join the vocabulary and are put together by an ordered aggregation.
+stay bounded. Words are encoded once for all their places in a task's texts, as long as they are remembered (a bound in
+bytes). Decoding: a document's own rows (position, id) join the vocabulary and are put together by an ordered
+aggregation, in runs of positions that are joined in order.
 
-Null text counts as empty: no tokens. Repeated rows are encoded each on their own; other columns take no part.
+Null text counts as empty: no tokens. A very long text stands alone in its queries. Repeated rows are encoded each on
+their own, an empty table gives no rows, other columns, whatever their names, take no part. There are no ties: a rank
+belongs to one token, and of equal ranks the leftmost pair comes first.
 """
 
 from __future__ import annotations
@@ -18,9 +22,9 @@ from functools import lru_cache
 import numpy as np
 from pyspark.sql import DataFrame
 
-from twinlake.llm.common import need
+from twinlake.llm.common import need, parts, tidy
 from twinlake.llm.packing import vocabulary
-from twinlake.llm.pretokens import Units, batches
+from twinlake.llm.pretokens import Units
 from twinlake.session import ship
 
 #: One step for every live word: its least (rank, position), and its rows without the token that was merged away. A row's
@@ -59,8 +63,10 @@ with recursive step(k, p, t) as (
    where gone.n is null and x.k < {depth} and exists (select 1 from taken)))
 select k, p, t from step where k = (select max(k) from step) order by p
 """
-_IDS = "select w, count(*) as n, string_agg(t::varchar, ',' order by p) as ids from tokens group by w order by w"
-_DECODE = "select w, string_agg(hex(v.tok), '' order by p) as bytes from tokens s join vocab v on v.t = s.t group by w order by w"
+_IDS = "select w, t from tokens order by w, p"
+#: The bytes of each run of positions; a byte is written as the letter of its number.
+_DECODE = "select g, string_agg(v.tok, '' order by p) as data from ids join vocab v on v.t = ids.t group by g order by g"
+_RUN, _AT_ONCE = 1 << 16, 1 << 18
 _LONG_BYTES = 1024
 
 
@@ -79,11 +85,12 @@ class Bpe:
         # tokens that a pair of lower rank takes up: after their merge, a pair may come before others of the same rank
         unsafe = {x for a, b, r in pairs for x in (a, b) if r < x}
         self.db = duckdb.connect()
-        self.db.execute("set threads = 1; set memory_limit = '400MB'")
+        # nothing goes to a machine's own disk: the rows of a query are bounded instead
+        self.db.execute("set threads = 1; set memory_limit = '400MB'; set temp_directory = ''")
         a, b, r = np.array(pairs, np.int32).T
         self._fill("merges", a=a.copy(), b=b.copy(), r=r.copy())
         self._fill("unsafe", t=np.array(sorted(unsafe), np.int32))
-        self.db.register("v", pa.table({"tok": pa.array([*ranks], pa.binary()), "t": pa.array([*ranks.values()], pa.int32())}))
+        self.db.register("v", pa.table({"tok": pa.array([t.decode("latin-1") for t in ranks]), "t": pa.array([*ranks.values()], pa.int32())}))
         self.db.execute("create table vocab as select * from v; ")
         self.db.unregister("v")
 
@@ -92,8 +99,8 @@ class Bpe:
         self.db.execute(f"create or replace table {name} as select * from incoming")
         self.db.unregister("incoming")
 
-    def encode(self, words: list[bytes], at_once: int = 4_000_000) -> list[tuple[int, str, bytes]]:
-        """(tokens, ids as comma-joined decimals, the bytes that the ids stand for) of each word."""
+    def encode(self, words: list[bytes], at_once: int = 2_000_000) -> list[bytes]:
+        """Little-endian 32-bit ids of each word."""
         out: list = [None] * len(words)
         whole, long, part, size = [], [], [], 0
         for i, w in enumerate(words):
@@ -108,16 +115,13 @@ class Bpe:
                     self._encode_part(words, part, out)
                     part, size = [], 0
             else:
-                out[i] = (0, "", b"")
+                out[i] = b""
         if part:
             self._encode_part(words, part, out)
-        if whole:
-            self._fill("tokens", w=np.arange(len(whole)), p=np.zeros(len(whole), np.int64), t=np.array([self.ranks[words[i]] for i in whole], np.int32))
-            self._collect(whole, out)
+        for i in whole:
+            out[i] = self.ranks[words[i]].to_bytes(4, "little")
         for i in long:
-            ids = self._encode_long(words[i])
-            self._fill("tokens", w=np.zeros(len(ids), np.int64), p=np.arange(len(ids)), t=np.array(ids, np.int32))
-            self._collect([i], out)
+            out[i] = np.array(self._encode_long(words[i]), "<i4").tobytes()
         return out
 
     def _encode_part(self, words: list[bytes], part: list[int], out: list) -> None:
@@ -126,14 +130,33 @@ class Bpe:
         single = self.bytes[np.frombuffer(b"".join([words[i] for i in part]), np.uint8)]
         self._fill("seed", q=np.repeat(np.arange(len(part)), sizes) << 12 | place, t=single)
         self.db.execute(_FIXPOINT)
-        self._collect(part, out)
-
-    def _collect(self, part: list[int], out: list) -> None:
-        """Ids and decoded bytes of the words in `tokens`."""
-        got = self.db.sql(_IDS).to_arrow_table()
-        data = self.db.sql(_DECODE).to_arrow_table().column("bytes").to_pylist()
-        for i, n, ids, x in zip(part, got.column("n").to_pylist(), got.column("ids").to_pylist(), data, strict=True):
-            out[i] = (n, ids, bytes.fromhex(x))
+        got = self.db.sql(_IDS).fetchnumpy()
+        ids = np.split(got["t"].astype("<i4"), np.flatnonzero(np.diff(got["w"])) + 1)
+        for i, x in zip(part, ids, strict=True):
+            out[i] = x.tobytes()
+
+    def decode(self, ids: list[np.ndarray]) -> list[bytes]:
+        """The bytes that each document's ids stand for."""
+        out: list[list[bytes]] = [[] for _ in ids]
+        todo, n = [], 0
+        for i, x in enumerate(ids):
+            for at in range(0, len(x), _RUN):
+                todo.append((i, x[at : at + _RUN]))
+                n += len(todo[-1][1])
+                if n >= _AT_ONCE:
+                    self._decode_runs(todo, out)
+                    todo, n = [], 0
+        if todo:
+            self._decode_runs(todo, out)
+        return [b"".join(x) for x in out]
+
+    def _decode_runs(self, runs: list[tuple[int, np.ndarray]], out: list[list[bytes]]) -> None:
+        sizes = [len(x) for _, x in runs]
+        self.db.register("ids", self.pa.table({"g": np.repeat(np.arange(len(runs)), sizes), "p": np.arange(sum(sizes)), "t": np.concatenate([x for _, x in runs])}))
+        got = self.db.sql(_DECODE).to_arrow_table()
+        self.db.unregister("ids")
+        for g, data in zip(got.column("g").to_pylist(), got.column("data").to_pylist(), strict=True):
+            out[runs[g][0]].append(data.encode("latin-1"))
 
     def _encode_long(self, word: bytes) -> list[int]:
         ids = self.bytes[np.frombuffer(word, np.uint8)].tolist()
@@ -146,20 +169,13 @@ class Bpe:
                 return ids
 
 
-@lru_cache(maxsize=2)
-def tokenizer(path: str) -> Units:
-    """(tokens, ids as text, decoded bytes) of a text's units; kept by the Python worker between tasks."""
+@lru_cache(maxsize=1)
+def tokenizer(path: str) -> tuple[Bpe, Units]:
+    """The tables, and little-endian ids of the units of texts; a worker keeps both, the units up to 48 MB."""
     import public_tokenizers
 
     bpe = Bpe(path)
-
-    def encode(words: list[str]) -> list[tuple[int, str, bytes]]:
-        return bpe.encode([w.encode() for w in words])
-
-    def join(values: list[tuple[int, str, bytes]]) -> tuple[int, str, bytes]:
-        return sum(v[0] for v in values), ",".join([v[1] for v in values]), b"".join([v[2] for v in values])
-
-    return Units(public_tokenizers.PATTERN, encode, join, 450_000)
+    return bpe, Units(public_tokenizers.PATTERN, lambda words: bpe.encode([w.encode() for w in words]), b"".join)
 
 
 def encode(df: DataFrame, name: str = "byte_bpe_multi_50k.tiktoken") -> DataFrame:
@@ -179,18 +195,17 @@ def _each(df: DataFrame, name: str, schema: str, last) -> DataFrame:
     names = [c.split()[0] for c in schema.split(", ")]
     types = [c.split()[1] for c in schema.split(", ")]
 
-    def run(batches_in):
+    def run(batches):
         import pyarrow as pa
 
-        units = tokenizer(vocabulary(name))
+        bpe, units = tokenizer(vocabulary(name))
         arrow = [pa.type_for_alias(kinds.get(t, "int64")) for t in types]
-        for b in batches_in:
-            docs, texts = b.column("doc_id").to_pylist(), [t or "" for t in b.column("text").to_pylist()]
-            for s in batches(texts):
-                rows = []
-                for doc, values in zip(docs[s], units(texts[s]), strict=True):
-                    ids, data = ",".join([v[1] for v in values]), b"".join([v[2] for v in values])
-                    rows.append((doc, sum([v[0] for v in values]), *last(ids, data)))
+        for b in batches:
+            for part in parts(b, 1024, 1_000_000):
+                docs, texts = part.column("doc_id").to_pylist(), [t or "" for t in part.column("text").to_pylist()]
+                ids = [np.frombuffer(b"".join(v), "<i4") for v in units(texts)]
+                rows = [(doc, len(x), *last(",".join(map(str, x.tolist())), data)) for doc, x, data in zip(docs, ids, bpe.decode(ids), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), arrow, strict=True)], names=names)
+        tidy()
 
     return need(df, "doc_id", "text").mapInArrow(run, schema)
