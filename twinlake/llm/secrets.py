@@ -1,16 +1,22 @@
 """Secret scans: fixed patterns, and a character convolutional network over every candidate and its context.
 
-Three kinds of pattern give the base spans, leftmost and non-overlapping per kind; they always stay. Candidates are
-the base spans and every run of 16 or more key characters with a digit or mixed case. The network reads a window of a
-candidate between the characters before and behind it, convolves their embeddings with filters five characters wide,
-takes each filter's maximum and a logistic output. On a longer candidate the window slides over every position; parts
-of 16 or more characters between its / = . are read each too, and the greatest answer holds. It is trained in numpy on labelled findings made by rule:
-keys of many makes in assignments, headers and prose against words, numbers, addresses, paths, dates and checksums of
-files. A held-out part calibrates its output (Platt scaling) and sets the threshold that finds the stated share of
-true secrets. A candidate that passes and lies in no base span is added, as kind `net`.
-
-Spans are code points, end exclusive. Null text counts as empty. Equal texts have equal spans; repeated rows are
-scanned each. Other columns take no part in `scan`; `redact` keeps all columns.
+Three kinds of pattern give the base spans, leftmost and non-overlapping per kind; they always stay, and the network
+says of each whether it doubts it. Candidates beside them are every run of 16 or more key characters with a digit or
+mixed case, every value of 6 or more characters behind a name and a colon or equals sign, and the password of a URL.
+The network reads a window of a candidate between the characters before and behind it, convolves their embeddings with
+filters five characters wide, takes each filter's maximum and a logistic output. On a longer candidate the window
+slides over every position; parts of 16 or more characters between its / = . are read each too, and the greatest answer
+holds. It is trained in numpy on labelled findings made by rule - keys and passwords of many makes in assignments,
+headers, URLs and prose against words, numbers, addresses, paths, dates, settings and checksums of files - that stand
+in excerpts of the documents themselves (from `sample` documents to be expected, chosen by a hash; a documented bound).
+One part of the findings is trained on, one calibrates the output (Platt scaling), and one sets the threshold that finds
+the stated share of true secrets. A candidate that passes is added as kind `net`, unless a base span or another such
+candidate covers it wholly.
+
+Spans are code points, end exclusive. Null text counts as empty. Very long texts are scanned whole, in time that grows
+with their length. Of equal spans one stays; spans with one start go by kind, then end. Equal texts have equal spans;
+repeated rows are scanned each; an empty table gives no rows and is no less scanned by a network that has seen no
+excerpt. Other columns, whatever their names, take no part in `scan`; `redact` keeps all columns.
 """
 
 from __future__ import annotations
@@ -21,6 +27,7 @@ from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from twinlake.llm.common import map_arrow, need
 
@@ -32,8 +39,11 @@ KINDS = ("assign", "access", "hex", "net")
 
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.~-]{16,}")
 PART = re.compile(r"[^/=.]{16,}")
+NAMED = re.compile(r"""(?<![\w.-])[^\W\d][\w.-]{1,40}["']?[ \t]{0,2}[:=][ \t]{0,2}["']?([^\s"'<>,;]{6,})""")
+IN_URL = re.compile(r"(?<![A-Za-z0-9+.-])[A-Za-z][A-Za-z0-9+.-]{0,20}://[^\s/:@]{1,80}:([^\s/@]{3,200})@")
 _HINTS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 ASIDE, HEAD, TAIL, FILTERS, WIDE, CLASSES, RECALL = 20, 20, 12, 24, 5, 48, 0.99
+SAMPLE, FINDINGS, EXCERPT = 400, 12_000, 400
 LENGTH = 2 * ASIDE + HEAD + TAIL
 
 
@@ -51,8 +61,12 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def candidates(text: str) -> list[tuple[int, int]]:
-    """Runs of key characters with a digit, or capitals beyond the first letter and small letters."""
-    return [m.span() for m in CANDIDATE.finditer(text) if _mixed(m[0])]
+    """Runs of key characters, values of names and passwords of URLs, by start; none of plain words."""
+    found = {m.span() for m in CANDIDATE.finditer(text) if _mixed(m[0])}
+    if ":" in text or "=" in text:
+        found.update(m.span(1) for m in NAMED.finditer(text) if _mixed(m[1]))
+        found.update(m.span(1) for m in IN_URL.finditer(text))
+    return sorted(found)
 
 
 def _mixed(s: str) -> bool:
@@ -206,8 +220,8 @@ class Network:
         """The least answer whose probability reaches the threshold."""
         return (np.log(self.threshold / (1 - self.threshold)) - self.shift) / self.scale
 
-    def calibrate(self, z: np.ndarray, y: np.ndarray, recall: float) -> None:
-        """Platt scaling of answers by Newton steps, then the greatest threshold with the recall asked for."""
+    def calibrate(self, z: np.ndarray, y: np.ndarray) -> None:
+        """Platt scaling of answers by Newton steps."""
         a, b = 1.0, 0.0
         for _ in range(50):
             p = 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30)))
@@ -217,12 +231,18 @@ class Network:
             step = np.linalg.solve(hess, g)
             a, b = a - step[0], b - step[1]
         self.scale, self.shift = float(a), float(b)
-        p = 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30)))
+
+    def choose(self, z: np.ndarray, y: np.ndarray, recall: float) -> None:
+        """The greatest threshold with the recall asked for."""
+        p = 1 / (1 + np.exp(-np.clip(self.scale * z + self.shift, -30, 30)))
         self.threshold = float(np.quantile(p[y == 1], 1 - recall, method="lower"))
 
 
-def made(n: int, seed: int = 11) -> tuple[list[str], list[tuple[int, int]], np.ndarray]:
-    """Labelled texts made by rule, with the place of the secret or of what looks like one, half of each."""
+def made(n: int, seed: int = 11, contexts: tuple[str, ...] = ()) -> tuple[list[str], list[tuple[int, int]], np.ndarray]:
+    """Labelled texts made by rule, with the place of the secret or of what looks like one, half of each.
+
+    Most stand between words of the contexts, where there are any.
+    """
     rng = np.random.default_rng(seed)
     pick = lambda s: s[rng.integers(len(s))]
     draw = lambda alphabet, k: "".join(alphabet[i] for i in rng.integers(0, len(alphabet), k))
@@ -230,33 +250,87 @@ def made(n: int, seed: int = 11) -> tuple[list[str], list[tuple[int, int]], np.n
     some = lower + upper + digits
     syllables = ["th", "er", "in", "on", "re", "an", "ti", "es", "en", "le", "de", "ou", "sch", "un", "ci", "ar", "qu", "el"]
     word = lambda: "".join(pick(syllables) for _ in range(rng.integers(1, 5)))
-    prose = lambda: " ".join(word() + pick(["", "", "", ",", "."]) for _ in range(6))
+    given = [w for c in contexts if len(w := c.split(" ")) > 3]
     names = ["key", "auth", "bearer", "pwd", "access_key", "client_secret", "AWS_SECRET_ACCESS_KEY", "private_key", "credential", "authorization", "x-auth", "token", "secret"]
+    locks = ["pwd", "pass", "pw", "passphrase", "passwort", "db_pass", "user_pwd", "admin_pass", "login.password", "PGPASSWORD", "kennwort", "contraseña", "mot_de_passe"]
+    harmless_names = ["width", "color", "date", "time", "version", "file", "id", "user", "ref", "isbn", "phone", "tel", "host", "size", "page", "lang", "note", "from", "re", "src", "name", "mail", "build", "order"]
+    symbols = "!#$%&*+-_?@"
+
+    def prose() -> str:
+        if given and rng.random() < 0.7:
+            w = pick(given)
+            at = rng.integers(0, max(1, len(w) - 6))
+            return " ".join(w[at : at + 6])
+        return " ".join(word() + pick(["", "", "", ",", "."]) for _ in range(6))
+
+    def password() -> str:
+        """What people think of: words with figures and signs in them."""
+        base = "".join(word() for _ in range(2))[: rng.integers(4, 11)]
+        if rng.random() < 0.5:
+            base = base.title()
+        if rng.random() < 0.5:
+            base = base.translate(str.maketrans("aeio", "4310"))
+        out = base + pick(["", pick(symbols), pick(symbols)]) + str(rng.integers(0, pick([10, 100, 10000]))) + pick(["", "", pick(symbols)])
+        return out if len(out) >= 6 else out + draw(some, 6)
+
+    def random_password() -> str:
+        return draw(some + symbols, rng.integers(8, 20)) + pick(digits)
+
+    def locked() -> tuple[str, str, str]:
+        """A password where its name, or a URL, tells what it is."""
+        s = pick([password, password, random_password])()
+        name = pick(locks)
+        name = pick([name, name, name.upper(), name.title()])
+        if rng.random() < 0.35:
+            s = s.replace("@", "-")
+            scheme = pick(["postgres", "postgresql", "mysql", "redis", "amqp", "mongodb", "https", "ftp", "smtp"])
+            return f"{prose()} {scheme}://{pick([word(), 'admin', 'root', 'app'])}:", s, f"@{word()}.example.com{pick(['', ':5432', ':3306'])}/{word()} {prose()}"
+        a, b = pick([(": ", ""), ("=", ""), (" = '", "'"), ('="', '"'), (': "', '"'), (":", "")])
+        return f"{prose()} {name}{a}", s, f"{b} {prose()}"
 
     def secret() -> tuple[str, str, str]:
+        if rng.random() < 0.35:
+            return locked()
         s = pick([
             lambda: draw(some, rng.integers(20, 48)),
             lambda: draw(some + "+/", 40),
             lambda: draw(some + "-_", rng.integers(24, 64)),
             lambda: draw(digits + "abcdef", pick([32, 40, 64])),
-            lambda: pick(["ghp_", "gho_", "glpat-", "xoxb-", "sk_live_", "sk-", "rk_live_", "AIza", "SG.", "npm_", "hf_"]) + draw(some, rng.integers(20, 40)),
+            lambda: pick(["ghp_", "gho_", "glpat-", "xoxb-", "sk_live_", "sk-", "sk-proj-", "rk_live_", "AIza", "SG.", "npm_", "hf_", "github_pat_", "xoxp-", "pypi-"]) + draw(some, rng.integers(20, 40)),
             lambda: "eyJ" + draw(some, 24) + "." + "eyJ" + draw(some, 30) + "." + draw(some + "-_", 30),
             lambda: draw(some + "+/", 43) + "=",
         ])()
         before, behind = pick([
             (lambda: (f"{pick(names)} = \"", '"')), (lambda: (f"{pick(names)}: ", "")), (lambda: (f"{prose()} ", f" {prose()}")),
             (lambda: ("Authorization: Bearer ", "\n")), (lambda: (f"export {pick(names).upper()}=", "\n")), (lambda: (f"{pick(names)}='", "'")),
-            (lambda: (f"?{pick(names)}=", "&x=1")), (lambda: (f"https://{word()}.example.com/{word()}/{word()}/", f"/{word()}/{word()}.json ")),
+            (lambda: (f"https://hooks.{word()}.example.com/services/T{draw(upper + digits, 8)}/B{draw(upper + digits, 8)}/", " ")), (lambda: (f"?{pick(names)}=", "&x=1")), (lambda: (f"https://{word()}.example.com/{word()}/{word()}/", f"/{word()}/{word()}.json ")),
             (lambda: (f"{word()}_{pick(names)}_{word()}=".upper(), " ")), (lambda: (f"{word()}/{word()}{rng.integers(1, 99)}/", f"/{word()} ")),
         ])()
         return f"{prose()} {before}", s, f"{behind} {prose()}"
 
+    def setting() -> tuple[str, str, str]:
+        """A value of a name that keeps no secret."""
+        s = pick([
+            lambda: f"{rng.integers(10, 2000)}px{rng.integers(1, 9)}", lambda: "#" + draw(digits + "abcdef", 6), lambda: f"{rng.integers(1950, 2030)}-{rng.integers(10, 13)}-{rng.integers(10, 29)}",
+            lambda: f"{rng.integers(10, 24)}:{rng.integers(10, 60)}:{rng.integers(10, 60)}", lambda: f"{rng.integers(1, 20)}.{rng.integers(0, 20)}.{rng.integers(0, 20)}{pick(['', '-rc1', '-beta2'])}",
+            lambda: f"{word()}_{rng.integers(1990, 2030)}.{pick(['pdf', 'html', 'txt', 'png', 'csv'])}", lambda: draw(digits, rng.integers(6, 20)), lambda: f"{word()}{rng.integers(1, 100)}@{word()}.example.com",
+            lambda: f"{pick(['+49', '+33', '001'])}-{draw(digits, 3)}-{draw(digits, 6)}", lambda: f"{draw(upper, 3)}-{draw(digits, 5)}", lambda: f"978-{draw(digits, 1)}-{draw(digits, 2)}-{draw(digits, 6)}-{draw(digits, 1)}",
+            lambda: f"//{word()}.example.com:{rng.integers(80, 9000)}/{word()}", lambda: f"{word().title()}{word().title()}", lambda: f"{word()}-{word()}{rng.integers(1, 100)}", lambda: f"{word()}{rng.integers(1, 100)}",
+        ])()
+        name = pick(harmless_names) if rng.random() < 0.6 else word()
+        a, b = pick([(": ", ""), ("=", ""), (" = '", "'"), ('="', '"'), (': "', '"'), (":", "")])
+        return f"{prose()} {pick([name, name.title()])}{a}", s.ljust(6, "0"), f"{b} {prose()}"
+
     def harmless() -> tuple[str, str, str]:
+        if rng.random() < 0.35:
+            return setting()
         long = lambda k: "".join(word() for _ in range(k))
         s = pick([
             lambda: long(6)[:30].ljust(16, "e").capitalize() + pick(["", "2", "19"]),
             lambda: f"{word()}.{rng.integers(1, 99)}.{word()}-{word()}{rng.integers(1, 9)}.{word()}",
+            lambda: draw(digits, 16), lambda: draw(digits, 16), lambda: f"{draw(digits, 16)} {draw(digits, 16)}",
             lambda: draw(digits, rng.integers(16, 20)),
+            lambda: f"{long(rng.integers(1, 4))}.{rng.integers(1, 99)}@{word()}{rng.integers(1, 99)}.example.com",
             lambda: f"{rng.integers(1990, 2030)}-{rng.integers(10, 12)}-{rng.integers(10, 28)}T{rng.integers(10, 23)}-{rng.integers(10, 59)}",
             lambda: f"{word()}/{word()}/{word()}{rng.integers(1, 99)}/{word()}.html",
             lambda: f"{word()}_{word()}_{word()}_{rng.integers(1, 999)}".ljust(16, "s"),
@@ -286,9 +360,9 @@ def reach(texts: list[str], places: list[tuple[int, int]]) -> list[tuple[int, in
     return [(i, a, b) for i, (t, (c, d)) in enumerate(zip(texts, places, strict=True)) for a, b in candidates(t) if a < d and c < b]
 
 
-def findings(n: int, seed: int = 11, each: int = 2) -> tuple[list[str], np.ndarray]:
+def findings(n: int, seed: int = 11, each: int = 2, contexts: tuple[str, ...] = ()) -> tuple[list[str], np.ndarray]:
     """Labelled windows of the candidates in made texts: some of those that lie in the secret, or of all."""
-    texts, places, y = made(n, seed)
+    texts, places, y = made(n, seed, contexts)
     rng = np.random.default_rng(seed + 1)
     full, windows, labels = HEAD + TAIL, [], []
     for i, a, b in reach(texts, places):
@@ -296,37 +370,79 @@ def findings(n: int, seed: int = 11, each: int = 2) -> tuple[list[str], np.ndarr
         if y[i]:
             c, d = places[i]
             seen = [s for s in seen if min(s[1], d) - max(s[0], c) >= min(s[1] - s[0], d - c)]
-        for j in rng.permutation(len(seen))[:each]:
+        # of what is harmless, more: none of a long run's windows may pass
+        for j in rng.permutation(len(seen))[: each if y[i] else 3 * each]:
             windows.append(window(texts[i], *seen[j]))
             labels.append(y[i])
     return windows, np.array(labels, np.float32)
 
 
+def excerpts(docs: DataFrame, sample: int = SAMPLE, length: int = EXCERPT) -> tuple[str, ...]:
+    """Pieces of `length` code points, at places chosen by a hash, of about `sample` documents: the bound of what is collected."""
+    texts = docs.select(F.col("text").alias("t")).where("t is not null and t <> ''")
+    n = texts.count()
+    if not n:
+        return ()
+    h = F.xxhash64("t")
+    part = texts.where(F.pmod(h, F.lit(1 << 30)) < min(1.0, sample / n) * (1 << 30)).groupBy("t").count().select("t")
+    at = F.pmod(F.shiftright(h, 32), F.greatest(F.lit(1), F.char_length("t") - length)) + 1
+    return tuple(sorted(r[0] for r in part.select(F.substring(F.col("t"), at.cast("int"), F.lit(length))).collect()))
+
+
 @lru_cache(maxsize=2)
-def model(n: int = 5000, recall: float = RECALL) -> Network:
-    """The trained, calibrated network: the same on every machine of a kind, made once by the driver."""
-    w, y = findings(n * 4 // 5)
+def model(n: int = FINDINGS, recall: float = RECALL, contexts: tuple[str, ...] = ()) -> Network:
+    """The trained, calibrated network for these contexts: three fifths of the findings train it, one calibrates, one sets the threshold."""
+    w, y = findings(n * 3 // 5, 11, 2, contexts)
     net = Network()
-    net.train(encode(w), y, 6)
-    texts, places, labels = made(n - n * 4 // 5, 12)
-    spans = reach(texts, places)
-    net.calibrate(net.answers(texts, spans), labels[[i for i, _, _ in spans]], recall)
+    net.train(encode(w), y, 8)
+
+    def judged(seed: int) -> tuple[np.ndarray, np.ndarray]:
+        """The best answer within each made text, and its label."""
+        texts, places, labels = made(n // 5, seed, contexts)
+        spans = reach(texts, places)
+        best = np.full(len(texts), -np.inf)
+        np.maximum.at(best, [i for i, _, _ in spans], net.answers(texts, spans))
+        return best[best > -np.inf], labels[best > -np.inf]
+
+    net.calibrate(*judged(12))
+    net.choose(*judged(13), recall)
     return net
 
 
-def spans_of(texts: list[str | None], net: Network) -> list[list[tuple[int, int, str]]]:
-    """All spans of each text, by start, then kind."""
+def fit(docs: DataFrame, sample: int = SAMPLE) -> Network:
+    """The network trained on findings in excerpts of the documents."""
+    return model(contexts=excerpts(docs, sample))
+
+
+def spans_of(texts: list[str | None], net: Network) -> tuple[list[list[tuple[int, int, str]]], list[int]]:
+    """All spans of each text, by start, then kind; and how many of its base spans the network doubts."""
     texts = [t or "" for t in texts]
     out = [base_spans(t) for t in texts]
-    where = [(i, a, b) for i, t in enumerate(texts) for a, b in candidates(t)]
+    doubted = [0] * len(texts)
+    where = [(i, a, b, k) for i, (t, base) in enumerate(zip(texts, out, strict=True)) for a, b, k in [*base, *((a, b, "net") for a, b in candidates(t))]]
     if where:
         enough = net.enough()
-        for (i, a, b), ok in zip(where, (net.answers(texts, where, enough) >= enough).tolist(), strict=True):
-            if ok and not any(s <= a and b <= e for s, e, k in out[i] if k != "net"):
+        touched = set()
+        for (i, a, b, k), ok in zip(where, (net.answers(texts, [w[:3] for w in where], enough) >= enough).tolist(), strict=True):
+            if k != "net":
+                doubted[i] += not ok
+            elif ok:
                 out[i].append((a, b, "net"))
-        for s in out:
-            s.sort(key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
-    return out
+                touched.add(i)
+        for i in touched:
+            out[i] = _uncovered(out[i])
+    return out, doubted
+
+
+def _uncovered(spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """The base spans and those net spans that no other span covers wholly, by start, then kind."""
+    spans.sort(key=lambda s: (s[0], -s[1], s[2] == "net"))
+    kept, reached = [], -1
+    for a, b, k in spans:
+        if k != "net" or b > reached:
+            kept.append((a, b, k))
+        reached = max(reached, b)
+    return sorted(kept, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 
 def written(spans: list[tuple[int, int, str]]) -> str:
@@ -334,19 +450,19 @@ def written(spans: list[tuple[int, int, str]]) -> str:
 
 
 def scan(df: DataFrame, net: Network | None = None) -> DataFrame:
-    """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_net) of each whole text."""
-    net = net or model()
+    """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_net, n_doubted) of each whole text."""
+    net = net or fit(df)
 
     def run(cols: dict[str, list]) -> dict[str, list]:
-        found = spans_of(cols["text"], net)
+        found, doubted = spans_of(cols["text"], net)
         base = [[s for s in f if s[2] != "net"] for f in found]
         count = lambda kind: [sum(s[2] == kind for s in f) for f in found]
         return {
             "doc_id": cols["doc_id"], "n_assign": count("assign"), "n_access": count("access"), "n_hex": count("hex"),
-            "base_sha256": [hashlib.sha256(written(b).encode()).hexdigest() for b in base], "spans": [written(f) for f in found], "n_net": count("net"),
+            "base_sha256": [hashlib.sha256(written(b).encode()).hexdigest() for b in base], "spans": [written(f) for f in found], "n_net": count("net"), "n_doubted": doubted,
         }
 
-    return map_arrow(need(df, "doc_id", "text"), run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_net long", 1024)
+    return map_arrow(need(df, "doc_id", "text"), run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_net long, n_doubted long", 1024)
 
 
 def redacted(text: str, spans: list[tuple[int, int, str]]) -> str:
@@ -366,10 +482,10 @@ def redacted(text: str, spans: list[tuple[int, int, str]]) -> str:
 
 def redact(df: DataFrame, net: Network | None = None) -> DataFrame:
     """df, all rows and columns, with secrets in text replaced; n_chars follows where there is such a column."""
-    from twinlake.llm.common import _cuts, tidy
+    from twinlake.llm.common import parts, tidy
     from twinlake.session import ship
 
-    net = net or model()
+    net = net or fit(df)
     ship(df.sparkSession)
     schema = df.schema
 
@@ -377,10 +493,9 @@ def redact(df: DataFrame, net: Network | None = None) -> DataFrame:
         import pyarrow as pa
 
         for b in batches:
-            for begin, n in _cuts(b, 1024, 4_000_000):
-                part = b.slice(begin, n)
+            for part in parts(b):
                 texts = part.column("text").to_pylist()
-                new = [t if not s else redacted(t, s) for t, s in zip(texts, spans_of(texts, net), strict=True)]
+                new = [t if not s else redacted(t, s) for t, s in zip(texts, spans_of(texts, net)[0], strict=True)]
                 cols = {name: part.column(name) for name in part.schema.names}
                 cols["text"] = pa.array(new, part.schema.field("text").type)
                 if "n_chars" in cols:
