@@ -7,6 +7,7 @@ import re
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from twinlake.llm import bitmap, chat, fingerprint, html, neardup, queries
 from twinlake.llm.common import table
@@ -353,6 +354,26 @@ def test_against_sql(spark, name):
     assert sorted(tuple(r[c] for c in cols) for r in df.collect()) == sorted(tuple(dict(zip(names, r, strict=True))[c] for c in cols) for r in rel.fetchall())
 
 
+def test_bitmap_minds_no_names(spark):
+    rows = spark.createDataFrame([(i, f"t{i}", i, None, "x") for i in range(50)] + [(None, "none", 0, 1, "y")], "doc_id long, _gone string, bitmap int, part int, `a.b` string")
+    rows = rows.withColumnRenamed("part", "_bitmap_part").withColumn("row", F.lit(1)).withColumn("id", F.lit(2)).withColumn("held", F.lit(None))
+    ids = rows.where("doc_id < 20").select("doc_id")
+    left = bitmap.without(rows, ids, "doc_id")
+    assert left.columns == rows.columns and sorted(r.doc_id for r in left.where("doc_id is not null").collect()) == list(range(20, 50)) and left.count() == 31
+    assert {r.doc_id for r in bitmap.may_hold(rows, ids, "doc_id").collect()} >= set(range(20))
+    assert bitmap.bits_for(0) == 22 and bitmap.bits_for(1 << 20) == 24 and bitmap.bits_for(1 << 40) == 30
+
+
+def test_ids_with_several_texts_are_one_document(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(5, a), (5, b), (5, c), (1, a), (2, b), (3, c), (9, "else where"), (None, "x y z"), (None, a)]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()
+    assert len(got) == len(rows) and {r.component_id for r in got if r.doc_id in (1, 2, 3, 5)} == {1}
+    many = [(7, " ".join(f"w{k}x{i}" for i in range(30))) for k in range(300)] + [(k, " ".join(f"w{k}x{i}" for i in range(30))) for k in range(8, 300, 9)]
+    got = neardup.near_duplicates(spark.createDataFrame(many, "doc_id long, text string"), 3, 85).collect()
+    assert {r.component_id for r in got} == {7}
+
+
 def test_bitmap_lets_all_wanted_pass(spark):
     rng = random.Random(4)
     ids = [rng.randrange(-(2**62), 2**62) for _ in range(3000)] + list(range(3000))

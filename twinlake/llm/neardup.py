@@ -9,10 +9,13 @@ m is the least for which a pair at the threshold is missed with a chance of at m
 Only sketches that two classes share can make a shared key, so only their pairs are spread. Within a key's group the
 least id is compared with each other. Members of groups that are then not all connected go through an exact join on
 prefixes of their sets, across what is not connected. No group is enumerated in pairs or gathered in one task, and no
-link between members of a group is lost.
+link between members of a group is lost. A hash that very many sets share is met by broadcast counts and dealt out by
+salts, so that no task gets all its sets.
 
-Null text counts as empty. Rows with one id are one document. Columns beyond id and text take no part. An empty table
-gives no rows.
+Null text counts as empty. A very long text is hashed whole, in blocks. Rows with one id are one document: what is
+linked with one of its texts is linked with all. Repeated rows are rows of one class. Ties do not arise: a component is
+named by its least id. Null ids are one document that sorts before all others. Columns beyond id and text, whatever
+their names, take no part. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -114,34 +117,49 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.where(100 * F.col("both") >= percent * (F.size("ha") + F.size("hb") - F.col("both"))).select("a", "b").distinct()
 
 
-def across_parts(rows: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+def join_by_hash(rows: DataFrame, facts: DataFrame, least: int = 1000) -> DataFrame:
+    """rows joined with facts, one row to a hash h with its count n of rows.
+
+    A hash with more than a ten-thousandth of all rows is one of 10,000 at most: these are broadcast, and their rows stay
+    where they are.
+    """
+    total = facts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    often = F.col("n") > max(least, total // 10_000)
+    hot, cold = F.broadcast(facts.where(often)), facts.where(~often)
+    return rows.join(hot, "h").unionByName(rows.join(hot, "h", "left_anti").join(cold, "h"))
+
+
+def across_parts(rows: DataFrame, sets: DataFrame, percent: int, scratch: Scratch, salted: int = 1000) -> DataFrame:
     """Every pair (a, b) of different parts that can reach the threshold, by prefixes of the sets; rows: (id, part).
 
     Hashes are put in one order, rare ones first. Sets that reach the threshold share one of their first
-    n - ceil(threshold * n) + 1 hashes, and at the first one that they share, what is left of both still allows the
+    size - ceil(threshold * size) + 1 hashes, and at the first one that they share, what is left of both still allows the
     overlap needed. In a hash's list only those outside its largest part look for partners, and a document with many
-    hashes of its own finds none at all: near copies of one text don't meet in all pairs.
+    hashes of its own finds none at all: near copies of one text don't meet in all pairs. A list is dealt out by salts,
+    `salted` sets to each, and every looker goes to each.
     """
-    each = rows.join(sets, "id").select("id", "part", F.size("hashes").alias("n"), F.explode("hashes").alias("h"))
-    often = each.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
-    common = each.join(often, "h")
+    each = rows.join(sets, "id").select("id", "part", F.size("hashes").alias("size"), F.explode("hashes").alias("h"))
+    often = scratch.keep(each.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "often")
+    common = join_by_hash(each, often).withColumnRenamed("n", "df")
     per = common.groupBy("id").agg(F.count("*").alias("c"))
     order = W.partitionBy("id").orderBy("df", "h")
-    placed = common.withColumn("r", F.row_number().over(order)).join(per, "id").withColumn("at", F.col("n") - F.col("c") + F.col("r"))
-    first = placed.where(f"at <= n - ({percent} * n + 99) div 100 + 1").select("h", "id", "part", "n", "at")
+    placed = common.withColumn("r", F.row_number().over(order)).join(per, "id").withColumn("at", F.col("size") - F.col("c") + F.col("r"))
+    first = placed.where(f"at <= size - ({percent} * size + 99) div 100 + 1").select("h", "id", "part", "size", "at")
     first = scratch.keep(first, "prefixes")
-    lists = first.groupBy("h", "part").agg(F.count("*").alias("m")).groupBy("h").agg(F.max(F.struct("m", "part")).alias("top"), F.count("*").alias("k")).where("k > 1")
-    lists = lists.select("h", F.col("top.part").alias("largest"))
-    here = first.join(lists, "h")
-    a = here.where("part <> largest").select("h", *[F.col(c).alias(f"{c}_a") for c in ("id", "part", "n", "at")])
-    b = here.select("h", *[F.col(c).alias(f"{c}_b") for c in ("id", "part", "n", "at")])
-    needed = F.expr(f"({percent} * (n_a + n_b) + {99 + percent}) div {100 + percent}")
+    scratch.drop(often)
+    lists = first.groupBy("h", "part").agg(F.count("*").alias("m")).groupBy("h").agg(F.max(F.struct("m", "part")).alias("top"), F.count("*").alias("k"), F.sum("m").alias("n"))
+    lists = scratch.keep(lists.where("k > 1").select("h", F.col("top.part").alias("largest"), "n", (F.expr(f"n div {salted}") + 1).cast("int").alias("salts")), "lists")
+    here = join_by_hash(first, lists)
+    a = here.where("part <> largest").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    a = a.select("h", "salt", *[F.col(c).alias(f"{c}_a") for c in ("id", "part", "size", "at")])
+    b = here.select("h", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt"), *[F.col(c).alias(f"{c}_b") for c in ("id", "part", "size", "at")])
+    needed = F.expr(f"({percent} * (size_a + size_b) + {99 + percent}) div {100 + percent}")
     fits = (
         (F.col("part_a") != F.col("part_b"))
-        & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-        & (1 + F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) >= needed)
+        & (100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b"))
+        & (1 + F.least(F.col("size_a") - F.col("at_a"), F.col("size_b") - F.col("at_b")) >= needed)
     )
-    return a.join(b, (a["h"] == b["h"]) & fits).select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
+    return a.join(b, (a["h"] == b["h"]) & (a["salt"] == b["salt"]) & fits).select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
 
 
 def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, k: int = 3, miss: float = 1e-4) -> DataFrame:
@@ -153,10 +171,11 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, k: int = 3
     classes = rows.where("n > 0").groupBy("set_key").agg(F.min("doc_id").alias("rep"))
     # a class's row: every row with its least id has the same set, so any of them
     chosen = rows.where("n > 0").join(classes, "set_key").where(F.col("doc_id") == F.col("rep"))
-    halves = chosen.groupBy("set_key", "rep").agg(F.first("halves").alias("halves")).select("rep", F.explode("halves").alias("v"))
+    # an id with several texts stands for several classes, told apart by c
+    halves = chosen.groupBy("set_key", "rep").agg(F.first("halves").alias("halves")).select("rep", F.xxhash64("set_key").alias("c"), F.explode("halves").alias("v"))
     halves = scratch.keep(halves, "halves")
     shared = halves.groupBy("v").agg(F.count("*").alias("n")).where("n > 1").select("v")
-    useful = halves.join(shared, "v").groupBy("rep").agg(F.collect_list("v").alias("s"))  # 2 * m at most to a class
+    useful = halves.join(shared, "v").groupBy("rep", "c").agg(F.collect_list("v").alias("s"))  # 2 * m at most to a class
     sides = useful.select("rep", F.filter("s", lambda x: x % 2 == 0).alias("s1"), F.filter("s", lambda x: x % 2 != 0).alias("s2"))
     keys = sides.select("rep", F.explode("s1").alias("x"), "s2").select("rep", "x", F.explode("s2").alias("y"))
     keys = scratch.keep(keys.select(F.xxhash64("x", "y").alias("key"), "rep"), "keys")
@@ -166,16 +185,16 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, k: int = 3
     groups = groups.groupBy("lead", "n", "members").agg(F.min("key").alias("key")).select("key", "lead", "n")
     members = scratch.keep(keys.join(groups, "key"), "members")
     scratch.drop(keys)
-    wanted = members.select(F.col("rep").alias("doc_id")).distinct()
+    wanted = scratch.keep(members.select(F.col("rep").alias("doc_id")).distinct(), "wanted")
     # an inner join with distinct ids: a semi-join would be moved before the bitmap
     texts = may_hold(need(df, "doc_id", "text"), wanted, "doc_id").join(wanted, "doc_id")
     sets = scratch.keep(shingle_sets(texts, words).distinct(), "sets")
     pairs = members.where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
     links = scratch.keep(confirmed(pairs, sets, percent), "links")
-    # rows with one id but different sets are one document
-    rep_of = rows.where("n > 0").select("doc_id", "set_key").join(classes, "set_key")
-    same = rep_of.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b").select("a", "b")
-    links = links.unionByName(scratch.keep(same, "same"))
+    # rows with one id but different sets are one document: the least of its classes is linked with every other
+    rep_of = rows.where("n > 0").select("doc_id", "set_key").distinct().join(classes, "set_key").select("doc_id", "rep").distinct()
+    several = rep_of.groupBy("doc_id").agg(F.min("rep").alias("a"), F.count("*").alias("k")).where("k > 1").select("doc_id", "a")
+    links = links.unionByName(scratch.keep(rep_of.join(several, "doc_id").where("rep <> a").select("a", F.col("rep").alias("b")), "same"))
     parts = connected_components(links, scratch=scratch)
     inside = members.where("n > 2").select("key", "rep").join(parts, F.col("rep") == F.col("id"), "left").select("key", "rep", F.coalesce("component", "rep").alias("part"))
     inside = scratch.keep(inside, "parts")
@@ -184,7 +203,7 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, k: int = 3
     more = scratch.keep(confirmed(across_parts(still, sets, percent, scratch), sets, percent), "links")
     if more.limit(1).count():
         parts = connected_components(links.unionByName(more), scratch=scratch)
-    scratch.drop(sets, members)
+    scratch.drop(sets, members, wanted, inside, more)
     found = classes.join(parts, F.col("rep") == F.col("id"), "left").select("set_key", F.coalesce("component", "rep").alias("component"))
     out = rows.select("doc_id", "n", "set_key").join(found, "set_key", "left")
     component = F.coalesce("component", "doc_id")
