@@ -6,7 +6,8 @@ hash. An empty bin takes the value of the filled bin that comes first in a rando
 densification). The fingerprint stores the low eight bits of each bin, as 256 hex digits. Likeness is the share of
 equal bins, less the share that chance makes equal (bias correction), cut to 0..1.
 
-Null text counts as empty. A text without words has the fingerprint '' and likeness 1 to another such, 0 to all else.
+Null text counts as empty. Very long texts are hashed whole, an empty table gives no rows. A tie in an empty bin's order
+goes to the least low bits. A text without words has the fingerprint '' and likeness 1 to another such, 0 to all else.
 Of repeated ids the one whose text sorts first comes first; repeated rows are kept each. Other columns take no part.
 """
 
@@ -78,18 +79,43 @@ def likeness(a: Column, b: Column) -> Column:
     )
 
 
-def with_next(df: DataFrame, per_block: int = 64, most_blocks: int = 65536) -> DataFrame:
+def bounds(df: DataFrame, per_block: int, most_blocks: int, each: int = 8) -> list[int]:
+    """Ids that part the rows into blocks of about `per_block`, at most `most_blocks` in number.
+
+    They are every eighth of a sample of ids chosen by a hash, so they follow the ids however these are spread; what
+    the driver gets is bounded by 8 * `most_blocks` ids.
+    """
+    n = df.count()
+    blocks = max(1, min(most_blocks, n // per_block))
+    chosen = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.lit(int(min(1.0, each * blocks / max(n, 1)) * (1 << 30)))
+    ids = F.sort_array(F.collect_set("doc_id"))
+    return df.where(chosen).agg(F.filter(ids, lambda _, i: i % each == each - 1)).first()[0] or []
+
+
+def block_of(doc_id: Column, edges: list[int]) -> Column:
+    """How many of the sorted edges are not above the id (binary search); -1 for none."""
+    if not edges:
+        return F.when(doc_id.isNull(), F.lit(-1)).otherwise(F.lit(0))
+    held = F.from_json(F.lit(str(edges)), "array<bigint>")
+    start = F.struct(F.lit(0).alias("lo"), F.lit(len(edges)).alias("hi"))
+
+    def step(s, _):
+        mid = F.shiftright(s["lo"] + s["hi"], 1)
+        right = (s["lo"] < s["hi"]) & (F.get(held, mid) <= doc_id)
+        return F.struct(F.when(right, mid + 1).otherwise(s["lo"]).alias("lo"), F.when(right | (s["lo"] >= s["hi"]), s["hi"]).otherwise(mid).alias("hi"))
+
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(len(edges).bit_length() + 1)), start, step, lambda s: s["lo"])
+    return F.when(doc_id.isNull(), F.lit(-1)).otherwise(found)
+
+
+def with_next(df: DataFrame, per_block: int = 64, most_blocks: int = 1 << 18) -> DataFrame:
     """Rows dealt out by blocks of the id, with a copy of the first row of the block below at each block's end.
 
     Within a block, by descending id, the row after one is then the next document of the whole table; `copied` marks
-    the copies, which come last. The lowest block is followed by the highest. The blocks' summary has `most_blocks`
+    the copies, which come last. The lowest block is followed by the highest. The blocks' summary has `most_blocks` + 2
     rows at most, which bounds what is broadcast.
     """
-    whole = df.agg(F.count("doc_id"), F.min("doc_id"), F.max("doc_id")).first()
-    n, low, high = whole[0], whole[1] or 0, whole[2] or 0
-    blocks = max(1, min(most_blocks, n // per_block))
-    width = min((high - low) // blocks + 1, 2**63 - 1)
-    rows = df.withColumn("block", F.coalesce(F.expr(f"doc_id div {width}L"), F.lit(int(low / width) - 1)))
+    rows = df.withColumn("block", block_of(F.col("doc_id"), bounds(df, per_block, most_blocks)))
     order = W.orderBy(F.col("block").desc())
     # the first of a block: its greatest id, and of several rows with that id the least text
     tops = rows.groupBy("block").agg(F.max(F.coalesce("doc_id", F.lit(-(2**63)))).alias("top_id"))
