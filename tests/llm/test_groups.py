@@ -147,6 +147,56 @@ def test_next_document(spark, ids):
     assert sorted(r.edited_sha256 for r in got) == sorted(want)
 
 
+def test_blocks_follow_the_ids(spark):
+    """An id far from all others, and ids of many sizes, leave blocks small."""
+    for ids in ([*range(2000), 1 << 60, -(1 << 61)], [1 << (k % 60) | k for k in range(2000)]):
+        df = spark.createDataFrame([(i, "x") for i in ids], "doc_id long, text string")
+        sizes = fingerprint.with_next(df).where("not copied").groupBy("block").count().collect()
+        assert max(r["count"] for r in sizes) <= 8 * 64 and sum(r["count"] for r in sizes) == len(ids)
+    edges = fingerprint.bounds(df, 64, 1 << 18)
+    got = df.select("doc_id", fingerprint.block_of(F.col("doc_id"), edges).alias("b")).collect()
+    assert edges == sorted(edges) and all(r.b == sum(e <= r.doc_id for e in edges) for r in got)
+
+
+def brute_bins(text):
+    """The stored bins by their definition, in plain Python."""
+    import xxhash
+
+    signed = lambda u: u - (1 << 64) if u >> 63 else u
+    of_long = lambda v, seed: xxhash.xxh64_intdigest((v & (1 << 64) - 1).to_bytes(8, "little"), seed)
+    words = [w for w in re.split("[ \\t-\\r]+", text.lower()) if w]
+    if not words:
+        return ""
+    h = [signed(xxhash.xxh64_intdigest(w.encode(), 42)) for w in words]
+    if len(h) < 5:
+        shingles = [signed(xxhash.xxh64_intdigest(",".join(map(str, h)).encode(), 42))]
+    else:
+        shingles = []
+        for i in range(len(h) - 4):
+            seed = 42
+            for x in h[i : i + 5]:
+                seed = of_long(x, seed)
+            shingles.append(signed(seed))
+    least = {}
+    for x in shingles:
+        least[x >> 57] = min(x, least.get(x >> 57, x))
+    out = []
+    for b in range(-64, 64):
+        if b in least:
+            out.append(least[b] & 255)
+        else:
+            # the filled bin that is first in the empty bin's own order
+            out.append(min(signed(of_long(k, of_long(b, 42))) & ~255 | x & 255 for k, x in least.items()) & 255)
+    return bytes(out).hex()
+
+
+def test_stored_bins_by_definition(spark, docs_of):
+    texts = [*ODD, "one two three four", "a b c d e f g " * 3, " ".join(f"w{i}" for i in range(900)), "long " * 3000 + "end"]
+    got = {r.doc_id: r.fingerprint for r in fingerprint.fingerprints(docs_of(texts)).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == brute_bins(t or ""), t
+
+
 def test_no_documents(spark, docs_of):
     assert fingerprint.fingerprints(docs_of([])).count() == 0
 
@@ -197,6 +247,19 @@ def test_windows_keep_budget_system_and_history(spark):
     assert chat.digests(chat.windows(df.limit(0))).count() == 0
 
 
+def test_windows_measure_unspaced_scripts_and_long_system_turns(spark):
+    rows = [(1, t, ["user", "assistant"][t % 2], "中文" * 2500) for t in range(19)] + [(2, t, ["user", "assistant"][t % 2], "中文" * 20) for t in range(60)]
+    rows += [(3, 0, "system", "rule " * 2000)] + [(3, t, ["user", "assistant"][t % 2], "word " * 40) for t in range(1, 60)]
+    ws = chat.windows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).orderBy("conv_id", "window").collect()
+    long, short, ruled = ([w for w in ws if w.conv_id == c] for c in (1, 2, 3))
+    # a turn beyond the budget is a window of its own; shorter ones share windows within it, by four bytes to a token
+    assert len(long) == 19 and all(w.own == 1 for w in long)
+    assert len(short) > 1 and all(len(w.text.encode()) / 4 <= 1024 + 12 * w.text.count(chat.END) for w in short)
+    # a system turn beyond the budget leaves a quarter of it to the others
+    system = len("rule " * 2000)
+    assert len(ruled) > 5 and all(w.text.startswith("### System: rule") and len(w.text) - system <= 4 * (256 + 128) + 12 * w.text.count(chat.END) for w in ruled)
+
+
 def test_nothing_native_needs_python(spark):
     for name in ("op7_chat_windows", "op8_fingerprints"):
         plan = queries.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()

@@ -3,13 +3,15 @@
 Prefix sums of turn tokens choose the spans: with a budget of B tokens, a turn that lies within one block of B tokens
 goes with the other such turns of that block, and a turn across the edge of a block is a window of its own. So a
 window's own turns keep to the budget, but for a single turn that is longer. A leading system turn is retained in
-every window. From the window before, the last turns are repeated as far as the history's budget goes. The loss mask
+every window, out of the same budget; where it leaves less than a quarter of it, a quarter is kept for other turns, and
+windows are longer than the budget by what the system turn takes beyond that. From the window before, the last turns are repeated as far as the history's budget goes. The loss mask
 covers the assistant texts of a window's own turns; repeated ones are masked out, so each is learned once.
 
 A turn is written `### Role: text </turn>` and a line end. Inside roles and texts a backslash is doubled, and
 `###`, `</turn>` and a role's colons get backslashes, so that no text can open or close a turn; undoing is exact.
 
-Null roles and texts count as empty; turns with equal numbers go by role, then text. Repeated rows are repeated turns.
+Null roles and texts count as empty; turns with equal numbers go by role, then text. A turn is never cut, however long
+its text. Repeated rows are repeated turns.
 Conversations without an id form one of their own. An empty table gives no windows. Other columns take no part.
 """
 
@@ -36,8 +38,8 @@ def unescape(text: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """Words of a turn's text, and two for its marks."""
-    return F.size(F.split(F.trim(text), r"\s+")).cast("bigint") + 2
+    """Words of a turn's text, or a token to four of its bytes where that is more (long words, scripts without spaces), and two for its marks."""
+    return F.greatest(F.size(F.split(F.trim(text), r"\s+")), F.ceil(F.octet_length(text) / 4)).cast("bigint") + 2
 
 
 def windows(df: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:

@@ -86,7 +86,7 @@ with given as (
   select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
   union all select -7, 0, 'user', '\### Assistant: </turn> ok' union all select -7, 1, 'assistant', '\### Assistant: </turn> ok'),
 a as (select *, row_number() over (partition by conv_id order by turn, role, text) as n from given),
-b as (select *, n = 1 and role = 'system' as sys, len(regexp_split_to_array(trim(text), '\s+')) + 2 as tok,
+b as (select *, n = 1 and role = 'system' as sys, greatest(len(regexp_split_to_array(trim(text), '\s+')), ceil(strlen(text) / 4)::bigint) + 2 as tok,
   replace(replace(replace(text, '\', '\\'), '###', '\#\#\#'), '</turn>', '<\/turn>') as body from a),
 c as (select *, case when sys then 0 else tok end as tt, sum(case when sys then 0 else tok end) over (partition by conv_id order by n) as after,
   greatest(256, 896 - coalesce(max(case when sys then tok end) over (partition by conv_id), 0)) as room from b),
