@@ -46,16 +46,12 @@ IMAGES = """images as (
   from embeddings),
 pics as (select *, fine & 65535::ubigint as coarse from images)"""
 VIDEOS = """videos as (
-  select user_id as id, list(code order by n) filter (n <= 8) as hashes, count(*)::double as duration
-  from (select user_id, row_number() over (partition by user_id order by ts, event_id) as n, (1::bigint << floor(value / 10)::int) - 1 as code from events)
-  group by user_id)"""
+  select id, [codes[n * (8 * i + 12) // 80 + 1] for i in range(8)] as hashes, n::double as duration
+  from (select user_id as id, list((1::bigint << floor(value / 10)::int) - 1 order by ts, event_id) as codes, count(*) as n from events group by user_id))"""
 AUDIO = """audio as (
-  select * from (
-    select o_custkey as id, list(word order by n) filter (n <= 6) as fp, count(*)::double as duration
-    from (select o_custkey, row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) as n,
-            case when o_orderstatus = 'P' then 4294967296 - (1::bigint << floor(o_totalprice / 20000)::int) else (1::bigint << floor(o_totalprice / 20000)::int) - 1 end as word
-          from orders)
-    group by o_custkey) where duration >= 10)"""
+  select o_custkey as id, count(*)::double as duration, list(case when o_orderstatus = 'P' then 4294967296 - (1::bigint << floor(o_totalprice / 20000)::int) else (1::bigint << floor(o_totalprice / 20000)::int) - 1 end
+    order by o_orderdate, o_orderkey) as fp
+  from orders group by o_custkey)"""
 ENTRIES = """entries as (
   select source || '-' || lang as archive, doc_id::varchar as internal_path, md5(text) as hash, strlen(text)::bigint as size, doc_id as pos from documents)"""
 LINKS = ENTRIES + """,
@@ -395,7 +391,18 @@ def similar_groups_video(spark, sf):
     return pairs.groups_of(pairs.video_pairs(records.videos(spark, sf), 1))
 
 
-@query()
+def _warped(n: int = 8, band: int = 2) -> str:
+    """Cells of the warping table, each from its three neighbours, as columns that build on one another."""
+    cells, at = [], {(0, 0): "0"}
+    for i in range(1, n + 1):
+        for j in range(max(1, i - band), min(n, i + band) + 1):
+            near = [at[k] for k in ((i - 1, j - 1), (i - 1, j), (i, j - 1)) if k in at]
+            at[i, j] = f"d{i}_{j}"
+            cells.append(f"bit_count(xor(a.hashes[{i}], b.hashes[{j}])) + least({', '.join(near)}) as d{i}_{j}")
+    return f"select a.id as a, b.id as b, {', '.join(cells)}, d{n}_{n} / {n}.0::double as distance from videos a join videos b on a.id < b.id and {DURATION}"
+
+
+@query(f"with {VIDEOS}, w as ({_warped()}) select a, b, distance from w where distance <= 1")
 def video_pairs_dtw(spark, sf):
     return pairs.video_pairs(records.videos(spark, sf), 1, use_dtw=True)
 

@@ -25,11 +25,6 @@ def dtw_distance(a: list[int], b: list[int]) -> float:
     return float(best[n, m] / max(n, m)) if np.isfinite(best[n, m]) else 64.0
 
 
-@F.pandas_udf(T.DoubleType())
-def dtw(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([dtw_distance(list(x), list(y)) for x, y in zip(a, b, strict=True)])
-
-
 def mean_hash(pixels: np.ndarray) -> int:
     """Bit i where pixel i of 64 is at least the integer mean (X11)."""
     p = np.asarray(pixels, np.int64).ravel()

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from twinlake.functions.scalar import fingerprint_distance, hamming, within_tolerance
+from twinlake.operators import blocks, pairs
 from twinlake.operators.components import connected_components
 
 
@@ -28,22 +28,22 @@ def matched_entries(entries: DataFrame) -> DataFrame:
     return entries.join(shared_hashes(entries).select("hash"), "hash", "left_semi")
 
 
+def _links(entries: DataFrame, pairs_of) -> DataFrame:
+    """Pairs of near entries of different archives, the first archive's entry first."""
+    found = pairs_of(entries.withColumn("entry", F.struct("archive", "internal_path"))).where("a.archive <> b.archive")
+    return found.select(
+        F.col("a.archive").alias("archive_a"), F.col("b.archive").alias("archive_b"), F.col("a.internal_path").alias("internal_path_a"), F.col("b.internal_path").alias("internal_path_b"), "distance"
+    )
+
+
 def image_links(images: DataFrame, threshold: int) -> DataFrame:
     """Picture entries of different archives, coarse and fine both within the same threshold."""
-    a = images.select(*[F.col(c).alias(f"{c}_a") for c in ("archive", "internal_path", "fine", "coarse")])
-    b = images.select(*[F.col(c).alias(f"{c}_b") for c in ("archive", "internal_path", "fine", "coarse")])
-    near = (hamming("coarse_a", "coarse_b") <= threshold) & (hamming("fine_a", "fine_b") <= threshold)
-    found = a.join(b, (F.col("archive_a") < F.col("archive_b")) & near)
-    return found.select("archive_a", "archive_b", "internal_path_a", "internal_path_b", hamming("fine_a", "fine_b").alias("distance"))
+    return _links(images, lambda e: blocks.near_pairs(e, blocks.pictures(threshold, None, threshold), ["fine", "coarse"], "int", "entry", size=1024))
 
 
 def audio_links(audio: DataFrame, threshold: int, tolerance: float) -> DataFrame:
     """Sound entries of different archives; here the threshold is in 32nds."""
-    cols = ("archive", "internal_path", "fp", "duration")
-    a, b = (audio.select(*[F.col(c).alias(f"{c}_{s}") for c in cols]) for s in "ab")
-    found = a.join(b, (F.col("archive_a") < F.col("archive_b")) & within_tolerance("duration_a", "duration_b", tolerance))
-    found = found.withColumn("distance", fingerprint_distance("fp_a", "fp_b"))
-    return found.where(F.col("distance") <= threshold / 32).select("archive_a", "archive_b", "internal_path_a", "internal_path_b", "distance")
+    return _links(audio, lambda e: pairs.audio_pairs(e, threshold / 32, tolerance, "entry"))
 
 
 def archive_groups(links: DataFrame) -> DataFrame:

@@ -43,25 +43,27 @@ def images(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def videos(spark: SparkSession, sf_dir: str, frames: int = 8) -> DataFrame:
-    """Users as videos: the first events as thermometer codes, the number of events as duration."""
+    """Users as videos: events of the middle 80 % in equal parts as thermometer codes, the number of events as duration."""
     e = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value")
     order = W.partitionBy("user_id").orderBy("ts", "event_id")
     code = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.floor(F.col("value") / 10).cast("int")) - 1
-    first = e.withColumn("n", F.row_number().over(order)).withColumn("frame", F.when(F.col("n") <= frames, F.struct("n", code.alias("code"))))
-    got = first.groupBy(F.col("user_id").alias("id")).agg(F.sort_array(F.collect_list("frame")).alias("f"), F.count("*").cast("double").alias("duration"))
-    return got.select("id", F.col("f.code").alias("hashes"), "duration")
+    numbered = e.select("user_id", code.alias("code"), F.row_number().over(order).alias("n"))
+    lengths = e.groupBy("user_id").agg(F.count("*").alias("duration"))
+    # a tenth of the length, and then the middle of each part of eight tenths
+    at = F.transform(F.sequence(F.lit(0), F.lit(frames - 1)), lambda i: F.struct(i.alias("i"), (F.expr("duration") * (8 * i + F.lit(frames + 4))).alias("x")))
+    wanted = lengths.select("user_id", "duration", F.explode(at).alias("f")).select("user_id", "duration", "f.i", F.expr(f"(f.x div {10 * frames} + 1)").cast("int").alias("n"))
+    got = wanted.join(numbered, ["user_id", "n"]).groupBy(F.col("user_id").alias("id"), "duration").agg(F.sort_array(F.collect_list(F.struct("i", "code"))).alias("f"))
+    return got.select("id", F.col("f.code").alias("hashes"), F.col("duration").cast("double").alias("duration"))
 
 
-def audio(spark: SparkSession, sf_dir: str, words: int = 6, least: int = 10) -> DataFrame:
-    """Customers as sounds: the first orders as 32-bit words, the number of orders as duration."""
+def audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as sounds: all orders in time as 32-bit words, the number of orders as duration."""
     o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderdate", "o_totalprice", "o_orderstatus")
-    order = W.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
     k = F.floor(F.col("o_totalprice") / 20000).cast("int")
     bit = F.call_function("shiftleft", F.lit(1), k)
     word = F.when(F.col("o_orderstatus") == "P", -bit).otherwise(bit - 1)
-    first = o.withColumn("n", F.row_number().over(order)).withColumn("word", F.when(F.col("n") <= words, F.struct("n", word.alias("w"))))
-    got = first.groupBy(F.col("o_custkey").alias("id")).agg(F.sort_array(F.collect_list("word")).alias("f"), F.count("*").cast("double").alias("duration"))
-    return got.where(F.col("duration") >= least).select("id", F.col("f.w").alias("fp"), "duration")
+    got = o.groupBy(F.col("o_custkey").alias("id")).agg(F.sort_array(F.collect_list(F.struct("o_orderdate", "o_orderkey", word.alias("w")))).alias("f"))
+    return got.select("id", F.col("f.w").alias("fp"), F.size("f").cast("double").alias("duration"))
 
 
 def archive_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
