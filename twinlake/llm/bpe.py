@@ -67,6 +67,7 @@ _IDS = "select w, t from tokens order by w, p"
 #: The bytes of each run of positions; a byte is written as the letter of its number.
 _DECODE = "select g, string_agg(v.tok, '' order by p) as data from ids join vocab v on v.t = ids.t group by g order by g"
 _RUN, _AT_ONCE = 1 << 16, 1 << 18
+KEPT = 128 << 20
 _LONG_BYTES = 1024
 
 
@@ -99,7 +100,7 @@ class Bpe:
         self.db.execute(f"create or replace table {name} as select * from incoming")
         self.db.unregister("incoming")
 
-    def encode(self, words: list[bytes], at_once: int = 2_000_000) -> list[bytes]:
+    def encode(self, words: list[bytes], at_once: int = 4_000_000) -> list[bytes]:
         """Little-endian 32-bit ids of each word."""
         out: list = [None] * len(words)
         whole, long, part, size = [], [], [], 0
@@ -171,11 +172,11 @@ class Bpe:
 
 @lru_cache(maxsize=1)
 def tokenizer(path: str) -> tuple[Bpe, Units]:
-    """The tables, and little-endian ids of the units of texts; a worker keeps both, the units up to 48 MB."""
+    """The tables, and little-endian ids of the units of texts; a worker keeps both, the units up to KEPT bytes."""
     import public_tokenizers
 
     bpe = Bpe(path)
-    return bpe, Units(public_tokenizers.PATTERN, lambda words: bpe.encode([w.encode() for w in words]), b"".join)
+    return bpe, Units(public_tokenizers.PATTERN, lambda words: bpe.encode([w.encode() for w in words]), b"".join, limit=KEPT)
 
 
 def encode(df: DataFrame, name: str = "byte_bpe_multi_50k.tiktoken") -> DataFrame:
@@ -201,7 +202,7 @@ def _each(df: DataFrame, name: str, schema: str, last) -> DataFrame:
         bpe, units = tokenizer(vocabulary(name))
         arrow = [pa.type_for_alias(kinds.get(t, "int64")) for t in types]
         for b in batches:
-            for part in parts(b, 1024, 1_000_000):
+            for part in parts(b):
                 docs, texts = part.column("doc_id").to_pylist(), [t or "" for t in part.column("text").to_pylist()]
                 ids = [np.frombuffer(b"".join(v), "<i4") for v in units(texts)]
                 rows = [(doc, len(x), *last(",".join(map(str, x.tolist())), data)) for doc, x, data in zip(docs, ids, bpe.decode(ids), strict=True)]
