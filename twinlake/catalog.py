@@ -154,7 +154,7 @@ def size_candidates(spark, sf):
 @query(f"""with {FILES}, p as (select *, md5(encode(text)[1:4096]) as partial from files qualify count(*) over (partition by size) >= 2)
   select partial, count(*) as n from p group by partial having n >= 2""")
 def partial_hash_groups(spark, sf):
-    c = exact.partial_candidates(exact.size_candidates(records.files(spark, sf)))
+    c = exact.partial_candidates(exact.size_candidates(exact.narrow(records.files(spark, sf))))
     return c.groupBy("partial").agg(F.count("*").alias("n"))
 
 
@@ -671,32 +671,12 @@ def archive_scan(spark, sf):
     return archive_source.entries(zips.where(archive_source.verified("format", "content"))).drop("pos")
 
 
-@query("select vec_id, true as same from embeddings")
-def image_hash_stability(spark, sf):
-    """Whether a picture and its double in size have gradient hashes within the usual threshold."""
-    from pyspark.sql import types as T
-
-    @F.pandas_udf(T.BooleanType())
-    def near(v):
-        import numpy as np
-        import pandas as pd
-
-        from twinlake.functions.media import gradient_hash
-
-        def one(x):
-            g = np.asarray(x, float).reshape(8, 8)
-            small, large = np.kron(g, np.ones((9, 9))), np.kron(g, np.ones((18, 18)))
-            a, b = gradient_hash(small, 8), gradient_hash(large, 8)
-            return sum((p ^ q).bit_count() for p, q in zip(a, b, strict=True)) <= 10
-
-        return pd.Series([one(x) for x in v])
-
-    return records.table(spark, sf, "embeddings").select("vec_id", near("embedding").alias("same"))
-
-
 @query()
 def scan_binary_inventory(spark, sf):
     """Files of the tables' own folder by the built-in reader: names and sizes, no contents read."""
     from twinlake.sources.files import inventory_builtin
 
     return inventory_builtin(spark, sf, pathGlobFilter="*.parquet").select("name", "size")
+
+
+from twinlake import catalog_more  # noqa: E402, F401  registers the rest

@@ -81,12 +81,14 @@ def coarse_threshold(threshold: int, coarse: int, fine: int, multiplier: float)
     return int(np.floor(f(threshold) * (f(coarse * coarse) / f(fine * fine)) * f(multiplier)))
 
 
-def percent_to_bits(percent: float) -> int:
-    """Similarity in percent as a distance in bits of 64, halves rounded up."""
-    return math.floor((1 - percent / 100) * 64 + 0.5)
+def percent_to_bits(percent):
+    """Similarity in percent, a number or a column, as a distance in bits of 64, halves rounded up."""
+    bits = (1 - percent / 100) * 64 + 0.5
+    return F.floor(bits).cast("int") if isinstance(percent, Column) else math.floor(bits)
 
 
-def audio_percent(percent: int) -> int:
+def audio_percent(percent):
+    """Similarity in percent as a distance in percent."""
     return 100 - percent
 
 
@@ -156,12 +158,16 @@ def format_size(size: Column | str, style: str = "export") -> Column:
     elif style == "notification":
         steps = ((giga, "%.1f GB"), (mega, "%.1f MB"), (kilo, "%.0f KB"))
         rest = F.format_string("%d B", s)
+    elif style == "screen":
+        steps = ((giga, "%.2f Go"), (mega, "%.1f Mo"), (kilo, "%.1f Ko"))
+        rest = F.format_string("%d o", s)
     else:
         raise ValueError(f"unknown style {style}")
     out = rest
     for unit, form in reversed(steps):
-        # halves go to the even digit, as in the formats that this stands for
-        out = F.when(s >= unit, F.format_string(form, F.bround(s / F.lit(float(unit)), int(form[2])))).otherwise(out)
+        # halves go to the even digit, but on the screen up, as in the formats that this stands for
+        value = s / F.lit(float(unit))
+        out = F.when(s >= unit, F.format_string(form, value if style == "screen" else F.bround(value, int(form[2])))).otherwise(out)
     return out
 
 
@@ -277,9 +283,9 @@ def date_bounds(first: str | None, last: str | None, offset_minutes: int = 0) ->
     return low, high
 
 
-def is_animated_gif(content: Column | str) -> Column:
-    """GIF by its first bytes."""
-    return F.hex(F.substring(col(content), 1, 6)).isin(b"GIF87a".hex().upper(), b"GIF89a".hex().upper())
+def is_animated_gif(name: Column | str, content: Column | str) -> Column:
+    """A GIF by its name and its first bytes: it may be shown as it is."""
+    return (extension(name) == "gif") & F.hex(F.substring(col(content), 1, 6)).isin(b"GIF87a".hex().upper(), b"GIF89a".hex().upper())
 
 
 # --- driver rules
@@ -298,10 +304,17 @@ def _readable(size: int) -> str:
 
 def notification_body(groups: int, wasted: int, language: str = "en") -> str:
     """Text for the end of a scan."""
+    # fixed values: the sentences that are shown, by language
     none, one, many, end = {"fr": ("Aucun doublon trouve.", "groupe trouve", "groupes trouves", "recuperables")}.get(language, ("No duplicates found.", "group found", "groups found", "recoverable"))
     return none if not groups else f"{groups} {one if groups == 1 else many} - {_readable(wasted)} {end}"
 
 
+def disk_deficit(needed: Column | str, available: Column | str, margin: int = 1 << 30) -> Column:
+    """As disk_warning, of columns."""
+    short = col(needed) + F.lit(margin) - col(available)
+    return F.when(short > 0, short)
+
+
 def disk_warning(needed: int, available: int, margin: int = 1 << 30) -> int | None:
     """The deficit if less than needed plus a margin is free, else None."""
     return max(0, needed + margin - available) if available < needed + margin else None

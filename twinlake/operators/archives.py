@@ -119,8 +119,35 @@ def align(a: DataFrame, b: DataFrame) -> DataFrame:
     return rows.select("left", "right", F.when(F.col("_shared"), "duplicate").otherwise("unique").alias("match_type"))
 
 
-def recompute(entries: DataFrame, groups: DataFrame) -> DataFrame:
-    """Matched entries per archive within its group, any other archive's equal hash counting."""
+def unmatched(entries: DataFrame, also: DataFrame) -> DataFrame:
+    """Rows of `also` (archive, internal_path, ...) whose entry no other archive holds exactly: candidates for J11 and J12."""
+    return also.join(matched_entries(entries).select("archive", "internal_path").distinct(), ["archive", "internal_path"], "left_anti")
+
+
+def linked(links: DataFrame) -> DataFrame:
+    """(a, b, shared) of links between entries, as `exact_links` has it: pairs of archives, with the entries of the first."""
+    return links.groupBy(F.col("archive_a").alias("a"), F.col("archive_b").alias("b")).agg(F.countDistinct("internal_path_a").alias("shared"))
+
+
+def all_links(*links: DataFrame) -> DataFrame:
+    """Links of several kinds together, with what they share in sum."""
+    out = links[0]
+    for more in links[1:]:
+        out = out.unionByName(more)
+    return out.groupBy("a", "b").agg(F.sum("shared").alias("shared"))
+
+
+def linked_entries(links: DataFrame) -> DataFrame:
+    """(archive, internal_path) of both ends of links between entries."""
+    ends = [links.select(F.col(f"archive_{s}").alias("archive"), F.col(f"internal_path_{s}").alias("internal_path")) for s in "ab"]
+    return ends[0].unionByName(ends[1]).distinct()
+
+
+def recompute(entries: DataFrame, groups: DataFrame, links: DataFrame | None = None) -> DataFrame:
+    """Matched entries per archive within its group: those whose hash another archive of it holds, and with `links` those
+    near an entry of another archive of it, each once (J15)."""
+    if links is not None:
+        return _recompute_linked(entries, groups, links)
     e = entries.join(groups, "archive")
     per = e.select("group_id", "hash", "archive").distinct().groupBy("group_id", "hash").agg(F.count("*").alias("n")).where("n >= 2")
     hit = e.join(per, ["group_id", "hash"], "left_semi").groupBy("archive").agg(F.count("*").alias("matched"))
@@ -129,6 +156,54 @@ def recompute(entries: DataFrame, groups: DataFrame) -> DataFrame:
     return total.join(hit, "archive", "left").select("archive", "group_id", "total_entries", n.alias("duplicated_entries"), (n == F.col("total_entries")).alias("can_delete"))
 
 
+def _recompute_linked(entries: DataFrame, groups: DataFrame, links: DataFrame) -> DataFrame:
+    e = entries.join(groups, "archive")
+    per = e.select("group_id", "hash", "archive").distinct().groupBy("group_id", "hash").agg(F.count("*").alias("n")).where("n >= 2")
+    same = e.join(per, ["group_id", "hash"], "left_semi").select("archive", "internal_path")
+    of = lambda s: groups.select(F.col("archive").alias(f"archive_{s}"), F.col("group_id").alias(f"group_{s}"))
+    near = linked_entries(links.join(of("a"), "archive_a").join(of("b"), "archive_b").where("group_a = group_b"))
+    hit = same.unionByName(near).distinct().groupBy("archive").agg(F.count("*").alias("matched"))
+    total = e.groupBy("archive", "group_id").agg(F.count("*").alias("total_entries"))
+    n = F.coalesce("matched", F.lit(0))
+    return total.join(hit, "archive", "left").select("archive", "group_id", "total_entries", n.alias("duplicated_entries"), (n == F.col("total_entries")).alias("can_delete"))
+
+
+def compare_audio(a: DataFrame, b: DataFrame, threshold: float, tolerance: float) -> DataFrame:
+    """Pairs (a, b, distance, score) of sound entries of two archives, greedy as `compare_greedy`: (1 - d) * 100."""
+    held = a.withColumn("archive", F.lit("a")).unionByName(b.withColumn("archive", F.lit("b")))
+    near = _links(held, lambda e: pairs.audio_pairs(e, threshold, tolerance, "entry"))
+    order = lambda df, s: df.select(F.col("internal_path").alias(f"internal_path_{s}"), F.col("pos").alias(f"pos_{s}"))
+    rows = near.join(order(a, "a"), "internal_path_a").join(order(b, "b"), "internal_path_b").select(F.lit(0).alias("pair"), "internal_path_a", "internal_path_b", "pos_a", "pos_b", "distance")
+
+    def match(rows: pd.DataFrame) -> pd.DataFrame:
+        taken, out = set(), []
+        for _, own in rows.sort_values(["pos_a", "distance", "pos_b"]).groupby("pos_a", sort=True):
+            for r in own.itertuples():
+                if r.pos_b not in taken:
+                    taken.add(r.pos_b)
+                    out.append((r.internal_path_a, r.internal_path_b, float(r.distance), float((1 - r.distance) * 100)))
+                    break
+        return pd.DataFrame(out, columns=["a", "b", "distance", "score"])
+
+    return rows.groupBy("pair").applyInPandas(match, "a string, b string, distance double, score double")
+
+
+def align_compared(a: DataFrame, b: DataFrame, similar: DataFrame) -> DataFrame:
+    """The rows of `align` in order, with the entries that are only similar beside each other.
+
+    similar: pairs (a, b, score) of what is unique. First the duplicates, then the similar, then what is only in a, then
+    what is only in b: (part, left, right, match_type, score).
+    """
+    rows = align(a, b)
+    same = rows.where("match_type = 'duplicate'").select(F.lit(0).alias("part"), "left", "right", "match_type", F.lit(None).cast("double").alias("score"))
+    pairs_ = similar.select(F.col("a").alias("left"), F.col("b").alias("right"), "score")
+    near = pairs_.select(F.lit(1).alias("part"), "left", "right", F.lit("similar").alias("match_type"), "score")
+    alone = rows.where("match_type = 'unique'")
+    left = alone.where("left is not null").join(pairs_.select("left"), "left", "left_anti").select(F.lit(2).alias("part"), "left", "right", "match_type", F.lit(None).cast("double").alias("score"))
+    right = alone.where("left is null").join(pairs_.select("right"), "right", "left_anti").select(F.lit(3).alias("part"), "left", "right", "match_type", F.lit(None).cast("double").alias("score"))
+    return same.unionByName(near).unionByName(left).unionByName(right)
+
+
 def missing_from_cache(groups: DataFrame, cached: DataFrame) -> DataFrame:
     """Archives of groups that the entry cache lacks."""
     return groups.join(cached.select("archive").distinct(), "archive", "left_anti").select("archive").distinct()

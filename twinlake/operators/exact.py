@@ -1,7 +1,9 @@
-"""Exact duplicates: the size, first bytes, whole content cascade, and its groups.
+"""Exact duplicates: sizes, first bytes, whole contents, and the groups these make.
 
-Each stage is an aggregate of few columns whose keys filter the next by a semi-join, so content is only read for files
-that share their size, and hashed whole only for those that share their first bytes.
+Rows that carry their content are made narrow where they are read: both digests, once, and no content beyond the scan.
+Files that are read by path go through the cascade of plans/scan.py, so content is only read where sizes and then first
+bytes agree. Groups are counted before the shuffle, and positions are found in parts of a group, so that a digest that
+a third of all files share is no task's burden.
 """
 
 from __future__ import annotations
@@ -12,6 +14,14 @@ from pyspark.sql import functions as F
 
 from twinlake.functions.scalar import full_hash, hash_label, partial_hash
 
+#: Letters of a name that part the files of one group and time.
+PREFIX = 4
+
+
+def narrow(files: DataFrame) -> DataFrame:
+    """files with the digests of their first bytes and of all, without the content."""
+    return files.withColumns({"partial": partial_hash("content"), "full": full_hash("content")}).drop("content")
+
 
 def shared(df: DataFrame, *keys: str) -> DataFrame:
     """Keys that two rows or more have; counted before the shuffle, so one frequent key is no burden."""
@@ -25,31 +35,39 @@ def size_candidates(files: DataFrame, *partition: str) -> DataFrame:
 
 
 def partial_candidates(files: DataFrame, *partition: str) -> DataFrame:
-    """Files whose first 4096 bytes another has; the size is no part of the key (A2)."""
-    f = files.withColumn("partial", partial_hash("content"))
+    """Narrow files whose first 4096 bytes another has; the size is no part of the key (A2)."""
     keys = [*partition, "partial"]
-    return f.join(shared(f, *keys), keys, "left_semi")
-
-
-def full_candidates(files: DataFrame, *partition: str) -> DataFrame:
-    """Files whose content another has (A3)."""
-    f = files.withColumn("full", full_hash("content"))
-    keys = [*partition, "full"]
-    return f.join(shared(f, *keys), keys, "left_semi")
+    return files.join(shared(files, *keys), keys, "left_semi")
 
 
 def exact_members(files: DataFrame, *partition: str) -> DataFrame:
-    """Members of exact groups in origin order: group_key, pos from 0 (kept), and the file's columns but its content."""
-    found = full_candidates(partial_candidates(size_candidates(files, *partition), *partition), *partition).drop("content", "partial")
+    """Members of exact groups in origin order: group_key, pos from 0 (kept), and the file's columns but its content (A3).
+
+    Files of equal content have equal sizes and first bytes, so one count by the whole digest gives the cascade's groups.
+    """
+    found = (narrow(files) if "content" in files.columns else files).drop("partial")
     keys = [*partition, "full"]
-    return origin_order(found, *keys)
+    groups = found.groupBy(*keys).agg(F.min("path").alias("group_key"), F.count("*").alias("_n")).where("_n >= 2").drop("_n")
+    return positions(found.join(groups, keys))
 
 
 def origin_order(members: DataFrame, *keys: str) -> DataFrame:
-    """Oldest first, then by name, then path (W1); group_key is the least path."""
-    group = W.partitionBy(*keys)
-    order = group.orderBy("modified", "name", "path")
-    return members.withColumn("group_key", F.min("path").over(group)).withColumn("pos", F.row_number().over(order) - 1)
+    """Adds group_key, the least path of the keys' rows, and pos."""
+    return positions(members.join(members.groupBy(*keys).agg(F.min("path").alias("group_key")), list(keys)))
+
+
+def positions(members: DataFrame) -> DataFrame:
+    """Adds pos within each group_key: oldest first, then by name, then path.
+
+    A row's position is that among the files of its time and first letters, and the number of those before them.
+    """
+    m = members.withColumn("_p", F.substring("name", 1, PREFIX))
+    ahead = W.partitionBy("_k").orderBy("_m", "_q").rowsBetween(W.unboundedPreceding, -1)
+    parts = m.groupBy(F.col("group_key").alias("_k"), F.col("modified").alias("_m"), F.col("_p").alias("_q")).agg(F.count("*").alias("_c"))
+    parts = parts.withColumn("_before", F.coalesce(F.sum("_c").over(ahead), F.lit(0)))
+    within = W.partitionBy("group_key", "modified", "_p").orderBy("name", "path")
+    j = m.join(parts, (F.col("group_key") == F.col("_k")) & F.col("modified").eqNullSafe(F.col("_m")) & F.col("_p").eqNullSafe(F.col("_q")))
+    return j.withColumn("pos", (F.row_number().over(within) + F.col("_before") - 1).cast("int")).drop("_k", "_m", "_q", "_p", "_c", "_before")
 
 
 def group_rows(members: DataFrame, kind: str = "exact") -> DataFrame:

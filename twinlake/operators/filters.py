@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from twinlake.functions.scalar import extension, media_class
+from twinlake.functions.scalar import extension, media_class, saturating_kb
 from twinlake.params import ScanParams
 
 
 def inventory_predicate(p: ScanParams) -> Column:
     """Size and time bounds, each off at 0, and extension lists (F1); plain comparisons, so the scan takes them over."""
     ok = F.lit(True)
-    for bound, name, low in ((p.min_file_size_kb * 1024, "size", True), (p.max_file_size_kb * 1024, "size", False), (p.min_modified_timestamp, "modified", True), (p.max_modified_timestamp, "modified", False)):
+    size = lambda kb: min(saturating_kb(kb), 2**63 - 1)  # noqa: E731  sizes are signed here
+    for bound, name, low in ((size(p.min_file_size_kb), "size", True), (size(p.max_file_size_kb), "size", False), (p.min_modified_timestamp, "modified", True), (p.max_modified_timestamp, "modified", False)):
         if bound > 0:
             ok = ok & (F.col(name) >= bound if low else F.col(name) <= bound)
     e = extension("name")

@@ -33,9 +33,29 @@ def merged_ranking(groups: DataFrame, archives: DataFrame) -> DataFrame:
     return a.unionByName(b).orderBy(F.desc("waste"), "kind", "key")
 
 
-def newest_first(rows: DataFrame, column: str) -> DataFrame:
+def newest_first(rows: DataFrame, column: str, *ties: str) -> DataFrame:
     """Lists by descending id or date (W6-W8); ids are strings and sort as such."""
-    return rows.orderBy(F.desc(column))
+    return rows.orderBy(F.desc(column), *ties)
+
+
+def sorted_folders(summary: DataFrame, by: str = "waste") -> DataFrame:
+    """Folders by name, or by waste with the greatest first."""
+    return summary.orderBy("folder_key") if by == "name" else summary.orderBy(F.desc("total_wasted_bytes"), "folder_key")
+
+
+def session_list(sessions: DataFrame, groups: DataFrame, ignored: DataFrame | None = None) -> DataFrame:
+    """Sessions (id, ...) by descending id, each with what its groups (id, ignore_key, waste) come to without those that
+    are ignored now (W7)."""
+    seen = filters.minus_ignored(groups, ignored) if ignored is not None else groups
+    per = seen.groupBy("id").agg(F.count("*").alias("n_groups"), F.sum("waste").alias("total_waste"))
+    zero = {"n_groups": F.coalesce("n_groups", F.lit(0)), "total_waste": F.coalesce("total_waste", F.lit(0))}
+    return newest_first(sessions.join(per, "id", "left").withColumns(zero), "id")
+
+
+def delete_session(spark: SparkSession, path: str) -> None:
+    """Remove a stored session with all it holds."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
 
 
 @dataclass

@@ -13,12 +13,14 @@ from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 from twinlake.functions.media import decoded_hashes, frame_hashes, frame_times, image_dimensions
 from twinlake.functions.scalar import aspect, full_hash, media_class, parse_fingerprint, parse_probe, partial_hash
 from twinlake.operators import archives as archive_ops
-from twinlake.operators import exact, filters, pairs
+from twinlake.operators import caches, exact, filters, pairs
 from twinlake.params import ScanParams
 from twinlake.sources import archives as archive_source
 from twinlake.sources import files as file_source
+from twinlake.sources.state import append_table, load_table, versions
 
 TAG = "twinlake-scan"
+CACHE = "path string, mtime bigint, size bigint, partial_hash string, full_hash string"
 
 
 @dataclass
@@ -41,17 +43,43 @@ def cancel(spark: SparkSession) -> None:
     spark.sparkContext.cancelJobsWithTag(TAG)
 
 
-def exact_phase(files: DataFrame, params: ScanParams, hashes: DataFrame | None = None) -> DataFrame:
-    """Members of exact groups by the cascade; files by path are read in blocks, rows with content are hashed in place."""
+def exact_phase(files: DataFrame, params: ScanParams, cache_path: str | None = None) -> DataFrame:
+    """Members of exact groups by the cascade; files by path are read in blocks, rows with content are hashed in place.
+
+    With a cache, digests of unchanged files come from it (J2) and new ones are written to it as they are made (J3), so
+    that a scan of what has been scanned reads no content.
+    """
     partition = ("folder",) if params.by_folder else ()
     if "content" in files.columns:
         return exact.exact_members(files, *partition)
     step = exact.size_candidates(files, *partition)
-    step = file_source.digests(step, partial=True).where("partial is not null")
+    if cache_path and params.exact_cache_enabled:
+        step = cached_digests(step, cache_path, "partial", partition)
+    else:
+        step = file_source.digests(step, partial=True).where("partial is not null")
     step = step.join(exact.shared(step, *partition, "partial"), [*partition, "partial"], "left_semi")
-    step = file_source.digests(step).where("full is not null").drop("partial")
-    step = step.join(exact.shared(step, *partition, "full"), [*partition, "full"], "left_semi")
-    return exact.origin_order(step, *partition, "full")
+    if cache_path and params.exact_cache_enabled:
+        step = cached_digests(step.drop("partial"), cache_path, "full", partition)
+    else:
+        step = file_source.digests(step).where("full is not null").drop("partial")
+    return exact.exact_members(step, *partition)
+
+
+def cached_digests(files: DataFrame, cache_path: str, which: str, partition: tuple[str, ...] = ()) -> DataFrame:
+    """files with their `partial` or `full` digest from the cache, which first gets what it lacks of them."""
+    spark = files.sparkSession
+    column = f"{which}_hash"
+    held = lambda: caches.lookup(files.withColumnRenamed("modified", "mtime"), load_table(spark, cache_path, CACHE, "path").select("path", "mtime", "size", "partial_hash", "full_hash"))
+    lacking = held().where(F.col(column).isNull()).drop("full_hash" if which == "partial" else "none")
+    fresh = file_source.digests(lacking.select("path", "mtime", "size", *(["partial_hash"] if which == "full" else [])), partial=which == "partial").where(f"{which} is not null")
+    row = [F.col("partial").alias("partial_hash"), F.lit(None).cast("string").alias("full_hash")] if which == "partial" else ["partial_hash", F.col("full").alias("full_hash")]
+    append_table(fresh.select("path", "mtime", "size", *row), cache_path)
+    return held().withColumnRenamed("mtime", "modified").withColumnRenamed(column, which).where(f"{which} is not null").select(*files.columns, which)
+
+
+def files_read(spark: SparkSession, cache_path: str) -> int:
+    """How many digests the last step of a scan added to the cache."""
+    return spark.read.parquet(versions(spark, cache_path)[-1][2]).count()
 
 
 def similar_members(rows: DataFrame, links: DataFrame, params: ScanParams) -> DataFrame:
@@ -138,13 +166,16 @@ def archive_phase(files: DataFrame) -> DataFrame:
     return archive_ops.archive_stats(e, archive_ops.exact_links(e))
 
 
-def scan(spark: SparkSession, params: ScanParams, files: DataFrame | None = None) -> ScanResult:
-    """Run a scan over a folder, or over given file rows. Plans stay lazy but for what decides strategies and groups."""
+def scan(spark: SparkSession, params: ScanParams, files: DataFrame | None = None, cache_path: str | None = None) -> ScanResult:
+    """Run a scan over a folder, or over given file rows. Plans stay lazy but for what decides strategies and groups.
+
+    cache_path names the folder of the digests that are kept between scans (T1).
+    """
     spark.sparkContext.addJobTag(TAG)
     try:
         files = file_source.inventory(spark, params) if files is None else files.where(filters.inventory_predicate(params))
         seen = filters.restrict_mode(files, params.single_mode())
-        found = exact_phase(seen, params)
+        found = exact_phase(seen, params, cache_path)
         if params.secondary_folder:
             found = found.join(filters.cross_source(found), "group_key", "left_semi")
         groups, members = exact.group_rows(found), found

@@ -121,9 +121,11 @@ def read_entry(kind: str, data: bytes, internal_path: str) -> bytes | None:
     return next((b for name, b in entries_of(kind, data) if name == internal_path), None)
 
 
-def counts(archives: DataFrame) -> DataFrame:
-    """Entries per archive and an estimate of the bytes that extraction takes: for tars four times their size."""
-    per = entries(archives).groupBy(F.col("archive").alias("path")).agg(F.count("*").alias("n_entries"), F.sum("size").alias("bytes"))
+def counts(archives: DataFrame, filtered: Column | None = None) -> DataFrame:
+    """Entries per archive, those that `filtered` (over their rows) lets pass, and an estimate of the bytes that extraction
+    takes: for tars four times their size (S11, S12)."""
+    e = entries(archives)
+    per = (e if filtered is None else e.where(filtered)).groupBy(F.col("archive").alias("path")).agg(F.count("*").alias("n_entries"), F.sum("size").alias("bytes"))
     size = F.octet_length("content").cast("bigint")
     joined = archives.join(per, "path", "left")
     guess = F.when(F.startswith("format", F.lit("Tar")), size * 4).otherwise(F.coalesce("bytes", F.lit(0)))

@@ -10,24 +10,65 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def load_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A kept table; where there is none yet, an empty one."""
+def _files(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(p):
+    return p, p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
+def versions(spark: SparkSession, path: str) -> list[tuple[int, str, str]]:
+    """(number, kind, path) of a kept table's finished parts, in order; kind is `whole` or `more`.
+
+    A part that was not written to its end lacks Spark's mark of success and doesn't count.
+    """
+    p, fs = _files(spark, path)
+    out = []
+    for s in fs.listStatus(p) if fs.exists(p) else ():
+        kind, _, n = s.getPath().getName().partition("-")
+        if kind in ("whole", "more") and n.isdigit() and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")):
+            out.append((int(n), kind, s.getPath().toString()))
+    return sorted(out)
+
+
+def _write(df: DataFrame, path: str, kind: str) -> int:
+    n = max([n for n, _, _ in versions(df.sparkSession, path)], default=0) + 1
+    df.write.mode("overwrite").parquet(f"{path}/{kind}-{n}")
+    return n
+
+
+def load_table(spark: SparkSession, path: str, schema: str, key: str | None = None) -> DataFrame:
+    """A kept table; where there is none yet, an empty one (S14). With a key, of several rows the last written holds."""
+    found = versions(spark, path)
+    base = max([n for n, kind, _ in found if kind == "whole"], default=0)
+    parts = [(n, p) for n, _, p in found if n >= base]
+    if not parts:
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(path)
+    read = [spark.read.schema(schema).parquet(p).withColumn("_v", F.lit(n)) for n, p in parts]
+    out = read[0]
+    for r in read[1:]:
+        out = out.unionByName(r)
+    if len(parts) > 1 and key:
+        cols = [c for c in out.columns if c not in ("_v", key)]
+        return out.groupBy(key).agg(F.max_by(F.struct(*cols), "_v").alias("_last")).select(*[key if c == key else F.col(f"_last.{c}").alias(c) for c in out.columns if c != "_v"])
+    return out.drop("_v")
 
 
 def save_table(df: DataFrame, path: str) -> None:
-    """Replace a kept table, also by a plan that reads it: written aside, then moved in place."""
+    """Replace a kept table, also by a plan that reads it: a new version is written, then those before the last go.
+
+    A crash at any point leaves the last finished version, and the one that a running plan may still read.
+    """
     spark = df.sparkSession
-    aside = f"{path}.new"
-    df.write.mode("overwrite").parquet(aside)
-    jvm = spark._jvm
-    old, new = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(aside)
-    fs = old.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    fs.delete(old, True)
-    fs.rename(new, old)
+    n = _write(df, path, "whole")
+    older = [m for m, kind, _ in versions(spark, path) if kind == "whole" and m < n]
+    for m, _, p in versions(spark, path):
+        if older and m < max(older):
+            q, fs = _files(spark, p)
+            fs.delete(q, True)
+
+
+def append_table(df: DataFrame, path: str) -> None:
+    """Add rows to a kept table without reading what it holds; `load_table` with a key lets them win."""
+    _write(df, path, "more")
 
 
 def append_log(spark: SparkSession, path: str, **fields) -> None:

@@ -7,22 +7,31 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from twinlake.operators import caches
-from twinlake.sources.state import load_table, save_table
+from twinlake.sources.state import append_table, load_table, save_table, versions
 
 CACHE = "path string, mtime bigint, size bigint, partial_hash string, full_hash string"
 
 
+#: After so many batches the cache is written anew as one version.
+COMPACT = 16
+
+
 def absorb(batch: DataFrame, cache_path: str) -> int:
-    """Hash what the cache lacks of a batch (path, modified, size, content) and merge it in; returns the misses.
+    """Hash what the cache lacks of a batch (path, modified, size, content) and add it; returns the misses.
 
-    A batch that is run again after a failure finds its rows in the cache, so the result is the same.
+    Only the batch's rows are written; every COMPACT batches the cache is made one again. A batch that is run again after
+    a failure finds its rows in the cache, so the result is the same.
     """
-    cache = load_table(batch.sparkSession, cache_path, CACHE)
+    spark = batch.sparkSession
+    cache = load_table(spark, cache_path, CACHE, "path")
     rows = batch.withColumnRenamed("modified", "mtime")
     new = caches.misses(rows, cache).select("path", "mtime", "size", F.md5(F.substring("content", 1, 4096)).alias("partial_hash"), F.md5("content").alias("full_hash"))
-    n = new.count()
-    if n:  # written only if there is something new
-        save_table(caches.upsert(cache, new), cache_path)
+    new = new.dropDuplicates(["path"])
+    before = len(versions(spark, cache_path))
+    append_table(new, cache_path)
+    n = spark.read.schema(CACHE).parquet(versions(spark, cache_path)[-1][2]).count()
+    if before >= COMPACT:
+        save_table(load_table(spark, cache_path, CACHE, "path"), cache_path)
     return n
 
 
