@@ -1,5 +1,6 @@
 import io
 import os
+import shutil
 import tarfile
 import zipfile
 
@@ -9,11 +10,13 @@ from twinlake.operators import filters
 from twinlake.operators.components import connected_components
 from twinlake.operators.session import Session
 from twinlake.params import ImageConfig, ScanParams
-from twinlake.plans.scan import image_phase, scan
+from twinlake.plans.scan import files_read, image_phase, scan
 from twinlake.sources import archives as archive_source
 from twinlake.sources import state
 from twinlake.sources.files import inventory, inventory_builtin
 
+SF = "/root/testdata/sf0.001"
+
 
 def put(root, **files):
     for name, text in files.items():
@@ -216,3 +219,74 @@ def test_incremental(spark, tmp_path):
     put(tmp_path / "in", c="2")
     incremental.watch(spark, str(tmp_path / "in"), cache, check).awaitTermination()
     assert state.load_table(spark, cache, incremental.CACHE).count() == 3
+
+
+def test_rescan_reads_no_content(spark, tmp_path):
+    folder, cache = tmp_path / "in", str(tmp_path / "cache")
+    folder.mkdir()
+    for i in range(12):
+        (folder / f"f{i}.txt").write_bytes(b"x" * 5000 + bytes([i % 3]))
+    (folder / "alone.txt").write_bytes(b"y")
+    p = ScanParams(folder=str(folder), recursive=True)
+    plain = sorted(map(tuple, scan(spark, p).groups.collect()))
+    first = scan(spark, p, cache_path=cache)
+    assert sorted(map(tuple, first.groups.collect())) == plain and files_read(spark, cache) == 12
+    before = len(state.versions(spark, cache))
+    again = scan(spark, p, cache_path=cache)
+    assert sorted(map(tuple, again.groups.collect())) == plain
+    new = [v for _, _, v in state.versions(spark, cache)][before:]
+    assert len(new) == 2 and all(spark.read.parquet(v).count() == 0 for v in new)
+    # a changed file is read again, and only it
+    (folder / "f0.txt").write_bytes(b"x" * 5000 + bytes([1]))
+    os.utime(folder / "f0.txt", (1, 1))
+    changed = scan(spark, p, cache_path=cache)
+    assert sorted(map(tuple, changed.groups.collect())) == sorted(map(tuple, scan(spark, p).groups.collect())) != plain
+    assert files_read(spark, cache) == 1
+
+
+def test_kept_tables_survive_a_crash(spark, tmp_path):
+    path, schema = str(tmp_path / "kept"), "path string, n int"
+    frame = lambda *rows: spark.createDataFrame(list(rows), schema)
+    state.save_table(frame(("a", 1), ("b", 1)), path)
+    state.append_table(frame(("b", 2), ("c", 2)), path)
+    assert {tuple(r) for r in state.load_table(spark, path, schema, "path").collect()} == {("a", 1), ("b", 2), ("c", 2)}
+    # a version that was not written to its end doesn't count
+    shutil.copytree(state.versions(spark, path)[-1][2].removeprefix("file:"), f"{path}/whole-9")
+    os.remove(f"{path}/whole-9/_SUCCESS")
+    assert len(state.versions(spark, path)) == 2
+    # replaced by a plan that reads it
+    state.save_table(state.load_table(spark, path, schema, "path").where("n = 2"), path)
+    state.save_table(state.load_table(spark, path, schema, "path").where("path = 'c'"), path)
+    assert [tuple(r) for r in state.load_table(spark, path, schema, "path").collect()] == [("c", 2)]
+
+
+def test_plans(spark):
+    """No pair query is a theta join, also where nothing may be broadcast, and no content leaves the scan's stage."""
+    from twinlake import catalog
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        for name in ("image_pairs_nested", "image_pairs_aspect", "image_pairs_coarse", "image_pairs_by_folder", "audio_pairs", "video_pairs_dtw", "archive_image_links", "archive_audio_links", "image_pairs_bucket"):
+            plan = catalog.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+            assert "CartesianProduct" not in plan and "NestedLoop" not in plan, name
+        for name in ("exact_groups", "exact_members_origin_order", "partial_hash_groups"):
+            plan = catalog.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+            assert "CartesianProduct" not in plan and all("text" not in line.split("Exchange", 1)[1] for line in plan.split("\n") if "Exchange" in line), name
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_hot_groups_keep_their_order(spark):
+    """One digest of a third of all rows, with null names and times: positions as by one sort."""
+    from pyspark.sql import Window as W
+    from pyspark.sql import functions as F
+
+    from twinlake.operators import exact
+
+    rows = [(f"/p/{i:05d}", None if i % 50 == 0 else f"n{i % 400}", None if i % 70 == 0 else i % 5, "hot" if i % 3 == 0 else f"d{i // 4}", i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "path string, name string, modified long, full string, size long")
+    got = {r.path: (r.group_key, r.pos) for r in exact.exact_members(df).collect()}
+    w = W.partitionBy("full")
+    want = df.withColumn("n", F.count("*").over(w)).withColumn("k", F.min("path").over(w)).withColumn("p", F.row_number().over(w.orderBy("modified", "name", "path")) - 1).where("n >= 2")
+    assert got == {r.path: (r.k, r.p) for r in want.collect()}

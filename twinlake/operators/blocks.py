@@ -41,7 +41,9 @@ def near_pairs(
     """
     spark = rows.sparkSession
     ship(spark)
-    with_key = lambda df: df.withColumn("k", F.lit(0) if key is None else key).where("k is not null").select("k", id_, *cols)
+    # one key for all, which the optimizer must not take for a constant: the joins on it would become products
+    one = F.pmod(F.xxhash64(id_), F.lit(1))
+    with_key = lambda df: df.withColumn("k", one if key is None else key).where("k is not null").select("k", id_, *cols)
     left_blocks, counts = _blocks(with_key(rows), id_, cols, size)
     right_blocks, right_counts = (left_blocks, counts) if right is None else _blocks(with_key(right), id_, cols, size)
     lookers = None
