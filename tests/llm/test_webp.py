@@ -242,3 +242,52 @@ def test_store_and_read_back(spark, docs_of):
     same = [r for i, r in got.items() if texts[i] == "dup dup"]
     assert same[0][1:] == same[1][1:]
     assert webp.describe(webp.store(docs_of([]))).count() == 0
+
+
+def test_stored_pictures_use_every_form():
+    """Own codes, cache, predictor and palette occur where they shrink a picture, and both decoders read all of them."""
+    rng = np.random.default_rng(3)
+    line = bytes(rng.integers(32, 127, 576, dtype=np.uint8))
+    shifted = b"".join(((np.frombuffer(line, np.uint8).astype(int) + k % 3) % 256).astype(np.uint8).tobytes() for k in range(64))
+    ramp = np.repeat(np.cumsum(rng.integers(0, 2, 192 * 64)) % 256, 3).astype(np.uint8).tobytes()
+    grey = np.repeat(rng.integers(0, 256, 192 * 64, dtype=np.uint8), 3).tobytes()
+    few = rng.choice(np.array([[1, 2, 3], [9, 9, 9], [250, 0, 7]], np.uint8), 192 * 8).tobytes()
+    words = (" ".join(rng.choice(["alpha", "beta", "gamma", "delta", "of", "the"], 5000)).encode() + b" " * 576)[: 576 * 40]
+    noise = bytes(rng.integers(0, 256, 576 * 64, dtype=np.uint8))
+    short = b"etaoin shrdlu " * 3 + b"\xff" * (576 - 42)
+    payloads = [shifted, ramp, grey, few, words, noise, short]
+    raw = np.frombuffer(b"".join(payloads), np.uint8).reshape(-1, 3)[:, [1, 0, 2]]
+    forms, cache = webp._forms(raw, np.array([len(p) // 3 for p in payloads]))
+    assert forms[0] == 5 and forms[1] == 4 and forms[2] == 3 and forms[3] == 6 and forms[4] == 2 and cache[4] > 0 and {1, 0} & set(forms.tolist()), forms
+    streams = webp.encode_many(payloads)
+    alone = [webp.samples([webp.decode(s)]) for s in streams]
+    together = [webp.samples([p]) for p in webp.decode_many(streams)]
+    assert alone == payloads and together == payloads
+    # a form is only taken where it is less than the fixed codes
+    kinds = [webp.read_transforms(webp.read_start(s)[0], 192, 64)[0] for s in streams]
+    assert [len(k) for k in kinds] == [int(f >= 3) for f in forms]
+    assert len(streams[3]) < len(few) / 8 and len(streams[0]) < len(shifted) / 20
+
+
+def test_stored_text_uses_cache_and_own_codes():
+    texts = [" ".join(f"word{(i * 7 + k) % 50}" for i in range(2000)) for k in range(6)]
+    payloads = [webp.payload_of(t)[0] for t in texts]
+    media = webp.write_files(payloads)
+    heads = [webp._head(webp.chunk(m)[0]) for m in media]
+    assert all(h[3] > 0 for h in heads) and len({h[4] for h in heads}) > 1
+    assert [webp.samples(p) for p in webp.read_files(media)] == payloads
+    assert media == webp.write_files(payloads) and media[2] == webp.write_files([payloads[2]])[0]  # whatever stands beside it
+
+
+@pytest.mark.parametrize("mode", [1, 2])
+@pytest.mark.parametrize("width,height", [(1, 1), (1, 5), (5, 1), (7, 9)])
+def test_even_predictors_as_the_general_way(mode, width, height):
+    px = np.random.default_rng(width * height).integers(0, 1 << 32, width * height, dtype=np.uint32)
+    one = np.full(1, mode << 8, np.uint32)
+    mixed = webp.undo_predictor(px, width, height, 2, np.array([mode << 8] * (-(-width // 4) * -(-height // 4) - 1) + [mode << 8], np.uint32))
+    c = webp.split(px).astype(int)
+    for i in range(width * height):
+        y, x = divmod(i, width)
+        p = np.array([0, 0, 0, 255]) if not i else c[i - 1] if not y or x and mode == 1 else c[i - width]
+        c[i] = (c[i] + p) & 255
+    assert (webp.undo_predictor(px, width, height, 9, one) == webp.join(c)).all() and (mixed == webp.join(c)).all()

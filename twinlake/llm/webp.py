@@ -2,21 +2,27 @@
 
 `decode` reads any lossless stream: prefix codes (also by meta codes), back-references, colour cache, and the
 predictor, cross-colour, subtract-green and palette transforms. `decode_many` reads many streams in step, one symbol
-of each at a time as numpy columns, where they share their prefix codes and use neither cache nor meta codes; other
-streams go to `decode`. Both give ARGB pixels as numpy arrays.
+of each at a time as numpy columns, each by its own prefix codes and colour cache, and then undoes their transforms;
+streams with meta codes go to `decode`. Both give ARGB pixels as numpy arrays.
 
 `store` keeps a document's UTF-8 bytes, filled up with bytes 255 to a positive multiple of 576, as RGB samples in
-pictures 192 pixels wide and at most 64 rows high, one WebP file after the other. Null text counts as empty: one row
-of 255. Equal texts give equal files. Repeated rows are stored each on their own; other columns take no part.
+pictures 192 pixels wide and at most 64 rows high, one WebP file after the other. For every picture the least of some
+forms is taken, as estimated from its own counts: one fixed set of prefix codes for text, or codes of its own, these
+also with a colour cache, or after a subtract-green, a predictor or a palette transform. Runs of a pixel are
+back-references in every form.
+
+Null text counts as empty: one row of 255. Equal texts give equal files; of forms of equal size the first named is
+taken. A very long text is many pictures, a batch of them at a time. Repeated rows are stored each on their own, an
+empty table gives no rows; other columns, whatever their names, take no part.
 """
 
 from __future__ import annotations
 
 import hashlib
-import heapq
 import struct
 import zlib
 from functools import lru_cache
+from itertools import groupby
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -66,16 +72,23 @@ def code_table(lengths: bytes) -> tuple[np.ndarray, int]:
     if len(used) == 1:
         return np.array([used[0] << 4], np.uint32), 0
     bits = max(lengths)
-    table, code = np.zeros(1 << bits, np.uint32), 0
-    for n in range(1, bits + 1):
-        for s in used:
-            if lengths[s] == n:
-                table[int(f"{code:0{n}b}"[::-1], 2) :: 1 << n] = s << 4 | n
-                code += 1
-        code <<= 1
-    if code != 2 << bits:
+    order = sorted(used, key=lambda x: (lengths[x], x))
+    sizes = np.array([lengths[x] for x in order])
+    # in canonical order codes fill the table from its beginning, read from the first bit down
+    spans = 1 << (bits - sizes)
+    if spans.sum() != 1 << bits:
         raise ValueError("prefix code isn't complete")
-    return table, bits
+    entries = np.repeat(np.array(order, np.uint32) << np.uint32(4) | sizes.astype(np.uint32), spans)
+    return entries[_reversed(bits)], bits
+
+
+@lru_cache(maxsize=16)
+def _reversed(bits: int) -> np.ndarray:
+    """Every number of so many bits read backwards."""
+    out = np.zeros(1, np.int64)
+    for _ in range(bits):
+        out = np.concatenate([2 * out, 2 * out + 1])
+    return out
 
 
 def read_symbol(b: Bits, table: tuple[np.ndarray, int]) -> int:
@@ -207,9 +220,17 @@ def predict(mode: int, left, top, top_right, top_left) -> list[int]:
 
 
 def undo_predictor(px: np.ndarray, width: int, height: int, block: int, modes: np.ndarray) -> np.ndarray:
-    c = split(px).astype(int).tolist()
     across = -(-width >> block)
     kinds = (modes >> 8 & 15).tolist()
+    if set(kinds) <= {1} or set(kinds) <= {2}:
+        # sums along the rows from the first column's, or down the columns from the first row's
+        c = split(px).reshape(height, width, 4).copy()
+        c[0, 0, 3] += 255
+        edge, rest = (0, 1) if kinds[0] == 1 else (1, 0)
+        begin = c[:, 0] if edge == 0 else c[0]
+        begin[:] = np.cumsum(begin, axis=0, dtype=np.uint8)
+        return join(np.cumsum(c, axis=rest, dtype=np.uint8).reshape(-1, 4))
+    c = split(px).astype(int).tolist()
     for y in range(height):
         for x in range(width):
             i = y * width + x
@@ -268,15 +289,8 @@ def chunk(data: bytes, at: int = 0) -> tuple[bytes, int]:
     raise ValueError("no lossless picture")
 
 
-def decode(stream: bytes) -> np.ndarray:
-    """Pixels (height, width, 4) of (blue, green, red, alpha) of one lossless stream."""
-    b = Bits(stream, 8)
-    if stream[:1] != b"\x2f":
-        raise ValueError("no lossless picture")
-    width, height = b.read(14) + 1, b.read(14) + 1
-    b.read(1)
-    if b.read(3):
-        raise ValueError("unknown version")
+def read_transforms(b: Bits, width: int, height: int) -> tuple[list, int]:
+    """What undoes each transform of a stream, in their order, and the width of the coded picture."""
     undo, inner = [], width
     while b.read(1):
         kind = b.read(2)
@@ -291,110 +305,173 @@ def decode(stream: bytes) -> np.ndarray:
             block = b.read(3) + 2
             data = read_pixels(b, -(-inner >> block), -(-height >> block), False)
             undo.append(lambda px, w=inner, k=block, d=data, f=undo_cross_colour if kind else undo_predictor: f(px, w, height, k, d))
+    return undo, inner
+
+
+def read_start(stream: bytes) -> tuple[Bits, int, int]:
+    """A reader behind a stream's first fields, its width and height."""
+    b = Bits(stream, 8)
+    if stream[:1] != b"\x2f":
+        raise ValueError("no lossless picture")
+    width, height = b.read(14) + 1, b.read(14) + 1
+    b.read(1)
+    if b.read(3):
+        raise ValueError("unknown version")
+    return b, width, height
+
+
+def decode(stream: bytes) -> np.ndarray:
+    """Pixels (height, width, 4) of (blue, green, red, alpha) of one lossless stream."""
+    b, width, height = read_start(stream)
+    undo, inner = read_transforms(b, width, height)
     px = read_pixels(b, inner, height, True)
     for f in reversed(undo):
         px = f(px)
     return split(px).reshape(height, width, 4)
 
 
-_HEADERS: dict[bytes, list[tuple[int, int, tuple]]] = {}  # parsed prefix codes by their first bytes; each is compared bit by bit
+_HEADERS: dict[bytes, list[tuple[int, int, int, tuple]]] = {}  # parsed heads without transforms by their first bytes; each is compared bit by bit
 
 
-def _plain_header(stream: bytes) -> tuple[int, tuple] | None:
-    """Where the pixels begin and the code lengths, if the stream has no transforms, cache or meta codes."""
-    at, flags = 40, stream[5] & 7
-    if stream[:1] != b"\x2f" or flags:
-        return None
-    for bits, value, lengths in _HEADERS.get(stream[5:13], ()):
+def _head(stream: bytes) -> tuple[int, int, int, int, tuple, list] | None:
+    """(first bit of the pixels, coded width, height, bits of the cache, code lengths, what undoes the transforms), or None
+    for meta codes."""
+    size = int.from_bytes(stream[1:5], "little")
+    for bits, value, cache, lengths in _HEADERS.get(stream[5:13], ()):
         if int.from_bytes(stream[5 : 5 + (bits + 7 >> 3)], "little") & ((1 << bits) - 1) == value:
-            return at + bits, lengths
-    b = Bits(stream, at + 3)
-    lengths = tuple(read_lengths(b, n) for n in (280, 256, 256, 256, 40))
-    bits = b.pos - at
-    if len(_HEADERS) < 1000:
-        value = int.from_bytes(stream[5 : 5 + (bits + 7 >> 3)], "little") & ((1 << bits) - 1)
-        _HEADERS.setdefault(stream[5:13], []).append((bits, value, lengths))
-    return b.pos, lengths
+            return 40 + bits, (size & 16383) + 1, (size >> 14 & 16383) + 1, cache, lengths, []
+    b, width, height = read_start(stream)
+    undo, inner = read_transforms(b, width, height)
+    cache = b.read(4) if b.read(1) else 0
+    if cache > 11:
+        raise ValueError("colour cache too large")
+    if b.read(1):
+        return None
+    lengths = tuple(read_lengths(b, n) for n in (280 + (1 << cache if cache else 0), 256, 256, 256, 40))
+    if not undo and len(_HEADERS) < 64:
+        bits = b.pos - 40
+        _HEADERS.setdefault(stream[5:13], []).append((bits, int.from_bytes(stream[5 : 5 + (bits + 7 >> 3)], "little") & ((1 << bits) - 1), cache, lengths))
+    return b.pos, inner, height, cache, lengths, undo
 
 
 def decode_many(streams: list[bytes]) -> list[np.ndarray]:
-    """As `decode` for each; those with the same prefix codes in step."""
+    """As `decode` for each, in step."""
     out: list[np.ndarray | None] = [None] * len(streams)
-    alike: dict[tuple, list[tuple[int, int, int, int]]] = {}
+    heads = []
     for i, s in enumerate(streams):
-        if head := _plain_header(s):
-            size = int.from_bytes(s[1:5], "little")
-            alike.setdefault(head[1], []).append((i, head[0], (size & 16383) + 1, (size >> 14 & 16383) + 1))
+        if head := _head(s):
+            heads.append((i, head))
         else:
             out[i] = decode(s)
-    for lengths, group in alike.items():
-        px = _in_step([streams[i] for i, *_ in group], np.array([g[1:] for g in group], np.int64), [code_table(x) for x in lengths])
-        ends = np.cumsum([w * h for _, _, w, h in group])
-        for (i, _, w, h), end in zip(group, ends, strict=True):
-            out[i] = split(px[end - w * h : end]).reshape(h, w, 4)
+    if heads:
+        px = _in_step([streams[i] for i, _ in heads], [h for _, h in heads])
+        ends = np.cumsum([h[1] * h[2] for _, h in heads])
+        for (i, (_, w, h, _, _, undo)), end in zip(heads, ends, strict=True):
+            own = px[end - w * h : end]
+            for f in reversed(undo):
+                own = f(own)
+            out[i] = split(own).reshape(h, -1, 4)
     return out
 
 
-def _in_step(streams: list[bytes], heads: np.ndarray, codes: list[tuple[np.ndarray, int]]) -> np.ndarray:
-    """ARGB values of the pictures one after the other. heads: first bit, width and height of each."""
+_SPREAD = 0x1E35A7BD
+
+
+def _in_step(streams: list[bytes], heads: list[tuple]) -> np.ndarray:
+    """ARGB values of the coded pictures one after the other."""
     data = b"".join(streams) + bytes(16)
     words = np.ndarray((len(data) - 8,), "<u8", data, strides=(1,))
     begin = np.cumsum([0] + [len(s) for s in streams[:-1]])
     limit = 8 * (begin + [len(s) for s in streams])
-    pos, width = 8 * begin + heads[:, 0], heads[:, 1]
-    sizes = heads[:, 1] * heads[:, 2]
+    pos, width = 8 * begin + np.array([h[0] for h in heads]), np.array([h[1] for h in heads])
+    sizes = width * np.array([h[2] for h in heads])
     end = np.cumsum(sizes)
     at, first = end - sizes, end - sizes
     out = np.zeros(int(end[-1]), np.uint32)
-    green, red, blue, alpha, far = [(t, np.uint64((1 << n) - 1)) for t, n in codes]
-    four, fifteen, seven = np.uint32(4), np.uint32(15), 7
-
-    def take(code, w, pos):
-        e = code[0][w & code[1]]
+    # every set of prefix codes once, its tables in one array
+    sets: dict[tuple, int] = {}
+    which = np.array([sets.setdefault(h[4], len(sets)) for h in heads])
+    tables = [[code_table(x) for x in lengths] for lengths in sets]
+    flat, starts, masks = [], np.zeros((4, len(tables)), np.int64), np.zeros((4, len(tables)), np.uint64)
+    n = 0
+    for k, of in enumerate(tables):
+        for c in range(4):
+            flat.append(of[c][0])
+            starts[c, k], masks[c, k] = n, (1 << of[c][1]) - 1
+            n += len(of[c][0])
+    flat = np.concatenate(flat)
+    starts, masks = starts[:, which], masks[:, which]
+    sees_alpha = masks[3].any()
+    cache_bits = np.array([h[3] for h in heads], np.uint64)
+    caching = bool(cache_bits.any())
+    room = 1 << cache_bits.astype(np.int64)
+    place = np.cumsum(room) - room
+    cache = np.zeros(int(room.sum()), np.uint32)
+    down = np.uint64(32) - cache_bits
+    four, fifteen, seven, low, spread = np.uint32(4), np.uint32(15), 7, np.uint64(0xFFFFFFFF), np.uint64(_SPREAD)
+
+    def take(start, mask, w, pos):
+        e = flat[start + (w & mask).astype(np.int64)]
         n = e & fifteen
         pos += n
         w >>= n.astype(np.uint64)
         return e >> four
 
+    def keep(v, k):
+        cache[place[k] + ((v.astype(np.uint64) * spread & low) >> down[k]).astype(np.int64)] = v
+
+    def literal(s, w, p, k):
+        v = s << np.uint32(8)
+        v |= take(starts[1][k], masks[1][k], w, p) << np.uint32(16)
+        v |= take(starts[2][k], masks[2][k], w, p)
+        if sees_alpha:
+            w = words[p >> 3] >> (p & seven).astype(np.uint64)
+        return v | take(starts[3][k], masks[3][k], w, p) << np.uint32(24)
+
+    every = slice(None)
     while len(at):
         w = words[pos >> 3] >> (pos & seven).astype(np.uint64)
-        s = take(green, w, pos)
+        s = take(starts[0], masks[0], w, pos)
         plain = s < 256
         if plain.all():
-            v = s << np.uint32(8)
-            v |= take(red, w, pos) << np.uint32(16)
-            v |= take(blue, w, pos)
-            if codes[3][1]:
-                w = words[pos >> 3] >> (pos & seven).astype(np.uint64)
-            out[at] = v | take(alpha, w, pos) << np.uint32(24)
+            v = literal(s, w, pos, every)
+            out[at] = v
+            if caching:
+                keep(v, every)
             at += 1
         else:
             k = np.flatnonzero(plain)
             if len(k):
                 p = pos[k]
-                w = w[k]
-                v = s[k] << np.uint32(8)
-                v |= take(red, w, p) << np.uint32(16)
-                v |= take(blue, w, p)
-                if codes[3][1]:
-                    w = words[p >> 3] >> (p & seven).astype(np.uint64)
-                out[at[k]] = v | take(alpha, w, p) << np.uint32(24)
+                v = literal(s[k], w[k], p, k)
+                out[at[k]] = v
+                if caching:
+                    keep(v, k)
                 at[k] += 1
                 pos[k] = p
-            for k in np.flatnonzero(~plain):
+            k = np.flatnonzero(s >= 280)
+            if len(k):
+                v = cache[place[k] + s[k].astype(np.int64) - 280]
+                out[at[k]] = v
+                keep(v, k)
+                at[k] += 1
+            for k in np.flatnonzero(~plain & (s < 280)):
                 b = Bits(data, int(pos[k]))
                 count = prefix_value(b, int(s[k]) - 256)
-                back, a = distance(prefix_value(b, read_symbol(b, codes[4])), int(width[k])), int(at[k])
+                back, a = distance(prefix_value(b, read_symbol(b, tables[which[k]][4])), int(width[k])), int(at[k])
                 if back > a - first[k] or a + count > end[k]:
                     raise ValueError("back-reference outside the picture")
-                out[a : a + count] = np.resize(out[a - back : a], count) if back < count else out[a - back : a - back + count]
+                got = out[a : a + count] = np.resize(out[a - back : a], count) if back < count else out[a - back : a - back + count]
+                if caching:
+                    keep(got[-back:] if back < count else got, np.full(min(back, count), k))
                 pos[k] = b.pos
                 at[k] += count
         live = at < end
         if not live.all():
             if (pos > limit).any():
                 raise ValueError("the stream ends early")
-            pos, at, end, first, width, limit = (x[live] for x in (pos, at, end, first, width, limit))
+            pos, at, end, first, width, limit, which, place, down = (x[live] for x in (pos, at, end, first, width, limit, which, place, down))
+            starts, masks = starts[:, live], masks[:, live]
     return out
 
 
@@ -403,36 +480,42 @@ def _in_step(streams: list[bytes], heads: np.ndarray, codes: list[tuple[np.ndarr
 
 def huffman(weights: list[float], longest: int) -> bytes:
     """Code lengths of at most `longest`: weights are flattened until the code is short enough."""
+    depth = bytearray(len(weights))
+    used = [i for i, w in enumerate(weights) if w]
+    if len(used) == 1:
+        depth[used[0]] = 1
+        return bytes(depth)
     while True:
-        heap = [(w, i, (i,)) for i, w in enumerate(weights) if w]
-        depth = bytearray(len(weights))
-        if len(heap) == 1:
-            depth[heap[0][1]] = 1
-            return bytes(depth)
-        heapq.heapify(heap)
-        while len(heap) > 1:
-            a, b = heapq.heappop(heap), heapq.heappop(heap)
-            for s in a[2] + b[2]:
-                depth[s] += 1
-            heapq.heappush(heap, (a[0] + b[0], min(a[1], b[1]), a[2] + b[2]))
-        if max(depth) <= longest:
+        # leaves by weight, and inner nodes, which come in order of weight by themselves
+        leaves = sorted(used, key=lambda i: (weights[i], i))
+        w = [weights[i] for i in leaves]
+        n, up = len(leaves), [0] * (2 * len(leaves) - 1)
+        a, b = 0, n
+        for node in range(n, 2 * n - 1):
+            total = 0
+            for _ in range(2):
+                if a < n and (b >= node or w[a] <= w[b]):
+                    c, a = a, a + 1
+                else:
+                    c, b = b, b + 1
+                up[c] = node
+                total += w[c]
+            w.append(total)
+        deep = [0] * (2 * n - 1)
+        for node in range(2 * n - 3, -1, -1):
+            deep[node] = deep[up[node]] + 1
+        if max(deep[:n]) <= longest:
+            for i, d in zip(leaves, deep, strict=False):
+                depth[i] = d
             return bytes(depth)
         top = max(weights)
-        weights = [max(w, top / 2000) * 0.9 + top / 20000 if w else 0 for w in weights]
+        weights = [max(x, top / 2000) * 0.9 + top / 20000 if x else 0 for x in weights]
 
 
 def codes_of(lengths: bytes) -> list[tuple[int, int]]:
     """(code as it is written, length) of each symbol; a lone symbol takes no bits."""
-    out, code = [(0, 0)] * len(lengths), 0
-    if sum(map(bool, lengths)) == 1:
-        return out
-    for n in range(1, max(lengths) + 1):
-        for s, k in enumerate(lengths):
-            if k == n:
-                out[s] = (int(f"{code:0{n}b}"[::-1], 2), n)
-                code += 1
-        code <<= 1
-    return out
+    codes, sizes = _code_arrays(lengths)
+    return list(zip(codes.tolist(), sizes.tolist(), strict=True))
 
 
 class BitWriter:
@@ -446,6 +529,12 @@ class BitWriter:
 
 def write_lengths(w: BitWriter, lengths: bytes) -> None:
     """One prefix code: short forms for one or two symbols, else run-length coded lengths."""
+    w.put(*_written_lengths(lengths))
+
+
+@lru_cache(maxsize=64)
+def _written_lengths(lengths: bytes) -> tuple[int, int]:
+    w = BitWriter()
     used = [s for s, n in enumerate(lengths) if n]
     if len(used) <= 2 and all(s < 256 for s in used):
         w.put(1, 1)
@@ -453,14 +542,10 @@ def write_lengths(w: BitWriter, lengths: bytes) -> None:
         w.put(1, 1)
         for s in used or [0]:
             w.put(s, 8)
-        return
-    runs, i = [], 0
-    while i < len(lengths):
-        n = 1
-        while i + n < len(lengths) and lengths[i + n] == lengths[i]:
-            n += 1
-        i += n
-        value = lengths[i - 1]
+        return w.value, w.n
+    runs: list[tuple[int, int, int]] = []
+    for value, group in groupby(lengths):
+        n = len(list(group))
         if value:
             runs.append((value, 0, 0))
             n -= 1
@@ -470,7 +555,7 @@ def write_lengths(w: BitWriter, lengths: bytes) -> None:
             runs.append((code, k - least, extra))
             n -= k
         runs += [(value, 0, 0)] * n
-    weights = [0.0] * 19
+    weights = [0] * 19
     for s, _, _ in runs:
         weights[s] += 1
     of = huffman(weights, 7)
@@ -483,8 +568,10 @@ def write_lengths(w: BitWriter, lengths: bytes) -> None:
     w.put(0, 1)
     codes = codes_of(of)
     for s, value, extra in runs:
-        w.put(*codes[s])
-        w.put(value, extra)
+        code, n = codes[s]
+        w.value |= (code | value << n) << w.n
+        w.n += n + extra
+    return w.value, w.n
 
 
 def prefix_symbol(value: int) -> tuple[int, int, int]:
@@ -497,9 +584,36 @@ def prefix_symbol(value: int) -> tuple[int, int, int]:
     return 2 * top + second, v & ((1 << (top - 1)) - 1), top - 1
 
 
+def _write_codes(w: BitWriter, cache: int, green: bytes, red: bytes, blue: bytes, alpha: int) -> None:
+    """The head of a picture's pixels: cache, no meta codes, prefix codes. Distances are code 2, the pixel to the left."""
+    if cache:
+        w.put(1 | cache << 1, 5)
+    else:
+        w.put(0, 1)
+    w.put(0, 1)
+    lone = lambda n, i: bytes(int(k == i) for k in range(n))
+    for x in (green, red, blue, lone(256, alpha), lone(40, 1)):
+        write_lengths(w, x)
+
+
+def _code_arrays(lengths: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Codes as they are written, and their lengths; a lone symbol takes no bits."""
+    n = np.frombuffer(lengths, np.uint8).astype(np.int64)
+    out = np.zeros(len(n), np.uint64)
+    used = np.flatnonzero(n)
+    if len(used) == 1:
+        return out, np.zeros(len(n), np.uint64)
+    order = used[np.argsort(n[used], kind="stable")]
+    bits = int(n.max())
+    spans = 1 << (bits - n[order])
+    top = np.cumsum(spans) - spans
+    out[order] = _reversed(bits)[top]
+    return out, n.astype(np.uint64)
+
+
 @lru_cache(maxsize=1)
-def _prior() -> tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The writer's one set of codes, for text: (head bits, their number, codes and lengths by byte, and of runs by length)."""
+def _prior() -> tuple[int, int, bytes, bytes]:
+    """The fixed set of codes, for text: (head bits, their number, lengths of green, and of red and blue)."""
     common = b" etaonrishdlucmpgfbvyw.,\nkqxjz"
     weights = [1e-5 + 1e-3 * (32 <= b < 127) + 2e-3 * (128 <= b < 192) + 5e-3 * (b in (195, 194, 255)) for b in range(256)]
     for i, b in enumerate(common):
@@ -507,74 +621,217 @@ def _prior() -> tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     literal = huffman(weights, 13)
     green = huffman([*weights, *[2e-4] * 24], 13)
     w = BitWriter()
-    w.put(0, 3)  # no transforms, cache, meta codes
-    far = bytearray(40)
-    far[1] = 1  # distance code 2: the pixel to the left
-    opaque = bytearray(256)
-    opaque[255] = 1
-    for x in (green, literal, literal, bytes(opaque), bytes(far)):
-        write_lengths(w, x)
-    arrays = lambda c: (np.array([v for v, _ in c], np.uint64), np.array([n for _, n in c], np.uint64))
-    g, other = codes_of(green), codes_of(literal)
-    runs = [(0, 0)]
-    for n in range(1, WIDTH * ROWS + 1):
-        s, value, extra = prefix_symbol(min(n, 4096))
-        c, k = g[256 + s]
-        runs.append((c | value << k, k + extra))
-    return w.value, w.n, *arrays(g[:256]), *arrays(other), *arrays(runs)
+    w.put(0, 1)  # no transforms
+    _write_codes(w, 0, green, literal, literal, 255)
+    return w.value, w.n, green, literal
+
+
+@lru_cache(maxsize=1)
+def _run_symbols() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbol, extra bits and their number by the length of a run."""
+    got = [(0, 0, 0)] + [prefix_symbol(n) for n in range(1, 4097)]
+    return tuple(np.array(x, np.int64) for x in zip(*got, strict=True))
+
+
+class _Pictures:
+    """Pixels (green, red, blue) of pictures one after the other, with what each form of them would take."""
+
+    def __init__(self, px: np.ndarray, sizes: np.ndarray):
+        self.px, self.sizes, self.n = px, sizes, len(sizes)
+        self.first = np.cumsum(sizes) - sizes
+        self.of = np.repeat(np.arange(self.n), sizes)
+        self.argb = px[:, 0].astype(np.uint32) << np.uint32(8) | px[:, 1].astype(np.uint32) << np.uint32(16) | px[:, 2]
+        same = np.zeros(len(px), bool)
+        same[1:] = self.argb[1:] == self.argb[:-1]
+        same[self.first] = False
+        # a run after its first pixel, cut at 4096: its length at its beginning, -1 behind
+        edge = np.flatnonzero(same & ~np.concatenate([[False], same[:-1]]))
+        stop = np.flatnonzero(same & ~np.concatenate([same[1:], [False]])) + 1
+        self.run = np.zeros(len(px), np.int64)
+        for a, b in zip(edge[stop - edge >= 3].tolist(), stop[stop - edge >= 3].tolist(), strict=True):
+            self.run[a:b] = -1
+            for k in range(a, b, 4096):
+                self.run[k] = min(4096, b - k)
+
+    def counts(self, values: np.ndarray, where: np.ndarray, bins: int) -> np.ndarray:
+        return np.bincount(self.of[where] * bins + values[where], minlength=self.n * bins).reshape(self.n, bins)
+
+    def hits(self, bits: np.ndarray, alpha: int) -> tuple[np.ndarray, np.ndarray]:
+        """Which pixels the colour cache holds when they come, and their place in it; bits are of each picture."""
+        v = self.argb.astype(np.uint64) | np.uint64(alpha << 24)
+        place = ((v * np.uint64(_SPREAD) & np.uint64(0xFFFFFFFF)) >> (np.uint64(32) - bits.astype(np.uint64)[self.of])).astype(np.int64)
+        order = np.argsort(self.of << 11 | place, kind="stable")
+        key, value = (self.of << 11 | place)[order], self.argb[order]
+        held = np.zeros(len(v), bool)
+        held[order[1:]] = (key[1:] == key[:-1]) & (value[1:] == value[:-1])
+        return held & (bits > 0)[self.of], place
+
+
+def _information(counts: np.ndarray) -> np.ndarray:
+    """Bits of so many symbols by a code of their own, with what the code itself takes."""
+    total = counts.sum(axis=1)
+    log = lambda x: x * np.log2(np.maximum(x, 1))
+    return log(total) - log(counts).sum(axis=1) + 4.5 * (counts > 0).sum(axis=1) + 40
+
+
+def _forms(raw: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each picture the form that is estimated to be the least, and the bits of its colour cache.
+
+    Forms: 0 fixed codes, 1 own codes, 2 own codes and cache, 3 subtract-green, 4 and 5 predictors left and top, 6 palette.
+    """
+    plain = _Pictures(raw, sizes)
+    literal = plain.run == 0
+    every = [plain.counts(plain.px[:, c], literal, 256) for c in range(3)]
+    _, head, green, other = _prior()
+    fixed = sum((n @ np.frombuffer(x, np.uint8)[:256].astype(np.int64) for n, x in zip(every, (green, other, other), strict=True)), np.zeros(plain.n)) + head
+    size = [fixed, sum(map(_information, every))]
+    bits = np.clip(np.frexp(sizes)[1] - 4, 2, 10)
+    held, place = plain.hits(bits, 255)
+    rest = literal & ~held
+    found = plain.counts(place, literal & held, 1 << 11)
+    size.append(sum(_information(plain.counts(plain.px[:, c], rest, 256)) for c in (1, 2)) + _information(np.hstack([plain.counts(plain.px[:, 0], rest, 256), found])))
+    for t in (3, 4, 5):
+        p = _Pictures(_transformed(raw, plain, t), sizes)
+        size.append(sum(_information(p.counts(p.px[:, c], p.run == 0, 256)) for c in range(3)) + 60)
+    order = np.argsort(plain.of << 24 | plain.argb.astype(np.int64) & 0xFFFFFF, kind="stable")
+    key = (plain.of << 24 | plain.argb.astype(np.int64))[order]
+    colours = np.bincount(plain.of[order[np.concatenate([[True], key[1:] != key[:-1]])]], minlength=plain.n)
+    # several indices to a pixel, at most a byte of information each, and the colours themselves
+    pack = np.select([colours <= 2, colours <= 4, colours <= 16], [8, 4, 2], 0)
+    size.append(np.where(pack > 0, sizes / np.maximum(pack, 1) * 4 + 30 * colours + 300, np.inf))
+    form = np.argmin(np.array(size), axis=0)
+    return form, np.where(form == 2, bits, 0)
+
+
+def _transformed(raw: np.ndarray, p: _Pictures, form: int) -> np.ndarray:
+    """All pixels less what a transform says: 3 subtract-green, 4 left, 5 top."""
+    if form == 3:
+        return raw - np.concatenate([np.zeros_like(raw[:, :1]), raw[:, :1], raw[:, :1]], axis=1)
+    left, top = (np.concatenate([np.zeros_like(raw[:n]), raw])[: len(raw)] for n in (1, WIDTH))
+    place = np.arange(len(raw)) - p.first[p.of]
+    no_left, no_top = (place % WIDTH == 0)[:, None], (place < WIDTH)[:, None]
+    said = np.where(no_left, top, left) if form == 4 else np.where(no_top, left, top)
+    return raw - np.where((place == 0)[:, None], 0, said).astype(np.uint8)
+
+
+def _palette(px: np.ndarray) -> tuple[list[int], np.ndarray, int]:
+    """(colours, packed indices, bits of the packing) of one picture."""
+    argb = px[:, 0].astype(np.int64) << 8 | px[:, 1].astype(np.int64) << 16 | px[:, 2]
+    colours, index = np.unique(argb, return_inverse=True)
+    pack = 3 if len(colours) <= 2 else 2 if len(colours) <= 4 else 1
+    parts = index.reshape(-1, WIDTH >> pack, 1 << pack) << (np.arange(1 << pack) * (8 >> pack))
+    return colours.tolist(), parts.sum(axis=2).ravel().astype(np.uint8), pack
+
+
+def _write_pixel_row(w: BitWriter, values: list[int]) -> None:
+    """A small picture within a stream, one ARGB value after the other, by codes of its own."""
+    channels = [[v >> k & 255 for v in values] for k in (8, 16, 0, 24)]
+    codes = []
+    w.put(0, 1)
+    for n, c in zip((280, 256, 256, 256), channels, strict=True):
+        counts = [0] * n
+        for x in c:
+            counts[x] += 1
+        lengths = huffman(counts, 15)
+        write_lengths(w, lengths)
+        codes.append(codes_of(lengths))
+    write_lengths(w, bytes([1] + [0] * 39))
+    for row in zip(*channels, strict=True):
+        for code, x in zip(codes, row, strict=True):
+            w.put(*code[x])
 
 
 def encode_many(payloads: list[bytes]) -> list[bytes]:
-    """Lossless streams of RGB samples, 192 pixels a row; runs of a pixel become back-references."""
-    head, head_bits, gv, gn, ov, on, rv, rn = _prior()
-    raw = np.frombuffer(b"".join(payloads), np.uint8).reshape(-1, 3)
+    """Lossless streams of RGB samples, 192 pixels a row."""
+    raw = np.frombuffer(b"".join(payloads), np.uint8).reshape(-1, 3)[:, [1, 0, 2]]
     sizes = np.array([len(p) // 3 for p in payloads])
-    first = np.cumsum(sizes) - sizes
-    n = len(raw)
-    same = np.zeros(n, bool)
-    same[1:] = (raw[1:] == raw[:-1]).all(axis=1)
-    same[first] = False
-    # a run after its first pixel, cut at 4096
-    edge = np.flatnonzero(same & ~np.concatenate([[False], same[:-1]]))
-    stop = np.flatnonzero(same & ~np.concatenate([same[1:], [False]])) + 1
-    run = np.zeros(n, np.int64)
-    for a, b in zip(edge.tolist(), stop.tolist(), strict=True):
-        if b - a >= 3:
-            run[a:b] = -1
-            for k in range(a, b, 4096):
-                run[k] = min(4096, b - k)
-    r, g, b = raw[:, 0], raw[:, 1], raw[:, 2]
-    value = gv[g] | ov[r] << gn[g] | ov[b] << (gn[g] + on[r])
-    bits = gn[g] + on[r] + on[b]
-    is_run = run > 0
-    value[is_run], bits[is_run] = rv[run[is_run]], rn[run[is_run]]
-    keep = run >= 0
-    value, bits = value[keep], bits[keep].astype(np.int64)
-    kept = np.add.reduceat(keep.astype(np.int64), first)
+    form, cache = _forms(raw, sizes)
+    plain = _Pictures(raw, sizes)
+    px, coded, starts = raw, sizes, {}
+    for t in (3, 4, 5):
+        if (form == t).any():
+            px = np.where((form == t)[plain.of][:, None], _transformed(raw, plain, t), px)
+    # palettes make pictures narrower
+    if (form == 6).any():
+        parts, coded = [], sizes.copy()
+        for i in range(len(payloads)):
+            own = px[plain.first[i] : plain.first[i] + sizes[i]]
+            if form[i] == 6:
+                colours, index, _ = _palette(own)
+                starts[i] = colours
+                own = np.stack([index, np.zeros_like(index), np.zeros_like(index)], axis=1)
+                coded[i] = len(own)
+            parts.append(own)
+        px = np.concatenate(parts)
+    p = _Pictures(px, coded)
+    held, place = p.hits(cache, 255)
+    held &= p.run == 0
+    literal = (p.run == 0) & ~held
+    symbol, extra, extra_bits = _run_symbols()
+    runs = np.where(p.run > 0, p.run, 0)
+    # the symbol of each token in the first code: a literal's green, a run's length, a place in the cache
+    first_symbol = np.where(held, 280 + place, np.where(p.run > 0, 256 + symbol[runs], p.px[:, 0]))
+    token = p.run >= 0
+    # prefix codes: the fixed ones, and those of each picture that has its own
+    head, head_bits, green, other = _prior()
+    sets = [(_code_arrays(green), _code_arrays(other), _code_arrays(other))]
+    which, heads = np.zeros(p.n, np.int64), [(head, head_bits)] * p.n
+    end = np.cumsum(coded)
+    for i in np.flatnonzero(form > 0).tolist():
+        part = slice(int(end[i] - coded[i]), int(end[i]))
+        lit = literal[part]
+        own = [huffman(np.bincount(first_symbol[part][token[part]], minlength=280 + (1 << int(cache[i]) if cache[i] else 0)).tolist(), 15)]
+        own += [huffman(np.bincount(p.px[part, c][lit], minlength=256).tolist() if lit.any() else [1] + [0] * 255, 15) for c in (1, 2)]
+        w = BitWriter()
+        alpha = 255
+        if form[i] == 3:
+            w.put(1 | 2 << 1, 3)
+        elif form[i] in (4, 5):
+            w.put(1 | 0 << 1 | 7 << 3, 6)
+            _write_pixel_row(w, [(int(form[i]) - 3) << 8])
+            alpha = 0  # as predicted
+        elif form[i] == 6:
+            w.put(1 | 3 << 1, 3)
+            w.put(len(starts[i]) - 1, 8)
+            full = [0, *[c | 0xFF000000 for c in starts[i]]]
+            less = lambda a, b: sum(((a >> k) - (b >> k) & 255) << k for k in (0, 8, 16, 24))
+            _write_pixel_row(w, [less(b, a) for a, b in zip(full, full[1:], strict=False)])
+        w.put(0, 1)
+        _write_codes(w, int(cache[i]), *own, alpha)
+        which[i], heads[i] = len(sets), (w.value, w.n)
+        sets.append(tuple(map(_code_arrays, own)))
+    flat = [[np.concatenate([s[c][k] for s in sets]) for k in (0, 1)] for c in range(3)]
+    begins = [np.cumsum([0] + [len(s[c][0]) for s in sets[:-1]]) for c in range(3)]
+    of = which[p.of]
+    code = lambda c, v: tuple(f[begins[c][of] + v] for f in flat[c])
+    (value, bits), (rv, rn), (bv, bn) = code(0, first_symbol), code(1, p.px[:, 1]), code(2, p.px[:, 2])
+    zero = np.uint64(0)
+    more = np.where(literal, rv | bv << rn, np.where(p.run > 0, extra[runs].astype(np.uint64), zero))
+    more_bits = np.where(literal, rn + bn, np.where(p.run > 0, extra_bits[runs].astype(np.uint64), zero))
+    value, bits = (value | more << bits)[token], (bits + more_bits)[token].astype(np.int64)
+    kept = np.add.reduceat(token.astype(np.int64), p.first)
     token0 = np.cumsum(kept) - kept
     total = np.add.reduceat(bits, token0)
-    # every stream begins at a new 64-bit word, its head aside
-    lead = 40 + head_bits
+    # every body begins at a new 64-bit word
     words = (total + 63 + 64) >> 6
     base = (np.cumsum(words) - words) * 64
     pos = np.cumsum(bits) - bits
     pos += np.repeat(base - pos[token0], kept)
     word, shift = pos >> 6, (pos & 63).astype(np.uint64)
     low = value << shift
-    high = np.where(shift > 0, value >> (np.uint64(64) - np.maximum(shift, np.uint64(1))), np.uint64(0))
+    high = np.where(shift > 0, value >> (np.uint64(64) - np.maximum(shift, np.uint64(1))), zero)
     out = np.zeros(int(words.sum()) + 1, np.uint64)
     for w, v in ((word, low), (word + 1, high)):
         at = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
         out[w[at]] |= np.bitwise_or.reduceat(v, at)
     data = out.tobytes()
     result = []
-    prefix = head << 40
-    for p, t, a in zip(payloads, total.tolist(), (base // 8).tolist(), strict=True):
-        height = len(p) // UNIT
-        start = prefix | 0x2F | (WIDTH - 1) << 8 | (height - 1) << 22
+    for payload, t, a, (value_, n) in zip(payloads, total.tolist(), (base // 8).tolist(), heads, strict=True):
+        height = len(payload) // UNIT
+        start = value_ << 40 | 0x2F | (WIDTH - 1) << 8 | (height - 1) << 22
         # the head rarely ends at a whole byte: shift the body behind it
         body = int.from_bytes(data[a : a + (t + 7 >> 3)], "little")
-        result.append((start | body << lead).to_bytes(lead + t + 7 >> 3, "little"))
+        result.append((start | body << (40 + n)).to_bytes(40 + n + t + 7 >> 3, "little"))
     return result
 
 
@@ -651,4 +908,5 @@ def describe(stored: DataFrame) -> DataFrame:
         }
 
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return map_arrow(need(stored, "doc_id", "n_bytes", "media"), run, schema, 4096)
+    # steps are shared by all pictures of a batch
+    return map_arrow(need(stored, "doc_id", "n_bytes", "media"), run, schema, 8192, 8_000_000)
