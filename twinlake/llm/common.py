@@ -38,6 +38,25 @@ def map_arrow(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]], s
     return df.mapInArrow(run, out)
 
 
+def map_whole(df: DataFrame, change: Callable[[pa.RecordBatch], pa.RecordBatch], done: Callable[[], None] | None = None) -> DataFrame:
+    """Apply change to slices of whole rows, whatever their columns are named: it takes and gives batches of these columns."""
+    from pyspark.sql.types import StructField, StructType
+
+    ship(df.sparkSession)
+    names, plain = df.columns, [f"c{i}" for i in range(len(df.columns))]
+    schema = StructType([StructField(p, f.dataType, f.nullable) for p, f in zip(plain, df.schema.fields, strict=True)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part in parts(b):
+                yield pa.RecordBatch.from_arrays(change(pa.RecordBatch.from_arrays(part.columns, names=names)).columns, names=plain)
+        if done:
+            done()
+        tidy()
+
+    return df.toDF(*plain).mapInArrow(run, schema).toDF(*names)
+
+
 def parts(b: pa.RecordBatch, rows: int = 1024, size: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """A batch in slices of at most `rows` rows and about `size` bytes; a larger row stands alone."""
     for begin, n in _cuts(b, rows, size):

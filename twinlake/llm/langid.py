@@ -8,7 +8,8 @@ greatest cosine is predicted, the cosine is the score, and a text further from i
 all training texts are, by a margin, is rejected.
 
 Null texts and texts without letters are `und` with score 0, and rejected; so is everything where there is nothing to
-learn from. Ties go to the language that sorts first. Repeated rows count each. Other columns take no part.
+learn from. Ties go to the language that sorts first. Very long texts are counted whole, a block of letters at a time.
+Repeated rows count each, an empty table gives no rows. Other columns, whatever their names, take no part.
 """
 
 from __future__ import annotations

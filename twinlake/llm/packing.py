@@ -5,8 +5,9 @@ the longest length as fit, then the set bits of what remains, from high to low.
 never cross documents and need no padding; sequences of one length form a bucket (`bucket`, the exponent), from which
 batches of equal shape are drawn.
 
-Null text counts as empty: such a document is the end id alone. An empty table gives no pieces. Repeated rows are
-packed each on their own. Columns of the input beyond the id and the text take no part.
+Null text counts as empty: such a document is the end id alone. A very long text is many pieces of the longest length.
+An empty table gives no pieces. Repeated rows are packed each on their own, ids may repeat or be null. There are no
+ties. Columns of the input beyond the id and the text, whatever their names, take no part.
 """
 
 from __future__ import annotations

@@ -8,8 +8,11 @@ of the best grade. It is fitted on a bounded sample of labelled rows (`sample` r
 and text), four fifths for the weights, the rest for the cut that keeps all but `lose` of the good ones: the greatest
 such cut, hence that with the greatest toxic recall. The model reports the toxic recall of the rest by language.
 
-Null text counts as empty. Without labels every text is kept, with expected grade and tail of null. Of several labels
-of an id the least quality and the greatest toxicity hold. Repeated rows are scored each; other columns take no part.
+Null text counts as empty. Very long texts are read whole; what is collected of a sampled one are its distinct columns,
+of which the `most` least by a hash stand for it, so that the sample's bytes are bounded too. Without labels every text
+is kept, with expected grade and tail of null. Of several labels of an id the least quality and the greatest toxicity
+hold. A text at the cut is kept; ties go no other way. Repeated rows are scored each, an empty table gives no rows;
+other columns, whatever their names, take no part.
 """
 
 from __future__ import annotations
@@ -20,10 +23,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinlake.llm.common import map_arrow, need
+from twinlake.llm.common import map_arrow, map_whole, need
 
 COLUMNS, SAMPLE, LOSE, GRADES = 1 << 16, 8000, 0.005, 3
 BEGINNINGS = (4, 5, 6, 7)
+#: Columns of a sampled text that are collected at most.
+MOST = 4096
 _CACHE: dict[str, tuple[str, tuple[int, ...], tuple[int, ...]]] = {}
 _MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
 
@@ -98,6 +103,13 @@ def features(text: str | None) -> np.ndarray:
     return np.array(sorted(got), np.int64)
 
 
+def _bounded(at: np.ndarray, most: int = MOST) -> np.ndarray:
+    if len(at) <= most:
+        return at
+    mixed = at.astype(np.uint32) * np.uint32(0x9E3779B1)
+    return np.sort(at[np.argsort(mixed, kind="stable")[:most]])
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
@@ -152,7 +164,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, lose: float =
     rows = need(docs, "doc_id", "text", "lang").join(F.broadcast(chosen), "doc_id")  # bounded by sample
 
     def run(cols: dict[str, list]) -> dict[str, list]:
-        return {"doc_id": cols["doc_id"], "lang": cols["lang"], "grade": cols["grade"], "at": [features(t).astype("<i4").tobytes() for t in cols["text"]]}
+        return {"doc_id": cols["doc_id"], "lang": cols["lang"], "grade": cols["grade"], "at": [_bounded(features(t)).astype("<i4").tobytes() for t in cols["text"]]}
 
     got = map_arrow(rows.select("doc_id", "text", "lang", "grade"), run, "doc_id long, lang string, grade int, at binary").collect()
     if not got:
@@ -195,18 +207,10 @@ def select(df: DataFrame, model: Model | None) -> DataFrame:
 
 def keep_rows(df: DataFrame, kept) -> DataFrame:
     """The rows of df for whose texts `kept` says so; no join, whole rows pass through the worker."""
-    from twinlake.llm.common import parts, tidy
-    from twinlake.session import ship
-
-    ship(df.sparkSession)
 
-    def run(batches):
+    def change(part):
         import pyarrow as pa
 
-        for b in batches:
-            for part in parts(b):
-                yield part.filter(pa.array(kept(part.column("text").to_pylist()), pa.bool_()))
-        forget()
-        tidy()
+        return part.filter(pa.array(kept(part.column("text").to_pylist()), pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return map_whole(df, change, forget)

@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinlake.llm.common import map_arrow, need
+from twinlake.llm.common import map_arrow, map_whole, need
 
 # The base patterns, with the least length of what they must hold.
 ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
@@ -482,26 +482,18 @@ def redacted(text: str, spans: list[tuple[int, int, str]]) -> str:
 
 def redact(df: DataFrame, net: Network | None = None) -> DataFrame:
     """df, all rows and columns, with secrets in text replaced; n_chars follows where there is such a column."""
-    from twinlake.llm.common import parts, tidy
-    from twinlake.session import ship
-
     net = net or fit(df)
-    ship(df.sparkSession)
-    schema = df.schema
 
-    def run(batches):
+    def change(part):
         import pyarrow as pa
 
-        for b in batches:
-            for part in parts(b):
-                texts = part.column("text").to_pylist()
-                new = [t if not s else redacted(t, s) for t, s in zip(texts, spans_of(texts, net)[0], strict=True)]
-                cols = {name: part.column(name) for name in part.schema.names}
-                cols["text"] = pa.array(new, part.schema.field("text").type)
-                if "n_chars" in cols:
-                    old = cols["n_chars"].to_pylist()
-                    cols["n_chars"] = pa.array([o if x is t else len(x) for o, x, t in zip(old, new, texts, strict=True)], part.schema.field("n_chars").type)
-                yield pa.RecordBatch.from_arrays([*cols.values()], names=[*cols])
-        tidy()
-
-    return df.mapInArrow(run, schema)
+        texts = part.column("text").to_pylist()
+        new = [t if not s else redacted(t, s) for t, s in zip(texts, spans_of(texts, net)[0], strict=True)]
+        cols = {name: part.column(name) for name in part.schema.names}
+        cols["text"] = pa.array(new, part.schema.field("text").type)
+        if "n_chars" in cols:
+            old = cols["n_chars"].to_pylist()
+            cols["n_chars"] = pa.array([o if x is t else len(x) for o, x, t in zip(old, new, texts, strict=True)], part.schema.field("n_chars").type)
+        return pa.RecordBatch.from_arrays([*cols.values()], names=[*cols])
+
+    return map_whole(df, change)

@@ -225,7 +225,7 @@ def undo_predictor(px: np.ndarray, width: int, height: int, block: int, modes: n
     if set(kinds) <= {1} or set(kinds) <= {2}:
         # sums along the rows from the first column's, or down the columns from the first row's
         c = split(px).reshape(height, width, 4).copy()
-        c[0, 0, 3] += 255
+        c[0, 0, 3] = int(c[0, 0, 3]) + 255 & 255
         edge, rest = (0, 1) if kinds[0] == 1 else (1, 0)
         begin = c[:, 0] if edge == 0 else c[0]
         begin[:] = np.cumsum(begin, axis=0, dtype=np.uint8)
