@@ -477,7 +477,17 @@ def archive_compare_exact(spark, sf):
     return archives.compare_exact(*_sides(spark, sf)).select("side", "internal_path", "status", "duplicate_in")
 
 
-@query()
+@query(f"""with recursive {IMAGES}, e as (select (id % 40 // 2)::int as pair, id, fine, coarse from pics),
+  near as (select a.pair, a.id as a, b.id as b, {distance('a.fine', 'b.fine')} as d from e a join e b on a.pair = b.pair and a.id % 2 = 0 and b.id % 2 = 1
+    and {distance('a.fine', 'b.fine')} <= 26 and {distance('a.coarse', 'b.coarse')} <= 26),
+  turns as (select pair, a, row_number() over (partition by pair order by a) as k from (select distinct pair, a from near)),
+  turn(pair, k, taken, a, b, d) as (
+    select distinct pair, 0::bigint, []::bigint[], null::bigint, null::bigint, null::bigint from near
+    union all
+    select t.pair, t.k + 1, case when n.b is null then t.taken else list_append(t.taken, n.b) end, n.a, n.b, n.d
+    from turn t join turns o on o.pair = t.pair and o.k = t.k + 1
+    left join lateral (select near.a, near.b, near.d::bigint as d from near where near.pair = o.pair and near.a = o.a and not list_contains(t.taken, near.b) order by near.d, near.b limit 1) n on true)
+  select a::varchar as a, b::varchar as b, d::int as distance, (1 - d / 64.0::double) * 100 as score from turn where a is not null""")
 def archive_compare_greedy(spark, sf):
     e = records.images(spark, sf).select((F.col("id") % 40 / 2).cast("int").alias("pair"), F.col("id").cast("string").alias("internal_path"), "fine", "coarse", F.col("id").alias("pos"))
     return archives.compare_greedy(e.where("pos % 2 = 0"), e.where("pos % 2 = 1"), 26)
