@@ -88,7 +88,8 @@ def test_similar_pictures_across_two_folders(spark, tmp_path):
     put(one, a_dot_bmp=bmp(0))
     put(two, b_dot_bmp=bmp(1))
     params = ScanParams(folder=str(one), secondary_folder=str(two), find_similar=True)
-    found = image_phase(spark, inventory(spark, params).localCheckpoint(), params.folder, params)
+    listed = inventory(spark, params)
+    found = image_phase(spark, spark.createDataFrame(listed.collect(), listed.schema), params.folder, params)
     assert sorted(m.name for m in found.collect()) == ["a.bmp", "b.bmp"]
 
 
@@ -231,10 +232,10 @@ def test_rescan_reads_no_content(spark, tmp_path):
     plain = sorted(map(tuple, scan(spark, p).groups.collect()))
     first = scan(spark, p, cache_path=cache)
     assert sorted(map(tuple, first.groups.collect())) == plain and files_read(spark, cache) == 12
-    before = len(state.versions(spark, cache))
+    before = len(state.versions(spark, f"{cache}/exact"))
     again = scan(spark, p, cache_path=cache)
     assert sorted(map(tuple, again.groups.collect())) == plain
-    new = [v for _, _, v in state.versions(spark, cache)][before:]
+    new = [v for _, _, v in state.versions(spark, f"{cache}/exact")][before:]
     assert len(new) == 2 and all(spark.read.parquet(v).count() == 0 for v in new)
     # a changed file is read again, and only it
     (folder / "f0.txt").write_bytes(b"x" * 5000 + bytes([1]))
@@ -290,3 +291,32 @@ def test_hot_groups_keep_their_order(spark):
     w = W.partitionBy("full")
     want = df.withColumn("n", F.count("*").over(w)).withColumn("k", F.min("path").over(w)).withColumn("p", F.row_number().over(w.orderBy("modified", "name", "path")) - 1).where("n >= 2")
     assert got == {r.path: (r.k, r.p) for r in want.collect()}
+
+
+def test_pictures_are_remembered_and_cancelled_scans_are_partial(spark, tmp_path, monkeypatch):
+    from twinlake.plans import scan as plans
+    from twinlake.sources.files import inventory as listed
+
+    calls = []
+
+    def hashes(rows):
+        calls.append(rows.count())
+        return rows.selectExpr("*", "cast(size as bigint) as fine", "0L as coarse", "1.0D as aspect")
+
+    put(tmp_path / "in", a_dot_png="x", b_dot_png="yy")
+    p = ScanParams(folder=str(tmp_path / "in"), recursive=True)
+    files = listed(spark, p)
+    settings = {"coarse_size": 4, "fine_size": 8, "thumbnail_setting": True}
+    for _ in range(2):
+        got = plans.remembered(files, str(tmp_path / "cache"), "image", settings, hashes)
+        assert sorted((r.name, r.fine) for r in got.collect()) == [("a.png", 1), ("b.png", 2)]
+    assert calls == [2]
+    plans.remembered(files, str(tmp_path / "cache"), "image", settings | {"fine_size": 16}, hashes)
+    assert calls == [2, 2]
+
+    def cancelled(*_):
+        raise RuntimeError("Job 3 cancelled as part of cancellation of all jobs")
+
+    monkeypatch.setattr(plans, "image_phase", cancelled)
+    r = scan(spark, ScanParams(folder=str(tmp_path / "in"), recursive=True, find_similar=True, scan_archives=True))
+    assert r.partial and r.archives is None and r.groups.count() == 0

@@ -29,6 +29,7 @@ class _Stored:
         Path(path).write_text(json.dumps(asdict(self), indent=2))
 
 
+# The names and defaults of stored settings.
 @dataclass(frozen=True)
 class ImageConfig(_Stored):
     min_file_size_bytes: int = 10240
@@ -41,26 +42,9 @@ class ImageConfig(_Stored):
     coarse_threshold_multiplier: float = 2.0
     min_images_two_pass: int = 20
     cache_enabled: bool = True
-    parallel_compare_enabled: bool = True
-    min_images_parallel_compare: int = 200
     use_exif_thumbnail: bool = True
     use_bucket_index: bool = True
     use_sorted_aspect: bool = True
-    perf_log_enabled: bool = False
-
-
-@dataclass(frozen=True)
-class VideoConfig(_Stored):
-    n_frames: int = 8
-    duration_tolerance: float = 0.20
-    cache_enabled: bool = True
-    use_dtw: bool = False
-
-
-@dataclass(frozen=True)
-class AudioConfig(_Stored):
-    duration_tolerance: float = 0.20
-    cache_enabled: bool = True
 
 
 @dataclass(frozen=True)
@@ -91,7 +75,6 @@ class ScanParams(_Stored):
     min_modified_timestamp: int = 0
     max_modified_timestamp: int = 0
     scan_archives: bool = False
-    skip_archive_extraction: bool = False
     image: ImageConfig = field(default_factory=ImageConfig)
 
     def single_mode(self) -> str | None:

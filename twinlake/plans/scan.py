@@ -17,7 +17,7 @@ from twinlake.operators import caches, exact, filters, pairs
 from twinlake.params import ScanParams
 from twinlake.sources import archives as archive_source
 from twinlake.sources import files as file_source
-from twinlake.sources.state import append_table, load_table, versions
+from twinlake.sources.state import append_log, append_table, load_table, versions
 
 TAG = "twinlake-scan"
 CACHE = "path string, mtime bigint, size bigint, partial_hash string, full_hash string"
@@ -69,17 +69,42 @@ def cached_digests(files: DataFrame, cache_path: str, which: str, partition: tup
     """files with their `partial` or `full` digest from the cache, which first gets what it lacks of them."""
     spark = files.sparkSession
     column = f"{which}_hash"
-    held = lambda: caches.lookup(files.withColumnRenamed("modified", "mtime"), load_table(spark, cache_path, CACHE, "path").select("path", "mtime", "size", "partial_hash", "full_hash"))
+    held = lambda: caches.lookup(files.withColumnRenamed("modified", "mtime"), load_table(spark, f"{cache_path}/exact", CACHE, "path").select("path", "mtime", "size", "partial_hash", "full_hash"))
     lacking = held().where(F.col(column).isNull()).drop("full_hash" if which == "partial" else "none")
     fresh = file_source.digests(lacking.select("path", "mtime", "size", *(["partial_hash"] if which == "full" else [])), partial=which == "partial").where(f"{which} is not null")
     row = [F.col("partial").alias("partial_hash"), F.lit(None).cast("string").alias("full_hash")] if which == "partial" else ["partial_hash", F.col("full").alias("full_hash")]
-    append_table(fresh.select("path", "mtime", "size", *row), cache_path)
+    append_table(fresh.select("path", "mtime", "size", *row), f"{cache_path}/exact")
     return held().withColumnRenamed("mtime", "modified").withColumnRenamed(column, which).where(f"{which} is not null").select(*files.columns, which)
 
 
 def files_read(spark: SparkSession, cache_path: str) -> int:
     """How many digests the last step of a scan added to the cache."""
-    return spark.read.parquet(versions(spark, cache_path)[-1][2]).count()
+    return spark.read.parquet(versions(spark, f"{cache_path}/exact")[-1][2]).count()
+
+
+#: What a cache of each kind holds: the key's columns, then the values.
+MEDIA = {
+    "image": ("path string, mtime bigint, coarse_size int, fine_size int, thumbnail_setting boolean", "fine bigint, coarse bigint, aspect double"),
+    "video": ("path string, mtime bigint, size bigint, n_frames int, algorithm_version int", "hashes array<bigint>, duration double"),
+    "audio": ("path string, mtime bigint, size bigint", "fp array<int>, duration double"),
+}
+
+
+def remembered(candidates: DataFrame, cache_path: str | None, kind: str, settings: dict, compute) -> DataFrame:
+    """candidates with the values that `compute` gives them, from the cache where an entry is valid (J2); others are added
+    to it as they are made (J3)."""
+    if not cache_path:
+        return compute(candidates)
+    spark, path = candidates.sparkSession, f"{cache_path}/{kind}"
+    keys, values = MEDIA[kind]
+    names = lambda schema: [c.split()[0] for c in schema.split(", ")]
+    keyed = candidates.withColumns({"mtime": F.col("modified")} | {k: F.lit(v) for k, v in settings.items()})
+    held = lambda: load_table(spark, path, f"{keys}, {values}", "path")
+    lacking = caches.misses(keyed, held(), kind).select(candidates.columns)
+    if lacking.limit(1).count():
+        fresh = compute(lacking).withColumns({"mtime": F.col("modified")} | {k: F.lit(v) for k, v in settings.items()})
+        append_table(fresh.select(*names(keys), *names(values)), path)
+    return caches.lookup(keyed, held(), kind).where("hit").select(*candidates.columns, *names(values))
 
 
 def similar_members(rows: DataFrame, links: DataFrame, params: ScanParams) -> DataFrame:
@@ -91,31 +116,40 @@ def similar_members(rows: DataFrame, links: DataFrame, params: ScanParams) -> Da
     return m
 
 
-def image_phase(spark: SparkSession, candidates: DataFrame, folder: str, params: ScanParams) -> DataFrame:
+def image_phase(spark: SparkSession, candidates: DataFrame, folder: str, params: ScanParams, cache_path: str | None = None) -> DataFrame:
     """Similar pictures: hashes of all that the image source decodes in either folder, pairs, groups."""
     c = params.image
     folders = [folder, params.secondary_folder] if params.secondary_folder else [folder]
-    px = spark.read.format("image").option("dropInvalid", "true").option("recursiveFileLookup", "true").load(folders).select("image.*")
-    px = px.select(F.regexp_replace("origin", "^file:/*", "/").alias("path"), "width", "height", decoded_hashes("height", "width", "nChannels", "data").alias("h"))
-    if len(folders) > 1:
-        px = px.dropDuplicates(["path"])  # one folder may lie in the other
-    word = lambda b: F.conv(F.hex(b), 16, 10).cast("decimal(20,0)")
-    signed = lambda d: F.when(d >= F.lit(Decimal(2**63)), d - F.lit(Decimal(2**64))).otherwise(d).cast("bigint")
-    rows = candidates.join(px, "path").select(candidates["*"], signed(word(F.col("h.fine"))).alias("fine"), signed(word(F.col("h.coarse"))).alias("coarse"), aspect("width", "height").cast("double").alias("aspect"))
+
+    def hashes(lacking: DataFrame) -> DataFrame:
+        px = spark.read.format("image").option("dropInvalid", "true").option("recursiveFileLookup", "true").load(folders).select("image.*")
+        # only what is asked for is hashed
+        px = px.withColumn("path", F.regexp_replace("origin", "^file:/*", "/")).join(lacking.select("path"), "path", "left_semi")
+        px = px.select("path", "width", "height", decoded_hashes("height", "width", "nChannels", "data").alias("h"))
+        if len(folders) > 1:
+            px = px.dropDuplicates(["path"])  # one folder may lie in the other
+        word = lambda b: F.conv(F.hex(b), 16, 10).cast("decimal(20,0)")
+        signed = lambda d: F.when(d >= F.lit(Decimal(2**63)), d - F.lit(Decimal(2**64))).otherwise(d).cast("bigint")
+        return lacking.join(px, "path").select(lacking["*"], signed(word(F.col("h.fine"))).alias("fine"), signed(word(F.col("h.coarse"))).alias("coarse"), aspect("width", "height").cast("double").alias("aspect"))
+
+    settings = {"coarse_size": c.coarse_hash_size, "fine_size": c.fine_hash_size, "thumbnail_setting": c.use_exif_thumbnail}
+    rows = remembered(candidates, cache_path if c.cache_enabled else None, "image", settings, hashes)
     rows = filters.large_enough(rows, c.min_file_size_bytes, c.min_images_size_filter).withColumn("id", F.col("path"))
     links = pairs.image_pairs(rows, params.sim_threshold, rows.count(), c, "folder" if params.by_folder else None)
     return similar_members(rows, links, params)
 
 
-def video_phase(candidates: DataFrame, params: ScanParams) -> DataFrame:
+def video_phase(candidates: DataFrame, params: ScanParams, cache_path: str | None = None) -> DataFrame:
     """Similar videos: probed for their length, sampled by the external decoder, hashed, paired."""
     import subprocess
 
     import pandas as pd
 
     n = params.video_frames
-    probed = archive_source.probe(candidates).withColumn("meta", parse_probe("output")).where("meta.duration > 0").drop("output")
-    rows = probed.select(*candidates.columns, F.col("meta.duration").alias("duration"))
+
+    def probed(lacking: DataFrame) -> DataFrame:
+        meta = archive_source.probe(lacking).withColumn("meta", parse_probe("output")).where("meta.duration > 0").drop("output")
+        return meta.select(*lacking.columns, F.col("meta.duration").alias("duration"))
 
     def run(frames):
         import numpy as np
@@ -135,16 +169,24 @@ def video_phase(candidates: DataFrame, params: ScanParams) -> DataFrame:
         for f in frames:
             yield pd.DataFrame({**f, "hashes": [hashes(p, d) for p, d in zip(f["path"], f["duration"], strict=True)]})
 
-    schema = StructType([*rows.schema.fields, StructField("hashes", ArrayType(LongType()))])
-    hashed = rows.mapInPandas(run, schema).where("hashes is not null").withColumn("id", F.col("path"))
+    def sampled(lacking: DataFrame) -> DataFrame:
+        rows = probed(lacking)
+        return rows.mapInPandas(run, StructType([*rows.schema.fields, StructField("hashes", ArrayType(LongType()))])).where("hashes is not null")
+
+    settings = {"n_frames": n, "algorithm_version": 1}
+    hashed = remembered(candidates, cache_path if params.video_cache_enabled else None, "video", settings, sampled).withColumn("id", F.col("path"))
     links = pairs.video_pairs(hashed, params.video_sim_threshold, params.video_duration_tolerance, params.video_use_dtw)
     return similar_members(hashed, same_folder(hashed, links, params), params)
 
 
-def audio_phase(candidates: DataFrame, params: ScanParams) -> DataFrame:
+def audio_phase(candidates: DataFrame, params: ScanParams, cache_path: str | None = None) -> DataFrame:
     """Similar sounds by the external fingerprint tool."""
-    printed = archive_source.probe(candidates, ("fpcalc", "-raw")).withColumn("fp", parse_fingerprint("output")).where("fp is not null")
-    rows = printed.select(*candidates.columns, F.col("fp.duration").alias("duration"), F.col("fp.words").alias("fp")).withColumn("id", F.col("path"))
+
+    def printed(lacking: DataFrame) -> DataFrame:
+        found = archive_source.probe(lacking, ("fpcalc", "-raw")).withColumn("fp", parse_fingerprint("output")).where("fp is not null")
+        return found.select(*lacking.columns, F.col("fp.duration").alias("duration"), F.col("fp.words").alias("fp"))
+
+    rows = remembered(candidates, cache_path if params.audio_cache_enabled else None, "audio", {}, printed).withColumn("id", F.col("path"))
     links = pairs.audio_pairs(rows, params.audio_sim_threshold / 100, params.audio_duration_tolerance)
     return similar_members(rows, same_folder(rows, links, params), params)
 
@@ -166,10 +208,11 @@ def archive_phase(files: DataFrame) -> DataFrame:
     return archive_ops.archive_stats(e, archive_ops.exact_links(e))
 
 
-def scan(spark: SparkSession, params: ScanParams, files: DataFrame | None = None, cache_path: str | None = None) -> ScanResult:
+def scan(spark: SparkSession, params: ScanParams, files: DataFrame | None = None, cache_path: str | None = None, log_path: str | None = None) -> ScanResult:
     """Run a scan over a folder, or over given file rows. Plans stay lazy but for what decides strategies and groups.
 
-    cache_path names the folder of the digests that are kept between scans (T1).
+    cache_path names the folder of the hashes that are kept between scans (T1), log_path a log of its phases (S20). A scan
+    whose jobs are cancelled in a later phase returns what the phases before it found, marked as partial (T2).
     """
     spark.sparkContext.addJobTag(TAG)
     try:
@@ -178,27 +221,40 @@ def scan(spark: SparkSession, params: ScanParams, files: DataFrame | None = None
         found = exact_phase(seen, params, cache_path)
         if params.secondary_folder:
             found = found.join(filters.cross_source(found), "group_key", "left_semi")
-        groups, members = exact.group_rows(found), found
+        result = ScanResult(exact.group_rows(found), found, scanned=files)
         tools = archive_source.tools()
-        missing = {}
+
+        def similar(kind: str, phase) -> None:
+            began = time.time()
+            m = phase(exact.minus_exact(seen.where(media_class("name") == kind), found))
+            result.groups = result.groups.unionByName(exact.group_rows(m, kind))
+            result.members = result.members.unionByName(m, allowMissingColumns=True)
+            if log_path:
+                append_log(spark, log_path, phase=kind, seconds=round(time.time() - began, 3))
+
+        phases = []
         if params.find_similar and params.folder:
-            rest = exact.minus_exact(seen.where(media_class("name") == "image"), found)
-            m = image_phase(spark, rest, params.folder, params)
-            groups = groups.unionByName(exact.group_rows(m, "image"))
-            members = members.unionByName(m, allowMissingColumns=True)
+            phases.append(("image", lambda rest: image_phase(spark, rest, params.folder, params, cache_path)))
         for on, tool, kind, phase in ((params.find_similar_videos, "ffmpeg", "video", video_phase), (params.find_similar_audio, "fpcalc", "audio", audio_phase)):
             if on and not tools[tool]:
-                missing[f"{tool}_missing"] = True
+                result.missing_tools[f"{tool}_missing"] = True
             elif on and params.folder:
-                m = phase(exact.minus_exact(seen.where(media_class("name") == kind), found), params)
-                groups = groups.unionByName(exact.group_rows(m, kind))
-                members = members.unionByName(m, allowMissingColumns=True)
+                phases.append((kind, lambda rest, phase=phase: phase(rest, params, cache_path)))
+        for kind, phase in phases:
+            try:
+                similar(kind, phase)
+            except Exception as e:
+                if "cancel" not in str(e).lower():
+                    raise
+                result.partial = True
+                break
         if params.ignored_keys:
             keys = spark.createDataFrame([(k,) for k in params.ignored_keys], "ignore_key string")
-            groups = filters.minus_ignored(groups, keys)
-            members = members.join(groups.select("group_key"), "group_key", "left_semi")
-        archives = archive_phase(files) if params.scan_archives else None
-        return ScanResult(groups, members, archives, files, missing)
+            result.groups = filters.minus_ignored(result.groups, keys)
+            result.members = result.members.join(result.groups.select("group_key"), "group_key", "left_semi")
+        if params.scan_archives and not result.partial:
+            result.archives = archive_phase(files)
+        return result
     finally:
         spark.sparkContext.removeJobTag(TAG)
 
