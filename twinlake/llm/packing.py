@@ -41,7 +41,7 @@ def _byte_letters() -> dict[int, str]:
 
 @lru_cache(maxsize=2)
 def tokenizer(path: str) -> Units:
-    """Little-endian 32-bit ids of texts by a byte-level tokenizers file; words are forgotten at the end of a task."""
+    """Little-endian 32-bit ids of texts by a byte-level tokenizers file; its words, up to 64 MB, stay with the worker."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -82,7 +82,6 @@ def token_ids(df: DataFrame, name: str = "byte_bpe_50k.json") -> DataFrame:
             for part in parts(b):
                 texts = [t or "" for t in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([b"".join(v) for v in units(texts)], pa.binary())], names=["doc_id", "ids"])
-        units.forget()
         tidy()
 
     return df.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids binary")
@@ -117,7 +116,6 @@ def pack(df: DataFrame, name: str = "byte_bpe_50k.json", longest: int = 1024, en
                         at += size
                         n += 1
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
-        units.forget()
         tidy()
 
     return need(df, "doc_id", "text").mapInArrow(run, SCHEMA)

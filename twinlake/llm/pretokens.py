@@ -9,7 +9,6 @@ which costs time and never changes a result.
 from __future__ import annotations
 
 import re
-import sys
 from collections.abc import Callable, Iterable
 
 #: A space that opens no match of the pattern.
@@ -17,8 +16,8 @@ _ODD = re.compile(r" (?=\s|$)")
 _CUT = re.compile(r"(?= \S)")
 #: Closing marks that form one match of their own when they follow letters.
 _MARKS = "!#$%&*.,;:?|)"
-#: What an entry of a dictionary takes beside its key and value.
-_ENTRY = 100
+#: What an entry of a dictionary takes beside the letters of its key and the bytes of its value.
+_ENTRY = 180
 
 
 class Units:
@@ -27,11 +26,11 @@ class Units:
     `limit` is in bytes, for words and units together; one call may go beyond it by what its own texts need.
     """
 
-    def __init__(self, pattern: str, encode: Callable[[list[str]], list], join: Callable[[list], object], size: Callable[[object], int] = sys.getsizeof, limit: int = 48 << 20):
+    def __init__(self, pattern: str, encode: Callable[[list[str]], list], join: Callable[[list], bytes], limit: int = 64 << 20):
         import regex
 
         self.findall = regex.compile(pattern).findall
-        self.encode, self.join, self.size, self.limit = encode, join, size, limit
+        self.encode, self.join, self.limit = encode, join, limit
         self.kept = 0  # bytes, by estimate
         self.words: dict[str, object] = {}
         self.after: dict[str, object] = {}  # units that follow a space, without it
@@ -76,14 +75,15 @@ class Units:
         # in a fixed order, so that a task that is run again does the same work
         todo = [(self.after, u, self._split(f" {u}")) for u in sorted(tails)] + [(self.whole, u, self._split(u)) for u in sorted(heads)]
         fresh = sorted({w for _, _, ws in todo for w in ws} - self.words.keys())
-        self.words.update(zip(fresh, self.encode(fresh), strict=True) if fresh else ())
-        word, size = self.words.__getitem__, self.size
-        for w in fresh:
-            self.kept += _ENTRY + sys.getsizeof(w) + size(word(w))
+        values = self.encode(fresh) if fresh else []
+        self.words.update(zip(fresh, values, strict=True))
+        word, joined = self.words.__getitem__, []
         for into, unit, ws in todo:
-            self.kept += _ENTRY + sys.getsizeof(unit)
             if len(ws) == 1:
                 into[unit] = word(ws[0])
             else:
                 into[unit] = value = self.join([*map(word, ws)])
-                self.kept += size(value)
+                joined.append(value)
+        # letters beyond ASCII take two bytes or four
+        self.kept += _ENTRY * (len(fresh) + len(todo)) + 2 * (sum(map(len, fresh)) + sum(map(len, tails)) + sum(map(len, heads)))
+        self.kept += sum(map(len, values)) + sum(map(len, joined))
