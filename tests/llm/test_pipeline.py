@@ -75,12 +75,8 @@ def plain_columns(text):
         if len(w.rstrip(marks)) < len(w):
             out.add(f"m {w[len(w.rstrip(marks)) :][:8]}")
     out = {column(f) for f in out}
-    begun = [[column(f"b {s[:n]}") for n in (4, 5, 6, 7) if len(s) >= n] for s in stems]
-    count = {}
-    for b in begun:
-        for c in set(b):
-            count[c] = count.get(c, 0) + 1
-    out |= {c for c, n in count.items() if n > 1}
+    begun = [s[:n] for s in stems for n in (4, 5, 6, 7) if len(s) >= n]
+    out |= {column(f"b {b}") for b in set(begun) if begun.count(b) > 1}
     n, d, different = max(len(words), 1), max(len(set(words)), 1), set(words)
     lines = (text or "").split("\n")
     more = [

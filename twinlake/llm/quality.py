@@ -29,7 +29,7 @@ COLUMNS, SAMPLE, LOSE, GRADES = 1 << 16, 8000, 0.005, 3
 BEGINNINGS = (4, 5, 6, 7)
 #: Columns of a sampled text that are collected at most.
 MOST = 4096
-_CACHE: dict[str, tuple[str, tuple[int, ...], tuple[int, ...]]] = {}
+_CACHE: dict[str, tuple[str, tuple[int, ...]]] = {}
 _MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
 
 
@@ -52,8 +52,8 @@ def _column(feature: str) -> int:
     return xxhash.xxh32_intdigest(feature.encode()) & (COLUMNS - 1)
 
 
-def _word(raw: str) -> tuple[str, tuple[int, ...], tuple[int, ...]]:
-    """A word's lower-cased stem, the columns of it and its closing marks, and those of its beginnings."""
+def _word(raw: str) -> tuple[str, tuple[int, ...]]:
+    """A word's lower-cased stem, and the columns of it and its closing marks."""
     stem = raw.rstrip(_MARKS)
     marks = raw[len(stem) :]
     stem = stem.lower()
@@ -62,28 +62,34 @@ def _word(raw: str) -> tuple[str, tuple[int, ...], tuple[int, ...]]:
         out.append(_column(f"w {stem}"))
     if marks:
         out.append(_column(f"m {marks[:8]}"))
-    return stem, tuple(out), tuple(_column(f"b {stem[:n]}") for n in BEGINNINGS if len(stem) >= n)
+    return stem, tuple(out)
 
 
 def features(text: str | None) -> np.ndarray:
     """Sorted distinct columns of a text."""
     words = (text or "").split()
     distinct = set(words)
-    if len(_CACHE) > 50_000:
+    if len(_CACHE) > 100_000:
         _CACHE.clear()
     got: set[int] = set()
     stems: set[str] = set()
-    once: set[int] = set()
     for w in distinct:
         f = _CACHE.get(w)
         if f is None:
             f = _CACHE[w] = _word(w)
-        stem, own, begun = f
-        got.update(own)
-        if begun and stem not in stems:
-            stems.add(stem)
-            got.update(once.intersection(begun))
-            once.update(begun)
+        stems.add(f[0])
+        got.update(f[1])
+    # in order, stems of one beginning stand side by side
+    last = ""
+    shared: set[str] = set()
+    for stem in sorted(stems):
+        for n in BEGINNINGS:
+            begun = stem[:n]
+            if len(last) < n or begun != last[:n]:
+                break
+            shared.add(begun)
+        last = stem
+    got.update([_column(f"b {x}") for x in shared])
     n, d = max(len(words), 1), max(len(distinct), 1)
     share = lambda x: int(8 * x)
     got.update(
