@@ -67,7 +67,7 @@ _IDS = "select w, t from tokens order by w, p"
 #: The bytes of each run of positions; a byte is written as the letter of its number.
 _DECODE = "select g, string_agg(v.tok, '' order by p) as data from ids join vocab v on v.t = ids.t group by g order by g"
 _RUN, _AT_ONCE = 1 << 16, 1 << 18
-KEPT = 128 << 20
+KEPT = 256 << 20
 _LONG_BYTES = 1024
 
 
