@@ -72,18 +72,19 @@ class Units:
         return self.findall(unit)
 
     def _learn(self, tails: set[str], heads: set[str]) -> None:
-        # in a fixed order, so that a task that is run again does the same work
-        todo = [(self.after, u, self._split(f" {u}")) for u in sorted(tails)] + [(self.whole, u, self._split(u)) for u in sorted(heads)]
-        fresh = sorted({w for _, _, ws in todo for w in ws} - self.words.keys())
-        values = self.encode(fresh) if fresh else []
-        self.words.update(zip(fresh, values, strict=True))
-        word, joined = self.words.__getitem__, []
-        for into, unit, ws in todo:
-            if len(ws) == 1:
-                into[unit] = word(ws[0])
-            else:
-                into[unit] = value = self.join([*map(word, ws)])
-                joined.append(value)
+        # most units are one word, and are kept as units alone
+        single = [u for u in tails if u.isalpha()]
+        values = self.encode([f" {u}" for u in single]) if single else []
+        self.after.update(zip(single, values, strict=True))
+        several = [(self.after, u, self._split(f" {u}")) for u in tails if not u.isalpha()] + [(self.whole, u, self._split(u)) for u in heads]
+        words, after = self.words, self.after
+        fresh = [w for w in {w for _, _, ws in several for w in ws} if w not in words and not (w[0] == " " and w[1:] in after)]
+        more = self.encode(fresh) if fresh else []
+        words.update(zip(fresh, more, strict=True))
+        joined = []
+        for into, unit, ws in several:
+            into[unit] = value = self.join([words[w] if w in words else after[w[1:]] for w in ws])
+            joined.append(value)
         # letters beyond ASCII take two bytes or four
-        self.kept += _ENTRY * (len(fresh) + len(todo)) + 2 * (sum(map(len, fresh)) + sum(map(len, tails)) + sum(map(len, heads)))
-        self.kept += sum(map(len, values)) + sum(map(len, joined))
+        self.kept += _ENTRY * (len(single) + len(fresh) + len(several)) + 2 * (sum(map(len, fresh)) + sum(map(len, tails)) + sum(map(len, heads)))
+        self.kept += sum(map(len, values)) + sum(map(len, more)) + sum(map(len, joined))
