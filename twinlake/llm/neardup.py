@@ -14,8 +14,9 @@ salts, so that no task gets all its sets.
 
 Null text counts as empty. A very long text is hashed whole, in blocks. Rows with one id are one document: what is
 linked with one of its texts is linked with all. Repeated rows are rows of one class. Ties do not arise: a component is
-named by its least id. Null ids are one document that sorts before all others. Columns beyond id and text, whatever
-their names, take no part. An empty table gives no rows.
+named by its least id. Rows without an id stand for no document: they get the component of the documents with the same
+set, if there are any, and null for kept. Columns beyond id and text, whatever their names, take no part. An empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -117,16 +118,17 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.where(100 * F.col("both") >= percent * (F.size("ha") + F.size("hb") - F.col("both"))).select("a", "b").distinct()
 
 
-def join_by_hash(rows: DataFrame, facts: DataFrame, least: int = 1000) -> DataFrame:
-    """rows joined with facts, one row to a hash h with its count n of rows.
+def join_by_key(rows: DataFrame, facts: DataFrame, key: str, total: int | None = None, least: int = 1000) -> DataFrame:
+    """rows joined with facts, one row to a key with its count n of rows; total is the sum of n.
 
-    A hash with more than a ten-thousandth of all rows is one of 10,000 at most: these are broadcast, and their rows stay
+    A key with more than a ten-thousandth of all rows is one of 10,000 at most: these are broadcast, and their rows stay
     where they are.
     """
-    total = facts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    if total is None:
+        total = facts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     often = F.col("n") > max(least, total // 10_000)
     hot, cold = F.broadcast(facts.where(often)), facts.where(~often)
-    return rows.join(hot, "h").unionByName(rows.join(hot, "h", "left_anti").join(cold, "h"))
+    return rows.join(hot, key).unionByName(rows.join(hot, key, "left_anti").join(cold, key))
 
 
 def across_parts(rows: DataFrame, sets: DataFrame, percent: int, scratch: Scratch, salted: int = 1000) -> DataFrame:
@@ -140,7 +142,7 @@ def across_parts(rows: DataFrame, sets: DataFrame, percent: int, scratch: Scratc
     """
     each = rows.join(sets, "id").select("id", "part", F.size("hashes").alias("size"), F.explode("hashes").alias("h"))
     often = scratch.keep(each.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "often")
-    common = join_by_hash(each, often).withColumnRenamed("n", "df")
+    common = join_by_key(each, often, "h").withColumnRenamed("n", "df")
     per = common.groupBy("id").agg(F.count("*").alias("c"))
     order = W.partitionBy("id").orderBy("df", "h")
     placed = common.withColumn("r", F.row_number().over(order)).join(per, "id").withColumn("at", F.col("size") - F.col("c") + F.col("r"))
@@ -149,7 +151,7 @@ def across_parts(rows: DataFrame, sets: DataFrame, percent: int, scratch: Scratc
     scratch.drop(often)
     lists = first.groupBy("h", "part").agg(F.count("*").alias("m")).groupBy("h").agg(F.max(F.struct("m", "part")).alias("top"), F.count("*").alias("k"), F.sum("m").alias("n"))
     lists = scratch.keep(lists.where("k > 1").select("h", F.col("top.part").alias("largest"), "n", (F.expr(f"n div {salted}") + 1).cast("int").alias("salts")), "lists")
-    here = join_by_hash(first, lists)
+    here = join_by_key(first, lists, "h")
     a = here.where("part <> largest").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
     a = a.select("h", "salt", *[F.col(c).alias(f"{c}_a") for c in ("id", "part", "size", "at")])
     b = here.select("h", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt"), *[F.col(c).alias(f"{c}_b") for c in ("id", "part", "size", "at")])
@@ -167,12 +169,13 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, k: int = 3
     spark = df.sparkSession
     scratch = Scratch(spark, "neardup")
     m = sketches_needed(percent / 100, k, miss)
-    rows = scratch.keep(sketch(df, words, m, k), "sketch")
-    classes = rows.where("n > 0").groupBy("set_key").agg(F.min("doc_id").alias("rep"))
-    # a class's row: every row with its least id has the same set, so any of them
-    chosen = rows.where("n > 0").join(classes, "set_key").where(F.col("doc_id") == F.col("rep"))
+    rows = scratch.keep(sketch(df, words, m, k).withColumnRenamed("n", "size"), "sketch")
+    # a class has the sketches of any of its rows: they have the same set
+    classes = rows.where("size > 0").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.min_by("halves", "doc_id").alias("halves"), F.count("*").alias("n"))
+    classes = scratch.keep(classes, "classes")
+    total = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     # an id with several texts stands for several classes, told apart by c
-    halves = chosen.groupBy("set_key", "rep").agg(F.first("halves").alias("halves")).select("rep", F.xxhash64("set_key").alias("c"), F.explode("halves").alias("v"))
+    halves = classes.where("rep is not null").select("rep", F.xxhash64("set_key").alias("c"), F.explode("halves").alias("v"))
     halves = scratch.keep(halves, "halves")
     shared = halves.groupBy("v").agg(F.count("*").alias("n")).where("n > 1").select("v")
     useful = halves.join(shared, "v").groupBy("rep", "c").agg(F.collect_list("v").alias("s"))  # 2 * m at most to a class
@@ -192,7 +195,7 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, k: int = 3
     pairs = members.where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
     links = scratch.keep(confirmed(pairs, sets, percent), "links")
     # rows with one id but different sets are one document: the least of its classes is linked with every other
-    rep_of = rows.where("n > 0").select("doc_id", "set_key").distinct().join(classes, "set_key").select("doc_id", "rep").distinct()
+    rep_of = join_by_key(rows.where("size > 0").select("doc_id", "set_key"), classes.select("set_key", "rep", "n"), "set_key", total).select("doc_id", "rep").distinct()
     several = rep_of.groupBy("doc_id").agg(F.min("rep").alias("a"), F.count("*").alias("k")).where("k > 1").select("doc_id", "a")
     links = links.unionByName(scratch.keep(rep_of.join(several, "doc_id").where("rep <> a").select("a", F.col("rep").alias("b")), "same"))
     parts = connected_components(links, scratch=scratch)
@@ -204,7 +207,8 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, k: int = 3
     if more.limit(1).count():
         parts = connected_components(links.unionByName(more), scratch=scratch)
     scratch.drop(sets, members, wanted, inside, more)
-    found = classes.join(parts, F.col("rep") == F.col("id"), "left").select("set_key", F.coalesce("component", "rep").alias("component"))
-    out = rows.select("doc_id", "n", "set_key").join(found, "set_key", "left")
+    found = classes.join(parts, F.col("rep") == F.col("id"), "left").select("set_key", "n", F.coalesce("component", "rep").alias("component"))
+    placed = join_by_key(rows.where("size > 0").select("doc_id", "size", "set_key"), found, "set_key", total).select("doc_id", "size", "component")
+    out = placed.unionByName(rows.where("size = 0").select("doc_id", "size", F.lit(None).cast("bigint").alias("component")))
     component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", F.col("n").cast("bigint").alias("n_shingles"), component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    return out.select("doc_id", F.col("size").cast("bigint").alias("n_shingles"), component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
