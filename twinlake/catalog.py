@@ -339,9 +339,9 @@ def image_pairs_coarse(spark, sf):
     return pairs.image_pairs_nested(records.images(spark, sf), BITS, coarse_max=scalar.coarse_threshold(BITS, 4, 8, 0.5))
 
 
-@query(f"with {IMAGES}, pics2 as (select * replace (coarse & 15 as coarse) from pics) {_PAIR.replace('pics', 'pics2')} and a.coarse = b.coarse")
+@query(f"with {IMAGES} {_PAIR} and a.coarse = b.coarse")
 def image_pairs_bucket(spark, sf):
-    return pairs.image_pairs_bucket(records.images(spark, sf).withColumn("coarse", F.col("coarse").bitwiseAND(F.lit(15))), BITS)
+    return pairs.image_pairs_bucket(records.images(spark, sf), BITS)
 
 
 @query(f"with {IMAGES} {_PAIR} and {ASPECT}")
@@ -354,10 +354,9 @@ def image_pairs_by_folder(spark, sf):
     return pairs.image_pairs_nested(records.images(spark, sf), BITS, folder="folder")
 
 
-@query(f"with {IMAGES} {_PAIR.replace('<= 18', '<= 2').replace('a.fine', '(a.fine & 65535)').replace('b.fine', '(b.fine & 65535)')}")
+@query(f"with {IMAGES} {_PAIR.replace('<= 18', '<= 7')}")
 def image_pairs_banded(spark, sf):
-    low = records.images(spark, sf).withColumn("fine", F.col("fine").bitwiseAND(F.lit(0xFFFF)))
-    return pairs.hamming_banded(low, 2, bits=16)
+    return pairs.hamming_banded(records.images(spark, sf), 7)
 
 
 @query(f"with {IMAGES} select id from pics where size >= 10240 or (select count(*) from pics) < 50")
