@@ -112,23 +112,41 @@ def read_lengths(b: Bits, size: int) -> bytes:
     for i in range(4 + b.read(4)):
         of[LENGTH_ORDER[i]] = b.read(3)
     left = 2 + b.read(2 + 2 * b.read(3)) if b.read(1) else size
-    table, at, last = code_table(bytes(of)), 0, 8
+    entries, bits = _small_table(bytes(of))
+    # at most 14 bits to a symbol, read from one number
+    begin, mask, at, last, used = b.pos, (1 << bits) - 1, 0, 8, 0
+    ahead = int.from_bytes(b.data[begin >> 3 : (begin + 14 * min(left, size) + 7 >> 3) + 1], "little") >> (begin & 7)
     while at < size and left:
         left -= 1
-        s = read_symbol(b, table)
+        e = entries[ahead & mask]
+        s, n = e >> 4, e & 15
         if s < 16:
             out[at] = s
             at += 1
             last = s or last
         else:
-            n, value = (3 + b.read(2), last) if s == 16 else (3 + b.read(3), 0) if s == 17 else (11 + b.read(7), 0)
-            if at + n > size:
+            extra, least = ((2, 3), (3, 3), (7, 11))[s - 16]
+            count = least + (ahead >> n & ((1 << extra) - 1))
+            if at + count > size:
                 raise ValueError("too many code lengths")
-            out[at : at + n] = bytes([value]) * n
-            at += n
+            if s == 16:
+                out[at : at + count] = bytes([last]) * count
+            at += count
+            n += extra
+        ahead >>= n
+        used += n
+    b.pos = begin + used
+    if b.pos > b.end:
+        raise ValueError("the stream ends early")
     return bytes(out)
 
 
+@lru_cache(maxsize=256)
+def _small_table(lengths: bytes) -> tuple[list[int], int]:
+    table, bits = code_table(lengths)
+    return table.tolist(), bits
+
+
 def prefix_value(b: Bits, code: int) -> int:
     """Lengths and distances: a prefix symbol with its extra bits."""
     if code < 4:
@@ -487,20 +505,23 @@ def huffman(weights: list[float], longest: int) -> bytes:
         return bytes(depth)
     while True:
         # leaves by weight, and inner nodes, which come in order of weight by themselves
-        leaves = sorted(used, key=lambda i: (weights[i], i))
-        w = [weights[i] for i in leaves]
-        n, up = len(leaves), [0] * (2 * len(leaves) - 1)
-        a, b = 0, n
-        for node in range(n, 2 * n - 1):
-            total = 0
-            for _ in range(2):
-                if a < n and (b >= node or w[a] <= w[b]):
-                    c, a = a, a + 1
-                else:
-                    c, b = b, b + 1
-                up[c] = node
-                total += w[c]
-            w.append(total)
+        leaves = sorted(used, key=weights.__getitem__)
+        n = len(leaves)
+        w, up = [weights[i] for i in leaves], [0] * (2 * n - 1)
+        w.append(float("inf"))  # no leaf is left
+        inner: list = []
+        a = b = 0
+        for node in range(n - 1):
+            top = n + node
+            if b == node or w[a] <= inner[b]:
+                x, up[a], a = w[a], top, a + 1
+            else:
+                x, up[n + b], b = inner[b], top, b + 1
+            if b == node or w[a] <= inner[b]:
+                x, up[a], a = x + w[a], top, a + 1
+            else:
+                x, up[n + b], b = x + inner[b], top, b + 1
+            inner.append(x)
         deep = [0] * (2 * n - 1)
         for node in range(2 * n - 3, -1, -1):
             deep[node] = deep[up[node]] + 1
