@@ -81,3 +81,15 @@ def test_dtw_pairs_against_plain(spark):
             if a.id < b.id and abs(a.duration - b.duration) / max(a.duration, b.duration) <= 0.2 and dtw_distance(a.hashes, b.hashes) <= 1.5:
                 expected.add((a.id, b.id))
     assert {(r.a, r.b) for r in pairs.video_pairs(v, 1.5, use_dtw=True).collect()} == expected
+
+
+def test_mean_hashes_in_single_precision(spark, db, tmp_path):
+    """(x + 1) * 100 is a whole number in single precision, and just below it in double."""
+    x = [0.135] * 63
+    rows = [(i, [v, *x], 0) for i, v in enumerate([0.1199999526143074, 0.1199999, 0.13])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    expected = sorted(con.execute(catalog.oracle_sql()["mean_hashes"]).fetchall())
+    assert sorted(map(tuple, catalog.queries()["mean_hashes"](spark, str(tmp_path)).collect())) == expected
+    assert int(expected[0][1]) & 1 == 1

@@ -185,7 +185,9 @@ _PIXELS = "select vec_id, [floor((x + 1) * 100)::bigint for x in embedding[1:64]
 def mean_hashes(spark, sf):
     ship(spark)
     hashed = F.pandas_udf(lambda v: v.map(lambda p: str(media.mean_hash(p))), T.StringType())
-    pixels = F.transform(F.slice("embedding", 1, 64), lambda x: F.floor((x.cast("double") + 1) * 100).cast("bigint"))
+    # in the vectors' own single precision, as the SQL has it: doubles round some products to the other side of a whole number
+    one, scale = F.lit(1).cast("float"), F.lit(100).cast("float")
+    pixels = F.transform(F.slice("embedding", 1, 64), lambda x: F.floor((x + one) * scale).cast("bigint"))
     return records.table(spark, sf, "embeddings").select("vec_id", hashed(pixels).alias("hash"))
 
 
