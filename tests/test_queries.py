@@ -93,3 +93,27 @@ def test_mean_hashes_in_single_precision(spark, db, tmp_path):
     expected = sorted(con.execute(catalog.oracle_sql()["mean_hashes"]).fetchall())
     assert sorted(map(tuple, catalog.queries()["mean_hashes"](spark, str(tmp_path)).collect())) == expected
     assert int(expected[0][1]) & 1 == 1
+
+
+@pytest.fixture
+def mixed_lists(monkeypatch):
+    """Gathered lists come in another order each time they are computed, as from shuffles over several machines."""
+    import random
+
+    from twinlake.operators import blocks
+
+    gathered, mixed = blocks.F.collect_list, lambda rows: rows if rows is None else random.SystemRandom().sample(rows, len(rows))
+    kind = {"n": "array<struct<id:bigint,fine:bigint,coarse:bigint,aspect:double>>", "s": "array<struct<id:struct<archive:string,internal_path:bigint>,fine:bigint,coarse:bigint>>"}
+
+    def use(of: str) -> None:
+        udf = blocks.F.udf(mixed, kind[of]).asNondeterministic()
+        monkeypatch.setattr(blocks.F, "collect_list", lambda c: udf(gathered(c)) if c == "row" else gathered(c))
+
+    return use
+
+
+def test_archive_image_links_in_any_order(spark, db, mixed_lists):
+    """A block is compared with itself in one order: each pair of its rows is found, and once."""
+    mixed_lists("s")
+    got = sorted(map(tuple, catalog.queries()["archive_image_links"](spark, SF).collect()))
+    assert got == sorted(db.execute(catalog.oracle_sql()["archive_image_links"]).fetchall())
