@@ -117,3 +117,15 @@ def test_archive_image_links_in_any_order(spark, db, mixed_lists):
     mixed_lists("s")
     got = sorted(map(tuple, catalog.queries()["archive_image_links"](spark, SF).collect()))
     assert got == sorted(db.execute(catalog.oracle_sql()["archive_image_links"]).fetchall())
+
+
+def test_scan_union_of_phases_in_any_order(spark, mixed_lists, tmp_path):
+    """Groups of pictures lose none of their links; every picture here has four copies."""
+    os.symlink(f"{SF}/documents.parquet", f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{SF}/documents.parquet'")
+    con.execute(f"copy (select vec_id + 1000 * k as vec_id, embedding, label from '{SF}/embeddings.parquet', range(5) t(k) where vec_id < 60) to '{tmp_path}/embeddings.parquet'")
+    con.execute(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet'")
+    mixed_lists("n")
+    got = sorted(map(tuple, catalog.queries()["scan_union_of_phases"](spark, str(tmp_path)).collect()))
+    assert got == sorted(con.execute(catalog.oracle_sql()["scan_union_of_phases"]).fetchall())
