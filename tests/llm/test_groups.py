@@ -449,3 +449,15 @@ def test_bitmap_lets_all_wanted_pass(spark):
     for bits in (15, 22):
         assert sorted(r.doc_id for r in bitmap.without(rows, wanted, "doc_id", bits).collect()) == sorted(set(ids) - set(ids[::2]))
     assert bitmap.without(rows, wanted.limit(0), "doc_id").count() == len(ids)
+
+
+def test_groups_with_open_keys(spark):
+    """A rep counts once, however many of its keys are open; looked at by one key first, it is found by any."""
+    from twinlake.llm.neardup import in_any
+
+    # 40 near copies share 30 open keys; id 100 has one open key and a larger one that is not; id 200 has none
+    rows = [(k, r, 5, r % 2) for k in range(30) for r in range(40)] + [(0, 100, 5, 3), (77, 100, 9, 3), (78, 200, 2, 4)]
+    inside = spark.createDataFrame(rows, "key long, rep long, scale int, part long")
+    keys = spark.createDataFrame([(k,) for k in range(30)], "key long")
+    got = in_any(inside, keys)
+    assert sorted(map(tuple, got.collect())) == sorted([(r, r % 2) for r in range(40)] + [(100, 3)])

@@ -131,6 +131,20 @@ def join_by_key(rows: DataFrame, facts: DataFrame, key: str, total: int | None =
     return rows.join(hot, key).unionByName(rows.join(hot, key, "left_anti").join(cold, key))
 
 
+def in_any(inside: DataFrame, keys: DataFrame) -> DataFrame:
+    """(rep, part) of inside, once, where any of a rep's keys is among keys; inside: (key, rep, scale, part).
+
+    One key of each rep is looked at first, any of its largest: in a large group of near copies that settles nearly all,
+    with one row to a rep. Only what it leaves is looked at with every key.
+    """
+    likely = F.struct(-F.col("scale"), F.xxhash64("key", "rep"))
+    first = inside.groupBy("rep").agg(F.min_by("key", likely).alias("key"), F.min("part").alias("part"))
+    found = first.join(keys, "key", "left_semi").select("rep", "part")
+    left = first.join(keys, "key", "left_anti").select("rep")
+    rest = inside.join(left, "rep", "left_semi").join(keys, "key", "left_semi").select("rep", "part").distinct()
+    return found.unionByName(rest)
+
+
 def across_parts(rows: DataFrame, sets: DataFrame, percent: int, scratch: Scratch, salted: int = 1000) -> DataFrame:
     """Every pair (a, b) of different parts that can reach the threshold, by prefixes of the sets; rows: (id, part).
 
@@ -199,14 +213,15 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, k: int = 3
     several = rep_of.groupBy("doc_id").agg(F.min("rep").alias("a"), F.count("*").alias("k")).where("k > 1").select("doc_id", "a")
     links = links.unionByName(scratch.keep(rep_of.join(several, "doc_id").where("rep <> a").select("a", F.col("rep").alias("b")), "same"))
     parts = connected_components(links, scratch=scratch)
-    inside = members.where("n > 2").select("key", "rep").join(parts, F.col("rep") == F.col("id"), "left").select("key", "rep", F.coalesce("component", "rep").alias("part"))
-    inside = scratch.keep(inside, "parts")
+    inside = members.where("n > 2").select("key", "rep", F.log2("n").cast("int").alias("scale")).join(parts, F.col("rep") == F.col("id"), "left")
+    inside = scratch.keep(inside.select("key", "rep", "scale", F.coalesce("component", "rep").alias("part")), "parts")
     unsettled = inside.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("key")
-    still = inside.join(unsettled, "key", "left_semi").select(F.col("rep").alias("id"), "part").distinct()
+    unsettled = scratch.keep(unsettled, "unsettled")
+    still = scratch.keep(in_any(inside, unsettled).withColumnRenamed("rep", "id"), "still")
     more = scratch.keep(confirmed(across_parts(still, sets, percent, scratch), sets, percent), "links")
     if more.limit(1).count():
         parts = connected_components(links.unionByName(more), scratch=scratch)
-    scratch.drop(sets, members, wanted, inside, more)
+    scratch.drop(sets, members, wanted, inside, unsettled, still, more)
     found = classes.join(parts, F.col("rep") == F.col("id"), "left").select("set_key", "n", F.coalesce("component", "rep").alias("component"))
     placed = join_by_key(rows.where("size > 0").select("doc_id", "size", "set_key"), found, "set_key", total).select("doc_id", "size", "component")
     out = placed.unionByName(rows.where("size = 0").select("doc_id", "size", F.lit(None).cast("bigint").alias("component")))
