@@ -129,3 +129,35 @@ def test_scan_union_of_phases_in_any_order(spark, mixed_lists, tmp_path):
     mixed_lists("n")
     got = sorted(map(tuple, catalog.queries()["scan_union_of_phases"](spark, str(tmp_path)).collect()))
     assert got == sorted(con.execute(catalog.oracle_sql()["scan_union_of_phases"]).fetchall())
+
+
+@pytest.fixture
+def copied(tmp_path):
+    """Every customer and user three times, those of one residue five times more: (path, DuckDB)."""
+    con = duckdb.connect()
+    for name, key, own in (("orders", "o_custkey", "o_orderkey"), ("events", "user_id", "event_id")):
+        con.execute(
+            f"copy (select t.* replace ({key} + 100000 * k as {key}, {own} + 1000000 * k as {own}) from '{SF}/{name}.parquet' t, range(8) c(k) where k < 3 or {key} % 7 = 0) to '{tmp_path}/{name}.parquet'"
+        )
+        con.execute(f"create view {name} as select * from '{tmp_path}/{name}.parquet'")
+    return str(tmp_path), con
+
+
+@pytest.fixture
+def compared(monkeypatch):
+    """How many rows each comparison by blocks got."""
+    from twinlake.operators import blocks
+
+    seen, near = [], blocks.near_pairs
+    monkeypatch.setattr(blocks, "near_pairs", lambda rows, *a, **b: (seen.append(rows.count()), near(rows, *a, **b))[1])
+    return seen
+
+
+@pytest.mark.parametrize(("name", "table", "key"), [("similar_groups_audio", "orders", "o_custkey"), ("audio_pairs", "orders", "o_custkey")])
+def test_copies_are_compared_once(spark, copied, compared, name, table, key):
+    """Copies stand as one where rows are compared, and all of them are in the result."""
+    sf, con = copied
+    rows = lambda df: sorted((tuple(plain(v) for v in r) for r in df), key=repr)
+    expected = rows(con.execute(catalog.oracle_sql()[name]).fetchall())
+    assert rows(catalog.queries()[name](spark, sf).collect()) == expected and expected
+    assert compared == [con.execute(f"select count(distinct {key} % 100000) from {table}").fetchone()[0]]
