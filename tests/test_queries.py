@@ -153,7 +153,7 @@ def compared(monkeypatch):
     return seen
 
 
-@pytest.mark.parametrize(("name", "table", "key"), [("similar_groups_video", "events", "user_id"), ("similar_groups_audio", "orders", "o_custkey"), ("audio_pairs", "orders", "o_custkey")])
+@pytest.mark.parametrize(("name", "table", "key"), [("similar_groups_video", "events", "user_id"), ("similar_groups_audio", "orders", "o_custkey"), ("video_pairs_dtw", "events", "user_id"), ("audio_pairs", "orders", "o_custkey")])
 def test_copies_are_compared_once(spark, copied, compared, name, table, key):
     """Copies stand as one where rows are compared, and all of them are in the result."""
     sf, con = copied
@@ -161,3 +161,15 @@ def test_copies_are_compared_once(spark, copied, compared, name, table, key):
     expected = rows(con.execute(catalog.oracle_sql()[name]).fetchall())
     assert rows(catalog.queries()[name](spark, sf).collect()) == expected and expected
     assert compared == [con.execute(f"select count(distinct {key} % 100000) from {table}").fetchone()[0]]
+
+
+def test_rows_that_pair_with_none(spark):
+    """No content is near nothing but at a threshold that takes all; an unknown duration pairs with none."""
+    from twinlake.operators import pairs
+
+    v = spark.createDataFrame([(1, [], 1.0), (2, [], 1.0), (3, [5], None), (4, [5], None), (5, [5], 1.0), (6, [5], 1.0), (7, [5], 2.0)], "id long, hashes array<long>, duration double")
+    got = lambda df: sorted(map(tuple, df.collect()))
+    assert got(pairs.video_pairs(v, 2)) == [(5, 6, 0.0)] == got(pairs.video_pairs(v, 2, use_dtw=True))
+    assert got(pairs.video_pairs(v, 64)) == [(1, 2, 64.0), (1, 5, 64.0), (1, 6, 64.0), (2, 5, 64.0), (2, 6, 64.0), (5, 6, 0.0)]
+    assert got(pairs.video_groups(v, 2)) == [(5, 5, 2), (6, 5, 2)]
+    assert got(pairs.video_groups(v, 64)) == [(i, 1, 4) for i in (1, 2, 5, 6)]
