@@ -153,7 +153,7 @@ def compared(monkeypatch):
     return seen
 
 
-@pytest.mark.parametrize(("name", "table", "key"), [("similar_groups_video", "events", "user_id"), ("similar_groups_audio", "orders", "o_custkey"), ("video_pairs_dtw", "events", "user_id"), ("audio_pairs", "orders", "o_custkey")])
+@pytest.mark.parametrize(("name", "table", "key"), [("similar_groups_video", "events", "user_id"), ("similar_groups_audio", "orders", "o_custkey"), ("video_pairs_sequence", "events", "user_id"), ("video_pairs_dtw", "events", "user_id"), ("audio_pairs", "orders", "o_custkey")])
 def test_copies_are_compared_once(spark, copied, compared, name, table, key):
     """Copies stand as one where rows are compared, and all of them are in the result."""
     sf, con = copied
