@@ -163,6 +163,29 @@ def test_copies_are_compared_once(spark, copied, compared, name, table, key):
     assert compared == [con.execute(f"select count(distinct {key} % 100000) from {table}").fetchone()[0]]
 
 
+@pytest.mark.parametrize("name", ["video_pairs_sequence", "video_pairs_dtw", "audio_pairs"])
+def test_pairs_of_rows_without_copies_are_not_shuffled(spark, name):
+    """Where no row has copies, nothing is joined or sorted after the comparison."""
+    plan = catalog.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    above = plan[: plan.index("MapInArrow")]
+    assert "Exchange" not in above and "Join" not in above
+
+
+def test_pairs_of_rows_with_and_without_copies(spark):
+    """Rows with copies and rows without meet among themselves and each other, in neighbouring buckets of durations both ways."""
+    from itertools import combinations
+
+    from twinlake.functions.media import dtw_distance
+    from twinlake.operators import pairs
+
+    data = [(i, [i % 3, *f], d) for i, f, d in ((1, [7], 10.0), (2, [3], 10.0), (30, [7], 9.0), (3, [7], 9.0), (6, [7], 9.0), (4, [1], 11.9), (5, [3], 12.1), (8, [3], 12.1), (7, [255], 10.0), (9, [7], 8.4), (40, [1], 11.9))]
+    v = spark.createDataFrame(data, "id long, hashes array<long>, duration double")
+    mean = lambda x, y: sum((p ^ q).bit_count() for p, q in zip(x, y, strict=True)) / 2
+    for dtw, distance in ((False, mean), (True, dtw_distance)):
+        expected = sorted((x, y, distance(a, b)) for (x, a, d), (y, b, e) in combinations(sorted(data), 2) if abs(d - e) / max(d, e) <= 0.2 and distance(a, b) <= 1.5)
+        assert sorted(map(tuple, pairs.video_pairs(v, 1.5, use_dtw=dtw).collect())) == expected and len(expected) > 15
+
+
 def test_rows_that_pair_with_none(spark):
     """No content is near nothing but at a threshold that takes all; an unknown duration pairs with none."""
     from twinlake.operators import pairs
