@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import random
 import zlib
 
@@ -291,3 +292,37 @@ def test_even_predictors_as_the_general_way(mode, width, height):
         p = np.array([0, 0, 0, 255]) if not i else c[i - 1] if not y or x and mode == 1 else c[i - width]
         c[i] = (c[i] + p) & 255
     assert (webp.undo_predictor(px, width, height, 9, one) == webp.join(c)).all() and (mixed == webp.join(c)).all()
+
+
+def test_codes_of_many_pictures_are_those_of_each():
+    """Code lengths, codes and their written form are made for many pictures in one; all are as for one alone."""
+    rng = np.random.default_rng(3)
+    counts = rng.integers(0, 40, (80, 60)) * (rng.random((80, 60)) < rng.random((80, 1)))
+    counts[0], counts[1, 1:], counts[2, :40] = 0, 0, [int(1.5**i) for i in range(40)]
+    counts[counts.sum(axis=1) == 0, 0] = 7
+    for longest in (7, 15):
+        lengths = webp.huffman_many(counts, longest)
+        assert [x.tobytes() for x in lengths] == [webp.huffman(x.tolist(), longest) for x in counts]
+        codes, sizes = webp._codes_many(lengths)
+        for row, code, size in zip(lengths, codes, sizes, strict=True):
+            assert list(zip(code.tolist(), size.tolist(), strict=True)) == webp.codes_of(row.tobytes())
+    odd = [bytes([8] * 256), bytes([5] * 32 + [0] * 200), bytes([0] * 279 + [1]), bytes([0] * 270 + [1, 1] + [0] * 300)]
+    every = [x.tobytes() for x in lengths] + odd
+    assert webp.written_many(every) == [webp._written_lengths(x) for x in every]
+    for x, (value, n) in zip(every, webp.written_many(every), strict=True):
+        got = webp.read_lengths(webp.Bits(value.to_bytes(n + 7 >> 3, "little") + bytes(8)), len(x))
+        assert got == x
+
+
+def test_limited_codes_are_the_best():
+    """A code that had to be flattened was longer than need be."""
+    weights = [2**i for i in range(10)]
+    got = webp.huffman(weights, 5)
+    assert max(got) <= 5 and sum(2.0**-n for n in got) == 1
+    cost = sum(w * n for w, n in zip(weights, got, strict=True))
+    best = min(
+        sum(w * n for w, n in zip(sorted(weights), sorted(x, reverse=True), strict=True))
+        for x in itertools.combinations_with_replacement(range(1, 6), 10)
+        if sum(2.0**-n for n in x) == 1
+    )
+    assert cost == best

@@ -30,6 +30,8 @@ from pyspark.sql import DataFrame
 from twinlake.llm.common import map_arrow, need
 
 WIDTH, ROWS, UNIT = 192, 64, 576
+#: Pictures whose prefix codes are made at a time.
+CODES = 512
 
 # Fixed values of the format: the order of code length codes, and the offsets (left, up) of the first 120 distance codes.
 LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
@@ -66,19 +68,20 @@ class Bits:
 @lru_cache(maxsize=64)
 def code_table(lengths: bytes) -> tuple[np.ndarray, int]:
     """Lookup by the next `bits` bits: symbol << 4 | length of its code. One used symbol has a code of no bits."""
-    used = [s for s, n in enumerate(lengths) if n]
-    if not used:
+    n = np.frombuffer(lengths, np.uint8)
+    used = np.flatnonzero(n)
+    if not len(used):
         return np.zeros(1, np.uint32), 0
     if len(used) == 1:
-        return np.array([used[0] << 4], np.uint32), 0
-    bits = max(lengths)
-    order = sorted(used, key=lambda x: (lengths[x], x))
-    sizes = np.array([lengths[x] for x in order])
+        return (used << 4).astype(np.uint32), 0
+    order = used[np.argsort(n[used], kind="stable")]
+    sizes = n[order].astype(np.int64)
+    bits = int(sizes[-1])
     # in canonical order codes fill the table from its beginning, read from the first bit down
     spans = 1 << (bits - sizes)
     if spans.sum() != 1 << bits:
         raise ValueError("prefix code isn't complete")
-    entries = np.repeat(np.array(order, np.uint32) << np.uint32(4) | sizes.astype(np.uint32), spans)
+    entries = np.repeat((order << 4 | sizes).astype(np.uint32), spans)
     return entries[_reversed(bits)], bits
 
 
@@ -109,8 +112,11 @@ def read_lengths(b: Bits, size: int) -> bytes:
             out[s] = 1
         return bytes(out)
     of = bytearray(19)
-    for i in range(4 + b.read(4)):
-        of[LENGTH_ORDER[i]] = b.read(3)
+    many = 4 + b.read(4)
+    sizes = b.read(3 * many)
+    for i in LENGTH_ORDER[:many]:
+        of[i] = sizes & 7
+        sizes >>= 3
     left = 2 + b.read(2 + 2 * b.read(3)) if b.read(1) else size
     entries, bits = _small_table(bytes(of))
     # at most 14 bits to a symbol, read from one number
@@ -398,139 +404,265 @@ _SPREAD = 0x1E35A7BD
 def _in_step(streams: list[bytes], heads: list[tuple]) -> np.ndarray:
     """ARGB values of the coded pictures one after the other."""
     data = b"".join(streams) + bytes(16)
-    words = np.ndarray((len(data) - 8,), "<u8", data, strides=(1,))
+    # signed: a symbol's bits lie below the 53rd
+    words = np.ndarray((len(data) - 8,), "<i8", data, strides=(1,))
     begin = np.cumsum([0] + [len(s) for s in streams[:-1]])
     limit = 8 * (begin + [len(s) for s in streams])
     pos, width = 8 * begin + np.array([h[0] for h in heads]), np.array([h[1] for h in heads])
     sizes = width * np.array([h[2] for h in heads])
     end = np.cumsum(sizes)
     at, first = end - sizes, end - sizes
-    out = np.zeros(int(end[-1]), np.uint32)
-    # every set of prefix codes once, its tables in one array
+    out = np.zeros(int(end[-1]), np.int64)
+    # every set of prefix codes once, its tables in one array; symbols of red and alpha stand where a pixel has them
     sets: dict[tuple, int] = {}
     which = np.array([sets.setdefault(h[4], len(sets)) for h in heads])
     tables = [[code_table(x) for x in lengths] for lengths in sets]
-    flat, starts, masks = [], np.zeros((4, len(tables)), np.int64), np.zeros((4, len(tables)), np.uint64)
+    flat, starts, masks = [], np.zeros((4, len(tables)), np.int64), np.zeros((4, len(tables)), np.int64)
     n = 0
     for k, of in enumerate(tables):
-        for c in range(4):
-            flat.append(of[c][0])
+        for c, shift in enumerate((0, 16, 0, 24)):
+            e = of[c][0].astype(np.int64)
+            flat.append((e & ~15) << shift | e & 15 if shift else e)
             starts[c, k], masks[c, k] = n, (1 << of[c][1]) - 1
-            n += len(of[c][0])
+            n += len(e)
     flat = np.concatenate(flat)
     starts, masks = starts[:, which], masks[:, which]
     sees_alpha = masks[3].any()
-    cache_bits = np.array([h[3] for h in heads], np.uint64)
+    alpha = flat[starts[3]] >> 4  # where all pixels have one
+    cache_bits = np.array([h[3] for h in heads])
     caching = bool(cache_bits.any())
-    room = 1 << cache_bits.astype(np.int64)
+    room = 1 << cache_bits
     place = np.cumsum(room) - room
-    cache = np.zeros(int(room.sum()), np.uint32)
-    down = np.uint64(32) - cache_bits
-    four, fifteen, seven, low, spread = np.uint32(4), np.uint32(15), 7, np.uint64(0xFFFFFFFF), np.uint64(_SPREAD)
-
-    def take(start, mask, w, pos):
-        e = flat[start + (w & mask).astype(np.int64)]
-        n = e & fifteen
-        pos += n
-        w >>= n.astype(np.uint64)
-        return e >> four
+    cache = np.zeros(int(room.sum()), np.int64)
+    down = 32 - cache_bits
 
     def keep(v, k):
-        cache[place[k] + ((v.astype(np.uint64) * spread & low) >> down[k]).astype(np.int64)] = v
-
-    def literal(s, w, p, k):
-        v = s << np.uint32(8)
-        v |= take(starts[1][k], masks[1][k], w, p) << np.uint32(16)
-        v |= take(starts[2][k], masks[2][k], w, p)
-        if sees_alpha:
-            w = words[p >> 3] >> (p & seven).astype(np.uint64)
-        return v | take(starts[3][k], masks[3][k], w, p) << np.uint32(24)
+        cache[place[k] + ((v * _SPREAD & 0xFFFFFFFF) >> down[k])] = v
 
-    every = slice(None)
     while len(at):
-        w = words[pos >> 3] >> (pos & seven).astype(np.uint64)
-        s = take(starts[0], masks[0], w, pos)
-        plain = s < 256
-        if plain.all():
-            v = literal(s, w, pos, every)
-            out[at] = v
+        # every picture's next symbol as if it were a literal; what else it can be is put in its place
+        w = words[pos >> 3] >> (pos & 7)
+        e = flat[starts[0] + (w & masks[0])]
+        s, n = e >> 4, e & 15
+        w >>= n
+        red = flat[starts[1] + (w & masks[1])]
+        more = red & 15
+        w >>= more
+        blue = flat[starts[2] + (w & masks[2])]
+        more += blue & 15
+        v = (red >> 4) + (blue >> 4) + (s << 8)
+        if sees_alpha:
+            p = pos + n + more
+            e = flat[starts[3] + (words[p >> 3] >> (p & 7) & masks[3])]
+            more += e & 15
+            v += e >> 4
+        else:
+            v += alpha
+        pos += n
+        other = s > 255
+        far = ()
+        if other.any():
+            pos += np.where(other, 0, more)
+            far = np.flatnonzero(other & (s < 280))
             if caching:
-                keep(v, every)
-            at += 1
+                v = np.where(other, cache[place + np.maximum(s - 280, 0)], v)
+            # the pixel before, which the cache has already; the copy follows
+            v[far] = out[at[far] - 1]
         else:
-            k = np.flatnonzero(plain)
-            if len(k):
-                p = pos[k]
-                v = literal(s[k], w[k], p, k)
-                out[at[k]] = v
-                if caching:
-                    keep(v, k)
-                at[k] += 1
-                pos[k] = p
-            k = np.flatnonzero(s >= 280)
-            if len(k):
-                v = cache[place[k] + s[k].astype(np.int64) - 280]
-                out[at[k]] = v
-                keep(v, k)
-                at[k] += 1
-            for k in np.flatnonzero(~plain & (s < 280)):
-                b = Bits(data, int(pos[k]))
-                count = prefix_value(b, int(s[k]) - 256)
-                back, a = distance(prefix_value(b, read_symbol(b, tables[which[k]][4])), int(width[k])), int(at[k])
-                if back > a - first[k] or a + count > end[k]:
-                    raise ValueError("back-reference outside the picture")
-                got = out[a : a + count] = np.resize(out[a - back : a], count) if back < count else out[a - back : a - back + count]
-                if caching:
-                    keep(got[-back:] if back < count else got, np.full(min(back, count), k))
-                pos[k] = b.pos
-                at[k] += count
+            pos += more
+        out[at] = v
+        if caching:
+            cache[place + ((v * _SPREAD & 0xFFFFFFFF) >> down)] = v
+        at += 1
+        for k in far:
+            b = Bits(data, int(pos[k]))
+            count = prefix_value(b, int(s[k]) - 256)
+            back, a = distance(prefix_value(b, read_symbol(b, tables[which[k]][4])), int(width[k])), int(at[k]) - 1
+            if back > a - first[k] or a + count > end[k]:
+                raise ValueError("back-reference outside the picture")
+            got = out[a : a + count] = np.resize(out[a - back : a], count) if back < count else out[a - back : a - back + count]
+            if caching:
+                keep(got[-back:] if back < count else got, np.full(min(back, count), k))
+            pos[k] = b.pos
+            at[k] = a + count
         live = at < end
         if not live.all():
             if (pos > limit).any():
                 raise ValueError("the stream ends early")
-            pos, at, end, first, width, limit, which, place, down = (x[live] for x in (pos, at, end, first, width, limit, which, place, down))
+            pos, at, end, first, width, limit, which, place, down, alpha = (x[live] for x in (pos, at, end, first, width, limit, which, place, down, alpha))
             starts, masks = starts[:, live], masks[:, live]
-    return out
+    return out.astype(np.uint32)
 
 
 # --- writing
 
 
 def huffman(weights: list[float], longest: int) -> bytes:
-    """Code lengths of at most `longest`: weights are flattened until the code is short enough."""
+    """The best code lengths of at most `longest`."""
     depth = bytearray(len(weights))
     used = [i for i, w in enumerate(weights) if w]
     if len(used) == 1:
         depth[used[0]] = 1
         return bytes(depth)
-    while True:
-        # leaves by weight, and inner nodes, which come in order of weight by themselves
-        leaves = sorted(used, key=weights.__getitem__)
-        n = len(leaves)
-        w, up = [weights[i] for i in leaves], [0] * (2 * n - 1)
-        w.append(float("inf"))  # no leaf is left
-        inner: list = []
-        a = b = 0
-        for node in range(n - 1):
-            top = n + node
-            if b == node or w[a] <= inner[b]:
-                x, up[a], a = w[a], top, a + 1
-            else:
-                x, up[n + b], b = inner[b], top, b + 1
-            if b == node or w[a] <= inner[b]:
-                x, up[a], a = x + w[a], top, a + 1
-            else:
-                x, up[n + b], b = x + inner[b], top, b + 1
-            inner.append(x)
-        deep = [0] * (2 * n - 1)
-        for node in range(2 * n - 3, -1, -1):
-            deep[node] = deep[up[node]] + 1
-        if max(deep[:n]) <= longest:
-            for i, d in zip(leaves, deep, strict=False):
-                depth[i] = d
-            return bytes(depth)
-        top = max(weights)
-        weights = [max(x, top / 2000) * 0.9 + top / 20000 if x else 0 for x in weights]
+    # leaves by weight, and inner nodes, which come in order of weight by themselves
+    leaves = sorted(used, key=weights.__getitem__)
+    n = len(leaves)
+    w, up = [weights[i] for i in leaves], [0] * (2 * n - 1)
+    w.append(float("inf"))  # no leaf is left
+    inner: list = []
+    a = b = 0
+    for node in range(n - 1):
+        top = n + node
+        if b == node or w[a] <= inner[b]:
+            x, up[a], a = w[a], top, a + 1
+        else:
+            x, up[n + b], b = inner[b], top, b + 1
+        if b == node or w[a] <= inner[b]:
+            x, up[a], a = x + w[a], top, a + 1
+        else:
+            x, up[n + b], b = x + inner[b], top, b + 1
+        inner.append(x)
+    deep = [0] * (2 * n - 1)
+    for node in range(2 * n - 3, -1, -1):
+        deep[node] = deep[up[node]] + 1
+    if max(deep[:n]) <= longest:
+        for i, d in zip(leaves, deep, strict=False):
+            depth[i] = d
+        return bytes(depth)
+    return _limited(weights, leaves, longest)
+
+
+def _limited(weights: list[float], leaves: list[int], longest: int) -> bytes:
+    """The best code lengths of at most `longest`, by package-merge: each time a symbol is taken it is a bit deeper."""
+    coins = [(weights[i], (i,)) for i in leaves]
+    row = coins
+    for _ in range(longest - 1):
+        row = sorted([*coins, *((x[0] + y[0], x[1] + y[1]) for x, y in zip(row[::2], row[1::2], strict=False))], key=lambda x: x[0])
+    depth = bytearray(len(weights))
+    for _, symbols in row[: 2 * len(leaves) - 2]:
+        for i in symbols:
+            depth[i] += 1
+    return bytes(depth)
+
+
+def huffman_many(weights: np.ndarray, longest: int) -> np.ndarray:
+    """As `huffman` for each row of counts, one node of every code at a time."""
+    out = np.zeros(weights.shape, np.uint8)
+    number = (weights > 0).sum(axis=1)
+    lone = number == 1
+    out[lone] = weights[lone] > 0
+    rows = np.flatnonzero(number > 1)
+    if not len(rows):
+        return out
+    rows = rows[np.argsort(-number[rows], kind="stable")]
+    number, none = number[rows], np.int64(1) << 60
+    most = int(number[0])
+    # leaves by weight; behind them none is left
+    own = np.where(weights[rows] > 0, weights[rows], none)
+    leaves = np.argsort(own, axis=1, kind="stable")[:, :most]
+    w = np.full((len(rows), most + 1), none)
+    w[:, :most] = np.take_along_axis(own, leaves, axis=1)
+    inner, up = np.full((len(rows), most), none), np.zeros((len(rows), 2 * most), np.int64)
+    w_, inner_, up_ = w.reshape(-1), inner.reshape(-1), up.reshape(-1)
+    line = np.arange(len(rows))
+    a, b = line * (most + 1), line * most
+    live = np.searchsorted(-number, -np.arange(most) - 1, "left")  # how many rows have more than so many inner nodes
+    for node in range(most - 1):
+        g = int(live[node])
+        total = np.zeros(g, np.int64)
+        a, b, k = a[:g], b[:g], line[:g]
+        for _ in range(2):
+            x, y = w_[a], inner_[b]
+            leaf = x <= y
+            total += np.minimum(x, y)
+            # of leaf i of row k: 2 * most * k + i; of inner node i: most more
+            up_[np.where(leaf, a + k * (most - 1), b + (k + 1) * most)] = node
+            a, b = a + leaf, b + ~leaf
+        inner_[k * most + node] = total
+    deep = np.zeros((len(rows), most), np.int64)
+    deep_ = deep.reshape(-1)
+    for node in range(most - 3, -1, -1):
+        k = line[: int(live[node + 1])]
+        deep_[k * most + node] = deep_[k * most + up_[2 * most * k + most + node]] + 1
+    depth = np.where(np.arange(most) < number[:, None], np.take_along_axis(deep, up[:, :most], axis=1) + 1, 0)
+    over = depth.max(axis=1) > longest
+    got = np.zeros((len(rows), weights.shape[1]), np.uint8)
+    np.put_along_axis(got, leaves, np.where(over[:, None], 0, depth).astype(np.uint8), axis=1)
+    out[rows] = got
+    for i in rows[over].tolist():
+        out[i] = np.frombuffer(huffman(weights[i].tolist(), longest), np.uint8)
+    return out
+
+
+def _codes_many(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As _code_arrays for each row."""
+    many, n = lengths.shape
+    line = np.arange(many)[:, None]
+    count = np.bincount((line * 16 + lengths).reshape(-1), minlength=16 * many).reshape(many, 16)
+    begin = np.cumsum(count, axis=1) - count
+    first = np.zeros((many, 16), np.int64)
+    for k in range(2, 16):
+        first[:, k] = first[:, k - 1] + count[:, k - 1] << 1
+    order = np.argsort(lengths, axis=1, kind="stable")
+    size = np.take_along_axis(lengths, order, axis=1).astype(np.int64)
+    code = np.take_along_axis(first - begin, size, axis=1) + np.arange(n)
+    out, sizes = np.zeros((many, n), np.uint16), lengths.copy()
+    np.put_along_axis(out, order, np.where(size > 0, _reversed(15)[code & 32767] >> 15 - size, 0).astype(np.uint16), axis=1)
+    lone = count[:, 0] == n - 1
+    out[lone] = sizes[lone] = 0
+    return out, sizes
+
+
+def _pack(value: np.ndarray, bits: np.ndarray, kept: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """Tokens of `kept` a stream as bits: the bytes, how many bits each stream has, and the byte where it begins."""
+    token0 = np.cumsum(kept) - kept
+    total = np.add.reduceat(bits, token0)
+    # every stream begins at a new 64-bit word
+    words = (total + 63 + 64) >> 6
+    base = (np.cumsum(words) - words) * 64
+    pos = np.cumsum(bits) - bits
+    pos += np.repeat(base - pos[token0], kept)
+    word, shift = pos >> 6, (pos & 63).astype(np.uint64)
+    low = value << shift
+    high = np.where(shift > 0, value >> (np.uint64(64) - np.maximum(shift, np.uint64(1))), np.uint64(0))
+    out = np.zeros(int(words.sum()) + 1, np.uint64)
+    for w, v in ((word, low), (word + 1, high)):
+        at = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
+        out[w[at]] |= np.bitwise_or.reduceat(v, at)
+    return out.tobytes(), total, base // 8
+
+
+def written_many(codes: list[bytes]) -> list[tuple[int, int]]:
+    """As _written_lengths for each code, runs and bits of all in one."""
+    used = [np.flatnonzero(np.frombuffer(c, np.uint8)) for c in codes]
+    out = [_written_lengths(c) if len(u) <= 2 and (u < 256).all() else None for c, u in zip(codes, used, strict=True)]
+    long = [i for i, x in enumerate(out) if x is None]
+    if not long:
+        return out
+    flat = np.frombuffer(b"".join(codes[i] for i in long), np.uint8).astype(np.int64)
+    sizes = np.array([len(codes[i]) for i in long])
+    of = np.repeat(np.arange(len(long)), sizes)
+    begin = np.flatnonzero(np.concatenate([[True], (flat[1:] != flat[:-1]) | (of[1:] != of[:-1])]))
+    value, length = flat[begin], np.diff(np.append(begin, len(flat)))
+    some = value > 0
+    most = np.where(some, 6, 138)
+    full, rest = (length - some) // most, (length - some) % most
+    # a run: its value unless that is 0, then as many full repeats as there are, then a shorter one or the value itself
+    code = np.where(rest < 3, value, np.where(some, 16, np.where(rest < 11, 17, 18)))
+    symbol = np.stack([value, np.where(some, 16, 18), code], axis=1).reshape(-1)
+    extra = np.stack([0 * value, np.where(some, 3, 127), np.where(rest < 3, 0, rest - np.where(code == 18, 11, 3))], axis=1).reshape(-1)
+    times = np.stack([some.astype(np.int64), full, np.where(rest < 3, rest, 1)], axis=1).reshape(-1)
+    symbol, extra, of = np.repeat(symbol, times), np.repeat(extra, times), np.repeat(np.repeat(of[begin], 3), times)
+    lengths = huffman_many(np.bincount(of * 19 + symbol, minlength=19 * len(long)).reshape(-1, 19), 7)
+    lengths[(lengths > 0).sum(axis=1) == 1, 17] = 1
+    codes_, sizes_ = _codes_many(lengths)
+    n = sizes_[of, symbol].astype(np.int64)
+    bits = n + np.array([0] * 16 + [2, 3, 7])[symbol]
+    data, total, at = _pack(codes_[of, symbol].astype(np.uint64) | extra.astype(np.uint64) << n.astype(np.uint64), bits, np.bincount(of))
+    heads = 30 + (lengths[:, LENGTH_ORDER].astype(np.int64) << 5 + 3 * np.arange(19)).sum(axis=1)
+    for i, h, t, b in zip(long, heads.tolist(), total.tolist(), at.tolist(), strict=True):
+        out[i] = h | int.from_bytes(data[b : b + (t + 7 >> 3)], "little") << 63, 63 + t
+    return out
 
 
 def codes_of(lengths: bytes) -> list[tuple[int, int]]:
@@ -605,16 +737,21 @@ def prefix_symbol(value: int) -> tuple[int, int, int]:
     return 2 * top + second, v & ((1 << (top - 1)) - 1), top - 1
 
 
-def _write_codes(w: BitWriter, cache: int, green: bytes, red: bytes, blue: bytes, alpha: int) -> None:
+def _write_codes(w: BitWriter, cache: int, written: list[tuple[int, int]], alpha: int) -> None:
     """The head of a picture's pixels: cache, no meta codes, prefix codes. Distances are code 2, the pixel to the left."""
     if cache:
         w.put(1 | cache << 1, 5)
     else:
         w.put(0, 1)
     w.put(0, 1)
+    for x in (*written, *_lone(alpha)):
+        w.put(*x)
+
+
+@lru_cache(maxsize=2)
+def _lone(alpha: int) -> tuple[tuple[int, int], tuple[int, int]]:
     lone = lambda n, i: bytes(int(k == i) for k in range(n))
-    for x in (green, red, blue, lone(256, alpha), lone(40, 1)):
-        write_lengths(w, x)
+    return _written_lengths(lone(256, alpha)), _written_lengths(lone(40, 1))
 
 
 def _code_arrays(lengths: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -643,7 +780,7 @@ def _prior() -> tuple[int, int, bytes, bytes]:
     green = huffman([*weights, *[2e-4] * 24], 13)
     w = BitWriter()
     w.put(0, 1)  # no transforms
-    _write_codes(w, 0, green, literal, literal, 255)
+    _write_codes(w, 0, [_written_lengths(x) for x in (green, literal, literal)], 255)
     return w.value, w.n, green, literal
 
 
@@ -714,9 +851,11 @@ def _forms(raw: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     for t in (3, 4, 5):
         p = _Pictures(_transformed(raw, plain, t), sizes)
         size.append(sum(_information(p.counts(p.px[:, c], p.run == 0, 256)) for c in range(3)) + 60)
-    order = np.argsort(plain.of << 24 | plain.argb.astype(np.int64) & 0xFFFFFF, kind="stable")
-    key = (plain.of << 24 | plain.argb.astype(np.int64))[order]
-    colours = np.bincount(plain.of[order[np.concatenate([[True], key[1:] != key[:-1]])]], minlength=plain.n)
+    # colours are counted where no channel has too many values for a palette
+    few = np.flatnonzero(np.max([(n > 0).sum(axis=1) for n in every], axis=0) <= 16)
+    colours = np.full(plain.n, 17)
+    for i in few.tolist():
+        colours[i] = len(np.unique(plain.argb[plain.first[i] : plain.first[i] + sizes[i]]))
     # several indices to a pixel, at most a byte of information each, and the colours themselves
     pack = np.select([colours <= 2, colours <= 4, colours <= 16], [8, 4, 2], 0)
     size.append(np.where(pack > 0, sizes / np.maximum(pack, 1) * 4 + 30 * colours + 300, np.inf))
@@ -795,59 +934,55 @@ def encode_many(payloads: list[bytes]) -> list[bytes]:
     token = p.run >= 0
     # prefix codes: the fixed ones, and those of each picture that has its own
     head, head_bits, green, other = _prior()
-    sets = [(_code_arrays(green), _code_arrays(other), _code_arrays(other))]
     which, heads = np.zeros(p.n, np.int64), [(head, head_bits)] * p.n
+    wide = 280 + (1 << int(cache.max()) if cache.any() else 0)
+    tables = [[tuple(np.pad(x, (0, n - len(x)))[None] for x in _code_arrays(fixed))] for fixed, n in ((green, wide), (other, 256), (other, 256))]
+    every = np.flatnonzero(form > 0)
     end = np.cumsum(coded)
-    for i in np.flatnonzero(form > 0).tolist():
-        part = slice(int(end[i] - coded[i]), int(end[i]))
-        lit = literal[part]
-        own = [huffman(np.bincount(first_symbol[part][token[part]], minlength=280 + (1 << int(cache[i]) if cache[i] else 0)).tolist(), 15)]
-        own += [huffman(np.bincount(p.px[part, c][lit], minlength=256).tolist() if lit.any() else [1] + [0] * 255, 15) for c in (1, 2)]
-        w = BitWriter()
-        alpha = 255
-        if form[i] == 3:
-            w.put(1 | 2 << 1, 3)
-        elif form[i] in (4, 5):
-            w.put(1 | 0 << 1 | 7 << 3, 6)
-            _write_pixel_row(w, [(int(form[i]) - 3) << 8])
-            alpha = 0  # as predicted
-        elif form[i] == 6:
-            w.put(1 | 3 << 1, 3)
-            w.put(len(starts[i]) - 1, 8)
-            full = [0, *[c | 0xFF000000 for c in starts[i]]]
-            less = lambda a, b: sum(((a >> k) - (b >> k) & 255) << k for k in (0, 8, 16, 24))
-            _write_pixel_row(w, [less(b, a) for a, b in zip(full, full[1:], strict=False)])
-        w.put(0, 1)
-        _write_codes(w, int(cache[i]), *own, alpha)
-        which[i], heads[i] = len(sets), (w.value, w.n)
-        sets.append(tuple(map(_code_arrays, own)))
-    flat = [[np.concatenate([s[c][k] for s in sets]) for k in (0, 1)] for c in range(3)]
-    begins = [np.cumsum([0] + [len(s[c][0]) for s in sets[:-1]]) for c in range(3)]
+    for k in range(0, len(every), CODES):
+        some = every[k : k + CODES]
+        part = np.concatenate([np.arange(end[i] - coded[i], end[i]) for i in some.tolist()])
+        line = np.repeat(np.arange(len(some)), coded[some])
+        counts = lambda values, where, bins: np.bincount(line[where] * bins + values[part][where], minlength=len(some) * bins).reshape(-1, bins)  # noqa: B023, E731
+        own = [huffman_many(counts(first_symbol, token[part], wide), 15)]
+        for c in (1, 2):
+            n = counts(p.px[:, c], literal[part], 256)
+            n[n.sum(axis=1) == 0, 0] = 1
+            own.append(huffman_many(n, 15))
+        for t, lengths in zip(tables, own, strict=True):
+            t.append(_codes_many(lengths))
+        greens = [x[: 280 + (1 << c if c else 0)] for x, c in zip(own[0], cache[some].tolist(), strict=True)]
+        written = written_many([x.tobytes() for of in (greens, own[1], own[2]) for x in of])
+        for j, i in enumerate(some.tolist()):
+            w = BitWriter()
+            alpha = 255
+            if form[i] == 3:
+                w.put(1 | 2 << 1, 3)
+            elif form[i] in (4, 5):
+                w.put(1 | 0 << 1 | 7 << 3, 6)
+                _write_pixel_row(w, [(int(form[i]) - 3) << 8])
+                alpha = 0  # as predicted
+            elif form[i] == 6:
+                w.put(1 | 3 << 1, 3)
+                w.put(len(starts[i]) - 1, 8)
+                full = [0, *[c | 0xFF000000 for c in starts[i]]]
+                less = lambda a, b: sum(((a >> k) - (b >> k) & 255) << k for k in (0, 8, 16, 24))
+                _write_pixel_row(w, [less(b, a) for a, b in zip(full, full[1:], strict=False)])
+            w.put(0, 1)
+            _write_codes(w, int(cache[i]), written[j :: len(some)], alpha)
+            which[i], heads[i] = 1 + k + j, (w.value, w.n)
+    codes, code_bits = ([np.concatenate([x[k].astype(kind) for x in t]) for t in tables] for k, kind in ((0, np.uint16), (1, np.uint8)))
     of = which[p.of]
-    code = lambda c, v: tuple(f[begins[c][of] + v] for f in flat[c])
+    code = lambda c, v: (codes[c][of, v].astype(np.uint64), code_bits[c][of, v].astype(np.uint64))
     (value, bits), (rv, rn), (bv, bn) = code(0, first_symbol), code(1, p.px[:, 1]), code(2, p.px[:, 2])
     zero = np.uint64(0)
     more = np.where(literal, rv | bv << rn, np.where(p.run > 0, extra[runs].astype(np.uint64), zero))
     more_bits = np.where(literal, rn + bn, np.where(p.run > 0, extra_bits[runs].astype(np.uint64), zero))
     value, bits = (value | more << bits)[token], (bits + more_bits)[token].astype(np.int64)
     kept = np.add.reduceat(token.astype(np.int64), p.first)
-    token0 = np.cumsum(kept) - kept
-    total = np.add.reduceat(bits, token0)
-    # every body begins at a new 64-bit word
-    words = (total + 63 + 64) >> 6
-    base = (np.cumsum(words) - words) * 64
-    pos = np.cumsum(bits) - bits
-    pos += np.repeat(base - pos[token0], kept)
-    word, shift = pos >> 6, (pos & 63).astype(np.uint64)
-    low = value << shift
-    high = np.where(shift > 0, value >> (np.uint64(64) - np.maximum(shift, np.uint64(1))), zero)
-    out = np.zeros(int(words.sum()) + 1, np.uint64)
-    for w, v in ((word, low), (word + 1, high)):
-        at = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
-        out[w[at]] |= np.bitwise_or.reduceat(v, at)
-    data = out.tobytes()
+    data, total, at = _pack(value, bits, kept)
     result = []
-    for payload, t, a, (value_, n) in zip(payloads, total.tolist(), (base // 8).tolist(), heads, strict=True):
+    for payload, t, a, (value_, n) in zip(payloads, total.tolist(), at.tolist(), heads, strict=True):
         height = len(payload) // UNIT
         start = value_ << 40 | 0x2F | (WIDTH - 1) << 8 | (height - 1) << 22
         # the head rarely ends at a whole byte: shift the body behind it
