@@ -84,6 +84,46 @@ def test_words_kept_are_bounded_by_bytes():
     assert not units.words and units.kept == 0
 
 
+def test_flat_units_are_the_matches():
+    """Wherever units are cut, their words are the pattern's matches in the whole text."""
+    import public_tokenizers as P
+    import pyarrow as pa
+    import regex
+
+    from twinlake.llm.pretokens import Flat
+
+    findall = regex.compile(P.PATTERN).findall
+    units = Flat(P.PATTERN, lambda ws: [w.encode() + b"\xff" for w in ws])
+    rng = random.Random(7)
+    ends = ["\n", "\r\n", "\n\n", " \n", "\xa0", "\u3000", "\u2009", "\u2013", "\u1681", "é", "×", "÷", "É", "\x7f", "\x00", "'t", "a."]
+    texts = strange(2000, seed=5) + ["".join(rng.choice(["de", " au", " ", ".", *ends]) for _ in range(rng.randint(0, 12))) for _ in range(4000)]
+    for col in (pa.array([None, *texts])[1:], pa.array([*texts[:50], None, ""], pa.large_string()), pa.array([None, ""], pa.string()), pa.array([], pa.string())):
+        values, bounds = units(col)
+        values = values.to_pylist()
+        want = [b"".join(w.encode() + b"\xff" for w in findall(t or "")) for t in col.to_pylist()]
+        assert [b"".join(values[a:b]) for a, b in zip(bounds, bounds[1:])] == want  # noqa: B905
+
+
+def test_words_with_marks_are_learned_once():
+    """Marks and line breaks after words make no new words to look up: each would cost time and memory of its own."""
+    import public_tokenizers as P
+    import pyarrow as pa
+
+    _, units = bpe.tokenizer(packing.vocabulary("byte_bpe_multi_50k.tiktoken"))
+    units.forget()
+    words = ["".join(x) for x in zip("abcdefgh" * 8, "éiouaeyê" * 8, "".join(c * 8 for c in "lmnprstv"), strict=True)]
+    text = " ".join(f"{a}{mark}{b}" for a in words for b in words[:8] for mark in (".\n", "!!\n", ",\n", ";\n"))
+    units(pa.array([text, text, None]))
+    assert units.kept < 250 * len(words)
+    # bounded by bytes
+    learned = []
+    units = type(units)(P.PATTERN, lambda ws: [learned.append(w) or w.encode() for w in ws], limit=1 << 16)
+    units(pa.array(["x" * (1 << 17)]))
+    assert units.kept > 1 << 17
+    assert units(pa.array(["a b a"]))[0].to_pylist() == [b"a", b" b", b" a"] and units.kept < 1 << 16 and learned[1:] == ["a", " b", " a"]
+    assert units(pa.array(["a b a b"]))[1].tolist() == [0, 4] and len(learned) == 4
+
+
 def test_lengths():
     for n in (1, 2, 3, 1023, 1024, 1025, 5000):
         parts = packing.lengths(n)

@@ -18,13 +18,14 @@ from __future__ import annotations
 import base64
 import hashlib
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 from pyspark.sql import DataFrame
 
 from twinlake.llm.common import need, parts, tidy
 from twinlake.llm.packing import vocabulary
-from twinlake.llm.pretokens import Units
+from twinlake.llm.pretokens import Flat
 from twinlake.session import ship
 
 #: One step for every live word: its least (rank, position), and its rows without the token that was merged away. A row's
@@ -94,6 +95,7 @@ class Bpe:
         self.db.register("v", pa.table({"tok": pa.array([t.decode("latin-1") for t in ranks]), "t": pa.array([*ranks.values()], pa.int32())}))
         self.db.execute("create table vocab as select * from v; ")
         self.db.unregister("v")
+        self.decimals = pa.array([f"{i}," for i in range(max(ranks.values()) + 1)], pa.large_string())
 
     def _fill(self, name: str, **cols: np.ndarray) -> None:
         self.db.register("incoming", self.pa.table({k: self.pa.array(v) for k, v in cols.items()}))
@@ -132,9 +134,9 @@ class Bpe:
         self._fill("seed", q=np.repeat(np.arange(len(part)), sizes) << 12 | place, t=single)
         self.db.execute(_FIXPOINT)
         got = self.db.sql(_IDS).fetchnumpy()
-        ids = np.split(got["t"].astype("<i4"), np.flatnonzero(np.diff(got["w"])) + 1)
-        for i, x in zip(part, ids, strict=True):
-            out[i] = x.tobytes()
+        data, cuts = got["t"].astype("<i4").tobytes(), (np.flatnonzero(np.diff(got["w"])) + 1) * 4
+        for i, (a, b) in zip(part, pairwise([0, *cuts.tolist(), len(data)]), strict=True):
+            out[i] = data[a:b]
 
     def decode(self, ids: list[np.ndarray]) -> list[bytes]:
         """The bytes that each document's ids stand for."""
@@ -159,6 +161,15 @@ class Bpe:
         for g, data in zip(got.column("g").to_pylist(), got.column("data").to_pylist(), strict=True):
             out[runs[g][0]].append(data.encode("latin-1"))
 
+    def written(self, ids: list[np.ndarray]) -> list[bytes]:
+        """Each document's ids as decimals, joined by commas."""
+        ends = np.cumsum([0, *map(len, ids)])
+        got = self.decimals.take(self.pa.array(np.concatenate(ids)))
+        _, places, letters = got.buffers()
+        at = np.frombuffer(places, np.int64)[ends].tolist()
+        data = memoryview(letters or b"")
+        return [bytes(data[a : max(a, b - 1)]) for a, b in pairwise(at)]
+
     def _encode_long(self, word: bytes) -> list[int]:
         ids = self.bytes[np.frombuffer(word, np.uint8)].tolist()
         while True:
@@ -171,22 +182,31 @@ class Bpe:
 
 
 @lru_cache(maxsize=1)
-def tokenizer(path: str) -> tuple[Bpe, Units]:
+def tokenizer(path: str) -> tuple[Bpe, Flat]:
     """The tables, and little-endian ids of the units of texts; a worker keeps both, the units up to KEPT bytes."""
     import public_tokenizers
 
     bpe = Bpe(path)
-    return bpe, Units(public_tokenizers.PATTERN, lambda words: bpe.encode([w.encode() for w in words]), b"".join, limit=KEPT)
+    return bpe, Flat(public_tokenizers.PATTERN, lambda words: bpe.encode([w.encode() for w in words]), limit=KEPT)
+
+
+def _ids(units: Flat, texts) -> list[np.ndarray]:
+    """Each text's ids."""
+    values, bounds = units(texts)
+    _, places, data = values.buffers()
+    at = np.frombuffer(places, np.int64)[bounds] // 4
+    flat = np.frombuffer(data or b"", "<i4")
+    return [flat[a:b] for a, b in pairwise(at.tolist())]
 
 
 def encode(df: DataFrame, name: str = "byte_bpe_multi_50k.tiktoken") -> DataFrame:
     """(doc_id, n_tokens, ids, decoded): ids as comma-joined decimals, decoded as the bytes that the ids stand for."""
-    return _each(df, name, "doc_id long, n_tokens long, ids string, decoded binary", lambda ids, data: (ids, data))
+    return _each(df, name, "doc_id long, n_tokens long, ids string, decoded binary", lambda ids, data: (ids.decode(), data))
 
 
 def digests(df: DataFrame, name: str = "byte_bpe_multi_50k.tiktoken") -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of what `encode` gives."""
-    hexed = lambda ids, data: (hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(data).hexdigest())
+    hexed = lambda ids, data: (hashlib.sha256(ids).hexdigest(), hashlib.sha256(data).hexdigest())
     return _each(df, name, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", hexed)
 
 
@@ -203,9 +223,8 @@ def _each(df: DataFrame, name: str, schema: str, last) -> DataFrame:
         arrow = [pa.type_for_alias(kinds.get(t, "int64")) for t in types]
         for b in batches:
             for part in parts(b):
-                docs, texts = part.column("doc_id").to_pylist(), [t or "" for t in part.column("text").to_pylist()]
-                ids = [np.frombuffer(b"".join(v), "<i4") for v in units(texts)]
-                rows = [(doc, len(x), *last(",".join(map(str, x.tolist())), data)) for doc, x, data in zip(docs, ids, bpe.decode(ids), strict=True)]
+                ids = _ids(units, part.column("text"))
+                rows = [(doc, len(x), *last(text, data)) for doc, x, text, data in zip(part.column("doc_id").to_pylist(), ids, bpe.written(ids), bpe.decode(ids), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), arrow, strict=True)], names=names)
         tidy()
 
