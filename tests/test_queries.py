@@ -212,3 +212,69 @@ def test_rows_that_pair_with_none(spark):
     assert got(pairs.video_pairs(v, 64)) == [(1, 2, 64.0), (1, 5, 64.0), (1, 6, 64.0), (2, 5, 64.0), (2, 6, 64.0), (5, 6, 0.0)]
     assert got(pairs.video_groups(v, 2)) == [(5, 5, 2), (6, 5, 2)]
     assert got(pairs.video_groups(v, 64)) == [(i, 1, 4) for i in (1, 2, 5, 6)]
+
+
+def test_sounds_and_videos_of_many_kinds_as_plain(spark, monkeypatch):
+    """Blocks of several tiles, words of few and of many kinds, long and empty lists: as pairs compared one by one."""
+    import random
+    from itertools import combinations
+
+    from twinlake.functions.media import dtw_distance
+    from twinlake.operators import blocks, pairs
+
+    monkeypatch.setattr(blocks, "MANY", 2)
+    r = random.Random(5)
+    share = lambda x, y: sum((p ^ q).bit_count() for p, q in zip(x, y, strict=False)) / (32 * min(len(x), len(y)) or 1) if x and y else 1.0
+    for word in (lambda: (1 << r.randrange(6)) - 1, lambda: r.choice([0, 1 << 31, r.getrandbits(32)])):
+        data = [(i, [word() for _ in range(r.choice([0, 1, 3, 5, 6, 40]))], r.choice([5.0, 6.0, 7.0])) for i in range(130)]
+        df = spark.createDataFrame(data, "id long, fp array<long>, duration double")
+        both = [(x, y, a, b) for (x, a, d), (y, b, e) in combinations(data, 2) if abs(d - e) / max(d, e) <= 0.2]
+        expected = sorted((x, y, share(a, b)) for x, y, a, b in both if share(a, b) <= 0.1)
+        compare = blocks.sequences("fp", 0.1, 0.2, "uint32", 32.0, 1.0)
+        key, steps = pairs.tolerance_key("duration", 0.2)
+        got = blocks.near_pairs(df, compare, ["fp", "duration"], "double", "id", key, steps, size=16)
+        assert sorted(map(tuple, got.collect())) == expected and len(expected) > 15
+        joined = blocks.near_pairs(df, compare, ["fp", "duration"], "double", "id", key, steps, size=16, forest=True)
+        assert set(map(tuple, joined.collect())) <= set(expected)
+        group = lambda df: sorted(map(tuple, pairs.groups_of(df).collect()))
+        assert group(joined) == group(got)
+        videos = df.withColumnRenamed("fp", "hashes")
+        for most in (1.5, 64.0):
+            got = blocks.near_pairs(videos, blocks.warped(most, 0.2), ["hashes", "duration"], "double", "id", key, steps, size=16)
+            assert sorted(map(tuple, got.collect())) == sorted((x, y, dtw_distance(a, b)) for x, y, a, b in both if dtw_distance(a, b) <= most)
+
+
+def test_groups_get_few_of_the_pairs(spark, monkeypatch):
+    """400 sounds that are all near each other: 79,800 pairs, of which groups get no more than join them."""
+    from twinlake.operators import pairs
+
+    seen, parts = [], pairs.connected_components
+    monkeypatch.setattr(pairs, "connected_components", lambda e: (seen.append(e.count()), parts(e))[1])
+    audio = spark.createDataFrame([(i, [1 << i % 20, i, 7, 9, 5, 5, 5, 5, 5, 5], 10.0) for i in range(400)], "id long, fp array<int>, duration double")
+    assert {tuple(r) for r in pairs.audio_groups(audio, 0.1).select("group_id", "n").collect()} == {(0, 400)}
+    assert seen == [399]
+
+
+def test_a_frequent_key_is_copied_few_times(spark):
+    """Rows of a key are dealt to no more blocks than there are tasks for them."""
+    from pyspark.sql import functions as F
+
+    from twinlake.operators import blocks
+
+    rows = spark.range(100000).select(F.lit(1).alias("k"), "id", F.array(F.lit(1)).alias("fp"))
+    assert [r.n for r in blocks._blocks(rows, "id", ["fp"], 512)[1].collect()] == [blocks.MANY]
+    long = rows.where("id < 30000").withColumn("fp", F.array_repeat(F.lit(1), 2000))
+    assert [r.n for r in blocks._blocks(long, "id", ["fp"], 512)[1].collect()] == [29]
+
+
+def test_components_of_chains_and_stars(spark):
+    import random
+
+    from twinlake.operators.components import connected_components
+
+    ids = list(range(500))
+    random.Random(3).shuffle(ids)
+    edges = [*zip(ids[:299], ids[1:300], strict=True), *((ids[300], x) for x in ids[301:400]), (7, 7), (ids[450], ids[451]), (ids[451], ids[450])]
+    got = dict(map(tuple, connected_components(spark.createDataFrame(edges, "a long, b long")).collect()))
+    expected = {x: min(part) for part in (ids[:300], ids[300:400], ids[450:452]) for x in part}
+    assert got == expected
