@@ -320,3 +320,29 @@ def test_pictures_are_remembered_and_cancelled_scans_are_partial(spark, tmp_path
     monkeypatch.setattr(plans, "image_phase", cancelled)
     r = scan(spark, ScanParams(folder=str(tmp_path / "in"), recursive=True, find_similar=True, scan_archives=True))
     assert r.partial and r.archives is None and r.groups.count() == 0
+
+
+def test_archives_are_opened_once_for_their_counts(spark):
+    """Entries and large ones in one pass over the archives; broken ones and those without content have none."""
+    import io
+    import tarfile
+    import zipfile
+
+    from pyspark.sql import functions as F
+
+    z, t = io.BytesIO(), io.BytesIO()
+    with zipfile.ZipFile(z, "w") as f:
+        f.writestr("a", b"x" * 150)
+        f.writestr("b", b"y")
+    with tarfile.open(fileobj=t, mode="w") as f:
+        i = tarfile.TarInfo("a")
+        i.size = 3
+        f.addfile(i, io.BytesIO(b"abc"))
+    data = [("z", "Zip", z.getvalue()), ("t", "Tar", t.getvalue()), ("bad", "Zip", b"junk"), ("none", "Zip", None), ("kind", None, b"x")]
+    archives = spark.createDataFrame(data, "path string, format string, content binary")
+    got = archive_source.counts(archives, large=F.col("size") >= 100)
+    size = len(t.getvalue()) * 4
+    assert sorted(map(tuple, got.collect())) == sorted([("z", "Zip", 2, 151, 1), ("t", "Tar", 1, size, 0), ("bad", "Zip", 0, 0, 0), ("none", "Zip", 0, 0, 0), ("kind", None, 0, 0, 0)])
+    assert {r.path: (r.n_entries, r.estimate) for r in archive_source.counts(archives, F.col("size") < 100).collect()} == {"z": (1, 1), "t": (1, size), "bad": (0, 0), "none": (0, 0), "kind": (0, 0)}
+    plan = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("MapInPandas") == 1 and "Join" not in plan

@@ -256,8 +256,15 @@ def _packed(spark, sf, kinds: tuple[str, ...]) -> DataFrame:
 
     def run(frames):
         for f in frames:
+            held, most = [], 0
             for i, kind, text in zip(f["doc_id"], f["kind"], f["text"], strict=True):
-                yield pd.DataFrame([(str(i), kind, one(kind, text or ""))], columns=["path", "format", "content"])
+                held.append((str(i), kind, one(kind, text or "")))
+                most += len(held[-1][2])
+                # a frame costs more than a small archive, and a large one fills it
+                if most > 1 << 20:
+                    yield pd.DataFrame(held, columns=["path", "format", "content"])
+                    held, most = [], 0
+            yield pd.DataFrame(held, columns=["path", "format", "content"])
 
     return _docs(spark, sf).select("doc_id", _pick(kinds, len(kinds)).alias("kind"), "text").mapInPandas(run, "path string, format string, content binary")
 
@@ -274,9 +281,7 @@ def archive_scan_tars(spark, sf):
 @query(f"""select doc_id::varchar as path, len(lines)::bigint as n_entries, list_sum([strlen(x) for x in lines])::bigint as estimate,
   len([x for x in lines if strlen(x) >= 100])::bigint as n_large from {_LINES}""")
 def archive_counts(spark, sf):
-    z = _packed(spark, sf, ("Zip",))
-    large = archive_source.counts(z, F.col("size") >= 100).select("path", F.col("n_entries").alias("n_large"))
-    return archive_source.counts(z).select("path", "n_entries", "estimate").join(large, "path")
+    return archive_source.counts(_packed(spark, sf, ("Zip",)), n_large=F.col("size") >= 100).select("path", "n_entries", "estimate", "n_large")
 
 
 @query(f"select doc_id::varchar as path, md5(lines[2]) as second from {_LINES}")
