@@ -278,3 +278,16 @@ def test_components_of_chains_and_stars(spark):
     got = dict(map(tuple, connected_components(spark.createDataFrame(edges, "a long, b long")).collect()))
     expected = {x: min(part) for part in (ids[:300], ids[300:400], ids[450:452]) for x in part}
     assert got == expected
+
+
+def test_compared_sounds_are_matched_as_they_come(spark):
+    """Near pairs of two archives are sorted once and never gathered or joined; each entry takes the nearest free one."""
+    from twinlake.operators import archives
+
+    kind = "internal_path string, fp array<int>, duration double, pos long"
+    a = spark.createDataFrame([("a1", [0, 0], 2.0, 1), ("a2", [0, 0], 2.0, 2), ("a3", [1, 0], 2.0, 3)], kind)
+    b = spark.createDataFrame([("b1", [3, 0], 2.0, 1), ("b2", [0, 0], 2.0, 2), ("b3", [3, 0], 2.0, 0)], kind)
+    got = archives.compare_audio(a, b, 0.08, 0.2)
+    assert [(r.a, r.b, r.distance) for r in got.orderBy("a").collect()] == [("a1", "b2", 0.0), ("a2", "b3", 2 / 64), ("a3", "b1", 1 / 64)]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsInPandas" not in plan and "Join" not in plan[: plan.index("RepartitionByExpression") if "RepartitionByExpression" in plan else plan.index("Repartition")]

@@ -171,21 +171,22 @@ def _recompute_linked(entries: DataFrame, groups: DataFrame, links: DataFrame) -
 def compare_audio(a: DataFrame, b: DataFrame, threshold: float, tolerance: float) -> DataFrame:
     """Pairs (a, b, distance, score) of sound entries of two archives, greedy as `compare_greedy`: (1 - d) * 100."""
     held = a.withColumn("archive", F.lit("a")).unionByName(b.withColumn("archive", F.lit("b")))
-    near = _links(held, lambda e: pairs.audio_pairs(e, threshold, tolerance, "entry"))
-    order = lambda df, s: df.select(F.col("internal_path").alias(f"internal_path_{s}"), F.col("pos").alias(f"pos_{s}"))
-    rows = near.join(order(a, "a"), "internal_path_a").join(order(b, "b"), "internal_path_b").select(F.lit(0).alias("pair"), "internal_path_a", "internal_path_b", "pos_a", "pos_b", "distance")
-
-    def match(rows: pd.DataFrame) -> pd.DataFrame:
-        taken, out = set(), []
-        for _, own in rows.sort_values(["pos_a", "distance", "pos_b"]).groupby("pos_a", sort=True):
-            for r in own.itertuples():
-                if r.pos_b not in taken:
-                    taken.add(r.pos_b)
-                    out.append((r.internal_path_a, r.internal_path_b, float(r.distance), float((1 - r.distance) * 100)))
-                    break
-        return pd.DataFrame(out, columns=["a", "b", "distance", "score"])
-
-    return rows.groupBy("pair").applyInPandas(match, "a string, b string, distance double, score double")
+    near = pairs.audio_pairs(held.withColumn("entry", F.struct("archive", "internal_path", "pos")), threshold, tolerance, "entry").where("a.archive <> b.archive")
+    rows = near.select(F.col("a.pos").alias("pos_a"), F.col("b.pos").alias("pos_b"), "distance", F.col("a.internal_path").alias("a"), F.col("b.internal_path").alias("b"))
+
+    def match(frames):
+        # whose turn it is depends on all before: one task, which holds what is taken and no pairs but those at hand
+        taken, last = set(), None
+        for f in frames:
+            out = []
+            for own, other, d, x, y in zip(f["pos_a"], f["pos_b"], f["distance"], f["a"], f["b"], strict=True):
+                if own != last and other not in taken:
+                    taken.add(other)
+                    last = own
+                    out.append((x, y, float(d), float((1 - d) * 100)))
+            yield pd.DataFrame(out, columns=["a", "b", "distance", "score"])
+
+    return rows.repartition(1).sortWithinPartitions("pos_a", "distance", "pos_b").mapInPandas(match, "a string, b string, distance double, score double")
 
 
 def align_compared(a: DataFrame, b: DataFrame, similar: DataFrame) -> DataFrame:
